@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import lookalike
+from gleaner.llm import lookalike, sampling, splits
 from gleaner.session import table
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,46 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every triple with head, relation and tail in one form of characters."""
     return lookalike.canonical(table(spark, sf_dir, "triple").select("triple_id", *LOOKS), LOOKS)
+
+
+@_query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories of the sampling plans whose target the data cannot meet."""
+    return sampling.unmet(table(spark, sf_dir, "sample_hybridqa"), table(spark, sf_dir, "sample_target"))
+
+
+@_query
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets, available rows and deficits of all plans."""
+    return sampling.report(table(spark, sf_dir, "sample_hybridqa"), table(spark, sf_dir, "sample_target"))
+
+
+@_query
+def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions drawn for every plan."""
+    return sampling.sample(table(spark, sf_dir, "sample_hybridqa"), table(spark, sf_dir, "sample_target"))
+
+
+def _question_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "sample_hybridqa").where("question_id is not null")
+    return rows.select("question_id", "split", splits.page_of(F.col("table_id")).alias("page"))
+
+
+@_query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions related to one that the present column puts into another split."""
+    rows = _question_pages(spark, sf_dir)
+    groups = splits.components(rows, "question_id", "page")
+    records = rows.select("question_id", "split").distinct().join(groups, "question_id")
+    return splits.divided(records, "question_id", "component", "split")
+
+
+@_query
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new split of every question, whole pages together, shares of split_target."""
+    rows = table(spark, sf_dir, "sample_hybridqa").where("question_id is not null")
+    rows = rows.select("question_id", splits.page_of(F.col("table_id")).alias("page"), sampling.answer_source(F.col("answer_node")).alias("label"))
+    groups = splits.components(rows, "question_id", "page")
+    records = rows.groupBy("question_id").agg(F.max("label").alias("label")).join(groups, "question_id", "left")
+    targets = [(r["split"], r["target_share"]) for r in table(spark, sf_dir, "split_target").orderBy("split").limit(1000).collect()]
+    return splits.assign(records, "question_id", "component", "label", targets)
