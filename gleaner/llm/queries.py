@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import lookalike, sampling, splits
+from gleaner.llm import lookalike, sampling, splits, tokenize
 from gleaner.session import table
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = rows.groupBy("question_id").agg(F.max("label").alias("label")).join(groups, "question_id", "left")
     targets = [(r["split"], r["target_share"]) for r in table(spark, sf_dir, "split_target").orderBy("split").limit(1000).collect()]
     return splits.assign(records, "question_id", "component", "label", targets)
+
+
+@_query
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return tokenize.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
