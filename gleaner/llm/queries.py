@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import lookalike, sampling, splits, tokenize
+from gleaner.llm import leakage, lookalike, sampling, splits, tokenize
 from gleaner.session import table
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,17 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return tokenize.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@_query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with at least 14 consecutive words of an evaluation item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")
+    return leakage.overlaps(docs, "doc_id", "text", items, "item_id", "text").select("doc_id", "item_id")
+
+
+@_query
+def p7_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best overlap of each document and item, single replaced words allowed."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")
+    return leakage.overlaps(docs, "doc_id", "text", items, "item_id", "text", exact=False)
