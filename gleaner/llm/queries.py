@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import leakage, lookalike, sampling, splits, tokenize
+from gleaner.llm import leakage, lookalike, sampling, splits, subjects, tokenize
 from gleaner.session import table
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,16 @@ def p7_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best overlap of each document and item, single replaced words allowed."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")
     return leakage.overlaps(docs, "doc_id", "text", items, "item_id", "text", exact=False)
+
+
+@_query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects that at least a quarter of a document's sentences deal with."""
+    docs, areas, labels = (table(spark, sf_dir, t) for t in ("documents", "subject_area", "subject_label"))
+    return subjects.subjects(docs, "doc_id", "text", areas, labels)
+
+
+@_query
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents deal with each subject, over the whole corpus."""
+    return p8_found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("n_docs"))
