@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators import nested
+from gleaner.operators import nested, units
 from gleaner.plans.registry import query
-from gleaner.session import table
+from gleaner.session import materialize, table
 
 
 @query("p1_found")
@@ -48,3 +48,50 @@ def p1_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = nested.related(table(spark, sf_dir, "hitab"), "table_id", ["merged_regions"])
     flat = nested.pivot(rows, "table_id", "merged_regions[]", dict.fromkeys(["first_row", "last_row", "first_column", "last_column"], "int"))
     return flat.select("table_id", F.element_at("row", 1).cast("long").alias("region"), "first_row", "last_row", "first_column", "last_column")
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The amounts of constant steps and of examples' answers, each row once."""
+    examples = table(spark, sf_dir, "datasetexample").where("example_id is not null")
+    # redelivered examples differ in ingested_at only: any delivery with an answer serves
+    examples = examples.groupBy("example_id").agg(F.max_by(F.struct("answer", "question"), F.struct(F.col("answer").isNotNull(), "ingested_at")).alias("_x")).select("example_id", "_x.*")
+    programs = table(spark, sf_dir, "numericalprogram").select("program_id", "example_id").distinct()
+    steps = table(spark, sf_dir, "irstep").where("op = 'const'").select("program_id", "step_id", "arguments", "unit").distinct()
+    asked = steps.join(programs, "program_id").join(examples.select("example_id", "question"), "example_id", "left")
+    consts = units.amounts(asked, ["example_id", "program_id", "step_id"], F.col("arguments"), F.col("unit"), F.col("question"))
+    answers = units.amounts(examples, ["example_id"], F.col("answer"), F.lit(None), F.col("question"))
+    return materialize(consts, "consts"), materialize(answers, "answers")
+
+
+def _linked(consts: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each constant beside the answer of its example."""
+    right = answers.select("example_id", F.col("notation").alias("b"), F.col("value").alias("y"))
+    return consts.select("example_id", "program_id", "step_id", F.col("notation").alias("a"), F.col("value").alias("x")).join(right, "example_id")
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constant steps whose amount equals, in common units, the answer of the program's example."""
+    consts, answers = _recorded(spark, sf_dir)
+    links = _linked(consts, answers)
+    known = units.common_units(consts.unionByName(answers, allowMissingColumns=True), links)
+    known = materialize(known.select("notation", "kind", "factor"), "notations")
+    left = known.select(F.col("notation").alias("a"), F.col("kind").alias("ka"), F.col("factor").alias("fa"))
+    right = known.select(F.col("notation").alias("b"), F.col("kind").alias("kb"), F.col("factor").alias("fb"))
+    both = links.join(left, "a").join(right, "b").where("ka = kb").withColumn("u", F.col("x") * F.col("fa")).withColumn("v", F.col("y") * F.col("fb"))
+    equal = F.abs(F.col("u") - F.col("v")) <= 0.001 * F.greatest(F.abs("u"), F.abs("v")) * (1 + 1e-9)
+    return both.where(equal).select("program_id", "step_id").distinct()
+
+
+@query("p2_notations")
+def p2_notations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every notation with its kind, factor to the common unit, and distance from a known one."""
+    consts, answers = _recorded(spark, sf_dir)
+    return units.common_units(consts.unionByName(answers, allowMissingColumns=True), _linked(consts, answers))
+
+
+@query("p2_scales")
+def p2_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimated and snapped scale between every two linked notations."""
+    consts, answers = _recorded(spark, sf_dir)
+    return units.pairwise(_linked(consts, answers))
