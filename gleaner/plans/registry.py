@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ["problems"]
+MODULES = ["problems", "texts"]
 
 
 class Registry:
