@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.lookalike import default_table, rewriter
+from gleaner.llm.lookalike import default_rewriter
 from gleaner.llm.tokenize import _slices
 from gleaner.session import materialize
 
@@ -39,7 +39,7 @@ _find = re.compile(r"[^\W_]+").findall
 
 def words_of(text: str | None) -> list[str]:
     """The words of a text in the form in which they are compared."""
-    return _find(rewriter(default_table())(text).casefold()) if text else []
+    return _find(default_rewriter()(text).casefold()) if text else []
 
 
 def word_hash(word: str) -> int:

@@ -252,6 +252,12 @@ def rewriter(table: dict[str, str]) -> Rewriter:
     return _made[len(table)][1]
 
 
+@lru_cache(1)
+def default_rewriter() -> Rewriter:
+    """One automaton of the default table a process."""
+    return Rewriter(default_table())
+
+
 def learn(df: DataFrame, columns: list[str]) -> dict[str, str]:
     """The rewriting table of a corpus; the driver gets only counts of class members."""
     return representatives({r["member"]: r["n"] for r in member_counts(df, columns).collect()})

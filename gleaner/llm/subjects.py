@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.lookalike import default_table, rewriter
+from gleaner.llm.lookalike import default_rewriter
 from gleaner.llm.tokenize import _slices
 from gleaner.session import materialize
 
@@ -60,7 +60,7 @@ def sentences_of(text: str | None) -> list[list[str]]:
     """The words of each sentence: look-alikes in one form, folded case, letters only."""
     if not text:
         return []
-    plain = rewriter(default_table())(text)
+    plain = default_rewriter()(text)
     return [_find(s.casefold()) for s in _ends.split(plain) if s and not s.isspace()]
 
 
