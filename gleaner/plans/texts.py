@@ -20,11 +20,11 @@ def normalize_key(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "relation_names",
     r"""SELECT relation, regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(trim(relation, ' '), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^a-zA-Z0-9]+', '_', 'g')), '^_+', ''), '_+$', '') AS relation_key, count(*) AS n
-FROM triple WHERE regexp_full_match(relation, '[ -~]*') GROUP BY ALL""",
+FROM triple GROUP BY ALL""",
 )
 def relation_names(spark: SparkSession, d: str) -> DataFrame:
-    """Syntax keys of all plain relations, before aliases."""
-    rows = table(spark, d, "triple").where(F.col("relation").rlike(r"^[ -~]*$"))
+    """Syntax keys of all relations, before aliases."""
+    rows = table(spark, d, "triple")
     x = F.regexp_replace(F.trim("relation"), r"(?<=[a-z0-9])(?=[A-Z])", "_")
     x = F.lower(F.regexp_replace(F.regexp_replace(x, r"[^a-zA-Z0-9]+", "_"), r"^_+|_+$", ""))
     return rows.groupBy("relation").agg(F.count("*").alias("n")).select("relation", x.alias("relation_key"), "n")
@@ -70,10 +70,9 @@ def last_number(spark: SparkSession, d: str) -> DataFrame:
 _ANSWER = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(?:a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'), ' ')"""
 
 
-@query("normalize_answer", f"SELECT question_id, ingested_at, {_ANSWER.format('answer_text')} AS answer FROM sample_hybridqa WHERE regexp_full_match(answer_text, '[ -~]*')")
+@query("normalize_answer", f"SELECT question_id, ingested_at, {_ANSWER.format('answer_text')} AS answer FROM sample_hybridqa")
 def normalize_answer(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "sample_hybridqa").where(F.col("answer_text").rlike(r"^[ -~]*$"))
-    return rows.select("question_id", "ingested_at", T.normalize_answer(F.col("answer_text")).alias("answer"))
+    return table(spark, d, "sample_hybridqa").select("question_id", "ingested_at", T.normalize_answer(F.col("answer_text")).alias("answer"))
 
 
 @query("question_literals", r"""SELECT example_id, ingested_at, array_to_string(regexp_extract_all(question, '\b(?:19|20)\d{2}\b'), ' ') AS years FROM datasetexample""")
@@ -144,7 +143,6 @@ def query_expansions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "datasetexample").select("example_id", "ingested_at", F.array_join(T.query_expansions(F.col("question"), F.array().cast("array<string>")), "|").alias("expansions"))
 
 
-@query("literal_cells", r"""SELECT triple_id, regexp_full_match(trim(tail, ' '), '[\d\s:./-]+') OR regexp_matches(lower(tail), '\b(january|february|march|april|may|june|july|august|september|october|november|december)\b') AS literal FROM triple WHERE regexp_full_match(tail, '[ -~]*')""")
+@query("literal_cells")
 def literal_cells(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "triple").where(F.col("tail").rlike(r"^[ -~]*$"))
-    return rows.select("triple_id", T.is_literal(F.col("tail")).alias("literal"))
+    return table(spark, d, "triple").select("triple_id", T.is_literal(F.col("tail")).alias("literal"))
