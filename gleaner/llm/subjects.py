@@ -34,6 +34,9 @@ from gleaner.session import materialize
 #: A vocabulary word occurs in at least this share of the documents, and in MIN_DOCS of them.  The
 #: share bounds the vocabulary however large the corpus is.
 MIN_SHARE, MIN_DOCS = 0.0004, 3
+#: A sentence of at most SHORT words that this share of the documents holds as it is, is boilerplate
+#: (a footer, a link) and no sentence of its document.
+SHORT, BOILERPLATE = 8, 0.005
 LEVELS = 6
 #: Documents in the bounded sample that bisecting starts from before it runs over all documents.
 SEED_DOCS = 3000
@@ -49,48 +52,59 @@ business: unternehmen gewinn markt aktie umsatz dividende; empresa ganancia merc
 science: physik chemie biologie astronomie forschung labor enzym; física química biología astronomía investigación laboratorio enzima
 health: medizin krankenhaus krankheit ernährung impfstoff patient; medicina hospital enfermedad nutrición vacuna paciente
 law: gericht gesetz prozess vertrag klage urteil; tribunal ley juicio contrato demanda sentencia
-software: programm computer netzwerk daten quelltext server; programa ordenador red datos código servidor
+software: computer netzwerk daten quelltext server; ordenador red datos código servidor
 transport: eisenbahn straße schiff flugzeug güterzug hafen; ferrocarril carretera barco avión tren puerto
 """
 _ends = re.compile(r"[.!?]+(?=\s|$)")
 _find = re.compile(r"[^\W\d_]+").findall
 
 
-def sentences_of(text: str | None) -> list[list[str]]:
-    """The words of each sentence: look-alikes in one form, folded case, letters only."""
+def pieces(text: str | None) -> list[tuple[str, list[str]]]:
+    """Each sentence as it compares (look-alikes in one form, folded case, single spaces) and its words
+    of letters."""
     if not text:
         return []
-    plain = default_rewriter()(text)
-    return [_find(s.casefold()) for s in _ends.split(plain) if s and not s.isspace()]
+    plain = default_rewriter()(text).casefold()
+    return [(" ".join(s.split()), _find(s)) for s in _ends.split(plain) if s and not s.isspace()]
+
+
+def sentences_of(text: str | None) -> list[list[str]]:
+    return [words for _, words in pieces(text)]
 
 
-def _vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray, int]:
-    """Words with their document frequency, and the number of documents with words."""
+def _vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray, int, frozenset[str]]:
+    """Words with their document frequency, the number of documents with words, and the boilerplate:
+    short sentences that recur unchanged in many documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got: Counter = Counter()
             for part in _slices(batch, 1):
                 for text in part.column(1).to_pylist():
-                    words = {w for s in sentences_of(text) for w in s if len(w) > 2}
+                    cut = pieces(text)
+                    words = {w for _, s in cut for w in s if len(w) > 2}
                     got.update(words)
+                    got.update({"." + raw for raw, s in cut if len(s) <= SHORT})
                     got[""] += bool(words)
             yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.string()), pa.array(got.values(), pa.int64())], ["w", "n"])
 
     counts = materialize(docs.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     total = counts.where("w = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = counts.where((F.col("w") != "") & (F.col("n") >= max(MIN_DOCS, MIN_SHARE * total))).orderBy("w").collect()
-    return [r["w"] for r in rows], np.array([r["n"] for r in rows], float), total
+    sentence = F.startswith("w", F.lit("."))
+    rows = counts.where((F.col("w") != "") & ~sentence & (F.col("n") >= max(MIN_DOCS, MIN_SHARE * total))).orderBy("w").collect()
+    fixed = counts.where(sentence & (F.col("n") >= max(MIN_DOCS, BOILERPLATE * total))).collect()
+    return [r["w"] for r in rows], np.array([r["n"] for r in rows], float), total, frozenset(r["w"][1:] for r in fixed)
 
 
-def _encoded(docs: DataFrame, words: list[str]) -> DataFrame:
-    """``(doc, sizes, terms)``: known words of each document, with the number in each sentence."""
+def _encoded(docs: DataFrame, words: list[str], boilerplate: frozenset[str]) -> DataFrame:
+    """``(doc, sizes, terms)``: known words of each document, with the number in each sentence that is
+    not boilerplate."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {w: i for i, w in enumerate(words)}
         for batch in batches:
             for part in _slices(batch, 1):
-                cut = [[[at[w] for w in s if w in at] for s in sentences_of(t)] for t in part.column(1).to_pylist()]
+                cut = [[[at[w] for w in s if w in at] for raw, s in pieces(t) if raw not in boilerplate] for t in part.column(1).to_pylist()]
                 sizes, terms = [[len(s) for s in d] for d in cut], [[t for s in d for t in s] for d in cut]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.int32()))], ["doc", "sizes", "terms"])
 
@@ -123,8 +137,9 @@ class Batch:
         return node
 
 
-def _sums(encoded: DataFrame, weight: np.ndarray, tree: list[np.ndarray]) -> np.ndarray:
-    """Sums of document vectors by node, over all documents: at most nodes times words leave a task."""
+def _sums(encoded: DataFrame, weight: np.ndarray, tree: list[np.ndarray], plain: bool = False) -> np.ndarray:
+    """Sums of document vectors (``plain``: of counts) by node, over all documents: at most nodes times
+    words leave a task."""
     size = len(weight)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +147,7 @@ def _sums(encoded: DataFrame, weight: np.ndarray, tree: list[np.ndarray]) -> np.
         for batch in batches:
             b = Batch(batch, weight)
             if len(b.w):
-                total += np.bincount(b.leaves(tree)[b.doc] * size + b.terms, b.w, len(total))
+                total += np.bincount(b.leaves(tree)[b.doc] * size + b.terms, None if plain else b.w, len(total))
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["k", "v"])
 
@@ -251,8 +266,8 @@ class Model:
     def __init__(self, docs: DataFrame, areas: list[tuple[str, str]], labels: DataFrame | None) -> None:
         self.subjects = [s for s, _ in areas]
         k = len(areas)
-        self.words, df, total = _vocabulary(docs)
-        self.encoded = materialize(_encoded(docs, self.words), "encoded")
+        self.words, df, total, self.boilerplate = _vocabulary(docs)
+        self.encoded = materialize(_encoded(docs, self.words, self.boilerplate), "encoded")
         idf = np.log(max(total, 1) / np.maximum(df, 1)) if self.words else np.zeros(0)
         votes, labelled = self._votes(labels)
         # terms by subject: labelled documents, and the words that name and describe a subject
@@ -266,7 +281,7 @@ class Model:
             for seed in others.get(name.strip().lower(), ()):
                 # a long word also names its compounds
                 for w in [w for w in self.words if seed in w] if len(seed) > 4 else [seed] if seed in at else []:
-                    counts[at[w], s] += 1.0
+                    counts[at[w], s] += max(1.0, 0.5 * df[at[w]])
         if labelled is not None:
             for r in labelled:
                 counts[r["t"], r["s"]] += r["v"]
@@ -287,7 +302,7 @@ class Model:
                 inside[r["leaf"], r["s"]] += r["v"]
         self.mixture = (inside + 2.0 * by_terms) / (inside.sum(1, keepdims=True) + 2.0)
         # terms by subject over the whole corpus: through the leaves, the labels keep their say
-        spread = (sums / np.maximum(self.weight, 1e-9)).T @ self.mixture if self.words else counts
+        spread = _sums(self.encoded, self.weight, self.tree, plain=True).T @ self.mixture if self.words else counts
         scale = counts.sum() / max(spread.sum(), 1e-9)
         mixed = np.concatenate([counts + max(scale, 1e-6) * 0.5 * spread, np.zeros((len(self.words), 1))], 1)
         self.judge = Judge(mixed, prior, self.mixture)
