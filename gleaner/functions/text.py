@@ -14,6 +14,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Aliases and canonical names of relations and entities.
 RELATION_ALIASES = {
@@ -81,13 +82,13 @@ def _key(value: str | None) -> str | None:
     return re.sub(r"[^\w]+", " ", plain.casefold()).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_key_exact(text: pd.Series) -> pd.Series:
     """The key of any Unicode text; use it on distinct values."""
     return text.map(_key, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Matching-blocks similarity in [0, 1]; use it on distinct pairs."""
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
@@ -104,7 +105,7 @@ def relation_key(text: Column) -> Column:
     return F.coalesce(_lookup(x, RELATION_ALIASES), x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nearest_relation(key: pd.Series) -> pd.Series:
     def best(k: str) -> str:
         if k in CANONICAL_RELATIONS:
@@ -318,7 +319,7 @@ def parse_json_list(text: str | None) -> list | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_list(text: pd.Series) -> pd.Series:
     """The first JSON list of a text, as JSON."""
     import json

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from gleaner.functions import text as T
 
@@ -102,7 +103,7 @@ def token_f1(prediction: Column, gold: Column) -> Column:
     return F.when((F.size(p) == 0) | (F.size(g) == 0), (F.size(p) == F.size(g)).cast("double")).when(common == 0, 0.0).otherwise(2.0 * common / (F.size(p) + F.size(g)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rounded_equal(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 where two numbers agree when both are rounded half to even at five places."""
     return pd.Series([None if pd.isna(x) or pd.isna(y) else float(round(x, 5) == round(y, 5)) for x, y in zip(a, b)], dtype="float64")
