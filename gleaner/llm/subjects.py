@@ -266,6 +266,8 @@ class Model:
     def __init__(self, docs: DataFrame, areas: list[tuple[str, str]], labels: DataFrame | None) -> None:
         self.subjects = [s for s, _ in areas]
         k = len(areas)
+        if not k:
+            return
         self.words, df, total, self.boilerplate = _vocabulary(docs)
         self.encoded = materialize(_encoded(docs, self.words, self.boilerplate), "encoded")
         idf = np.log(max(total, 1) / np.maximum(df, 1)) if self.words else np.zeros(0)
@@ -368,4 +370,6 @@ def fit(docs: DataFrame, key: str, text: str, areas: DataFrame, labels: DataFram
 def subjects(docs: DataFrame, key: str, text: str, areas: DataFrame, labels: DataFrame | None, share: float = 0.25) -> DataFrame:
     """``(key, subject)``: every subject with which at least ``share`` of the sentences deal."""
     model = fit(docs, key, text, areas, labels)
+    if not model.subjects:
+        return docs.where("false").select(key, F.lit("").alias("subject"))
     return model.shares().where(F.col("n_sentences") >= share * F.col("n_all")).select(F.col("doc").alias(key), "subject")
