@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.lookalike import default_rewriter
 from gleaner.llm.tokenize import _slices
-from gleaner.session import materialize
+from gleaner.session import materialize, spread
 
 WINDOW = 14
 #: Fixed masks over a window; a 0 is a position that may differ.  Any one hits an exact copy.
@@ -184,7 +184,7 @@ def _scan(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, ite
                 yield pa.RecordBatch.from_arrays([keys, where, pa.array([g[2] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.int32())], ["_d", "_i", "n_equal", "n_words"])
 
     items_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    source = docs.select(F.col(key).alias("_d"), F.col(text).alias("_t")).where("_t is not null")
+    source = spread(docs.select(F.col(key).alias("_d"), F.col(text).alias("_t")).where("_t is not null"))
     return source.mapInArrow(scan, f"_d {docs.schema[key].dataType.simpleString()}, _i {kind}, n_equal int, n_words int")
 
 
@@ -200,7 +200,7 @@ def _seed_rows(df: DataFrame, key: str, text: str, window: int, masks: tuple[str
                     pairs = np.unique(np.stack([owner[start].astype(np.int64), seed.view(np.int64)], 1), axis=0)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(pairs[:, 0])), pa.array(pairs[:, 1])], ["_k", "_seed"])
 
-    source = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t is not null")
+    source = spread(df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t is not null"))
     return source.mapInArrow(make, f"_k {df.schema[key].dataType.simpleString()}, _seed long")
 
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.session import materialize
+from gleaner.session import materialize, spread
 
 #: Letters of other scripts that most fonts draw like the Latin letter in front.
 LETTERS = """
@@ -296,7 +296,7 @@ def same_looking_pairs(df: DataFrame, key: str, group: str, columns: list[str],
     forms = [f"_c{i}" for i in range(len(columns))]
     seen = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in forms]
     rows = df.select(F.col(key).alias("_id"), F.col(group).alias("_group"), *[F.col(c).alias(f) for c, f in zip(columns, forms)]).where(F.col("_group").isNotNull())
-    rows = canonical(rows.withColumn("_raw", F.xxhash64(*seen)), forms, table)
+    rows = canonical(spread(rows).withColumn("_raw", F.xxhash64(*seen)), forms, table)
     rows = materialize(rows.select("_id", F.xxhash64(F.lit(7), "_group", *seen).alias("_k1"), F.xxhash64(F.lit(11), *seen, "_group").alias("_k2"), "_raw"), "looks")
     mixed = rows.groupBy("_k1", "_k2").agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi")).where("_lo <> _hi").select("_k1", "_k2")
     left = materialize(rows.join(mixed, ["_k1", "_k2"], "left_semi"), "variants")

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gleaner.session import spread
+
 #: Fixed value: the pattern that cuts a text into words.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORDS_KEPT = 200_000
@@ -150,7 +152,7 @@ def _slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterato
 def token_ids(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """``(key, ids)`` for every row: the token ids of the whole text, in its order."""
     path = path or tokenizer_path()
-    rows = df.select(key, text)
+    rows = spread(df.select(key, text))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
