@@ -142,3 +142,35 @@ def target_relations(questions: DataFrame, query: str, question: str, edges: Dat
     both = both.withColumn("score", score).where("score >= 1.0 or _n >= 2")
     best = F.rank().over(Window.partitionBy(query).orderBy(F.desc("score")))
     return both.withColumn("_r", best).where("_r = 1").select(query, *keys, "relation", "score")
+
+
+# -- ranking inside groups -------------------------------------------------------------------------
+
+
+def bm25_within(queries: DataFrame, query_text: str, items: DataFrame, group: str, item: str, text: str) -> DataFrame:
+    """``group, item, score`` of all items of each group against the group's own query; frequencies and
+    lengths are those of the group.  Items without a query term score 0."""
+    asked = _term_rows(queries, [group], query_text).groupBy(group, "term").agg(F.count("*").alias("qtf"))
+    tf = _term_rows(items, [group, item], text).groupBy(group, item, "term").agg(F.count("*").alias("tf"))
+    sizes = items.select(group, item, F.size(T.tokens(F.col(text))).alias("dl"))
+    corpus = sizes.groupBy(group).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    idf = tf.groupBy(group, "term").agg(F.count("*").alias("df")).join(corpus, group)
+    idf = idf.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = idf.groupBy(group).agg(F.avg("idf").alias("mean_idf"))
+    weights = idf.join(asked, [group, "term"]).join(mean, group)
+    weights = weights.select(group, "term", "qtf", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+    hits = tf.join(weights, [group, "term"]).join(sizes, [group, item])
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = hits.groupBy(group, item).agg(F.sum(part).alias("score"))
+    return items.select(group, item).join(scored, [group, item], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def ranked_entities(questions: DataFrame, query: str, question: str, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``query, entity``: what stands in the rows whose rank column holds the rank a question names:
+    the first cell of an entity column, else the first that is no rank."""
+    asked = questions.withColumn("_rank", T.rank_constraint(F.col(question))).where("_rank is not null").select(query, *keys, "_rank")
+    name = F.lower("column_name")
+    rows = cells.where(F.contains(name, F.lit("rank"))).select(*keys, "table_name", "row_index", F.lower(T.clean(F.col("value"))).alias("_rank")).distinct()
+    hit = asked.join(rows, [*keys, "_rank"]).join(cells.where(~F.contains(name, F.lit("rank")) & (F.trim("value") != "")), [*keys, "table_name", "row_index"])
+    first = F.struct((~name.rlike("|".join(T.ENTITY_COLUMNS))).alias("other"), "col_index")
+    return hit.groupBy(query, "table_name", "row_index").agg(F.min_by(T.clean(F.col("value")), first).alias("entity")).select(query, "entity").distinct()
