@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.lookalike import default_rewriter
 from gleaner.llm.tokenize import _slices
-from gleaner.session import materialize
+from gleaner.session import materialize, spread
 
 #: A vocabulary word occurs in at least this share of the documents, and in MIN_DOCS of them.  The
 #: share bounds the vocabulary however large the corpus is.
@@ -161,18 +161,26 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.sqrt((rows * rows).sum(-1, keepdims=True)), 1e-12)
 
 
-def _halve(x: np.ndarray, tries: int = 2, rounds: int = 6) -> np.ndarray:
-    """A direction that splits unit vectors into two tight halves; the best of some fixed starts."""
-    best, best_fit = np.zeros(x.shape[1]), -1.0
-    rng = np.random.default_rng(5)
-    for _ in range(tries if len(x) > 1 else 0):
-        c = x[rng.choice(len(x), 2, replace=False)]
+def _halve(seed: Batch, node: np.ndarray, nodes: int, size: int, tries: int = 3, rounds: int = 6) -> np.ndarray:
+    """For every node a direction that splits its documents into two tight halves; the best of some
+    fixed starts from two of its documents."""
+    best, best_fit = np.zeros((nodes, size)), np.full(nodes, -1.0)
+    at = node[seed.doc]
+    for t in range(tries):
+        order = np.random.default_rng(t).permutation(seed.n)
+        side = np.full(seed.n, -1)
+        for k in range(nodes):
+            pair = order[node[order] == k][:2]
+            side[pair] = np.arange(len(pair))
         for _ in range(rounds):
-            side = (x @ (c[0] - c[1])) < 0
-            c = _unit(np.stack([x[~side].sum(0), x[side].sum(0)]))
-        fit = np.maximum(x @ c[0], x @ c[1]).sum()
-        if fit > best_fit:
-            best, best_fit = c[0] - c[1], fit
+            own = side[seed.doc] >= 0
+            sums = np.bincount((2 * at + side[seed.doc])[own] * size + seed.terms[own], seed.w[own], 2 * nodes * size)
+            centres = _unit(sums.reshape(2 * nodes, size))
+            split = centres[0::2] - centres[1::2]
+            side = (np.bincount(seed.doc, seed.w * split[at, seed.terms], seed.n) < 0).astype(np.int64)
+        fit = np.bincount(node, np.bincount(seed.doc, seed.w * centres[2 * at + side[seed.doc], seed.terms], seed.n), nodes)
+        better = fit > best_fit
+        best[better], best_fit[better] = split[better], fit[better]
     return best
 
 
@@ -186,12 +194,9 @@ def bisect(encoded: DataFrame, weight: np.ndarray, levels: int = LEVELS) -> list
     if not rows or not size:
         return []
     seed = Batch(rows[0], weight)
-    dense = np.zeros((seed.n, size), np.float32)
-    np.add.at(dense, (seed.doc, seed.terms), seed.w)
     tree: list[np.ndarray] = []
     for _ in range(levels):
-        node = seed.leaves(tree)
-        split = np.stack([_halve(dense[node == k]) for k in range(2 ** len(tree))])
+        split = _halve(seed, seed.leaves(tree), 2 ** len(tree), size)
         halves = _unit(_sums(encoded, weight, [*tree, split]))
         tree.append(halves[0::2] - halves[1::2])
     return tree
@@ -362,7 +367,7 @@ class Model:
 def fit(docs: DataFrame, key: str, text: str, areas: DataFrame, labels: DataFrame | None) -> Model:
     """Learn from ``docs``; ``areas`` has ``subject, description``, ``labels`` has ``key, subject``."""
     rows = areas.where("subject is not null").select("subject", F.coalesce("description", F.lit("")).alias("d")).dropDuplicates(["subject"]).orderBy("subject").limit(10_000).collect()
-    own = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
+    own = spread(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null"))
     named = labels.select(F.col(key).alias("doc"), "subject").where("doc is not null and subject is not null") if labels is not None else None
     return Model(own, [(r["subject"], r["d"]) for r in rows], named)
 
