@@ -7,10 +7,16 @@ weight.  Items without any query term score 0 and still fill up the ranks, in or
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.session import materialize, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -39,8 +45,9 @@ def bm25(queries: DataFrame, query: str, query_text: str, items: DataFrame, item
 
 
 def top_k(scored: DataFrame, query: str, item: str, k: int) -> DataFrame:
-    """The ``k`` best items of each query with their ``rank``; ties go to the smaller item."""
-    w = Window.partitionBy(query).orderBy(F.desc("score"), item)
+    """The ``k`` best items of each query with their ``rank``; scores equal to nine places tie, and ties
+    go to the smaller item, so that the order of summation decides nothing."""
+    w = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), item)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -174,3 +181,61 @@ def ranked_entities(questions: DataFrame, query: str, question: str, cells: Data
     hit = asked.join(rows, [*keys, "_rank"]).join(cells.where(~F.contains(name, F.lit("rank")) & (F.trim("value") != "")), [*keys, "table_name", "row_index"])
     first = F.struct((~name.rlike("|".join(T.ENTITY_COLUMNS))).alias("other"), "col_index")
     return hit.groupBy(query, "table_name", "row_index").agg(F.min_by(T.clean(F.col("value")), first).alias("entity")).select(query, "entity").distinct()
+
+
+# -- few queries against many items ------------------------------------------------------------------
+
+#: Queries up to so many characters in all, and so many of them, are sent to the executors.
+SENT_CHARS, SENT_QUERIES = 8_000_000, 5_000
+
+
+def bm25_top_k(queries: DataFrame, query: str, query_text: str, items: DataFrame, item: str, text: str, k: int) -> DataFrame:
+    """``query, item, score, rank``: the ``k`` best items of every query over one corpus, among those
+    that share a term with it.
+
+    Where the queries are few (their size is measured), each Arrow batch of items is scored against all
+    of them by one matrix product and only its own best ``k`` of each query leave the task; otherwise
+    terms meet in joins."""
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(query_text)), F.lit(0)).alias("c")).first()
+    if size["n"] > SENT_QUERIES or size["c"] > SENT_CHARS:
+        return top_k(bm25(queries, query, query_text, items, item, text), query, item, k)
+    asked = _term_rows(queries, [query], query_text).groupBy(query, "term").agg(F.count("*").alias("qtf"))
+    rows = asked.orderBy(query, "term").collect()
+    ids, terms = sorted({r[query] for r in rows}), sorted({r["term"] for r in rows})
+    row_of, column_of = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(ids)}
+    items = spread(items.select(item, text))
+    tokens = items.select(item, T.tokens(F.col(text)).alias("_t"))
+    corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl")).first()
+    df = tokens.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(F.lit(corpus["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    df = materialize(df.withColumn("idf", idf), "idf")
+    mean = df.agg(F.avg("idf")).first()[0] or 0.0
+    own = df.join(F.broadcast(asked.select("term").distinct()), "term").collect()
+    weight = np.zeros((len(terms), len(ids)))
+    for r in rows:
+        weight[row_of[r["term"]], column_of[r[query]]] = r["qtf"]
+    scale = np.zeros(len(terms))
+    for r in own:
+        scale[row_of[r["term"]]] = r["idf"] if r["idf"] >= 0 else EPSILON * mean
+    weight *= scale[:, None]
+    avgdl = corpus["avgdl"] or 1.0
+    kinds = [queries.schema[query].dataType.simpleString(), items.schema[item].dataType.simpleString()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
+                part = np.zeros((len(batch), len(terms)))
+                for i, words in enumerate(batch.column(1).to_pylist()):
+                    norm = K1 * (1 - B + B * len(words) / avgdl)
+                    for t, n in Counter(w for w in words if w in row_of).items():
+                        part[i, row_of[t]] = n * (K1 + 1) / (n + norm)
+                held = (part > 0).astype(np.float32) @ (weight != 0).astype(np.float32) > 0
+                scores = np.where(held, part @ weight, -np.inf)
+                # all that tie with the last place leave too: the smaller item wins in the end
+                last = np.partition(scores, -min(k, len(batch)), axis=0)[-min(k, len(batch))]
+                i, j = np.nonzero((scores >= last - 1e-8) & held)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in j]), batch.column(0).take(pa.array(i)), pa.array(scores[i, j])], ["_q", "_i", "score"])
+
+    found = tokens.mapInArrow(run, f"_q {kinds[0]}, _i {kinds[1]}, score double") if ids else queries.where("false").select(F.col(query).alias("_q")).crossJoin(items.where("false").select(F.col(item).alias("_i"))).withColumn("score", F.lit(0.0))
+    return top_k(found.select(F.col("_q").alias(query), F.col("_i").alias(item), "score"), query, item, k)

@@ -23,24 +23,24 @@ qt AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp
 sc AS (SELECT item_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), st GROUP BY ALL)"""
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _best(spark: SparkSession, d: str, k: int) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null")
-    return R.bm25(table(spark, d, "eval_item"), "item_id", "text", docs, "doc_id", "text")
+    return R.bm25_top_k(table(spark, d, "eval_item"), "item_id", "text", docs, "doc_id", "text", k)
 
 
-@query("bm25_topk", f"WITH {_BM25} SELECT item_id, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 3")
+@query("bm25_topk", f"WITH {_BM25} SELECT item_id, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM sc) WHERE r <= 3")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The three best documents of every evaluation item."""
-    return R.top_k(_scored(spark, d), "item_id", "doc_id", 3).select("item_id", "doc_id", F.round("score", 4).alias("score"))
+    return _best(spark, d, 3).select("item_id", "doc_id", F.round("score", 4).alias("score"))
 
 
 @query("two_stage_bm25")
 def two_stage_bm25(spark: SparkSession, d: str) -> DataFrame:
     """Two documents by the item's text, two more by its direct mentions."""
     docs, items = table(spark, d, "documents").where("text is not null"), table(spark, d, "eval_item")
-    first = R.top_k(_scored(spark, d), "item_id", "doc_id", 2)
+    first = _best(spark, d, 2)
     named = items.select("item_id", F.array_join(T.direct_mentions(F.col("text")), " ").alias("names"))
-    second = R.top_k(R.bm25(named, "item_id", "names", docs, "doc_id", "text"), "item_id", "doc_id", 4).withColumn("priority", F.lit(1))
+    second = R.bm25_top_k(named, "item_id", "names", docs, "doc_id", "text", 4).withColumn("priority", F.lit(1))
     return R.two_stage(first, second, "item_id", "doc_id", 2)
 
 

@@ -120,6 +120,16 @@ def test_bm25_equals_a_plain_computation(spark):
                 expected[q, d] = pytest.approx(s)
     got = retrieval.bm25(spark.createDataFrame(list(queries.items()), "q string, t string"), "q", "t", spark.createDataFrame(list(docs.items()), "d int, b string"), "d", "b").collect()
     assert {(r["q"], r["d"]): r["score"] for r in got} == expected
+    q, d = spark.createDataFrame(list(queries.items()), "q string, t string"), spark.createDataFrame(list(docs.items()), "d int, b string")
+    for k in (1, 2, 9):
+        best = {(r["q"], r["d"]): r["score"] for r in retrieval.bm25_top_k(q, "q", "t", d, "d", "b", k).collect()}
+        joined = {(r["q"], r["d"]): pytest.approx(r["score"]) for r in retrieval.top_k(retrieval.bm25(q, "q", "t", d, "d", "b"), "q", "d", k).collect()}
+        assert best == joined
+    assert retrieval.bm25_top_k(q.where("false"), "q", "t", d, "d", "b", 2).count() == 0
+    assert retrieval.bm25_top_k(q, "q", "t", d.where("false"), "d", "b", 2).count() == 0
+    grouped = d.withColumn("g", F.when(F.col("d") < 3, "x").otherwise("y"))
+    own = {(r["g"], r["d"]): r["score"] for r in retrieval.bm25_within(q.withColumnRenamed("q", "g"), "t", grouped, "g", "d", "b").collect()}
+    assert set(own) == {("x", 1), ("x", 2), ("y", 3), ("y", 4), ("y", 5)} and own["y", 5] == 0.0 and own["y", 3] > 0
 
 
 def test_budgets_and_two_stages(spark):
