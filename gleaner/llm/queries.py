@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import leakage, lookalike, sampling, splits, subjects, tokenize
+from gleaner.llm import leakage, lookalike, oracles, sampling, splits, subjects, tokenize
 from gleaner.session import table
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_sql: dict[str, str] = {}
 LOOKS = ["head", "relation", "tail"]
 
 
@@ -25,7 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(oracles.SQL)
 
 
 @_query
