@@ -35,12 +35,24 @@ def pipeline_answers(spark: SparkSession, d: str) -> DataFrame:
     return out.select("question_id", F.round(F.col("prediction").cast("double"), 2).alias("prediction"))
 
 
-@query("bm25_within")
+_WS = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+"
+_WITHIN = f"""WITH tf AS (SELECT page_title, doc_id, term, count(*) AS tf FROM (SELECT page_title, doc_id, unnest(regexp_split_to_array(lower(text), '{_WS}')) AS term FROM documents WHERE text IS NOT NULL AND page_title IS NOT NULL) WHERE term <> '' GROUP BY ALL),
+dl AS (SELECT d.page_title, d.doc_id, coalesce(sum(tf), 0) AS dl FROM documents d LEFT JOIN tf USING (doc_id) WHERE d.text IS NOT NULL AND d.page_title IS NOT NULL GROUP BY ALL),
+st AS (SELECT page_title, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY 1),
+i0 AS (SELECT page_title, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf JOIN st USING (page_title) GROUP BY page_title, term, n),
+i1 AS (SELECT page_title, term, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITION BY page_title) ELSE idf END AS idf FROM i0),
+qt AS (SELECT page_title, term, count(*) AS qtf FROM (SELECT page_title, unnest(regexp_split_to_array(lower(replace(page_title, '_', ' ')), '{_WS}')) AS term FROM (SELECT DISTINCT page_title FROM documents WHERE text IS NOT NULL AND page_title IS NOT NULL)) WHERE term <> '' GROUP BY ALL),
+sc AS (SELECT page_title, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN tf USING (page_title, term) JOIN i1 USING (page_title, term) JOIN dl USING (page_title, doc_id) JOIN st USING (page_title) GROUP BY ALL)
+SELECT page_title, doc_id, round(s, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT page_title, doc_id, coalesce(score, 0.0) AS s, row_number() OVER (PARTITION BY page_title ORDER BY round(coalesce(score, 0.0), 9) DESC, doc_id) AS r FROM dl LEFT JOIN sc USING (page_title, doc_id)) WHERE r <= 3"""
+
+
+@query("bm25_within", _WITHIN)
 def bm25_within(spark: SparkSession, d: str) -> DataFrame:
     """Documents ranked inside each source page against the page's title."""
     docs = table(spark, d, "documents").where("text is not null and page_title is not null")
     titles = docs.select("page_title").distinct().withColumn("asked", F.replace(F.col("page_title"), F.lit("_"), F.lit(" ")))
-    return retrieval.top_k(retrieval.bm25_within(titles, "asked", docs, "page_title", "doc_id", "text"), "page_title", "doc_id", 3)
+    best = retrieval.top_k(retrieval.bm25_within(titles, "asked", docs, "page_title", "doc_id", "text"), "page_title", "doc_id", 3)
+    return best.select("page_title", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("context_flat")

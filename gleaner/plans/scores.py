@@ -152,7 +152,15 @@ def exact_match(spark: SparkSession, d: str) -> DataFrame:
     return _answers(spark, d).select("example_id", "ingested_at", S.exact_match(F.col("prediction"), F.col("answer")).alias("em"))
 
 
-@query("semantic_match")
+_ALIAS = "CASE {1} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.ENTITY_ALIASES.items()) + " ELSE {0} END"
+_KEY = r"trim(regexp_replace(replace(lower(strip_accents({0})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
+
+
+def _named(column: str) -> str:
+    return _N.format("(" + _ALIAS.format(column, _KEY.format(column)) + ")")
+
+
+@query("semantic_match", f"SELECT example_id, ingested_at, CAST({_named('prediction')} = {_named('answer')} AS DOUBLE) AS em FROM ({_PAIRS})")
 def semantic_match(spark: SparkSession, d: str) -> DataFrame:
     return _answers(spark, d).select("example_id", "ingested_at", S.semantic_match(F.col("prediction"), F.col("answer")).alias("em"))
 

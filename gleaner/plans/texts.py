@@ -104,7 +104,7 @@ def question_anchor(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sample_hybridqa").select("question_id", "ingested_at", T.target_attribute(q).alias("attribute"), T.entity_type(q).alias("kind"), T.answer_shape(q).alias("shape"))
 
 
-@query("direct_mentions")
+@query("direct_mentions", r"""SELECT question_id, ingested_at, array_to_string(list_distinct_ordered, '|') AS mentions FROM (SELECT question_id, ingested_at, list_transform(list_filter(list_zip(m, range(len(m))), lambda p: list_position(m, p[1]) = p[2] + 1), lambda p: p[1]) AS list_distinct_ordered FROM (SELECT question_id, ingested_at, regexp_extract_all(question, '\b[A-Z][\w\x27.-]*(?:\s+[A-Z][\w\x27.-]*)+') AS m FROM sample_hybridqa))""")
 def direct_mentions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sample_hybridqa").select("question_id", "ingested_at", F.array_join(T.direct_mentions(F.col("question")), "|").alias("mentions"))
 
