@@ -282,7 +282,7 @@ def relation_groups(question: Column) -> Column:
 def answer_shape(question: Column) -> Column:
     """The form an answer should have: year, date, count or short."""
     x = F.lower(question)
-    return F.when(x.rlike(r"\b(?:what|which) year\b"), "year").when(x.rlike(r"^when\b"), "date").when(x.rlike(r"\bhow many\b"), "count").otherwise("short")
+    return F.when(x.rlike("what year|which year"), "year").when(x.rlike(r"\bwhen\b"), "date").when(x.rlike("how many|how much"), "count").otherwise("short")
 
 
 def value_key(values: Column) -> Column:

@@ -6,6 +6,8 @@ Every function works on all graphs (all values of ``keys``) at once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,8 +121,8 @@ def core_aliases(found: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(best, [*keys, "_core"]).where("node <> canonical").select(*keys, "node", "canonical")
 
 
-def near_aliases(found: DataFrame, keys: list[str], threshold: float = 0.93) -> DataFrame:
-    """Nodes nearly alike by text: pairs are only formed inside blocks of equal role, numbers and
+def near_aliases(found: DataFrame, keys: list[str], threshold: float = 0.93, similar: Callable[[Column, Column], Column] = T.similarity) -> DataFrame:
+    """Nodes nearly alike by ``similar`` (of two keys, 0 to 1): pairs are only formed inside blocks of equal role, numbers and
     negation that share one of three pieces of the key's text, so no graph is paired with itself.
 
     Keys of a similarity of 0.93 differ in few letters, so two of them share a beginning, an end or
@@ -134,7 +136,7 @@ def near_aliases(found: DataFrame, keys: list[str], threshold: float = 0.93) ->
     by = [*keys, "has_out", "has_in", "_nums", "_non", "_block"]
     a, b = blocks, blocks.select(*by, F.col("node").alias("node_b"), F.col("_key").alias("_key_b"), F.col("first_seq").alias("seq_b"))
     pairs = a.join(b, by).where("node < node_b and abs(length(_key) - length(_key_b)) <= 0.15 * greatest(length(_key), length(_key_b))")
-    pairs = pairs.select(*keys, "node", "node_b", "_key", "_key_b", "first_seq", "seq_b").distinct().withColumn("score", T.similarity(F.col("_key"), F.col("_key_b"))).where(F.col("score") >= threshold)
+    pairs = pairs.select(*keys, "node", "node_b", "_key", "_key_b", "first_seq", "seq_b").distinct().withColumn("score", similar(F.col("_key"), F.col("_key_b"))).where(F.col("score") >= threshold)
     left, right = (F.struct(T.display_score(F.col(n)).alias("s"), (-F.col(s)).alias("p")) for n, s in (("node", "first_seq"), ("node_b", "seq_b")))
     pairs = pairs.withColumn("canonical", F.when(left >= right, F.col("node")).otherwise(F.col("node_b"))).withColumn("alias", F.when(left >= right, F.col("node_b")).otherwise(F.col("node")))
     return pairs.groupBy(*keys, F.col("alias").alias("node")).agg(F.max_by("canonical", F.struct("score", "canonical")).alias("canonical"), F.max("score").alias("score"))
@@ -148,10 +150,10 @@ def merge(edges: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("head", F.coalesce("_h", "head")).withColumn("tail", F.coalesce("_t", "tail")).select(*edges.columns)
 
 
-def resolve(edges: DataFrame, keys: list[str], extra: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+def resolve(edges: DataFrame, keys: list[str], extra: dict[str, str] | None = None, similar: Callable[[Column, Column], Column] = T.similarity) -> tuple[DataFrame, DataFrame]:
     """Edges after all tiers, and the log ``keys, node, canonical, tier, score`` of what was merged."""
     log = None
-    for tier, find in (("lexical", lexical_aliases), ("alias", lambda n, k: known_aliases(n, k, extra)), ("structural", core_aliases), ("semantic", near_aliases)):
+    for tier, find in (("lexical", lexical_aliases), ("alias", lambda n, k: known_aliases(n, k, extra)), ("structural", core_aliases), ("semantic", lambda n, k: near_aliases(n, k, similar=similar))):
         found = materialize(find(nodes(edges, keys), keys), tier)
         entry = found.select(*keys, "node", "canonical", F.lit(tier).alias("tier"), F.round(F.col("score") if "score" in found.columns else F.lit(1.0), 4).alias("score"))
         log = entry if log is None else log.unionByName(entry)

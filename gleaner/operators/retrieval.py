@@ -64,6 +64,15 @@ def entity_top_k(queries: DataFrame, query: str, entity: str, items: DataFrame,
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query, item, "rank", "direct")
 
 
+def constraint_top_k(questions: DataFrame, query: str, question: str, entities: DataFrame, items: DataFrame, item: str, text: str, k: int) -> DataFrame:
+    """``query, item, rank``: the best item of each of a question's ``query, entity`` candidates, each
+    once, ranked by the whole question."""
+    named = entities.select(F.concat_ws("|", F.col(query).cast("string"), "entity").alias("_qe"), query, "entity").distinct()
+    best = entity_top_k(named, "_qe", "entity", items, item, text, 1).join(named.select("_qe", query), "_qe").select(query, item).distinct()
+    scored = best.join(bm25(questions, query, question, items, item, text), [query, item], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return top_k(scored, query, item, k).select(query, item, "rank")
+
+
 def two_stage(first: DataFrame, second: DataFrame, query: str, item: str, budget: int) -> DataFrame:
     """Stage one whole, then up to ``budget`` new items of stage two by ``priority`` and ``rank``.
 
@@ -120,6 +129,7 @@ def literal_candidates(questions: DataFrame, query: str, question: str, cells: D
     """``query, literal, column_name, row_index``: cells equal to a literal of the question, in the
     columns whose headers share most terms with it."""
     asked = questions.select(query, *keys, question, F.explode(T.question_literals(F.col(question))).alias("literal"))
+    cells = cells.select(*keys, "row_index", "column_name", "value")
     hits = asked.withColumn("_k", T.literal_key(F.col("literal"))).join(cells.withColumn("_k", T.literal_key(F.col("value"))), [*keys, "_k"])
     hits = hits.withColumn("overlap", F.size(F.array_intersect(T.terms(F.col("column_name")), T.terms(F.col(question)))))
     best = F.rank().over(Window.partitionBy(query, "literal").orderBy(F.desc("overlap")))
@@ -176,6 +186,7 @@ def ranked_entities(questions: DataFrame, query: str, question: str, cells: Data
     """``query, entity``: what stands in the rows whose rank column holds the rank a question names:
     the first cell of an entity column, else the first that is no rank."""
     asked = questions.withColumn("_rank", T.rank_constraint(F.col(question))).where("_rank is not null").select(query, *keys, "_rank")
+    cells = cells.select(*keys, "table_name", "row_index", "col_index", "column_name", "value")
     name = F.lower("column_name")
     rows = cells.where(F.contains(name, F.lit("rank"))).select(*keys, "table_name", "row_index", F.lower(T.clean(F.col("value"))).alias("_rank")).distinct()
     hit = asked.join(rows, [*keys, "_rank"]).join(cells.where(~F.contains(name, F.lit("rank")) & (F.trim("value") != "")), [*keys, "table_name", "row_index"])

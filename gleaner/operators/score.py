@@ -142,6 +142,20 @@ def grounding(predicted: Column, gold: Column) -> tuple[Column, Column]:
     return F.when(some & (F.size(F.array_distinct(predicted)) > 0), hits / F.size(F.array_distinct(predicted))), F.when(some, hits / F.size(F.array_distinct(gold)))
 
 
+def evidence_id(source_type: Column, row_index: Column, source_id: Column) -> Column:
+    """Evidence named as data sets name it: ``table_`` and the row from one, ``text_`` and the number
+    at the end of the source's id."""
+    number = F.regexp_extract(source_id, r"(\d+)$", 1)
+    return F.when(source_type == "table", F.concat(F.lit("table_"), row_index + 1)).when(number != "", F.concat(F.lit("text_"), number))
+
+
+def as_macro(operators: Column) -> Column:
+    """Operators with sums that are divided by a count at once read as an average."""
+    joined = F.concat(F.lit(","), F.array_join(operators, ","), F.lit(","))
+    joined = F.regexp_replace(joined, r",(?:add,)+divide,$", ",table_average,")
+    return F.filter(F.split(joined, ","), lambda x: x != "")
+
+
 def step_accuracy(predicted: Column, gold: Column) -> Column:
     """The share of positions at which two operator lists agree, over the longer one."""
     pairs = F.arrays_zip(predicted.alias("p"), gold.alias("g"))

@@ -96,7 +96,7 @@ def rank_constraint(spark: SparkSession, d: str) -> DataFrame:
     r"""SELECT question_id, ingested_at,
 CASE WHEN q LIKE '%middle name%' THEN 'middle_name' WHEN q LIKE '%full name%' THEN 'full_name' WHEN q LIKE '%nationality%' THEN 'nationality' WHEN q LIKE '%born%' THEN 'birth_date' WHEN q LIKE '%place of birth%' THEN 'place_of_birth' WHEN q LIKE '%where%' THEN 'location' WHEN regexp_matches(q, '\bwho\b') THEN 'person' END AS attribute,
 CASE WHEN q LIKE '%player%' OR q LIKE '%manager%' OR q LIKE '%person%' THEN 'person' WHEN q LIKE '%team%' THEN 'team' WHEN q LIKE '%club%' THEN 'club' WHEN q LIKE '%city%' OR q LIKE '%country%' THEN 'location' END AS kind,
-CASE WHEN regexp_matches(q, '\b(what|which) year\b') THEN 'year' WHEN regexp_matches(q, '^when\b') THEN 'date' WHEN regexp_matches(q, '\bhow many\b') THEN 'count' ELSE 'short' END AS shape
+CASE WHEN q LIKE '%what year%' OR q LIKE '%which year%' THEN 'year' WHEN regexp_matches(q, '\bwhen\b') THEN 'date' WHEN q LIKE '%how many%' OR q LIKE '%how much%' THEN 'count' ELSE 'short' END AS shape
 FROM (SELECT *, lower(question) AS q FROM sample_hybridqa)""",
 )
 def question_anchor(spark: SparkSession, d: str) -> DataFrame:

@@ -225,3 +225,18 @@ def test_generation_boundary(spark):
     assert generation.code_problem("result = kg.get_neighbors('a', 'r')", {"r"}) is None
     assert generation.code_problem("result = kg.get_neighbors('a', 'q')", {"r"}) == "unknown relation q"
     assert generation.code_problem("result = open('x')") == "unknown call open"
+
+
+def test_constraints_ids_and_macros(spark):
+    q = spark.createDataFrame([("q", "where does it rain most")], "q string, t string")
+    ents = spark.createDataFrame([("q", "Red Town"), ("q", "Blue Town")], "q string, entity string")
+    items = spark.createDataFrame([(1, "rain in red town"), (2, "sun in blue town"), (3, "rain rain"), (4, "other words here"), (5, "more of those")], "d int, b string")
+    assert [r["d"] for r in retrieval.constraint_top_k(q, "q", "t", ents, items, "d", "b", 5).orderBy("rank").collect()] == [1, 2]
+    df = spark.createDataFrame([("table", 4, "x", ["add", "add", "divide"]), ("text", None, "r:text:7", ["add", "divide", "add"]), ("web", None, "url", [])], "s string, r int, i string, o array<string>")
+    got = df.select(score.evidence_id(F.col("s"), F.col("r"), F.col("i")), score.as_macro(F.col("o"))).collect()
+    assert [tuple(r) for r in got] == [("table_5", ["table_average"]), ("text_7", ["add", "divide", "add"]), (None, [])]
+    cells = spark.createDataFrame([("q", "t", 0, j, n, v) for j, (n, v) in enumerate([("Rank", "2"), ("Year", "1999"), ("Player", "Ann Lee")])], "q string, table_name string, row_index int, col_index int, column_name string, value string")
+    ranked = retrieval.ranked_entities(spark.createDataFrame([("q", "Who is the second most?")], "q string, t string"), "q", "t", cells, [])
+    assert ranked.collect()[0]["entity"] == "Ann Lee"
+    near = retrieval.literal_candidates(spark.createDataFrame([("q", "Which player in 1999?")], "q string, t string"), "q", "t", cells.drop("q"), [])
+    assert [(r["literal"], r["column_name"]) for r in near.collect()] == [("1999", "Year")]
