@@ -14,7 +14,7 @@ from gleaner.sources.adapters import Dataset
 
 def dataset(spark: SparkSession, d: str) -> Dataset:
     """Each customer's yearly order totals and order count as a table, with one question for the
-    total."""
+    total; all documents are dealt out to customers as passages."""
     o = table(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("string").alias("v"))
     qid = F.concat(F.lit("c"), F.col("o_custkey"))
     cells = o.select(qid.alias("question_id"), F.lit("orders").alias("table_name"), F.lit(0).alias("row_index"), (F.col("y") - 1900).alias("col_index"), F.concat(F.lit("year "), "y").alias("column_name"), F.col("v").alias("value"))

@@ -84,18 +84,6 @@ def rank_edges(spark: SparkSession, d: str) -> DataFrame:
     return R.rank_edges(edges(spark, d).join(_questions(spark, d), Q), Q, "question", 10, STOP)
 
 
-@query("symbolic_targets")
-def symbolic_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Answers at the end of the relations that every question describes, near the nodes it names."""
-    e = edges(spark, d)
-    q = _questions(spark, d).withColumn("q", F.col("question_id"))
-    found = e.select(*Q, F.explode(F.array("head", "tail")).alias("node")).distinct()
-    anchors = R.anchored(q, "q", "question", found, Q, STOP).select(*Q, F.col("node").alias("head")).distinct()
-    wanted = R.target_relations(q, "q", "question", e, Q, STOP).select(*Q, "relation", "score")
-    hits = e.join(wanted, [*Q, "relation"]).join(anchors, [*Q, "head"])
-    return hits.groupBy(*Q, "head", "relation", "tail").agg(F.max("score").alias("score"), F.countDistinct("source_type").alias("n_kinds"))
-
-
 # -- scoring ---------------------------------------------------------------------------------------
 
 
