@@ -232,7 +232,7 @@ class Judge:
         score = np.stack([np.bincount(b.sentence, self.pull[b.terms, s], n) for s in range(k)], 1)
         best = np.zeros(n)
         np.maximum.at(best, b.sentence, self.pure[b.terms])
-        out = (score + 0.3 * self.mixture[leaf[b.sentence_doc]]).argmax(1)
+        out = (score + np.log(self.prior) + 0.3 * self.mixture[leaf[b.sentence_doc]]).argmax(1)
         return np.where(best >= PURE, out, -1)
 
 
