@@ -122,21 +122,21 @@ def core_aliases(found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def near_aliases(found: DataFrame, keys: list[str], threshold: float = 0.93, similar: Callable[[Column, Column], Column] = T.similarity) -> DataFrame:
-    """Nodes nearly alike by ``similar`` (of two keys, 0 to 1): pairs are only formed inside blocks of equal role, numbers and
-    negation that share one of three pieces of the key's text, so no graph is paired with itself.
+    """Nodes nearly alike by ``similar`` (of two keys, 0 to 1): all pairs of one graph with equal role, numbers and negation.
 
-    Keys of a similarity of 0.93 differ in few letters, so two of them share a beginning, an end or
-    the set of other words; a merged node takes no further part (least pair first)."""
-    rows = found.where(~T.is_literal(F.col("node"))).withColumn("_key", T.normalize_key(F.col("node"))).where("length(_key) > 3")
+    For the default similarity, pairs are dropped early only if they cannot reach ``threshold``: the matching blocks are a
+    common subsequence, so the keys' edit distance is at most ``(1 - threshold)`` of their total length.  Any other
+    similarity sees every pair.  A merged node takes its best partner."""
+    rows = found.where(~T.is_literal(F.col("node"))).withColumn("_key", T.normalize_key(F.col("node")))
     numbers = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("_key", F.lit(r"\d+(?:\.\d+)?"), F.lit(0)))), " ")
-    words = F.split("_key", " ")
-    rows = rows.withColumn("_nums", numbers).withColumn("_non", F.array_contains(words, "non"))
-    pieces = F.array(F.concat(F.lit("<"), F.expr("substring(_key, 1, int(length(_key) / 2))")), F.concat(F.lit(">"), F.expr("substring(_key, length(_key) - int(length(_key) / 2) + 1)")), F.concat(F.lit("="), F.array_join(F.array_sort(words), " ")))
-    blocks = rows.withColumn("_block", F.explode(F.array_distinct(pieces))).select(*keys, "has_out", "has_in", "_nums", "_non", "_block", "node", "_key", "first_seq")
-    by = [*keys, "has_out", "has_in", "_nums", "_non", "_block"]
-    a, b = blocks, blocks.select(*by, F.col("node").alias("node_b"), F.col("_key").alias("_key_b"), F.col("first_seq").alias("seq_b"))
-    pairs = a.join(b, by).where("node < node_b and abs(length(_key) - length(_key_b)) <= 0.15 * greatest(length(_key), length(_key_b))")
-    pairs = pairs.select(*keys, "node", "node_b", "_key", "_key_b", "first_seq", "seq_b").distinct().withColumn("score", similar(F.col("_key"), F.col("_key_b"))).where(F.col("score") >= threshold)
+    rows = rows.withColumn("_nums", numbers).withColumn("_non", F.array_contains(F.split("_key", " "), "non"))
+    by = [*keys, "has_out", "has_in", "_nums", "_non"]
+    a, b = rows.select(*by, "node", "_key", "first_seq"), rows.select(*by, F.col("node").alias("node_b"), F.col("_key").alias("_key_b"), F.col("first_seq").alias("seq_b"))
+    pairs = a.join(b, by).where("node < node_b")
+    if similar is T.similarity:
+        room = f"cast(floor({1 - threshold} * (length(_key) + length(_key_b)) + 1e-6) as int)"
+        pairs = pairs.where(f"abs(length(_key) - length(_key_b)) <= {room} and levenshtein(_key, _key_b, {room}) >= 0")
+    pairs = pairs.select(*keys, "node", "node_b", "_key", "_key_b", "first_seq", "seq_b").withColumn("score", similar(F.col("_key"), F.col("_key_b"))).where(F.col("score") >= threshold)
     left, right = (F.struct(T.display_score(F.col(n)).alias("s"), (-F.col(s)).alias("p")) for n, s in (("node", "first_seq"), ("node_b", "seq_b")))
     pairs = pairs.withColumn("canonical", F.when(left >= right, F.col("node")).otherwise(F.col("node_b"))).withColumn("alias", F.when(left >= right, F.col("node_b")).otherwise(F.col("node")))
     return pairs.groupBy(*keys, F.col("alias").alias("node")).agg(F.max_by("canonical", F.struct("score", "canonical")).alias("canonical"), F.max("score").alias("score"))

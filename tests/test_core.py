@@ -1,8 +1,11 @@
 """Text, tables, graphs, retrieval, scores, metrics, samples and templates on small cases."""
 
 import math
+import random
+import re
 import unicodedata
 from collections import Counter
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +87,38 @@ def test_resolution_tiers(spark):
     assert {r["head"] for r in merged.collect()} >= {"Club Cerro Porteño", "United States", "Net income GAAP 2012", "Net income GAAP 2013", "Net income non GAAP 2012"}
 
 
+def test_near_aliases_equal_brute_force_over_all_pairs(spark):
+    rng = random.Random(5)
+    names = ["zukirark sons", "zukirark son s", "lahirom holdings", "lahi rom holdi ngs", "net income 2012", "net incomes 2012", "net incomes 2013", "gaap operating income", "non gaap operating income", "ab", "abc"]
+    for base in ("panes partners limited", "movibom and sons", "international trading company of lahirom", "quzor"):
+        for _ in range(25):
+            x = list(base)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(x))
+                rng.choice([lambda: x.insert(at, rng.choice("ab ")), lambda: x.pop(at), lambda: x.__setitem__(at, rng.choice("xyz"))])()
+            names.append(" ".join("".join(x).split()))
+    names = sorted(set(names))
+    found = spark.createDataFrame([(g, n, True, i % 2 == 0, i) for g in (1, 2) for i, n in enumerate(names) if g == 1 or i % 3], "g int, node string, has_out boolean, has_in boolean, first_seq long")
+    rows = [(r["g"], r["has_in"], r["node"]) for r in found.collect()]
+    numbers = lambda n: set(re.findall(r"\d+", n))
+    pairs = [(g, a, b, SequenceMatcher(None, a, b).ratio()) for g, i, a in rows for h, j, b in rows if g == h and i == j and a < b and numbers(a) == numbers(b) and ("non" in a.split()) == ("non" in b.split())]
+    expected: dict = {}
+    for g, a, b, score in pairs:
+        if score >= 0.93:
+            alias = min((a, b), key=lambda n: (len(n), -names.index(n)))
+            expected[g, alias] = max(expected.get((g, alias), 0), score)
+    got = {(r["g"], r["node"]): r["score"] for r in graph.near_aliases(found, ["g"]).collect()}
+    assert len(expected) > 30 and got == pytest.approx(expected)
+    same = {(r["g"], r["node"]): r["score"] for r in graph.near_aliases(found, ["g"], similar=lambda a, b: T.similarity(a, b)).collect()}
+    assert same == pytest.approx(expected)
+
+
+def test_near_aliases_with_differences_in_both_halves(spark):
+    e = edges(spark, [("zukirark sons", "r", "x", "text"), ("zukirark son s", "r", "x", "text"), ("lahirom holdings", "r", "x", "text"), ("lahi rom holdi ngs", "r", "x", "text")])
+    got = {(r["node"], r["canonical"]) for r in graph.near_aliases(graph.nodes(e, ["g"]), ["g"]).collect()}
+    assert got == {("zukirark sons", "zukirark son s"), ("lahirom holdings", "lahi rom holdi ngs")}
+
+
 def test_symbolic_search(spark):
     e = edges(spark, [("Portland Timbers", "city", "Portland", "table"), ("Portland", "most populous city", "New York City", "text"), ("Portland", "most populous city", "12 May 2001", "text"), ("X", "colour", "red", "text")])
     q = spark.createDataFrame([(1, "q1", "What is the most populous city near the Portland Timbers?"), (1, "q2", "Nothing here?")], "g int, q string, question string")
