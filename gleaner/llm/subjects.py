@@ -34,9 +34,10 @@ from gleaner.session import materialize, spread
 #: A vocabulary word occurs in at least this share of the documents, and in MIN_DOCS of them.  The
 #: share bounds the vocabulary however large the corpus is.
 MIN_SHARE, MIN_DOCS = 0.0004, 3
-#: A sentence of at most SHORT words that this share of the documents holds as it is, is boilerplate
-#: (a footer, a link) and no sentence of its document.
-SHORT, BOILERPLATE = 8, 0.005
+#: A sentence of at most SHORT words that this share of the documents holds as it is, recurs (a footer, a
+#: link, a heading, a copy).  It counts as any sentence of its document and is judged by its terms, but
+#: is no evidence for them: they are judged by labels, descriptions and the other sentences.
+SHORT, RECURRENT = 8, 0.005
 LEVELS = 6
 #: Documents in the bounded sample that bisecting starts from before it runs over all documents.
 SEED_DOCS = 3000
@@ -73,7 +74,7 @@ def sentences_of(text: str | None) -> list[list[str]]:
 
 
 def _vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray, int, frozenset[str]]:
-    """Words with their document frequency, the number of documents with words, and the boilerplate:
+    """Words with their document frequency, the number of documents with words, and the
     short sentences that recur unchanged in many documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,23 +93,23 @@ def _vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray, int, frozenset[
     total = counts.where("w = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sentence = F.startswith("w", F.lit("."))
     rows = counts.where((F.col("w") != "") & ~sentence & (F.col("n") >= max(MIN_DOCS, MIN_SHARE * total))).orderBy("w").collect()
-    fixed = counts.where(sentence & (F.col("n") >= max(MIN_DOCS, BOILERPLATE * total))).collect()
+    fixed = counts.where(sentence & (F.col("n") >= max(MIN_DOCS, RECURRENT * total))).collect()
     return [r["w"] for r in rows], np.array([r["n"] for r in rows], float), total, frozenset(r["w"][1:] for r in fixed)
 
 
-def _encoded(docs: DataFrame, words: list[str], boilerplate: frozenset[str]) -> DataFrame:
-    """``(doc, sizes, terms)``: known words of each document, with the number in each sentence that is
-    not boilerplate."""
+def _encoded(docs: DataFrame, words: list[str], recurrent: frozenset[str]) -> DataFrame:
+    """``(doc, sizes, often, terms)``: known words of each document, with the number in each sentence and
+    whether the sentence recurs."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {w: i for i, w in enumerate(words)}
         for batch in batches:
             for part in _slices(batch, 1):
-                cut = [[[at[w] for w in s if w in at] for raw, s in pieces(t) if raw not in boilerplate] for t in part.column(1).to_pylist()]
-                sizes, terms = [[len(s) for s in d] for d in cut], [[t for s in d for t in s] for d in cut]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.int32()))], ["doc", "sizes", "terms"])
+                cut = [[(raw in recurrent, [at[w] for w in s if w in at]) for raw, s in pieces(t)] for t in part.column(1).to_pylist()]
+                sizes, often, terms = [[len(s) for _, s in d] for d in cut], [[o for o, _ in d] for d in cut], [[t for _, s in d for t in s] for d in cut]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.list_(pa.int32())), pa.array(often, pa.list_(pa.bool_())), pa.array(terms, pa.list_(pa.int32()))], ["doc", "sizes", "often", "terms"])
 
-    return docs.mapInArrow(encode, f"doc {docs.schema['doc'].dataType.simpleString()}, sizes array<int>, terms array<int>").where("size(sizes) > 0")
+    return docs.mapInArrow(encode, f"doc {docs.schema['doc'].dataType.simpleString()}, sizes array<int>, often array<boolean>, terms array<int>").where("size(sizes) > 0")
 
 
 class Batch:
@@ -246,21 +247,24 @@ def _recount(encoded: DataFrame, weight: np.ndarray, tree: list[np.ndarray], jud
             b = Batch(batch, weight)
             if len(b.terms):
                 to = judge(b, b.leaves(tree))
-                total += np.bincount(b.terms * (subjects + 1) + np.where(to < 0, subjects, to)[b.sentence], minlength=len(total))
-                # terms of sentences without a subject share the subjects of their document
+                # terms of other sentences without a subject share the subjects of their document
+                often = batch.column("often").flatten().to_numpy(zero_copy_only=False).astype(bool)
+                to = np.where(often, -1, to)
                 kept = to >= 0
                 share = np.bincount(b.sentence_doc[kept] * subjects + to[kept], minlength=b.n * subjects).reshape(b.n, subjects).astype(float)
                 share /= np.maximum(share.sum(1, keepdims=True), 1)
-                open_ = np.flatnonzero((to < 0)[b.sentence] & (share.sum(1) > 0)[b.doc])
+                shared, own = (share.sum(1) > 0)[b.doc], ~often[b.sentence]
+                open_ = np.flatnonzero((to < 0)[b.sentence] & own & shared)
+                rest = np.flatnonzero(kept[b.sentence] | (own & ~shared))
+                total += np.bincount(b.terms[rest] * (subjects + 1) + np.where(to < 0, subjects, to)[b.sentence[rest]], minlength=len(total))
                 terms = b.terms[open_]
                 for s in range(subjects):
                     total += np.bincount(terms * (subjects + 1) + s, share[b.doc[open_], s], len(total))
-                total -= np.bincount(terms * (subjects + 1) + subjects, minlength=len(total))
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["k", "v"])
 
     out = np.zeros(size * (subjects + 1))
-    for r in encoded.select("sizes", "terms").mapInArrow(add, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toLocalIterator():
+    for r in encoded.select("sizes", "often", "terms").mapInArrow(add, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toLocalIterator():
         out[r["k"]] = r["v"]
     return out.reshape(size, subjects + 1)
 
@@ -273,8 +277,8 @@ class Model:
         k = len(areas)
         if not k:
             return
-        self.words, df, total, self.boilerplate = _vocabulary(docs)
-        self.encoded = materialize(_encoded(docs, self.words, self.boilerplate), "encoded")
+        self.words, df, total, self.recurrent = _vocabulary(docs)
+        self.encoded = materialize(_encoded(docs, self.words, self.recurrent), "encoded")
         idf = np.log(max(total, 1) / np.maximum(df, 1)) if self.words else np.zeros(0)
         votes, labelled = self._votes(labels)
         # terms by subject: labelled documents, and the words that name and describe a subject

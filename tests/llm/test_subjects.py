@@ -48,3 +48,16 @@ def test_empty_tables(spark):
     assert subjects.subjects(docs, "doc_id", "text", areas, labels).count() == 0
     some = spark.createDataFrame([(1, "one two three.")], "doc_id long, text string")
     assert subjects.subjects(some, "doc_id", "text", areas.where("false"), labels).count() == 0
+
+
+def test_sentences_that_recur_in_many_documents_count(spark):
+    docs, _, labels = corpus(300, 3)
+    hot = "The goal and the striker. The match of the league."  # short sentences, a third of the rows
+    docs = [(i, t + " Read more.") for i, t in docs] + [(1000 + i, hot) for i in range(150)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    areas = spark.createDataFrame([(k, "") for k in WORDS], "subject string, description string")
+    model = subjects.fit(d, "doc_id", "text", areas, spark.createDataFrame(labels, "doc_id long, subject string"))
+    rows = model.shares().collect()
+    assert {r["subject"] for r in rows if r["doc"] >= 1000} == {"sport"} and len({r["doc"] for r in rows if r["doc"] >= 1000}) == 150
+    texts = dict(docs)
+    assert all(r["n_all"] == len(subjects.sentences_of(texts[r["doc"]])) for r in rows)
