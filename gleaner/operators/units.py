@@ -15,6 +15,7 @@ amounts as any other.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import re
@@ -280,7 +281,7 @@ def pairwise(links: DataFrame) -> DataFrame:
     return best.withColumn("known_offset", F.coalesce(affine, F.lit(0.0)))
 
 
-def propagate(anchors: DataFrame, edges: DataFrame, rounds: int = 8) -> DataFrame:
+def propagate(anchors: DataFrame, edges: DataFrame) -> DataFrame:
     """``(notation, kind, factor, hops)``: anchors, and all notations reached over supported edges.
 
     An amount with no words at all has no unit and gets none.  In each round a notation still open takes the proposal with the most links; ties go to the least
@@ -289,7 +290,7 @@ def propagate(anchors: DataFrame, edges: DataFrame, rounds: int = 8) -> DataFram
     both = ways.select("a", "b", F.col("snapped").alias("s"), "n_equal").unionByName(ways.select(F.col("b").alias("a"), F.col("a").alias("b"), (1 / F.col("snapped")).alias("s"), "n_equal"))
     known = materialize(anchors.select("notation", "kind", "factor", F.lit(0).alias("hops")), "anchors")
     open_ = materialize(both.join(known, both["a"] == known["notation"], "left_anti").where("a <> '||'"), "open")
-    for hop in range(1, rounds + 1):
+    for hop in itertools.count(1):  # every round but the last takes a notation from the open ones
         reached = open_.join(known, open_["b"] == known["notation"]).select("a", "kind", F.round(F.col("s") * F.col("factor"), 12).alias("factor"), "n_equal")
         votes = reached.groupBy("a", "kind", "factor").agg(F.sum("n_equal").alias("n"))
         new = votes.groupBy("a").agg(F.max_by(F.struct("kind", "factor"), F.struct("n", F.col("kind"), -F.col("factor"))).alias("_x"))

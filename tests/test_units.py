@@ -67,3 +67,9 @@ def test_amounts_over_tables(spark):
     out = U.amounts(df, ["id"], F.col("text"), F.col("unit"), F.lit(None))
     assert [tuple(r) for r in out.collect()] == [(1, 5.0, "kg||", "mass", 1.0)]
     assert U.amounts(df.where("false"), ["id"], F.col("text"), F.col("unit"), F.lit(None)).count() == 0
+
+
+def test_propagation_reaches_notations_many_hops_away(spark):
+    anchors = spark.createDataFrame([("n0", "money", 1.0)], "notation string, kind string, factor double")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1000, 1000, 1.0) for i in range(10)], "a string, b string, n_links long, n_equal long, snapped double")
+    assert {(r["notation"], r["kind"], r["hops"]) for r in U.propagate(anchors, edges).collect()} == {(f"n{i}", "money", i) for i in range(11)}
