@@ -113,3 +113,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents deal with each subject, over the whole corpus."""
     return p8_found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("n_docs"))
+
+
+@_query
+def p8_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves of the corpus with their first subject, its share and their discriminative terms."""
+    docs, areas, labels = (table(spark, sf_dir, t) for t in ("documents", "subject_area", "subject_label"))
+    rows = subjects.fit(docs, "doc_id", "text", areas, labels).leaf_table()
+    return spark.createDataFrame(rows, "leaf int, subject string, share double, terms string")

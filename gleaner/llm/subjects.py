@@ -1,13 +1,16 @@
 """Subject areas of documents.
 
-Texts are cut into sentences and words.  Words that enough documents hold form the vocabulary; a
-document is the normalised vector of its word weights (inverse document frequency times how far the
-hand-labelled documents with the word differ in subject from all labelled ones).  Bisecting k-means,
-run over all documents, splits the corpus into leaves.  Leaves take their subjects from the labels
-among their documents and from their discriminative terms; the terms of the corpus take theirs from
-the leaves they occur in.  Every sentence then goes to the subject its terms speak for, given the
-mixture of its document's leaf, terms are counted again from the sentences, and after some rounds a
-document has each subject with which at least ``share`` of its sentences deal.
+Texts are cut into sentences and words once; words travel as 64-bit hashes.  A document is the
+normalised vector of its word weights (inverse document frequency times how far the labelled documents
+with the word differ in subject from all labelled ones).  Bisecting k-means splits the corpus into
+leaves, every round over all documents; a node starts from the two subjects its labels disagree on, or,
+where it has no two, from its heaviest term against its mean.  Leaves take their subjects from the
+labels among their documents and from their discriminative terms.
+
+A document is a mixture of leaves: each of its sentences goes to the leaves by their terms, terms of
+leaves are counted again from the sentences, and after some rounds the subjects of the leaves that a
+sentence is likely to come from decide what it deals with.  A document has each subject with which at
+least ``share`` of its sentences deal.
 
 Works for any language that the labels cover.  Null, empty and blank texts, and texts in which no
 sentence deals with a subject, give no row.  Labels are trimmed and compared without case; null and
@@ -19,11 +22,11 @@ one row.  Ties between subjects go to the alphabetically first.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,85 +34,129 @@ from gleaner.llm.lookalike import default_rewriter
 from gleaner.llm.tokenize import _slices
 from gleaner.session import materialize, spread
 
-#: A vocabulary word occurs in at least this share of the documents, and in MIN_DOCS of them.  The
-#: share bounds the vocabulary however large the corpus is.
-MIN_SHARE, MIN_DOCS = 0.0004, 3
-#: A sentence of at most SHORT words that this share of the documents holds as it is, recurs (a footer, a
-#: link, a heading, a copy).  It counts as any sentence of its document and is judged by its terms, but
-#: is no evidence for them: they are judged by labels, descriptions and the other sentences.
-SHORT, RECURRENT = 8, 0.005
-LEVELS = 6
-#: Documents in the bounded sample that bisecting starts from before it runs over all documents.
-SEED_DOCS = 3000
-ROUNDS = 4
-PURE = 0.5
-#: What the ten usual subject areas are about, said in German and in Spanish.
-OTHER_LANGUAGES = """
-sport: wettkampf spiel athlet verein liga rekord medaille trainer; partido atleta equipo liga récord medalla entrenador
-arts: film musik literatur theater gemälde roman oper; película música literatura teatro pintura novela ópera
-politics: wahl partei parlament regierung minister koalition; elección partido parlamento gobierno ministro coalición
-geography: fluss gebirge insel küste klima gletscher; río montaña isla costa clima glaciar
-business: unternehmen gewinn markt aktie umsatz dividende; empresa ganancia mercado acción ventas dividendo
-science: physik chemie biologie astronomie forschung labor enzym; física química biología astronomía investigación laboratorio enzima
-health: medizin krankenhaus krankheit ernährung impfstoff patient; medicina hospital enfermedad nutrición vacuna paciente
-law: gericht gesetz prozess vertrag klage urteil; tribunal ley juicio contrato demanda sentencia
-software: computer netzwerk daten quelltext server; ordenador red datos código servidor
-transport: eisenbahn straße schiff flugzeug güterzug hafen; ferrocarril carretera barco avión tren puerto
-"""
-_ends = re.compile(r"[.!?]+(?=\s|$)")
-_find = re.compile(r"[^\W\d_]+").findall
-
-
-def pieces(text: str | None) -> list[tuple[str, list[str]]]:
-    """Each sentence as it compares (look-alikes in one form, folded case, single spaces) and its words
-    of letters."""
-    if not text:
-        return []
-    plain = default_rewriter()(text).casefold()
-    return [(" ".join(s.split()), _find(s)) for s in _ends.split(plain) if s and not s.isspace()]
+#: A word counts if MIN_DOCS documents hold it and it occurs in MIN_LABELLED labelled documents, in a
+#: description, or in MIN_SHARE of all documents.  The bounds on labels and share bound the vocabulary;
+#: words of labelled documents never leave it however large the corpus is.
+MIN_SHARE, MIN_DOCS, MIN_LABELLED = 0.0004, 3, 2
+#: Labelled documents that are used, by hash order: the bounded sample that names and starts leaves.
+LABELLED = 20_000
+#: A sentence that WHOLE labelled documents hold unchanged (a footer, a link, a copied line) is one term of
+#: its own: what it deals with is told by those documents and not by its words.
+WHOLE = 10
+LEAVES, PASSES, ROUNDS = 96, 2, 3
+#: Purity from which a term speaks for a subject; so many votes of labelled documents weigh as much as
+#: what the leaves say about a term.
+PURE, DOUBT = 0.5, 3.0
+_find = re.compile(r"[^\W\d_]+|[.!?]+(?=\s|$)|\d+").findall
+END, OTHER = 0, 1  # numbers of a sentence's end and of digits and short words
+
+
+def word_hash(word: str) -> int:
+    """A signed 64-bit number of a word of three letters or more, OTHER for the rest, END for a full stop."""
+    if word[0] in ".!?":
+        return END
+    if len(word) < 3 or not word[0].isalpha():
+        return OTHER
+    h = xxhash.xxh64_intdigest(word)
+    h -= (h >> 63) << 64
+    return h if h not in (END, OTHER) else 2
+
+
+class Cutter:
+    """Texts as flat arrays of word numbers with the sizes of their sentences; keeps words it has seen."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """Sentences of each text, words of each sentence, numbers of the sentences as wholes, words."""
+        plain, known = default_rewriter(), self.known
+        if len(known) > 300_000:
+            known.clear()
+        cut = [_find(plain(t).casefold()) if t else [] for t in texts]
+        for w in {w for ws in cut for w in ws if w not in known}:
+            known[w] = word_hash(w)
+        sizes = np.fromiter((len(ws) + 1 for ws in cut), np.int64, len(cut))
+        flat = np.fromiter((n for ws in cut for n in (*map(known.__getitem__, ws), END)), np.int64, int(sizes.sum()))
+        text = np.repeat(np.arange(len(cut)), sizes)
+        sentence = np.cumsum(flat == END)
+        keep = flat != END
+        flat, text, sentence = flat[keep], text[keep], sentence[keep]
+        first = np.flatnonzero(np.diff(sentence, prepend=-1))
+        number = np.cumsum(np.diff(sentence, prepend=-1) != 0) - 1
+        words = flat != OTHER
+        place = np.arange(len(flat)) - first[number] + 1 if len(flat) else flat
+        mixed = (flat.view(np.uint64) ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+        whole = np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), first).view(np.int64) if len(first) else np.zeros(0, np.int64)
+        return np.bincount(text[first], minlength=len(cut)).tolist(), np.bincount(number[words], minlength=len(first)), whole, flat[words]
+
+
+def sentences_of(text: str | None) -> list[int]:
+    """The number of words in each sentence of a text."""
+    return Cutter()([text])[1].tolist()
+
+
+def _lists(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """``(doc, sizes, wholes, words)`` of the documents with a sentence: the one pass over their texts."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter()
+        for batch in batches:
+            for part in _slices(batch, 1):
+                count, sizes, wholes, words = cutter(part.column(1).to_pylist())
+                inside = np.add.reduceat(np.append(sizes, 0), np.minimum(np.cumsum([0, *count[:-1]]), len(sizes))) if count else np.zeros(0, np.int64)
+                inside = np.where(np.array(count) > 0, inside, 0)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(count, sizes, pa.int32()), _lists(count, wholes, pa.int64()), _lists(inside, words, pa.int64())], ["doc", "sizes", "wholes", "words"])
 
+    return docs.mapInArrow(cut, f"doc {docs.schema['doc'].dataType.simpleString()}, sizes array<int>, wholes array<long>, words array<long>").where("size(sizes) > 0")
 
-def sentences_of(text: str | None) -> list[list[str]]:
-    return [words for _, words in pieces(text)]
 
+def _places(vocabulary: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Where each number stands in a sorted vocabulary, -1 for unknown ones."""
+    if not len(vocabulary):
+        return np.full(len(numbers), -1)
+    at = np.minimum(np.searchsorted(vocabulary, numbers), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == numbers, at, -1)
 
-def _vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray, int, frozenset[str]]:
-    """Words with their document frequency, the number of documents with words, and the
-    short sentences that recur unchanged in many documents."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got: Counter = Counter()
-            for part in _slices(batch, 1):
-                for text in part.column(1).to_pylist():
-                    cut = pieces(text)
-                    words = {w for _, s in cut for w in s if len(w) > 2}
-                    got.update(words)
-                    got.update({"." + raw for raw, s in cut if len(s) <= SHORT})
-                    got[""] += bool(words)
-            yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.string()), pa.array(got.values(), pa.int64())], ["w", "n"])
-
-    counts = materialize(docs.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
-    total = counts.where("w = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sentence = F.startswith("w", F.lit("."))
-    rows = counts.where((F.col("w") != "") & ~sentence & (F.col("n") >= max(MIN_DOCS, MIN_SHARE * total))).orderBy("w").collect()
-    fixed = counts.where(sentence & (F.col("n") >= max(MIN_DOCS, RECURRENT * total))).collect()
-    return [r["w"] for r in rows], np.array([r["n"] for r in rows], float), total, frozenset(r["w"][1:] for r in fixed)
-
-
-def _encoded(docs: DataFrame, words: list[str], recurrent: frozenset[str]) -> DataFrame:
-    """``(doc, sizes, often, terms)``: known words of each document, with the number in each sentence and
-    whether the sentence recurs."""
+def _encoded(hashed: DataFrame, words: np.ndarray, wholes: np.ndarray) -> DataFrame:
+    """``(doc, sizes, terms)``: the terms of every sentence by number, known words or the known whole."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {w: i for i, w in enumerate(words)}
         for batch in batches:
-            for part in _slices(batch, 1):
-                cut = [[(raw in recurrent, [at[w] for w in s if w in at]) for raw, s in pieces(t)] for t in part.column(1).to_pylist()]
-                sizes, often, terms = [[len(s) for _, s in d] for d in cut], [[o for o, _ in d] for d in cut], [[t for _, s in d for t in s] for d in cut]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.list_(pa.int32())), pa.array(often, pa.list_(pa.bool_())), pa.array(terms, pa.list_(pa.int32()))], ["doc", "sizes", "often", "terms"])
-
-    return docs.mapInArrow(encode, f"doc {docs.schema['doc'].dataType.simpleString()}, sizes array<int>, often array<boolean>, terms array<int>").where("size(sizes) > 0")
+            per, flat = batch.column("sizes").flatten().to_numpy(), batch.column("words").flatten().to_numpy()
+            count = np.asarray(batch.column("sizes").value_lengths()).astype(np.int64)
+            one = _places(wholes, batch.column("wholes").flatten().to_numpy())
+            sentence = np.repeat(np.arange(len(per)), per)
+            at = _places(words, flat)
+            known = np.flatnonzero((at >= 0) & (one < 0)[sentence]) if len(flat) else np.zeros(0, np.int64)
+            alone = np.flatnonzero(one >= 0)
+            owner, term = np.concatenate([sentence[known], alone]), np.concatenate([at[known], len(words) + one[alone]])
+            order = np.argsort(owner, kind="stable")
+            doc = np.repeat(np.arange(len(batch)), count)[owner]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), _lists(count, np.bincount(owner, minlength=len(per)), pa.int32()), _lists(np.bincount(doc, minlength=len(batch)), term[order], pa.int32())], ["doc", "sizes", "terms"])
+
+    return hashed.mapInArrow(encode, f"doc {hashed.schema['doc'].dataType.simpleString()}, sizes array<int>, terms array<int>")
+
+
+class Tree:
+    """Splits by level: ``place[node]`` is the row of ``ways`` that splits a node (-1: none), ``child``
+    the node that takes the documents on the negative side."""
+
+    def __init__(self) -> None:
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.leaves = 1
+
+    def grown(self, nodes: np.ndarray, ways: np.ndarray) -> Tree:
+        out = Tree()
+        place, child = np.full(self.leaves, -1), np.zeros(self.leaves, np.int64)
+        place[nodes], child[nodes] = np.arange(len(nodes)), self.leaves + np.arange(len(nodes))
+        out.levels, out.leaves = [*self.levels, (place, child, ways.astype(np.float32))], self.leaves + len(nodes)
+        return out
 
 
 class Batch:
@@ -128,225 +175,292 @@ class Batch:
         norm = np.sqrt(np.bincount(self.doc, w * w, self.n))
         self.w = w / np.maximum(norm, 1e-12)[self.doc] if len(w) else w
 
-    def leaves(self, tree: list[np.ndarray]) -> np.ndarray:
-        """The node each document reaches: ``tree[level][node]`` is the direction left against right."""
+    def leaf(self, tree: Tree) -> np.ndarray:
+        """The leaf each document reaches."""
         node = np.zeros(self.n, np.int64)
-        for split in tree:
-            size = split.shape[1]
-            score = np.bincount(self.doc, self.w * split.ravel()[node[self.doc] * size + self.terms], self.n) if len(self.w) else np.zeros(self.n)
-            node = 2 * node + (score < 0)
+        for place, child, ways in tree.levels:
+            row = place[node]
+            at = row[self.doc]
+            moved = at >= 0
+            score = np.bincount(self.doc[moved], self.w[moved] * ways[at[moved], self.terms[moved]], self.n) if moved.any() else np.zeros(self.n)
+            node = np.where((row >= 0) & (score < 0), child[node], node)
         return node
 
 
-def _sums(encoded: DataFrame, weight: np.ndarray, tree: list[np.ndarray], plain: bool = False) -> np.ndarray:
-    """Sums of document vectors (``plain``: of counts) by node, over all documents: at most nodes times
-    words leave a task."""
+def _collected(rows: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """Sums ``(k, v)`` of all tasks as a dense array; there are at most as many rows as cells."""
+    out = np.zeros(shape[0] * shape[1])
+    got = rows.groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    out[got.column("k").to_numpy()] = got.column("v").to_numpy()
+    return out.reshape(shape)
+
+
+def _cells(total: np.ndarray) -> pa.RecordBatch:
+    hit = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["k", "v"])
+
+
+def _sums(encoded: DataFrame, weight: np.ndarray, tree: Tree, plain: bool = False) -> np.ndarray:
+    """Sums of document vectors (``plain``: of counts) by leaf over all documents, the number of
+    documents in the last column."""
     size = len(weight)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 ** len(tree) * size)
+        total = np.zeros(tree.leaves * (size + 1))
         for batch in batches:
             b = Batch(batch, weight)
+            leaf = b.leaf(tree)
+            total += np.bincount(leaf * (size + 1) + size, minlength=len(total))
             if len(b.w):
-                total += np.bincount(b.leaves(tree)[b.doc] * size + b.terms, None if plain else b.w, len(total))
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["k", "v"])
+                total += np.bincount(leaf[b.doc] * (size + 1) + b.terms, None if plain else b.w, len(total))
+        yield _cells(total)
 
-    out = np.zeros(2 ** len(tree) * size)
-    for r in encoded.select("sizes", "terms").mapInArrow(add, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toLocalIterator():
-        out[r["k"]] = r["v"]
-    return out.reshape(2 ** len(tree), size)
+    return _collected(encoded.select("sizes", "terms").mapInArrow(add, "k long, v double"), (tree.leaves, size + 1))
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.sqrt((rows * rows).sum(-1, keepdims=True)), 1e-12)
 
 
-def _halve(seed: Batch, node: np.ndarray, nodes: int, size: int, tries: int = 3, rounds: int = 6) -> np.ndarray:
-    """For every node a direction that splits its documents into two tight halves; the best of some
-    fixed starts from two of its documents."""
-    best, best_fit = np.zeros((nodes, size)), np.full(nodes, -1.0)
-    at = node[seed.doc]
-    for t in range(tries):
-        order = np.random.default_rng(t).permutation(seed.n)
-        side = np.full(seed.n, -1)
-        for k in range(nodes):
-            pair = order[node[order] == k][:2]
-            side[pair] = np.arange(len(pair))
-        for _ in range(rounds):
-            own = side[seed.doc] >= 0
-            sums = np.bincount((2 * at + side[seed.doc])[own] * size + seed.terms[own], seed.w[own], 2 * nodes * size)
-            centres = _unit(sums.reshape(2 * nodes, size))
-            split = centres[0::2] - centres[1::2]
-            side = (np.bincount(seed.doc, seed.w * split[at, seed.terms], seed.n) < 0).astype(np.int64)
-        fit = np.bincount(node, np.bincount(seed.doc, seed.w * centres[2 * at + side[seed.doc], seed.terms], seed.n), nodes)
-        better = fit > best_fit
-        best[better], best_fit[better] = split[better], fit[better]
-    return best
-
-
-def bisect(encoded: DataFrame, weight: np.ndarray, levels: int = LEVELS) -> list[np.ndarray]:
-    """Bisecting k-means over all documents: a tree of split directions, all nodes of a level at once.
-
-    Each level starts from halves of a bounded sample and is then moved by a pass over everything.
-    """
-    size = len(weight)
-    rows = encoded.where("size(terms) > 0").select("sizes", "terms").orderBy(F.xxhash64("doc")).limit(SEED_DOCS).toArrow().combine_chunks().to_batches()
-    if not rows or not size:
-        return []
-    seed = Batch(rows[0], weight)
-    tree: list[np.ndarray] = []
-    for _ in range(levels):
-        split = _halve(seed, seed.leaves(tree), 2 ** len(tree), size)
-        halves = _unit(_sums(encoded, weight, [*tree, split]))
-        tree.append(halves[0::2] - halves[1::2])
-    return tree
-
-
-def _leaf_rows(encoded: DataFrame, weight: np.ndarray, tree: list[np.ndarray]) -> DataFrame:
-    """``(doc, leaf)`` of the documents."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(Batch(batch, weight).leaves(tree))], ["doc", "leaf"])
+def _sorted_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers ``w`` in order with their counts ``n``."""
+    got = rows.select("w", "n").toArrow()
+    w, n = got.column("w").to_numpy().astype(np.int64), got.column("n").to_numpy().astype(float)
+    at = np.argsort(w)
+    return w[at], n[at]
+
+
+class Labelled:
+    """The bounded sample of labelled documents as one batch, with their votes by subject."""
+
+    def __init__(self, rows: pa.Table, weight: np.ndarray, subjects: int) -> None:
+        batch = rows.combine_chunks().to_batches()
+        self.votes = np.array([r.as_py() for r in rows.column("votes")]).reshape(-1, subjects) if rows.num_rows else np.zeros((0, subjects))
+        self.batch = Batch(batch[0], weight) if batch else None
+
+    def inside(self, tree: Tree) -> np.ndarray:
+        """Votes by leaf and subject."""
+        out = np.zeros((tree.leaves, self.votes.shape[1]))
+        if self.batch:
+            np.add.at(out, self.batch.leaf(tree), self.votes)
+        return out
 
-    return encoded.mapInArrow(find, f"doc {encoded.schema['doc'].dataType.simpleString()}, leaf long")
+    def starts(self, tree: Tree, nodes: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """A first direction for each node: between its two strongest subjects, or from its heaviest
+        term to its mean."""
+        means, votes = _unit(sums[nodes]), self.inside(tree)[nodes]
+        leaf = self.batch.leaf(tree) if self.batch else np.zeros(0, np.int64)
+        ways = np.zeros_like(means)
+        for i, node in enumerate(nodes):
+            first, second = np.argsort(-votes[i], kind="stable")[:2] if votes.shape[1] > 1 else (0, 0)
+            if first != second and votes[i, second] >= 1:
+                b = self.batch
+                side = (self.votes[:, first] - self.votes[:, second]) * (leaf == node)
+                pull = [np.bincount(b.terms, b.w * np.maximum(sign * side, 0)[b.doc], means.shape[1]) for sign in (1, -1)]
+                ways[i] = _unit(pull[0]) - _unit(pull[1])
+            else:
+                ways[i] = -means[i]
+                ways[i, means[i].argmax()] += 1
+        return ways
+
+
+def bisect(encoded: DataFrame, weight: np.ndarray, labelled: Labelled, leaves: int = LEAVES, passes: int = PASSES) -> tuple[Tree, np.ndarray]:
+    """Bisecting k-means over all documents: the tree, and the sums of its leaves.
+
+    Each round splits the half of the nodes whose labels disagree most (without labels, whose documents
+    lie farthest from their mean), and moves the halves by ``passes`` passes over everything."""
+    tree, size = Tree(), len(weight)
+    sums = _sums(encoded, weight, tree)
+    while tree.leaves < leaves and size:
+        votes, n, total = labelled.inside(tree), sums[:, size], np.sqrt((sums[:, :size] ** 2).sum(1))
+        apart = votes.sum(1) - votes.max(1) if votes.shape[1] else np.zeros(tree.leaves)
+        spread_ = n - total
+        cost = apart / max(apart.sum(), 1e-9) + 0.1 * spread_ / max(spread_.sum(), 1e-9)
+        order = np.argsort(-cost, kind="stable")
+        nodes = np.sort([k for k in order[: min((tree.leaves + 1) // 2 if tree.leaves > 2 else tree.leaves, leaves - tree.leaves)] if n[k] > 1 and spread_[k] > 1e-9])
+        if not len(nodes):
+            break
+        ways = labelled.starts(tree, nodes, sums[:, :size])
+        for _ in range(passes):
+            grown = tree.grown(nodes, ways)
+            moved = _sums(encoded, weight, grown)
+            ways = _unit(moved[nodes, :size]) - _unit(moved[tree.leaves :, :size])
+        tree = tree.grown(nodes, ways)
+        sums = moved
+        if not (moved[nodes, size] * moved[tree.leaves - len(nodes) :, size]).any():
+            break
+    return tree, sums
 
 
 class Judge:
-    """Sends sentences to subjects by the counts of terms by subject (last column: no subject)."""
-
-    def __init__(self, counts: np.ndarray, prior: np.ndarray, mixture: np.ndarray) -> None:
-        total = counts.sum(1, keepdims=True)
-        self.prior = prior
-        p = (counts[:, :-1] + 2.0 * prior) / (total + 2.0)
-        self.pure = p.max(1)
-        self.pull = np.log(np.maximum(p, 1e-9) / prior)
-        self.pull[(self.pure < PURE) | (total[:, 0] < 1)] *= 0.05
-        self.mixture = np.log(0.9 * mixture + 0.1 * prior) - np.log(prior)
-
-    def __call__(self, b: Batch, leaf: np.ndarray) -> np.ndarray:
-        """The subject of each sentence, -1 for none."""
-        n, k = len(b.sizes), self.pull.shape[1]
-        if not n or not len(b.terms):
-            return np.full(n, -1)
-        score = np.stack([np.bincount(b.sentence, self.pull[b.terms, s], n) for s in range(k)], 1)
-        best = np.zeros(n)
-        np.maximum.at(best, b.sentence, self.pure[b.terms])
-        out = (score + np.log(self.prior) + 0.3 * self.mixture[leaf[b.sentence_doc]]).argmax(1)
-        return np.where(best >= PURE, out, -1)
-
-
-def _recount(encoded: DataFrame, weight: np.ndarray, tree: list[np.ndarray], judge: Judge, subjects: int) -> np.ndarray:
-    """Counts of terms by subject from the sentences of all documents."""
+    """Sends sentences to leaves by the counts of terms by leaf, and to subjects by those of the leaves."""
+
+    def __init__(self, counts: np.ndarray, subjects: np.ndarray, prior: np.ndarray, votes: np.ndarray) -> None:
+        """``counts``: terms by leaf, the last column without a subject; ``subjects``: leaf by subject;
+        ``votes``: terms by subject in the labelled documents, which may deny what the leaves say."""
+        inside = counts[:, :-1]
+        size = np.maximum(inside.sum(0), 1e-9)
+        self.mix = subjects
+        self.log_leaf = np.log((size + 1) / (size + 1).sum())
+        p = (inside @ subjects + 2.0 * prior) / (counts.sum(1, keepdims=True) + 2.0)
+        p = (votes + DOUBT * p) / (votes.sum(1, keepdims=True) + DOUBT)
+        self.pure = p.max(1) if len(p) else np.zeros(0)
+        held = inside.sum(1, keepdims=True)
+        base = size / size.sum()
+        self.pull = np.log((inside + 0.5 * base) / (held + 0.5) / base).astype(np.float32)
+        self.use = (self.pure >= PURE) & (counts.sum(1) >= 1)
+
+    def __call__(self, b: Batch) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf and the subject of each sentence, -1 for none."""
+        leaf, subject = np.full(len(b.sizes), -1), np.full(len(b.sizes), -1)
+        known = np.flatnonzero(self.use[b.terms]) if len(b.terms) else np.zeros(0, np.int64)
+        for at in range(0, len(known), 50_000):  # a sentence cut in two by a part is judged by its last
+            part = known[at : at + 50_000]
+            if at and b.sentence[part[0]] == b.sentence[known[at - 1]]:
+                part = np.concatenate([known[np.searchsorted(b.sentence[known], b.sentence[part[0]]) : at], part])
+            first = np.flatnonzero(np.diff(b.sentence[part], prepend=-1))
+            score = np.add.reduceat(self.pull[b.terms[part]], first, axis=0) + self.log_leaf
+            to = b.sentence[part[first]]
+            leaf[to] = score.argmax(1)
+            score = np.exp(score - score.max(1, keepdims=True))
+            subject[to] = (score @ self.mix).argmax(1)
+        return leaf, subject
+
+
+def _recount(encoded: DataFrame, weight: np.ndarray, tree: Tree, judge: Judge) -> np.ndarray:
+    """Counts of terms by leaf from the sentences of all documents.
+
+    Terms of sentences without a subject are shared by the leaves of their document's other sentences;
+    where it has none, they count for no leaf (the last column)."""
     size = len(weight)
+    wide = tree.leaves + 1
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * (subjects + 1))
+        total = np.zeros(size * wide)
         for batch in batches:
             b = Batch(batch, weight)
-            if len(b.terms):
-                to = judge(b, b.leaves(tree))
-                # terms of other sentences without a subject share the subjects of their document
-                often = batch.column("often").flatten().to_numpy(zero_copy_only=False).astype(bool)
-                to = np.where(often, -1, to)
-                kept = to >= 0
-                share = np.bincount(b.sentence_doc[kept] * subjects + to[kept], minlength=b.n * subjects).reshape(b.n, subjects).astype(float)
-                share /= np.maximum(share.sum(1, keepdims=True), 1)
-                shared, own = (share.sum(1) > 0)[b.doc], ~often[b.sentence]
-                open_ = np.flatnonzero((to < 0)[b.sentence] & own & shared)
-                rest = np.flatnonzero(kept[b.sentence] | (own & ~shared))
-                total += np.bincount(b.terms[rest] * (subjects + 1) + np.where(to < 0, subjects, to)[b.sentence[rest]], minlength=len(total))
-                terms = b.terms[open_]
-                for s in range(subjects):
-                    total += np.bincount(terms * (subjects + 1) + s, share[b.doc[open_], s], len(total))
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], ["k", "v"])
-
-    out = np.zeros(size * (subjects + 1))
-    for r in encoded.select("sizes", "often", "terms").mapInArrow(add, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toLocalIterator():
-        out[r["k"]] = r["v"]
-    return out.reshape(size, subjects + 1)
+            if not len(b.terms):
+                continue
+            to, _ = judge(b)
+            kept = to >= 0
+            total += np.bincount(b.terms[kept[b.sentence]] * wide + to[b.sentence[kept[b.sentence]]], minlength=len(total))
+            # (document, leaf) pairs with their shares, in order of documents
+            pair, n = np.unique(b.sentence_doc[kept] * wide + to[kept], return_counts=True)
+            doc, leaf = pair // wide, pair % wide
+            share = n / np.maximum(np.bincount(doc, n, b.n), 1)[doc]
+            start, count = np.searchsorted(doc, np.arange(b.n)), np.bincount(doc, minlength=b.n)
+            open_ = np.flatnonzero(~kept[b.sentence])
+            lone = open_[count[b.doc[open_]] == 0]
+            total += np.bincount(b.terms[lone] * wide + wide - 1, minlength=len(total))
+            size_of = count[b.doc[open_]]
+            step = np.arange(int(size_of.sum())) - np.repeat(np.cumsum(size_of) - size_of, size_of)
+            at = np.repeat(start[b.doc[open_]], size_of) + step
+            total += np.bincount(np.repeat(b.terms[open_], size_of) * wide + leaf[at], share[at], len(total))
+        yield _cells(total)
+
+    return _collected(encoded.select("sizes", "terms").mapInArrow(add, "k long, v double"), (size, wide))
 
 
 class Model:
-    """What is learnt from a corpus: vocabulary, tree, leaf mixtures and the judge of sentences."""
+    """What is learnt from a corpus: vocabulary, tree, subjects of leaves and the judge of sentences."""
 
-    def __init__(self, docs: DataFrame, areas: list[tuple[str, str]], labels: DataFrame | None) -> None:
-        self.subjects = [s for s, _ in areas]
+    def __init__(self, docs: DataFrame, areas: list[tuple[str, str]], labels: DataFrame | None, leaves: int = LEAVES) -> None:
+        self.subjects, self.docs = [s for s, _ in areas], docs
         k = len(areas)
         if not k:
             return
-        self.words, df, total, self.recurrent = _vocabulary(docs)
-        self.encoded = materialize(_encoded(docs, self.words, self.recurrent), "encoded")
-        idf = np.log(max(total, 1) / np.maximum(df, 1)) if self.words else np.zeros(0)
-        votes, labelled = self._votes(labels)
-        # terms by subject: labelled documents, and the words that name and describe a subject
-        counts = np.full((len(self.words), k), 0.0)
-        at = {w: i for i, w in enumerate(self.words)}
-        lines = (x.split(":") for x in OTHER_LANGUAGES.strip().split("\n"))
-        others = {name: _find(words.casefold()) for name, words in lines}
-        for s, (name, text) in enumerate(areas):
-            for w in {w for t in (name, text) for x in sentences_of(t) for w in x} & at.keys():
-                counts[at[w], s] += 0.5
-            for seed in others.get(name.strip().lower(), ()):
-                # a long word also names its compounds
-                for w in [w for w in self.words if seed in w] if len(seed) > 4 else [seed] if seed in at else []:
-                    counts[at[w], s] += max(1.0, 0.5 * df[at[w]])
-        if labelled is not None:
-            for r in labelled:
-                counts[r["t"], r["s"]] += r["v"]
-        prior = np.maximum(votes, 1.0) / np.maximum(votes, 1.0).sum()
-        p = (counts + 1.0 * prior) / (counts.sum(1, keepdims=True) + 1.0)
-        far = (p * np.log(np.maximum(p, 1e-9) / prior)).sum(1) if len(p) else np.zeros(0)
+        hashed = materialize(_hashed(docs), "hashed")
+        votes = self._votes(labels, hashed)
+        named = [{w for t in area for w in Cutter()([t])[3].tolist()} for area in areas]
+        total = hashed.count()
+        self.words, df = self._vocabulary(hashed, votes, sorted(set().union(*named)), total)
+        wholes, often = self._wholes(hashed, votes)
+        df = np.concatenate([df, often])
+        size = len(df)
+        self.encoded = encoded = materialize(_encoded(hashed, self.words, wholes), "encoded")
+        idf = np.log(max(total, 1) / np.maximum(df, 1)) if size else np.zeros(0)
+        sample = encoded.join(votes, "doc").select("sizes", "terms", "votes").toArrow() if votes is not None else pa.table({"sizes": pa.array([], pa.list_(pa.int32())), "terms": pa.array([], pa.list_(pa.int32())), "votes": pa.array([], pa.list_(pa.float64()))})
+        counts = self._counts(sample, size, k)
+        all_votes = np.maximum(np.array([r.as_py() for r in sample.column("votes")]).reshape(-1, k).sum(0), 1.0)
+        self.prior = prior = all_votes / all_votes.sum()
+        for s, ws in enumerate(named):
+            at = _places(self.words, np.array(sorted(ws), np.int64))
+            counts[at[at >= 0], s] += 0.5
+        p = (counts + 2.0 * prior) / (counts.sum(1, keepdims=True) + 2.0)
+        far = (p * np.log(np.maximum(p, 1e-9) / prior)).sum(1)
         self.weight = idf * np.maximum(far, 0.01)
-        self.tree = bisect(self.encoded, self.weight)
-        leaves = 2 ** len(self.tree)
+        labelled = Labelled(sample, self.weight, k)
+        self.tree, sums = bisect(encoded, self.weight, labelled, leaves)
         # leaves by subject: labels inside, and the terms that set the leaf apart
-        sums = _sums(self.encoded, self.weight, self.tree) if self.words else np.zeros((leaves, 0))
-        self.centres = _unit(sums)
-        by_terms = sums @ p if self.words else np.zeros((leaves, k))
-        by_terms = by_terms / np.maximum(by_terms.sum(1, keepdims=True), 1e-12)
-        inside = np.zeros((leaves, k))
-        if self.label_votes is not None:
-            for r in _leaf_rows(self.encoded, self.weight, self.tree).join(self.label_votes, "doc").groupBy("leaf", "s").agg(F.sum("v").alias("v")).collect():
-                inside[r["leaf"], r["s"]] += r["v"]
+        self.centres = _unit(sums[:, :size])
+        by_terms = np.maximum(self.centres - self.centres.mean(0), 0) @ p if size else np.zeros((self.tree.leaves, k))
+        by_terms = np.where(by_terms.sum(1, keepdims=True) > 0, by_terms / np.maximum(by_terms.sum(1, keepdims=True), 1e-12), prior)
+        inside = labelled.inside(self.tree)
         self.mixture = (inside + 2.0 * by_terms) / (inside.sum(1, keepdims=True) + 2.0)
-        # terms by subject over the whole corpus: through the leaves, the labels keep their say
-        spread = _sums(self.encoded, self.weight, self.tree, plain=True).T @ self.mixture if self.words else counts
-        scale = counts.sum() / max(spread.sum(), 1e-9)
-        mixed = np.concatenate([counts + max(scale, 1e-6) * 0.5 * spread, np.zeros((len(self.words), 1))], 1)
-        self.judge = Judge(mixed, prior, self.mixture)
-        for _ in range(ROUNDS if self.words else 0):
-            again = _recount(self.encoded, self.weight, self.tree, self.judge, k)
-            again[:, :k] += counts
-            self.judge = Judge(again, prior, self.mixture)
-
-    def _votes(self, labels: DataFrame | None) -> tuple[np.ndarray, list | None]:
-        """Votes by subject, and by term and subject; a document's labels share one vote."""
+        seen = np.concatenate([_sums(encoded, self.weight, self.tree, plain=True)[:, :size].T, np.zeros((size, 1))], 1)
+        self.judge = Judge(seen, self.mixture, prior, counts)
+        for _ in range(ROUNDS if size else 0):
+            seen = _recount(encoded, self.weight, self.tree, self.judge)
+            self.mixture = self._mixture(labelled, by_terms)
+            self.judge = Judge(seen, self.mixture, prior, counts)
+
+    def _mixture(self, labelled: Labelled, by_terms: np.ndarray) -> np.ndarray:
+        """Leaves by subject from the labels of the sentences they hold."""
+        out = 2.0 * by_terms
+        if labelled.batch:
+            leaf, _ = self.judge(labelled.batch)
+            kept = leaf >= 0
+            n = np.maximum(np.bincount(labelled.batch.sentence_doc[kept], minlength=labelled.batch.n), 1)
+            doc = labelled.batch.sentence_doc[kept]
+            np.add.at(out, leaf[kept], labelled.votes[doc] / n[doc][:, None])
+        return out / np.maximum(out.sum(1, keepdims=True), 1e-12)
+
+    def _votes(self, labels: DataFrame | None, hashed: DataFrame) -> DataFrame | None:
+        """``(doc, votes)`` of at most LABELLED labelled documents; a document's labels share one vote."""
+        if labels is None:
+            return None
         k = len(self.subjects)
-        self.label_votes = None
-        if labels is None or not k:
-            return np.ones(k), None
-        spark = labels.sparkSession
-        names = spark.createDataFrame([(s.strip().lower(), i) for i, s in enumerate(self.subjects)], "_name string, s int")
-        rows = labels.select("doc", F.lower(F.trim("subject")).alias("_name")).join(F.broadcast(names), "_name").groupBy("doc", "s").count()
-        share = rows.join(rows.groupBy("doc").agg(F.sum("count").alias("_n")), "doc").select("doc", "s", (F.col("count") / F.col("_n")).alias("v"))
-        self.label_votes = materialize(share, "votes")
-        votes = np.zeros(k)
-        for r in self.label_votes.groupBy("s").agg(F.sum("v").alias("v")).collect():
-            votes[r["s"]] = r["v"]
-        terms = self.encoded.select("doc", F.explode(F.array_distinct("terms")).alias("t")).join(self.label_votes, "doc")
-        return votes, terms.groupBy("t", "s").agg(F.sum("v").alias("v")).collect()
+        names = labels.sparkSession.createDataFrame([(s.strip().lower(), i) for i, s in enumerate(self.subjects)], "_name string, s int")
+        rows = labels.select("doc", F.lower(F.trim("subject")).alias("_name")).join(F.broadcast(names), "_name")
+        each = [(F.count_if(F.col("s") == i) / F.count("*")).cast("double") for i in range(k)]
+        return materialize(rows.join(hashed.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.array(*each).alias("votes")).orderBy(F.xxhash64("doc"), "doc").limit(LABELLED), "votes")
+
+    def _vocabulary(self, hashed: DataFrame, votes: DataFrame | None, named: list[int], total: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers in order, and their document counts."""
+        words = hashed.select("doc", F.explode(F.array_distinct("words")).alias("w"))
+        counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS), "words")
+        asked = hashed.sparkSession.createDataFrame([(w,) for w in named], "w long")
+        if votes is not None:
+            own = words.join(votes.select("doc"), "doc", "left_semi").groupBy("w").count().where(F.col("count") >= MIN_LABELLED).select("w")
+            asked = asked.unionByName(own).distinct()
+        kept = counts.join(asked.withColumn("_own", F.lit(True)), "w", "left").where(F.col("_own") | (F.col("n") >= MIN_SHARE * total))
+        return _sorted_counts(kept)
+
+    @staticmethod
+    def _wholes(hashed: DataFrame, votes: DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
+        """Sentences that recur in labelled documents, and how many documents hold them."""
+        if votes is None:
+            return np.zeros(0, np.int64), np.zeros(0)
+        each = hashed.select("doc", F.explode(F.array_distinct("wholes")).alias("w"))
+        known = each.join(votes.select("doc"), "doc", "left_semi").groupBy("w").count().where(F.col("count") >= WHOLE).select("w")
+        return _sorted_counts(each.join(known, "w").groupBy("w").agg(F.count("*").alias("n")))
+
+    @staticmethod
+    def _counts(sample: pa.Table, size: int, k: int) -> np.ndarray:
+        """Votes of labelled documents by term and subject."""
+        out = np.zeros((size, k))
+        for terms, votes in zip(sample.column("terms").to_pylist(), sample.column("votes").to_pylist()):
+            out[list(set(terms))] += votes
+        return out
 
     def shares(self) -> DataFrame:
         """``(doc, subject, n_sentences, n_all)``: how many sentences deal with each subject."""
-        weight, tree, judge, k, names = self.weight, self.tree, self.judge, len(self.subjects), self.subjects
+        weight, judge, k, names = self.weight, self.judge, len(self.subjects), self.subjects
 
         def judge_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 b = Batch(batch, weight)
-                to = judge(b, b.leaves(tree))
+                _, to = judge(b)
                 kept = to >= 0
                 n = np.bincount(b.sentence_doc[kept] * k + to[kept], minlength=b.n * k)
                 all_ = np.bincount(b.sentence_doc, minlength=b.n)
@@ -358,27 +472,39 @@ class Model:
         return rows.groupBy("doc", "subject").agg(F.max("n_sentences").alias("n_sentences"), F.min("n_all").alias("n_all"))
 
     def leaf_table(self, terms: int = 8) -> list[tuple[int, str, float, str]]:
-        """Each leaf with its first subject, that subject's share and its discriminative terms."""
-        mean = self.centres.mean(0) if len(self.centres) else self.centres
-        out = []
-        for i, c in enumerate(self.centres):
-            order = np.argsort(mean - c, kind="stable")[:terms]
-            s = int(self.mixture[i].argmax())
-            out.append((i, self.subjects[s], round(float(self.mixture[i][s]), 4), " ".join(self.words[t] for t in order if c[t] > 0)))
-        return out
+        """Each leaf with its first subject, that subject's share and its discriminative terms, which one
+        more pass over the texts spells out."""
+        mean = self.centres.mean(0)
+        n = len(self.words)
+        best = [[int(self.words[t]) for t in np.argsort((mean - c)[:n], kind="stable")[:terms] if c[t] > mean[t]] for c in self.centres]
+        wanted = {w for ws in best for w in ws}
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: dict[int, str] = {}
+            for batch in batches:
+                for t in batch.column(1).to_pylist():
+                    seen.update((h, w) for w in set(_find(default_rewriter()(t).casefold())) if (h := word_hash(w)) in wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.string())], ["h", "w"])
+
+        name = {r["h"]: r["w"] for r in self.docs.mapInArrow(spell, "h long, w string").groupBy("h").agg(F.min("w").alias("w")).collect()}
+        return [(i, self.subjects[int(m.argmax())], round(float(m.max()), 4), " ".join(name.get(w, "?") for w in ws)) for i, (m, ws) in enumerate(zip(self.mixture, best))]
+
 
+def fit(docs: DataFrame, key: str, text: str, areas: DataFrame, labels: DataFrame | None, most_areas: int = 10_000, leaves: int = LEAVES) -> Model:
+    """Learn from ``docs``; ``areas`` has ``subject, description``, ``labels`` has ``key, subject``.
 
-def fit(docs: DataFrame, key: str, text: str, areas: DataFrame, labels: DataFrame | None) -> Model:
-    """Learn from ``docs``; ``areas`` has ``subject, description``, ``labels`` has ``key, subject``."""
-    rows = areas.where("subject is not null").select("subject", F.coalesce("description", F.lit("")).alias("d")).dropDuplicates(["subject"]).orderBy("subject").limit(10_000).collect()
+    More than ``most_areas`` subjects are an error."""
+    rows = areas.where("subject is not null").groupBy("subject").agg(F.min(F.coalesce("description", F.lit(""))).alias("d")).orderBy("subject").limit(most_areas + 1).collect()
+    if len(rows) > most_areas:
+        raise ValueError(f"more than {most_areas} subjects")
     own = spread(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null"))
     named = labels.select(F.col(key).alias("doc"), "subject").where("doc is not null and subject is not null") if labels is not None else None
-    return Model(own, [(r["subject"], r["d"]) for r in rows], named)
+    return Model(own, [(r["subject"], r["d"]) for r in rows], named, leaves)
 
 
-def subjects(docs: DataFrame, key: str, text: str, areas: DataFrame, labels: DataFrame | None, share: float = 0.25) -> DataFrame:
+def subjects(docs: DataFrame, key: str, text: str, areas: DataFrame, labels: DataFrame | None, share: float = 0.25, leaves: int = LEAVES) -> DataFrame:
     """``(key, subject)``: every subject with which at least ``share`` of the sentences deal."""
-    model = fit(docs, key, text, areas, labels)
+    model = fit(docs, key, text, areas, labels, leaves=leaves)
     if not model.subjects:
         return docs.where("false").select(key, F.lit("").alias("subject"))
     return model.shares().where(F.col("n_sentences") >= share * F.col("n_all")).select(F.col("doc").alias(key), "subject")

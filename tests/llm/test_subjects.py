@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from gleaner.llm import subjects
 
 WORDS = {"sport": "goal striker match league medal referee", "law": "court judge statute verdict plaintiff jury", "arts": "opera novel painting poem canvas melody"}
@@ -61,3 +63,26 @@ def test_sentences_that_recur_in_many_documents_count(spark):
     assert {r["subject"] for r in rows if r["doc"] >= 1000} == {"sport"} and len({r["doc"] for r in rows if r["doc"] >= 1000}) == 150
     texts = dict(docs)
     assert all(r["n_all"] == len(subjects.sentences_of(texts[r["doc"]])) for r in rows)
+
+
+def test_the_tree_decides(spark):
+    """With one leaf nothing tells subjects apart; repeated areas and clashing columns do no harm."""
+    docs, truth, labels = corpus(400, 5)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    areas = spark.createDataFrame([(k, "") for k in WORDS] + [("law", None)], "subject string, description string")
+    named = spark.createDataFrame(labels, "doc_id long, subject string")
+
+    def right(leaves):
+        got = {}
+        for r in subjects.subjects(d, "doc_id", "text", areas, named, leaves=leaves).collect():
+            got.setdefault(r["doc_id"], set()).add(r["subject"])
+        return sum(got.get(i, set()) == t for i, t in truth.items()) / len(truth)
+
+    assert right(1) < 0.5 < 0.95 < right(24)
+
+
+def test_too_many_areas_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "one two three.")], "doc_id long, text string")
+    areas = spark.createDataFrame([("a", ""), ("b", ""), ("c", "")], "subject string, description string")
+    with pytest.raises(ValueError):
+        subjects.fit(docs, "doc_id", "text", areas, None, most_areas=2)
