@@ -1,27 +1,36 @@
 """Passages of evaluation items inside corpus documents.
 
-Texts become words: look-alike characters in one form, case folded, runs of letters and digits.
-Fixed masks over a window of words ignore some positions (spaced seeds), so that a window still meets
-its copy when words at ignored positions were replaced.  The seeds of the evaluation items meet those
-of the documents by equality; every hit is then verified word by word: for exact overlap all words of
-the window must agree, for tolerant overlap the run is followed in both directions across single
-replaced words.
+Texts become words: look-alike characters in one form, case folded, runs of letters and digits.  The
+positions of a window are dealt to ``GROUPS`` classes, and each fixed mask ignores ``misses`` of them
+(spaced seeds): so many replaced words of a window lie in at most so many classes, so that one of the
+masks passes over all of them and its seed is still equal.  The seeds of the evaluation items meet those
+of the documents by equality; every hit is then verified word by word.  No window with at most
+``misses`` replaced words is lost.
+
+An overlap of a document and an item joins the verified windows on one diagonal (equal distance of
+positions): ``n_words`` positions, of which ``n_equal`` hold equal words; ``exact`` tells whether one of
+the windows has no replaced word at all.
 
 The evaluation side is sent to the executors only if its size, which is measured first, stays within
-``SENT_WORDS``; beyond that the seeds of both sides meet in a join and texts are verified after it.
+``SENT_WORDS``.  Beyond that the seeds of both sides meet in a join: document windows carry their own word
+numbers and pass a filter of ``FILTER_BITS`` bits of the items' seeds first, so that only hits are
+shuffled and no text is read twice.
 
-Null and empty texts and texts shorter than the window hold no passage.  Rows repeated under one id
-count once.
+Null and empty texts and texts shorter than the window hold no passage.  Rows repeated under one id count
+once.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +38,18 @@ from gleaner.llm.lookalike import default_rewriter
 from gleaner.llm.tokenize import _slices
 from gleaner.session import materialize, spread
 
-WINDOW = 14
-#: Fixed masks over a window; a 0 is a position that may differ.  Any one hits an exact copy.
-MASKS = ("11111111111111", "11101101110111", "11011110011011")
+WINDOW, GROUPS, MISSES = 14, 4, 2
 SENT_WORDS = 4_000_000
+FILTER_BITS = 1 << 26
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _find = re.compile(r"[^\W_]+").findall
 
 
+def masks_of(window: int, misses: int) -> tuple[str, ...]:
+    """The masks, 0 where a word is ignored; without misses the one full mask."""
+    return tuple("".join("0" if i % GROUPS in skip else "1" for i in range(window)) for skip in combinations(range(GROUPS), misses))
+
+
 def words_of(text: str | None) -> list[str]:
     """The words of a text in the form in which they are compared."""
     return _find(default_rewriter()(text).casefold()) if text else []
@@ -92,34 +105,12 @@ def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.repeat(np.arange(len(lists)), sizes)
 
 
-def follow(a: np.ndarray, b: np.ndarray, i: int, j: int, window: int, gap: int) -> tuple[int, int]:
-    """Equal words and length of the overlap around a hit at ``a[i:]``, ``b[j:]``, followed both ways
-    until more than ``gap`` words in a row differ."""
-    equal = int((a[i : i + window] == b[j : j + window]).sum())
-    first, last, miss, k = i, i + window, 0, 1
-    while miss <= gap and i - k >= 0 and j - k >= 0:
-        if a[i - k] == b[j - k] and a[i - k]:
-            equal, first, miss = equal + 1, i - k, 0
-        else:
-            miss += 1
-        k += 1
-    miss, k = 0, window
-    while miss <= gap and i + k < len(a) and j + k < len(b):
-        if a[i + k] == b[j + k] and a[i + k]:
-            equal, last, miss = equal + 1, i + k + 1, 0
-        else:
-            miss += 1
-        k += 1
-    return equal, last - first
-
-
 class Items:
     """The evaluation side in memory: word numbers, seeds in order, and where each seed stands."""
 
     def __init__(self, texts: list[str | None], masks: tuple[str, ...], window: int) -> None:
         words = [words_of(t) for t in texts]
-        self.vocabulary = frozenset(w for ws in words for w in ws)
-        self.hasher = Hasher(self.vocabulary)
+        self.hasher = Hasher(frozenset(w for ws in words for w in ws))
         self.masks, self.window = masks, window
         self.ids, self.owner = flat([self.hasher(ws) for ws in words])
         found = list(seeds(self.ids, self.owner, masks, window))
@@ -128,8 +119,8 @@ class Items:
         order = np.argsort(seed, kind="stable")
         self.seed, self.at = seed[order], at[order]
 
-    def hits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers and owners of texts, and the positions of all seed hits here and in the items."""
+    def overlaps(self, texts: list[str | None], misses: int) -> np.ndarray:
+        """Rows ``text, item, n_equal, n_words, exact``: the best verified overlap of each pair."""
         ids, owner = flat([self.hasher(words_of(t)) for t in texts])
         here, there = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for start, seed in seeds(ids, owner, self.masks, self.window) if len(self.seed) else ():
@@ -139,100 +130,131 @@ class Items:
             here.append(np.repeat(start[hit], count))
             step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             there.append(self.at[np.repeat(low[hit], count) + step])
-        return ids, owner, np.concatenate(here), np.concatenate(there)
-
-
-def _verify(items: Items, texts: list[str | None], exact: bool, gap: int) -> list[tuple[int, int, int, int]]:
-    """``(text, item, equal words, length)`` of verified overlaps, the best one each."""
-    ids, owner, here, there = items.hits(texts)
-    if not len(here):
-        return []
-    span = np.arange(items.window)
-    if exact:
-        same = (ids[here[:, None] + span] == items.ids[there[:, None] + span]).all(1)
-        pairs = np.unique(np.stack([owner[here[same]], items.owner[there[same]]], 1), axis=0)
-        return [(int(a), int(b), items.window, items.window) for a, b in pairs]
-    starts, item_starts = np.searchsorted(owner, np.arange(len(texts) + 1)), np.searchsorted(items.owner, np.arange(int(items.owner[-1]) + 2))
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    reached: dict[tuple[int, int, int], int] = {}
-    for i, j in sorted(zip(here.tolist(), there.tolist())):
-        a, b = int(owner[i]), int(items.owner[j])
-        line = (a, b, i - j)
-        if i < reached.get(line, -1):
-            continue
-        got = follow(ids[starts[a] : starts[a + 1]], items.ids[item_starts[b] : item_starts[b + 1]], i - int(starts[a]), j - int(item_starts[b]), items.window, gap)
-        reached[line] = i + items.window
-        best[a, b] = max(best.get((a, b), (0, 0)), got)
-    return [(a, b, n, size) for (a, b), (n, size) in sorted(best.items())]
-
-
-def _scan(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, exact: bool, gap: int, window: int, masks: tuple[str, ...]) -> DataFrame:
+        i, j = np.concatenate(here), np.concatenate(there)
+        if not len(i):
+            return np.zeros((0, 5), np.int64)
+        code = np.unique(i * len(self.ids) + j)
+        i, j = code // len(self.ids), code % len(self.ids)
+        span = np.arange(self.window)
+        equal = ids[i[:, None] + span] == self.ids[j[:, None] + span]
+        n = equal.sum(1)
+        good = n >= self.window - misses
+        i, j, equal, n = i[good], j[good], equal[good], n[good]
+        # all positions of the windows once, then the sums of each diagonal
+        cell, first = np.unique(((i[:, None] + span) * len(self.ids) + j[:, None] + span).ravel(), return_index=True)
+        same, i, j, whole = equal.ravel()[first], cell // len(self.ids), cell % len(self.ids), np.repeat(n == self.window, self.window)
+        exact = np.zeros(len(cell), bool)
+        np.logical_or.at(exact, np.searchsorted(cell, ((code[good] // len(self.ids))[:, None] + span).ravel() * len(self.ids) + ((code[good] % len(self.ids))[:, None] + span).ravel()), whole)
+        line = np.stack([owner[i], self.owner[j], i - j], 1)
+        lines, of = np.unique(line, axis=0, return_inverse=True)
+        of = of.ravel()
+        words, hits = np.bincount(of), np.bincount(of, same).astype(np.int64)
+        full = np.bincount(of, exact) > 0
+        order = np.lexsort((-words, -hits, lines[:, 1], lines[:, 0]))
+        pair, at = np.unique(lines[order][:, :2], axis=0, return_index=True)
+        any_full = np.maximum.reduceat(full[order].astype(np.int64), at)
+        best = order[at]
+        return np.column_stack([pair, hits[best], words[best], any_full])
+
+
+_items: dict[str, Items] = {}
+
+
+def _sent(name: str, rows: Broadcast, masks: tuple[str, ...], window: int) -> Items:
+    """The evaluation side, built once a worker process."""
+    if name not in _items:
+        _items.clear()
+        _items[name] = Items(rows.value, masks, window)
+    return _items[name]
+
+
+def _scan(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, misses: int, window: int) -> DataFrame:
     """Overlaps with items that are small enough to be sent."""
-    rows = items.select(item, item_text).where(F.col(item_text).isNotNull()).orderBy(item).collect()
-    ids, texts = [r[0] for r in rows], [r[1] for r in rows]
-    kind = items.schema[item].dataType.simpleString()
-    made: list[Items] = []
+    masks = masks_of(window, misses)
+    rows = items.select(item, item_text).where(F.col(item_text).isNotNull()).toArrow()
+    ids = rows.column(0).combine_chunks()
+    sent, name = docs.sparkSession.sparkContext.broadcast(rows.column(1).to_pylist()), uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Items(texts, masks, window))
+        own = _sent(name, sent, masks, window)
         for batch in batches:
             for part in _slices(batch, 1):
-                got = _verify(made[0], part.column(1).to_pylist(), exact, gap)
-                keys = part.column(0).take(pa.array([g[0] for g in got], pa.int64()))
-                where = pa.array([ids[g[1]] for g in got], items_type)
-                yield pa.RecordBatch.from_arrays([keys, where, pa.array([g[2] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.int32())], ["_d", "_i", "n_equal", "n_words"])
+                got = own.overlaps(part.column(1).to_pylist(), misses)
+                keys, where = part.column(0).take(pa.array(got[:, 0])), ids.take(pa.array(got[:, 1]))
+                yield pa.RecordBatch.from_arrays([keys, where, pa.array(got[:, 2], pa.int32()), pa.array(got[:, 3], pa.int32()), pa.array(got[:, 4] > 0)], ["_d", "_i", "n_equal", "n_words", "exact"])
 
-    items_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     source = spread(docs.select(F.col(key).alias("_d"), F.col(text).alias("_t")).where("_t is not null"))
-    return source.mapInArrow(scan, f"_d {docs.schema[key].dataType.simpleString()}, _i {kind}, n_equal int, n_words int")
+    return source.mapInArrow(scan, f"_d {docs.schema[key].dataType.simpleString()}, _i {items.schema[item].dataType.simpleString()}, n_equal int, n_words int, exact boolean")
+
 
+def _spots(seed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the filter that a seed sets."""
+    return seed % np.uint64(bits), (seed >> np.uint64(17)) * PRIME % np.uint64(bits)
 
-def _seed_rows(df: DataFrame, key: str, text: str, window: int, masks: tuple[str, ...]) -> DataFrame:
-    """``(key, seed)``: the distinct seeds of every row."""
+
+def _windows(df: DataFrame, key: str, text: str, window: int, masks: tuple[str, ...], passes: np.ndarray | None = None) -> DataFrame:
+    """``(_k, _v, _at, _seed, _w)``: the windows of every text with their seeds and word numbers; ``_v``
+    tells texts of one id apart; only seeds that pass the filter, if there is one."""
+    sent = df.sparkSession.sparkContext.broadcast(passes) if passes is not None else None
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
+        span = np.arange(window)
         for batch in batches:
-            for part in _slices(batch, 1):
+            for part in _slices(batch, 1, 1 << 20):
                 ids, owner = flat([hasher(words_of(t)) for t in part.column(1).to_pylist()])
+                size = np.searchsorted(owner, np.arange(len(part)))
                 for start, seed in seeds(ids, owner, masks, window):
-                    pairs = np.unique(np.stack([owner[start].astype(np.int64), seed.view(np.int64)], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(pairs[:, 0])), pa.array(pairs[:, 1])], ["_k", "_seed"])
+                    if sent is not None:
+                        a, b = _spots(seed, FILTER_BITS)
+                        ok = ((sent.value[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & (sent.value[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                        start, seed = start[ok], seed[ok]
+                    own = owner[start]
+                    words = pa.FixedSizeListArray.from_arrays(pa.array(ids[start[:, None] + span].ravel().view(np.int64)), window).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), part.column(2).take(pa.array(own)), pa.array(start - size[own], pa.int32()), pa.array(seed.view(np.int64)), words], ["_k", "_v", "_at", "_seed", "_w"])
 
-    source = spread(df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t is not null"))
-    return source.mapInArrow(make, f"_k {df.schema[key].dataType.simpleString()}, _seed long")
+    source = spread(df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.xxhash64(text).alias("_v")).where("_t is not null"))
+    return source.mapInArrow(make, f"_k {df.schema[key].dataType.simpleString()}, _v long, _at int, _seed long, _w array<long>")
 
 
-def _join(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, exact: bool, gap: int, window: int, masks: tuple[str, ...]) -> DataFrame:
-    """Overlaps with items of any number: seeds meet in a join, candidates fetch their texts."""
-    left = _seed_rows(docs, key, text, window, masks).withColumnRenamed("_k", "_d")
-    right = _seed_rows(items, item, item_text, window, masks).withColumnRenamed("_k", "_i")
-    pairs = materialize(left.join(right, "_seed").select("_d", "_i").distinct(), "candidates")
-    full = pairs.join(docs.select(F.col(key).alias("_d"), F.col(text).alias("_t")), "_d").join(items.select(F.col(item).alias("_i"), F.col(item_text).alias("_u")), "_i").select("_d", "_i", "_t", "_u")
+def _filter(rows: DataFrame) -> np.ndarray:
+    """The bits of all seeds, of fixed size whatever their number."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 64, np.uint64)
         for batch in batches:
-            keep, equal, size = [], [], []
-            for k, (t, u) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                for _, _, n, m in _verify(Items([u], masks, window), [t], exact, gap):
-                    keep, equal, size = [*keep, k], [*equal, n], [*size, m]
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(equal, pa.int32()), pa.array(size, pa.int32())], ["_d", "_i", "n_equal", "n_words"])
-
-    return full.mapInArrow(verify, f"_d {docs.schema[key].dataType.simpleString()}, _i {items.schema[item].dataType.simpleString()}, n_equal int, n_words int")
-
-
-def overlaps(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, exact: bool = True, gap: int = 2, window: int = WINDOW, masks: tuple[str, ...] | None = None, sent_words: int = SENT_WORDS) -> DataFrame:
-    """``(key, item, n_equal, n_words)``: documents and the items of which they hold a passage.
-
-    ``exact`` asks for ``window`` consecutive equal words (one full mask is then enough and the other
-    masks add nothing); otherwise single replaced words at masked positions are allowed and the best
-    overlap of each pair is given.
-    """
-    masks = masks or (MASKS[1:2] if exact else MASKS[1:])
-    masks = tuple((m * (window // len(m) + 1))[: window - 1] + "1" for m in masks)
+            for spot in _spots(batch.column(0).to_numpy().view(np.uint64), FILTER_BITS):
+                np.bitwise_or.at(bits, spot >> np.uint64(6), np.uint64(1) << (spot & np.uint64(63)))
+        hit = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(bits[hit].view(np.int64))], ["k", "b"])
+
+    got = rows.select("_seed").mapInArrow(mark, "k long, b long").groupBy("k").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[got.column("k").to_numpy()] = got.column("b").to_numpy()
+    return out.view(np.uint8)
+
+
+def _join(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, misses: int, window: int) -> DataFrame:
+    """Overlaps with items of any number: seeds meet in a join, hits are verified on the word numbers that
+    they carry."""
+    masks = masks_of(window, misses)
+    right = materialize(_windows(items, item, item_text, window, masks), "seeds")
+    left = _windows(docs, key, text, window, masks, _filter(right))
+    right = right.select("_seed", F.col("_k").alias("_i"), F.col("_v").alias("_u"), F.col("_at").alias("_b"), F.col("_w").alias("_x"))
+    hits = left.join(right, "_seed").withColumn("_e", F.zip_with("_w", "_x", lambda a, b: a == b))
+    n = F.size(F.filter("_e", lambda e: e))
+    hits = hits.where(n >= window - misses)
+    cells = hits.select(F.col("_k").alias("_d"), "_v", "_i", "_u", (F.col("_at") - F.col("_b")).alias("_line"), "_at", (n == window).alias("exact"), F.posexplode("_e").alias("_p", "_e"))
+    cells = cells.groupBy("_d", "_v", "_i", "_u", "_line", (F.col("_at") + F.col("_p")).alias("_p")).agg(F.max(F.col("_e").cast("int")).alias("_e"), F.max("exact").alias("exact"))
+    return cells.groupBy("_d", "_v", "_i", "_u", "_line").agg(F.sum("_e").cast("int").alias("n_equal"), F.count("*").cast("int").alias("n_words"), F.max("exact").alias("exact"))
+
+
+def overlaps(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, misses: int = MISSES, window: int = WINDOW, sent_words: int = SENT_WORDS) -> DataFrame:
+    """``(key, item, n_equal, n_words, exact)``: documents and the items of which they hold a passage of at
+    least ``window`` words, at most ``misses`` of them (fewer than GROUPS) replaced in any window; the
+    overlap with most equal words of each pair."""
     size = items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
     way = _scan if size <= sent_words * 6 else _join
-    found = way(docs, key, text, items, item, item_text, exact, gap, window, masks)
-    return found.groupBy("_d", "_i").agg(F.max(F.struct("n_equal", "n_words")).alias("_x")).select(F.col("_d").alias(key), F.col("_i").alias(item), "_x.n_equal", "_x.n_words")
+    found = way(docs, key, text, items, item, item_text, misses, window)
+    best = found.groupBy("_d", "_i").agg(F.max(F.struct("n_equal", "n_words")).alias("_x"), F.max("exact").alias("exact"))
+    return best.select(F.col("_d").alias(key), F.col("_i").alias(item), "_x.n_equal", "_x.n_words", "exact")

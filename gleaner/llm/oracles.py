@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import sampling
+from gleaner.llm import leakage, sampling
 from gleaner.llm.lookalike import default_table
 
 
@@ -62,4 +62,23 @@ dg AS (SELECT doc_id, array_to_string(w[i:i + 13], ' ') AS g FROM (SELECT doc_id
 eg AS (SELECT item_id, array_to_string(w[i:i + 13], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 12)) AS i FROM e WHERE len(w) >= 14))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)"""
 
-SQL = {"p3_found": P3_FOUND, "p3_report": P3_REPORT, "p4_found": P4_FOUND, "p4_canonical": P4_CANONICAL, "p5_found": P5_FOUND, "p7_found": P7_FOUND}
+
+
+def _p7_overlaps() -> str:
+    """All windows of both sides, joined on the words each mask leaves, and the sums of each diagonal."""
+    masks = leakage.masks_of(leakage.WINDOW, leakage.MISSES)
+    kept = lambda m: ", ".join(f"w[i + {k}]" for k, one in enumerate(m) if one == "1")
+    sides = [f"{n} AS (SELECT {key}, i, w[i:i + 13] AS w, m, CASE m " + " ".join(f"WHEN {k} THEN concat_ws(' ', {kept(m)})" for k, m in enumerate(masks)) + f" END AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 12)) AS i FROM {src} WHERE len(w) >= 14), range(0, {len(masks)}) r(m))" for n, key, src in (("dg", "doc_id", "d"), ("eg", "item_id", "e"))]
+    return f"""WITH d AS (SELECT doc_id, {_LISTED.format(plain("text"))} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, {_LISTED.format(plain("text"))} AS w FROM eval_item),
+{", ".join(sides)},
+h AS (SELECT DISTINCT doc_id, item_id, dg.i AS a, eg.i AS b, list_transform(list_zip(dg.w, eg.w), lambda p: p[1] = p[2]) AS q FROM dg JOIN eg USING (m, g)),
+v AS (SELECT *, len(list_filter(q, lambda x: x)) AS n FROM h WHERE len(list_filter(q, lambda x: x)) >= 12),
+c AS (SELECT doc_id, item_id, a - b AS line, a + k - 1 AS p, bool_or(q[k]) AS same, bool_or(n = 14) AS exact FROM v, range(1, 15) s(k) GROUP BY ALL),
+l AS (SELECT doc_id, item_id, line, CAST(count(*) FILTER (same) AS INTEGER) AS n_equal, CAST(count(*) AS INTEGER) AS n_words, bool_or(exact) AS exact FROM c GROUP BY ALL),
+x AS (SELECT *, bool_or(exact) OVER (PARTITION BY doc_id, item_id) AS any_exact, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, n_words DESC) AS r FROM l)
+SELECT doc_id, item_id, n_equal, n_words, any_exact AS exact FROM x WHERE r = 1"""
+
+
+P7_OVERLAPS = _p7_overlaps()
+
+SQL = {"p3_found": P3_FOUND, "p3_report": P3_REPORT, "p4_found": P4_FOUND, "p4_canonical": P4_CANONICAL, "p5_found": P5_FOUND, "p7_found": P7_FOUND, "p7_overlaps": P7_OVERLAPS}

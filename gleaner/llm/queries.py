@@ -90,16 +90,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with at least 14 consecutive words of an evaluation item."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")
-    return leakage.overlaps(docs, "doc_id", "text", items, "item_id", "text").select("doc_id", "item_id")
+    """Documents with at least 14 consecutive words of an evaluation item: the overlaps found by spaced
+    seeds, of which an exact check keeps those with a whole window."""
+    return p7_overlaps(spark, sf_dir).where("exact").select("doc_id", "item_id")
 
 
 @_query
 def p7_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best overlap of each document and item, single replaced words allowed."""
+    """The best overlap of each document and item, two replaced words in any 14 allowed."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")
-    return leakage.overlaps(docs, "doc_id", "text", items, "item_id", "text", exact=False)
+    return leakage.overlaps(docs, "doc_id", "text", items, "item_id", "text")
 
 
 @_query

@@ -74,19 +74,57 @@ def test_exact_overlaps_equal_brute_force(spark, sent):
     expected = {(d, k) for d, t in docs for w in [leakage.words_of(t)] for j in range(len(w) - 13) for k in grams.get(tuple(w[j : j + 14]), ())}
     assert len(expected) > 10
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = leakage.overlaps(d, "doc_id", "text", i, "item_id", "text", sent_words=sent).collect()
+    got = leakage.overlaps(d, "doc_id", "text", i, "item_id", "text", sent_words=sent).where("exact").collect()
     assert len(got) == len(expected) and {(r["doc_id"], r["item_id"]) for r in got} == expected
     assert leakage.overlaps(d.where("false"), "doc_id", "text", i, "item_id", "text", sent_words=sent).count() == 0
     assert leakage.overlaps(d, "doc_id", "text", i.where("false"), "item_id", "text", sent_words=sent).count() == 0
 
 
+def brute(a, b, window, misses):
+    """The best overlap by its definition."""
+    lines, exact = {}, False
+    for i in range(len(a) - window + 1):
+        for j in range(len(b) - window + 1):
+            same = [x == y for x, y in zip(a[i : i + window], b[j : j + window])]
+            if sum(same) >= window - misses:
+                exact |= all(same)
+                lines.setdefault(i - j, {}).update((i + k, e) for k, e in enumerate(same))
+    return max((sum(c.values()), len(c)) for c in lines.values()) + (exact,) if lines else None
+
+
 @pytest.mark.parametrize("sent", [leakage.SENT_WORDS, 0])
-def test_replaced_words_are_tolerated(spark, sent):
-    words = vocabulary(30)
-    changed = list(words)
-    changed[3] = changed[17] = "zz"  # position 3 of the window is ignored by the masks
-    d = spark.createDataFrame([(1, " ".join(changed[:16])), (2, " ".join(reversed(words)))], "doc_id long, text string")
+def test_planted_substitutions_are_all_found(spark, sent):
+    rng = random.Random(11)
+    words = vocabulary(90)
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(14, 30)))) for i in range(8)]
+    docs = []
+    for i in range(150):
+        source = rng.choice(items)[1].split()
+        n = rng.randint(14, len(source))
+        at = rng.randint(0, len(source) - n)
+        passage = source[at : at + n]
+        for k in rng.sample(range(n), rng.choice([0, 1, 2, 2, 3])):
+            passage[k] = "other"
+        docs.append((i, " ".join(rng.choices(words, k=rng.randint(0, 9)) + passage + rng.choices(words, k=rng.randint(0, 9)))))
+    docs.append((3, docs[3][1]))
+    expected = {(d, i): got for d, t in docs for i, u in items if (got := brute(t.split(), u.split(), 14, 2))}
+    assert len(expected) > 100 and len({e[2] for e in expected.values()}) == 2
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(f"k{i}", t) for i, t in items], "item_id string, text string")
+    got = leakage.overlaps(d, "doc_id", "text", i, "item_id", "text", sent_words=sent).collect()
+    assert {(r["doc_id"], int(r["item_id"][1:])): (r["n_equal"], r["n_words"], r["exact"]) for r in got} == expected and len(got) == len(expected)
+
+
+def test_masks_pass_over_any_two_words():
+    masks = leakage.masks_of(14, 2)
+    assert len(masks) == 6 and all(any(m[a] == m[b] == "0" for m in masks) for a in range(14) for b in range(14))
+    assert leakage.masks_of(14, 0) == ("1" * 14,)
+
+
+@pytest.mark.parametrize("misses", [0, 1])
+def test_fewer_misses_and_shorter_windows(spark, misses):
+    words = vocabulary(12)
+    changed = [*words[:3], "zz", *words[4:]]
+    d = spark.createDataFrame([(1, " ".join(changed)), (2, " ".join(words))], "doc_id long, text string")
     i = spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
-    (r,) = leakage.overlaps(d, "doc_id", "text", i, "item_id", "text", exact=False, sent_words=sent).collect()
-    assert (r["doc_id"], r["item_id"], r["n_equal"]) == (1, 9, 15)
-    assert leakage.overlaps(d, "doc_id", "text", i, "item_id", "text", sent_words=sent).count() == 0
+    got = {r["doc_id"]: (r["n_equal"], r["n_words"]) for r in leakage.overlaps(d, "doc_id", "text", i, "item_id", "text", misses=misses, window=5).collect()}
+    assert got == {1: (11, 12) if misses else (8, 8), 2: (12, 12)}
