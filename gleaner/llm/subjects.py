@@ -21,6 +21,7 @@ one row.  Ties between subjects go to the alphabetically first.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -44,6 +45,8 @@ LABELLED = 20_000
 #: its own: what it deals with is told by those documents and not by its words.
 WHOLE = 10
 LEAVES, PASSES, ROUNDS = 96, 2, 3
+#: Terms below this share of the greatest weight do not move a document and are left out of clustering.
+LIGHT = 0.05
 #: Purity from which a term speaks for a subject; so many votes of labelled documents weigh as much as
 #: what the leaves say about a term.
 PURE, DOUBT = 0.5, 3.0
@@ -74,10 +77,12 @@ class Cutter:
         if len(known) > 300_000:
             known.clear()
         cut = [_find(plain(t).casefold()) if t else [] for t in texts]
-        for w in {w for ws in cut for w in ws if w not in known}:
+        for ws in cut:
+            ws.append(".")
+        for w in set().union(*cut).difference(known):
             known[w] = word_hash(w)
-        sizes = np.fromiter((len(ws) + 1 for ws in cut), np.int64, len(cut))
-        flat = np.fromiter((n for ws in cut for n in (*map(known.__getitem__, ws), END)), np.int64, int(sizes.sum()))
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(sizes.sum()))
         text = np.repeat(np.arange(len(cut)), sizes)
         sentence = np.cumsum(flat == END)
         keep = flat != END
@@ -143,6 +148,20 @@ def _encoded(hashed: DataFrame, words: np.ndarray, wholes: np.ndarray) -> DataFr
     return hashed.mapInArrow(encode, f"doc {hashed.schema['doc'].dataType.simpleString()}, sizes array<int>, terms array<int>")
 
 
+def _heavy(encoded: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """``(sizes, terms)`` with the heavy terms only, each document as one sentence."""
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column("terms")
+            flat = terms.flatten().to_numpy()
+            kept = _places(heavy, flat) >= 0
+            count = np.bincount(np.repeat(np.arange(len(batch)), np.asarray(terms.value_lengths()))[kept], minlength=len(batch))
+            yield pa.RecordBatch.from_arrays([_lists(np.ones(len(batch), int), count, pa.int32()), _lists(count, flat[kept], pa.int32())], ["sizes", "terms"])
+
+    return encoded.select("terms").mapInArrow(thin, "sizes array<int>, terms array<int>")
+
+
 class Tree:
     """Splits by level: ``place[node]`` is the row of ``ways`` that splits a node (-1: none), ``child``
     the node that takes the documents on the negative side."""
@@ -267,7 +286,7 @@ class Labelled:
 def bisect(encoded: DataFrame, weight: np.ndarray, labelled: Labelled, leaves: int = LEAVES, passes: int = PASSES) -> tuple[Tree, np.ndarray]:
     """Bisecting k-means over all documents: the tree, and the sums of its leaves.
 
-    Each round splits the half of the nodes whose labels disagree most (without labels, whose documents
+    Each round splits all nodes, from 16 on the two thirds whose labels disagree most (without labels, whose documents
     lie farthest from their mean), and moves the halves by ``passes`` passes over everything."""
     tree, size = Tree(), len(weight)
     sums = _sums(encoded, weight, tree)
@@ -277,7 +296,7 @@ def bisect(encoded: DataFrame, weight: np.ndarray, labelled: Labelled, leaves: i
         spread_ = n - total
         cost = apart / max(apart.sum(), 1e-9) + 0.1 * spread_ / max(spread_.sum(), 1e-9)
         order = np.argsort(-cost, kind="stable")
-        nodes = np.sort([k for k in order[: min((tree.leaves + 1) // 2 if tree.leaves > 2 else tree.leaves, leaves - tree.leaves)] if n[k] > 1 and spread_[k] > 1e-9])
+        nodes = np.sort([k for k in order[: min(tree.leaves if tree.leaves < 16 else tree.leaves * 2 // 3, leaves - tree.leaves)] if n[k] > 1 and spread_[k] > 1e-9])
         if not len(nodes):
             break
         ways = labelled.starts(tree, nodes, sums[:, :size])
@@ -372,6 +391,8 @@ class Model:
         hashed = materialize(_hashed(docs), "hashed")
         votes = self._votes(labels, hashed)
         named = [{w for t in area for w in Cutter()([t])[3].tolist()} for area in areas]
+        if votes is not None:  # at most LABELLED rows, so that they can be sent
+            self.labelled = materialize(hashed.join(F.broadcast(votes), "doc"), "labelled")
         total = hashed.count()
         self.words, df = self._vocabulary(hashed, votes, sorted(set().union(*named)), total)
         wholes, often = self._wholes(hashed, votes)
@@ -379,7 +400,7 @@ class Model:
         size = len(df)
         self.encoded = encoded = materialize(_encoded(hashed, self.words, wholes), "encoded")
         idf = np.log(max(total, 1) / np.maximum(df, 1)) if size else np.zeros(0)
-        sample = encoded.join(votes, "doc").select("sizes", "terms", "votes").toArrow() if votes is not None else pa.table({"sizes": pa.array([], pa.list_(pa.int32())), "terms": pa.array([], pa.list_(pa.int32())), "votes": pa.array([], pa.list_(pa.float64()))})
+        sample = encoded.join(F.broadcast(votes), "doc").select("sizes", "terms", "votes").toArrow() if votes is not None else pa.table({"sizes": pa.array([], pa.list_(pa.int32())), "terms": pa.array([], pa.list_(pa.int32())), "votes": pa.array([], pa.list_(pa.float64()))})
         counts = self._counts(sample, size, k)
         all_votes = np.maximum(np.array([r.as_py() for r in sample.column("votes")]).reshape(-1, k).sum(0), 1.0)
         self.prior = prior = all_votes / all_votes.sum()
@@ -390,7 +411,8 @@ class Model:
         far = (p * np.log(np.maximum(p, 1e-9) / prior)).sum(1)
         self.weight = idf * np.maximum(far, 0.01)
         labelled = Labelled(sample, self.weight, k)
-        self.tree, sums = bisect(encoded, self.weight, labelled, leaves)
+        heavy = np.flatnonzero(self.weight >= LIGHT * self.weight.max(initial=0))
+        self.tree, sums = bisect(materialize(_heavy(encoded, heavy), "heavy"), self.weight, labelled, leaves)
         # leaves by subject: labels inside, and the terms that set the leaf apart
         self.centres = _unit(sums[:, :size])
         by_terms = np.maximum(self.centres - self.centres.mean(0), 0) @ p if size else np.zeros((self.tree.leaves, k))
@@ -427,23 +449,22 @@ class Model:
 
     def _vocabulary(self, hashed: DataFrame, votes: DataFrame | None, named: list[int], total: int) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers in order, and their document counts."""
-        words = hashed.select("doc", F.explode(F.array_distinct("words")).alias("w"))
+        words = hashed.select(F.explode(F.array_distinct("words")).alias("w"))
         counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS), "words")
         asked = hashed.sparkSession.createDataFrame([(w,) for w in named], "w long")
         if votes is not None:
-            own = words.join(votes.select("doc"), "doc", "left_semi").groupBy("w").count().where(F.col("count") >= MIN_LABELLED).select("w")
+            own = self.labelled.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count().where(F.col("count") >= MIN_LABELLED).select("w")
             asked = asked.unionByName(own).distinct()
         kept = counts.join(asked.withColumn("_own", F.lit(True)), "w", "left").where(F.col("_own") | (F.col("n") >= MIN_SHARE * total))
         return _sorted_counts(kept)
 
-    @staticmethod
-    def _wholes(hashed: DataFrame, votes: DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
+    def _wholes(self, hashed: DataFrame, votes: DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
         """Sentences that recur in labelled documents, and how many documents hold them."""
         if votes is None:
             return np.zeros(0, np.int64), np.zeros(0)
-        each = hashed.select("doc", F.explode(F.array_distinct("wholes")).alias("w"))
-        known = each.join(votes.select("doc"), "doc", "left_semi").groupBy("w").count().where(F.col("count") >= WHOLE).select("w")
-        return _sorted_counts(each.join(known, "w").groupBy("w").agg(F.count("*").alias("n")))
+        each = lambda rows: rows.select(F.explode(F.array_distinct("wholes")).alias("w"))
+        known = each(self.labelled).groupBy("w").count().where(F.col("count") >= WHOLE).select("w")
+        return _sorted_counts(each(hashed).join(F.broadcast(known), "w").groupBy("w").agg(F.count("*").alias("n")))
 
     @staticmethod
     def _counts(sample: pa.Table, size: int, k: int) -> np.ndarray:
