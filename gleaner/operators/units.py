@@ -2,11 +2,12 @@
 
 A recorded amount is a number and a notation: what is left of its text, its unit column, and, where
 neither names a unit, the unit its question asks for.  Notations are the sources of amounts.  Amounts
-of the same entity in different notations are linked; for every pair of notations the scale between
-them is the most frequent ratio (in narrow logarithmic bins, so that unrelated pairs do no harm) and
-the offset a median of what is left; scales snap to ratios of known conversions.  Notations with known
-words anchor the graph of sources, and all others get their kind and factor by propagation from them
-along the best supported links.
+of the same entity in different notations are linked.  The ratio of each link snaps to known
+conversions; for every pair of notations the scale is the ratio that most links tell, so that unrelated
+pairs do no harm, and the offset a median of what is left.  Notations of the common units themselves
+anchor the graph of sources; all others get their kind, factor and offset by propagation from them, the
+votes of a notation's links pooled over all its neighbours.  Where a notation has too few links, its
+words decide.
 
 Null, empty, non-numeric and many-valued texts are no amounts and come out with null ``value``; an
 amount whose unit nobody names or links has null ``kind``.  Zero, negative and very large numbers are
@@ -274,35 +275,97 @@ def pairwise(links: DataFrame) -> DataFrame:
     keep = [c for c in best.columns if c not in ("_cell", "_v")]
     best = best.groupBy(*keep).agg(F.min_by("_v", F.abs(F.col("_v") - F.col("log_scale"))).alias("_v"))
     best = best.withColumn("snapped", F.when(F.abs(F.col("_v") - F.col("log_scale")) < 2 * BIN, F.exp("_v"))).drop("_v")
-    affine = F.lit(None).cast("double")
+    affine, known_scale = F.lit(None).cast("double"), F.lit(None).cast("double")
     for s, o in AFFINE:
         fits = (F.abs(F.col("line_scale") - s) < 0.02 * s) & (F.abs(F.col("line_offset") - o) < 0.02 * abs(o)) & (F.col("n_equal") < MIN_SHARE * F.col("n_links")) & (F.col("n_links") >= 20)
-        affine = F.when(fits, o).otherwise(affine)
-    return best.withColumn("known_offset", F.coalesce(affine, F.lit(0.0)))
-
-
-def propagate(anchors: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(notation, kind, factor, hops)``: anchors, and all notations reached over supported edges.
-
-    An amount with no words at all has no unit and gets none.  In each round a notation still open takes the proposal with the most links; ties go to the least
-    kind and factor."""
-    ways = edges.where((F.col("n_equal") >= MIN_LINKS) & (F.col("n_equal") >= MIN_SHARE * F.col("n_links")) & F.col("snapped").isNotNull())
-    both = ways.select("a", "b", F.col("snapped").alias("s"), "n_equal").unionByName(ways.select(F.col("b").alias("a"), F.col("a").alias("b"), (1 / F.col("snapped")).alias("s"), "n_equal"))
-    known = materialize(anchors.select("notation", "kind", "factor", F.lit(0).alias("hops")), "anchors")
-    open_ = materialize(both.join(known, both["a"] == known["notation"], "left_anti").where("a <> '||'"), "open")
-    for hop in itertools.count(1):  # every round but the last takes a notation from the open ones
-        reached = open_.join(known, open_["b"] == known["notation"]).select("a", "kind", F.round(F.col("s") * F.col("factor"), 12).alias("factor"), "n_equal")
-        votes = reached.groupBy("a", "kind", "factor").agg(F.sum("n_equal").alias("n"))
-        new = votes.groupBy("a").agg(F.max_by(F.struct("kind", "factor"), F.struct("n", F.col("kind"), -F.col("factor"))).alias("_x"))
-        new = materialize(new.select(F.col("a").alias("notation"), "_x.kind", "_x.factor", F.lit(hop).alias("hops")), "reached")
+        affine, known_scale = F.when(fits, o).otherwise(affine), F.when(fits, s).otherwise(known_scale)
+    return best.withColumn("known_offset", F.coalesce(affine, F.lit(0.0))).withColumn("known_scale", known_scale)
+
+
+def snapped_votes(links: DataFrame) -> DataFrame:
+    """``(a, b, s, n)``: for links ``(a, x, b, y)`` in both directions, how many say that an amount in ``b``
+    is ``exp(s)`` times the same amount in ``a``, ``s`` being the known ratio nearest to theirs.
+
+    Links whose ratio is near no known one, of unlike signs or with a zero say nothing."""
+    cell = 4 * BIN
+    cells: dict[int, list[float]] = {}
+    for v in known_ratios():
+        for d in (-1, 0, 1):
+            cells.setdefault(math.floor(v / cell) + d, []).append(v)
+    known = links.sparkSession.createDataFrame(sorted(cells.items()), "_cell long, _vs array<double>")
+    use = links.where("a <> b and x <> 0 and y <> 0 and sign(x) = sign(y)").select("a", "b", F.log(F.abs(F.col("y") / F.col("x"))).alias("_log"))
+    near = use.withColumn("_cell", F.floor(F.col("_log") / cell)).join(F.broadcast(known), "_cell")
+    near = near.withColumn("_best", F.array_min(F.transform("_vs", lambda v: F.struct(F.abs(v - F.col("_log")).alias("d"), v.alias("v")))))
+    counts = near.where(F.col("_best.d") < BIN).groupBy("a", "b", F.col("_best.v").alias("s")).agg(F.count("*").alias("n"))
+    return counts.select(F.inline(F.array(F.struct("a", "b", "s", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("s")).alias("s"), "n")))).groupBy("a", "b", "s").agg(F.sum("n").alias("n"))
+
+
+def proposals(votes: DataFrame, known: DataFrame) -> DataFrame:
+    """``(notation, kind, factor, n, second)``: for every notation the conversion that most of its links to
+    ``known`` notations (``notation, kind, factor``) tell, pooled over all of them and snapped to the known
+    conversions of the kind, with the votes of the runner-up; ties go to the least kind and factor."""
+    of_kind: dict[str, set[float]] = {}
+    for kind, factor in lexicon()[0].values():
+        of_kind.setdefault(kind, set()).update(factor * s for s in (1.0, *lexicon()[1].values()))
+    facts = votes.sparkSession.createDataFrame([(k, sorted(fs)) for k, fs in of_kind.items()], "kind string, _fs array<double>")
+    told = votes.join(known.select(F.col("notation").alias("b"), "kind", "factor"), "b").join(F.broadcast(facts), "kind")
+    near = F.array_min(F.transform("_fs", lambda f: F.struct(F.abs(F.log(f) - F.log("factor") - F.col("s")).alias("d"), f.alias("f"))))
+    told = told.withColumn("_x", near).where(F.col("_x.d") < BIN).groupBy("a", "kind", F.col("_x.f").alias("factor")).agg(F.sum("n").alias("n"))
+    # a notation has at most as many proposals as there are known conversions
+    ranked = told.groupBy("a").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "kind", "factor"))).alias("_r"))
+    best, rest = F.col("_r")[0], F.get("_r", F.lit(1))
+    return ranked.select(F.col("a").alias("notation"), best["kind"].alias("kind"), best["factor"].alias("factor"), (-best["m"]).alias("n"), F.coalesce(-rest["m"], F.lit(0)).alias("second"))
+
+
+def supported(found: DataFrame) -> DataFrame:
+    """Proposals with enough links, and twice as many as the runner-up."""
+    return found.where((F.col("n") >= MIN_LINKS) & (F.col("n") >= 2 * F.col("second")))
+
+
+def propagate(anchors: DataFrame, votes: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """``(notation, kind, factor, offset, hops)``: anchors, and all notations reached over links, so that
+    an amount times ``factor`` plus ``offset`` is in the unit of the anchors.
+
+    ``lines`` are pairs ``a, b, known_scale, known_offset`` of notations that share no zero.  In each
+    round all notations still open take the best supported proposal of their links to reached ones, until
+    none is reached any more.  An amount with no words at all has no unit and gets none."""
+    reached = materialize(anchors.where("notation <> '||'").select("notation", "kind", F.col("factor").cast("double"), F.lit(0.0).alias("offset"), F.lit(0).alias("hops")), "reached")
+    if lines is not None:
+        lines = lines.select(F.inline(F.array(F.struct("a", "b", F.col("known_scale").alias("s"), F.col("known_offset").alias("o")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), (1 / F.col("known_scale")).alias("s"), (-F.col("known_offset") / F.col("known_scale")).alias("o")))))
+        lines = materialize(lines, "lines")
+    for hop in itertools.count(1):
+        new = supported(proposals(votes.where("a <> '||'").join(reached, votes["a"] == reached["notation"], "left_anti"), reached.where("offset = 0"))).select("notation", "kind", "factor", F.lit(0.0).alias("offset"))
+        if lines is not None:
+            over = lines.join(reached, lines["b"] == reached["notation"]).select(F.col("a").alias("notation"), "kind", (F.col("factor") * F.col("s")).alias("factor"), (F.col("factor") * F.col("o") + F.col("offset")).alias("offset"))
+            over = over.join(reached, "notation", "left_anti").groupBy("notation").agg(F.min(F.struct("kind", "factor", "offset")).alias("_x")).select("notation", "_x.*")
+            new = new.unionByName(over.join(new, "notation", "left_anti"))
+        new = materialize(new.withColumn("hops", F.lit(hop)), "new")
         if new.isEmpty():
-            break
-        known = materialize(known.unionByName(new), "known")
-        open_ = materialize(open_.join(new, open_["a"] == new["notation"], "left_anti"), "open")
-    return known
+            return reached
+        reached = materialize(reached.unionByName(new), "reached")
+
+
+def by_words(recorded: DataFrame) -> DataFrame:
+    """``(notation, kind, factor)`` of the notations whose words are all known."""
+    return recorded.where("kind is not null").groupBy("notation").agg(F.min(F.struct("kind", "factor")).alias("_x")).select("notation", "_x.kind", "_x.factor")
 
 
 def common_units(recorded: DataFrame, links: DataFrame) -> DataFrame:
-    """The notations of ``recorded`` amounts with kind and factor, known or propagated."""
-    anchors = recorded.where("kind is not null").groupBy("notation").agg(F.min(F.struct("kind", "factor")).alias("_x")).select("notation", "_x.kind", "_x.factor")
-    return propagate(anchors, pairwise(links))
+    """``(notation, kind, factor, offset, hops)`` of the notations of ``recorded`` amounts.
+
+    Notations that name the common unit of a kind itself are the anchors (0 hops).  All others are reached
+    over links; those with too few links keep what their words say (null hops)."""
+    words = materialize(by_words(recorded), "words")
+    lines = pairwise(links).where("known_offset <> 0").select("a", "b", "known_scale", "known_offset")
+    reached = propagate(words.where("factor = 1"), materialize(snapped_votes(links), "votes"), lines)
+    rest = words.join(reached, "notation", "left_anti").select("notation", "kind", "factor", F.lit(0.0).alias("offset"), F.lit(None).cast("int").alias("hops"))
+    return reached.unionByName(rest)
+
+
+def recovered(recorded: DataFrame, links: DataFrame) -> DataFrame:
+    """Every notation of known words hidden in turn: ``notation, kind, factor`` by its words beside
+    ``kind_told, factor_told`` by its links to all others, the links that tell it, and ``supported``."""
+    words = materialize(by_words(recorded), "words")
+    told = proposals(snapped_votes(links), words).select("notation", F.col("kind").alias("kind_told"), F.col("factor").alias("factor_told"), "n", "second")
+    both = words.join(told, "notation", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return both.withColumn("supported", (F.col("n") >= MIN_LINKS) & (F.col("n") >= 2 * F.col("second")))

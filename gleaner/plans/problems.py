@@ -69,29 +69,36 @@ def _linked(consts: DataFrame, answers: DataFrame) -> DataFrame:
     return consts.select("example_id", "program_id", "step_id", F.col("notation").alias("a"), F.col("value").alias("x")).join(right, "example_id")
 
 
+def _amounts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All recorded amounts, and the links between constants and answers."""
+    consts, answers = _recorded(spark, sf_dir)
+    return consts.unionByName(answers, allowMissingColumns=True), materialize(_linked(consts, answers), "links")
+
+
 @query("p2_found")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Constant steps whose amount equals, in common units, the answer of the program's example."""
-    consts, answers = _recorded(spark, sf_dir)
-    links = _linked(consts, answers)
-    known = units.common_units(consts.unionByName(answers, allowMissingColumns=True), links)
-    known = materialize(known.select("notation", "kind", "factor"), "notations")
-    left = known.select(F.col("notation").alias("a"), F.col("kind").alias("ka"), F.col("factor").alias("fa"))
-    right = known.select(F.col("notation").alias("b"), F.col("kind").alias("kb"), F.col("factor").alias("fb"))
-    both = links.join(left, "a").join(right, "b").where("ka = kb").withColumn("u", F.col("x") * F.col("fa")).withColumn("v", F.col("y") * F.col("fb"))
+    recorded, links = _amounts(spark, sf_dir)
+    known = materialize(units.common_units(recorded, links), "notations")
+    sides = [known.select(F.col("notation").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("kind", "factor", "offset")]) for n in ("a", "b")]
+    both = links.join(sides[0], "a").join(sides[1], "b").where("kind_a = kind_b").withColumn("u", F.col("x") * F.col("factor_a") + F.col("offset_a")).withColumn("v", F.col("y") * F.col("factor_b") + F.col("offset_b"))
     equal = F.abs(F.col("u") - F.col("v")) <= 0.001 * F.greatest(F.abs("u"), F.abs("v")) * (1 + 1e-9)
     return both.where(equal).select("program_id", "step_id").distinct()
 
 
 @query("p2_notations")
 def p2_notations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every notation with its kind, factor to the common unit, and distance from a known one."""
-    consts, answers = _recorded(spark, sf_dir)
-    return units.common_units(consts.unionByName(answers, allowMissingColumns=True), _linked(consts, answers))
+    """Every notation with its kind, conversion to the common unit, and distance from an anchor."""
+    return units.common_units(*_amounts(spark, sf_dir))
 
 
 @query("p2_scales")
 def p2_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The estimated and snapped scale between every two linked notations."""
-    consts, answers = _recorded(spark, sf_dir)
-    return units.pairwise(_linked(consts, answers))
+    return units.pairwise(_amounts(spark, sf_dir)[1])
+
+
+@query("p2_recovered")
+def p2_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the links tell about every known notation while its words are hidden."""
+    return units.recovered(*_amounts(spark, sf_dir))

@@ -48,12 +48,30 @@ def test_bare_numbers_have_no_unit():
 def test_propagation_finds_unknown_notations(spark):
     """A notation nobody knows gets its factor from links, and noise does no harm."""
     links = [("# zorks||", 2.0 + i, "kg||", (2.0 + i) * 1000) for i in range(9)] + [("# zorks||", 5.0, "kg||", 3.0 + i) for i in range(4)]
-    links += [("# bliks||", 3.0 + i, "# zorks||", (3.0 + i) / 1000) for i in range(5)]
+    links += [("# bliks||", 3.0 + i, "# zorks||", (3.0 + i) / 1e6) for i in range(5)]
     df = spark.createDataFrame(links, "a string, x double, b string, y double")
     anchors = spark.createDataFrame([("kg||", "mass", 1.0)], "notation string, kind string, factor double")
-    got = {r["notation"]: (r["kind"], r["factor"], r["hops"]) for r in U.propagate(anchors, U.pairwise(df)).collect()}
-    assert got["# zorks||"] == ("mass", pytest.approx(1000), 1)
-    assert got["# bliks||"] == ("mass", pytest.approx(1), 2)
+    got = {r["notation"]: (r["kind"], r["factor"], r["hops"]) for r in U.propagate(anchors, U.snapped_votes(df)).collect()}
+    assert got["# zorks||"] == ("mass", 1000.0, 1) and got["# bliks||"] == ("mass", 0.001, 2)
+
+
+def test_offsets_travel_along_lines(spark):
+    links = [("# celsius||", float(i), "# fahrenheit||", i * 1.8 + 32) for i in range(1, 60)] + [("# celsius||", float(i), "# kelvin||", i + 273.15) for i in range(1, 60)]
+    df = spark.createDataFrame(links, "a string, x double, b string, y double")
+    anchors = spark.createDataFrame([("# kelvin||", "temperature", 1.0)], "notation string, kind string, factor double")
+    got = {r["notation"]: (r["factor"], r["offset"], r["hops"]) for r in U.propagate(anchors, U.snapped_votes(df), U.pairwise(df).where("known_offset <> 0")).collect()}
+    assert got["# celsius||"] == (1.0, 273.15, 1)
+    factor, offset, hops = got["# fahrenheit||"]
+    assert factor * 212 + offset == pytest.approx(373.15) and hops == 2
+
+
+def test_hidden_notations_come_back(spark):
+    rows = [("km", "m", 1000.0), ("mi", "km", 1.609344), ("m", "km", 0.001), ("kg", "lb", 1 / 0.45359237), ("g", "kg", 0.001)]
+    links = [(f"{a}||", 3.0 + i, f"{b}||", (3.0 + i) * s) for a, b, s in rows for i in range(6)] + [("km||", 7.0, "kg||", 7.0)]
+    df = spark.createDataFrame(links, "a string, x double, b string, y double")
+    recorded = spark.createDataFrame([(f"{n}||", *U.read_amount("1 " + n, None, None)[2:]) for n in ("km", "mi", "m", "kg", "lb", "g")] + [("? ||", None, None)], "notation string, kind string, factor double")
+    got = U.recovered(recorded, df).collect()
+    assert len(got) == 6 and all(r["supported"] and (r["kind"], r["factor"]) == (r["kind_told"], r["factor_told"]) for r in got)
 
 
 def test_known_offsets(spark):
@@ -71,5 +89,5 @@ def test_amounts_over_tables(spark):
 
 def test_propagation_reaches_notations_many_hops_away(spark):
     anchors = spark.createDataFrame([("n0", "money", 1.0)], "notation string, kind string, factor double")
-    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1000, 1000, 1.0) for i in range(10)], "a string, b string, n_links long, n_equal long, snapped double")
-    assert {(r["notation"], r["kind"], r["hops"]) for r in U.propagate(anchors, edges).collect()} == {(f"n{i}", "money", i) for i in range(11)}
+    votes = spark.createDataFrame([(f"n{i + 1}", f"n{i}", 0.0, 1000) for i in range(10)], "a string, b string, s double, n long")
+    assert {(r["notation"], r["kind"], r["hops"]) for r in U.propagate(anchors, votes).collect()} == {(f"n{i}", "money", i) for i in range(11)}
