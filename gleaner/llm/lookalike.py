@@ -13,6 +13,7 @@ becomes empty.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -206,6 +207,11 @@ class Rewriter:
         for key, value in table.items():
             self.automaton.add_word(key, (len(key), value))
         self.automaton.make_automaton()
+        # every key ends in one of these characters: a text without them stays as it is; characters beyond
+        # the basic plane are a class of their own, which keeps the search for the others fast
+        near = "".join(re.escape(c) for c in sorted({k[-1] for k in table}) if c <= "\uffff")
+        self._near = re.compile(f"[{near}]").search if near else lambda text: None
+        self._far = re.compile("[\U00010000-\U0010ffff]").search
         self.known: dict[str, str] = {}
 
     def _once(self, text: str) -> str:
@@ -216,7 +222,7 @@ class Rewriter:
         return "".join(out) + text[at:] if at else text
 
     def __call__(self, text: str | None) -> str | None:
-        if text is None or text.isascii() and not self.ascii_changes:
+        if text is None or text.isascii() and not self.ascii_changes or not (self._near(text) or self._far(text)):
             return text
         if (done := self.known.get(text)) is not None:
             return done

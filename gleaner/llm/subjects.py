@@ -38,7 +38,7 @@ from gleaner.session import materialize, spread
 #: A word counts if MIN_DOCS documents hold it and it occurs in MIN_LABELLED labelled documents, in a
 #: description, or in MIN_SHARE of all documents.  The bounds on labels and share bound the vocabulary;
 #: words of labelled documents never leave it however large the corpus is.
-MIN_SHARE, MIN_DOCS, MIN_LABELLED = 0.0004, 3, 2
+MIN_SHARE, MIN_DOCS, MIN_LABELLED = 0.0004, 3, 4
 #: Labelled documents that are used, by hash order: the bounded sample that names and starts leaves.
 LABELLED = 20_000
 #: A sentence that WHOLE labelled documents hold unchanged (a footer, a link, a copied line) is one term of
