@@ -1,14 +1,17 @@
 """Deeply nested records as related flat tables.
 
 Each record is parsed as a stream of path-value-ordinal triples: the path of a scalar (``[]`` for an
-array step), the positions of the array steps on the way, and the value.  Paths with the same nearest
-repeated ancestor form a group, and each group is pivoted into one flat table whose rows carry their
-own ordinals and those of the row they hang from.  A repeated step inside itself (a tree's
-``children``) is one group: its rows link to rows of the same table.
-
-JSON text is read by a tokenizer without recursion, so that any depth works and a text that breaks off
-gives what it holds up to there.  Null records, empty arrays and null members give no rows; a missing
-member is null in the flat table; members of any scalar type come out as text.
+array step), the positions of the array steps on the way, and the value; an object or array that is an
+element of an array announces itself by a triple of its own, so that no link is lost where it has no
+scalar.  Paths with the same nearest repeated ancestor form a group, and each group is pivoted into one
+flat table whose rows carry their own ordinals and the group and ordinals of the row they hang from; that
+row always exists.  A repeated step inside itself (a tree's ``children``) is one group: its rows link to
+rows of the same table.  In paths, ``\\``, ``.``, ``[`` and ``]`` of a key stand behind a ``\\``.
+
+JSON text is read by a tokenizer without recursion, so that any depth works.  A word that is no JSON value
+comes out as text; a text that breaks off gives what it holds up to there.  Both are reported, with the
+place and the text from there on, in the group ``!``.  Null records and empty arrays give no rows but the
+record's own; a missing member is null in the flat table; members of any scalar type come out as text.
 """
 
 from __future__ import annotations
@@ -16,20 +19,40 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.session import materialize
+
 Triple = tuple[str, tuple[int, ...], Any]
-_token = re.compile(r'\s*(?:("(?:[^"\\]|\\.)*")|([{}\[\],:])|([^\s{}\[\],:"]+))')
+_token = re.compile(r'\s*(?:("(?:[^"\\]|\\.)*")|([{}\[\],:])|([^\s{}\[\],:"]+))', re.S)
 _escape = re.compile(r"\\")
-_repeat = re.compile(r"((?:\.[^.\[\]]+)?\[\])\1+")
+_special = re.compile(r"[\\.\[\]]")
+_repeat = re.compile(r"((?:\.(?:\\.|[^\\.\[\]])*)?\[\])\1+")
+ERRORS = "!"
+
+
+class Element(NamedTuple):
+    """What an element that is an object or an array announces."""
+
+
+class Broken(NamedTuple):
+    """Where a JSON text can't be read, and the text from there on."""
+
+    at: int
+    rest: str
+
+
+def step(key: str) -> str:
+    """A key as a step of a path."""
+    return "." + (_special.sub(r"\\\g<0>", key) if _special.search(key) else key)
 
 
 def json_triples(text: str, root: str) -> Iterator[Triple]:
-    """Triples of a JSON text, in its order; what cannot be read ends the stream."""
+    """Triples of a JSON text, in its order."""
     path: list[str] = [root]
     ordinals: list[int] = []
     stack: list[str] = []  # of open brackets
@@ -37,9 +60,10 @@ def json_triples(text: str, root: str) -> Iterator[Triple]:
     want_key = False
     at = 0
     while m := _token.match(text, at):
-        at = m.end()
         string, mark, word = m.groups()
         if mark == "{" or mark == "[":
+            if stack and stack[-1] == "[":
+                yield "".join(path), tuple(ordinals), Element()
             stack.append(mark)
             if mark == "[":
                 path.append("[]")
@@ -47,7 +71,7 @@ def json_triples(text: str, root: str) -> Iterator[Triple]:
             want_key = mark == "{"
         elif mark in ("}", "]"):
             if not stack:
-                return
+                break
             if stack.pop() == "[":
                 ordinals.pop()
                 path.pop()
@@ -59,19 +83,23 @@ def json_triples(text: str, root: str) -> Iterator[Triple]:
                 ordinals[-1] += 1
             want_key = bool(stack) and stack[-1] == "{"
         elif mark == ":":
-            path.append("." + (key or ""))
+            path.append(step(key or ""))
             want_key = False
         else:
             try:
                 value = json.loads(string) if string and _escape.search(string) else string[1:-1] if string else json.loads(word)
             except ValueError:
-                return
+                value = string or word
+                yield root, (), Broken(m.start(), text[m.start() :])
             if want_key:
                 key = str(value)
-                continue
-            yield "".join(path), tuple(ordinals), value
-            if stack and stack[-1] == "{":
-                path.pop()
+            else:
+                yield "".join(path), tuple(ordinals), value
+                if stack and stack[-1] == "{":
+                    path.pop()
+        at = m.end()
+    if stack or text[at:].strip():
+        yield root, (), Broken(at, text[at:])
 
 
 def value_triples(value: Any, root: str) -> Iterator[Triple]:
@@ -80,9 +108,18 @@ def value_triples(value: Any, root: str) -> Iterator[Triple]:
     while todo:
         x, path, ordinals = todo.pop()
         if isinstance(x, dict):
-            todo.extend((v, f"{path}.{k}", ordinals) for k, v in reversed(x.items()))
+            if path.endswith("[]"):
+                yield path, ordinals, Element()
+            todo.extend((v, path + step(k), ordinals) for k, v in reversed(x.items()))
         elif isinstance(x, (list, tuple)):
-            todo.extend((v, path + "[]", (*ordinals, i)) for i, v in reversed(list(enumerate(x))))
+            if path.endswith("[]"):
+                yield path, ordinals, Element()
+            path += "[]"
+            if any(isinstance(v, (dict, list, tuple)) for v in x):
+                todo.extend((v, path, (*ordinals, i)) for i, v in reversed(list(enumerate(x))))
+            else:
+                for i, v in enumerate(x):
+                    yield path, (*ordinals, i), v
         else:
             yield path, ordinals, x
 
@@ -95,32 +132,69 @@ def group_of(path: str) -> tuple[str, str]:
     return group, (field[1:] if field.startswith(".") else field) if found else path
 
 
-def shred(record: dict[str, Any], json_columns: frozenset[str] = frozenset()) -> dict[str, dict[tuple[int, ...], dict[str, Any]]]:
-    """The flat tables of one record: group -> ordinals -> field -> value."""
-    tables: dict[str, dict[tuple[int, ...], dict[str, Any]]] = {}
-    known: dict[str, tuple[str, str]] = {}
-    for name, value in record.items():
-        if value is None:
-            continue
-        for path, ordinals, x in json_triples(value, name) if name in json_columns else value_triples(value, name):
-            where = known.get(path)
-            if where is None:
-                where = known[path] = group_of(path)
-            tables.setdefault(where[0], {}).setdefault(ordinals, {})[where[1]] = x
-    return tables
+def parent_group(path: str) -> str:
+    """The group of the row that the row of a path hangs from."""
+    return group_of(path.rpartition("[]")[0])[0]
+
+
+class Shredded:
+    """The flat tables of one record: group -> ordinals -> field -> value, and the parents of its rows."""
+
+    def __init__(self, record: dict[str, Any], json_columns: frozenset[str] = frozenset()) -> None:
+        self.tables: dict[str, dict[tuple[int, ...], dict[str, Any]]] = {"": {(): {}}}
+        self.above: dict[tuple[str, tuple[int, ...]], str] = {}
+        known: dict[str, tuple[dict, str, str, str]] = {}
+        for name, value in record.items():
+            if value is None:
+                continue
+            for path, ordinals, x in json_triples(value, name) if name in json_columns else value_triples(value, name):
+                if isinstance(x, Broken):
+                    errors = self.tables.setdefault(ERRORS, {})
+                    errors[(len(errors),)] = {"column": name, "at": x.at, "rest": x.rest}
+                    continue
+                where = known.get(path)
+                if where is None:
+                    group, field = group_of(path)
+                    where = known[path] = (self.tables.setdefault(group, {}), field, group, parent_group(path))
+                rows, field, group, above = where
+                row = rows.get(ordinals)
+                if row is None:
+                    row = rows[ordinals] = {}
+                    if above != group:
+                        self.above[group, ordinals] = above
+                if not isinstance(x, Element):
+                    row[field] = x
+
+    def rows(self) -> Iterator[tuple[str, tuple[int, ...], str | None, tuple[int, ...] | None, dict[str, Any]]]:
+        """``group, row, parent's group, parent, fields``; a record's own row has no parent."""
+        for group, rows in self.tables.items():
+            for place, fields in rows.items():
+                own = None if not group else "" if group == ERRORS else self.above.get((group, place), group)
+                yield group, place, own, place[:-1] if group else None, fields
 
 
 def _text(x: Any) -> str | None:
     return None if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
 
 
-def triples(df: DataFrame, key: str, columns: list[str], json_columns: tuple[str, ...] = ()) -> DataFrame:
-    """``(key, path, ordinals, value)`` of every scalar in ``columns``."""
-    kind = df.schema[key].dataType.simpleString()
+def _keyed(df: DataFrame, keys: list[str], columns: list[str]) -> tuple[DataFrame, str]:
+    """The keys under names of their own before the columns, and their types."""
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    return df.select(*named, *columns), ", ".join(f"_k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
+
+
+def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *[c for c in df.columns if not re.fullmatch(r"_k\d+", c)])
+
+
+def triples(df: DataFrame, keys: list[str], columns: list[str], json_columns: tuple[str, ...] = ()) -> DataFrame:
+    """``(keys, path, ordinals, kind, value)`` of every scalar (``value``), element (``element``) and
+    break (``broken``, with the text from there on) in ``columns``."""
+    n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, paths, places, values = [], [], [], []
+            at, paths, places, kinds, values = [], [], [], [], []
             for i, row in enumerate(batch.select(columns).to_pylist()):
                 for name, value in row.items():
                     if value is None:
@@ -129,43 +203,42 @@ def triples(df: DataFrame, key: str, columns: list[str], json_columns: tuple[str
                         at.append(i)
                         paths.append(path)
                         places.append(ordinals)
-                        values.append(_text(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(paths, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.string())], ["_key", "path", "ordinals", "value"])
+                        kinds.append("element" if isinstance(x, Element) else "broken" if isinstance(x, Broken) else "value")
+                        values.append(None if isinstance(x, Element) else x.rest if isinstance(x, Broken) else _text(x))
+            own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(n)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(paths, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(kinds, pa.string()), pa.array(values, pa.string())], [*(f"_k{i}" for i in range(n)), "path", "ordinals", "kind", "value"])
 
-    source = df.select(F.col(key).alias("_key"), *columns)
-    return source.mapInArrow(run, f"_key {kind}, path string, ordinals array<int>, value string").withColumnRenamed("_key", key)
+    source, ddl = _keyed(df, keys, columns)
+    return _renamed(source.mapInArrow(run, f"{ddl}, path string, ordinals array<int>, kind string, value string"), keys)
 
 
-def related(df: DataFrame, key: str, columns: list[str], json_columns: tuple[str, ...] = ()) -> DataFrame:
-    """``(key, group, row, parent, fields)``: the rows of all flat tables, ``row`` and ``parent`` by
-    ordinals, ``fields`` a map.  A record is taken apart where it lies: nothing is shuffled."""
-    kind = df.schema[key].dataType.simpleString()
-    from_json = frozenset(json_columns)
+def related(df: DataFrame, keys: list[str], columns: list[str], json_columns: tuple[str, ...] = ()) -> DataFrame:
+    """``(keys, group, row, parent_group, parent, fields)``: the rows of all flat tables, ``row`` and
+    ``parent`` by ordinals, ``fields`` a map.  ``keys`` should tell records apart.  A record is taken apart
+    where it lies: nothing is shuffled."""
+    from_json, n = frozenset(json_columns), len(keys)
+    places = pa.list_(pa.int32())
+    kinds = [pa.string(), places, pa.string(), places, pa.map_(pa.string(), pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, groups, places, parents, fields = [], [], [], [], []
-            for i, row in enumerate(batch.select(columns).to_pylist()):
-                for group, rows in shred(row, from_json).items():
-                    for ordinals, values in rows.items():
-                        at.append(i)
-                        groups.append(group)
-                        places.append(ordinals)
-                        parents.append(ordinals[:-1])
-                        fields.append([(k, _text(v)) for k, v in values.items()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(groups, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(parents, pa.list_(pa.int32())), pa.array(fields, pa.map_(pa.string(), pa.string()))],
-                ["_key", "group", "row", "parent", "fields"],
-            )
+            at, out = [], []
+            for i, record in enumerate(batch.select(columns).to_pylist()):
+                for group, row, above, parent, fields in Shredded(record, from_json).rows():
+                    at.append(i)
+                    out.append((group, row, above, parent, [(k, _text(v)) for k, v in fields.items()]))
+            own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(n)]
+            made = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)]
+            yield pa.RecordBatch.from_arrays([*own, *made], [*(f"_k{i}" for i in range(n)), "group", "row", "parent_group", "parent", "fields"])
 
-    source = df.select(F.col(key).alias("_key"), *columns)
-    return source.mapInArrow(run, f"_key {kind}, group string, row array<int>, parent array<int>, fields map<string,string>").withColumnRenamed("_key", key)
+    source, ddl = _keyed(df, keys, columns)
+    return _renamed(source.mapInArrow(run, f"{ddl}, group string, row array<int>, parent_group string, parent array<int>, fields map<string,string>"), keys)
 
 
-def pivot(rows: DataFrame, key: str, group: str, fields: dict[str, str]) -> DataFrame:
-    """One flat table: ``key, row, parent`` and a column for each ``{field: type}`` of the group."""
-    picked = [F.expr(f"try_cast(fields['{f}'] as {t})").alias(f or "value") for f, t in fields.items()]
-    return rows.where(F.col("group") == group).select(key, "row", "parent", *picked)
+def pivot(rows: DataFrame, keys: list[str], group: str, fields: dict[str, str]) -> DataFrame:
+    """One flat table: ``keys, row, parent`` and a column for each ``{field: type}`` of the group."""
+    picked = [F.element_at("fields", F.lit(f)).try_cast(t).alias(f or "value") for f, t in fields.items()]
+    return rows.where(F.col("group") == group).select(*keys, "row", "parent", *picked)
 
 
 # -- tables with merged regions and a tree of row headers ------------------------------------------
@@ -208,17 +281,18 @@ class HierarchicalTable:
     """A record's flat tables put together: filled cells, row nodes with labels, header paths."""
 
     def __init__(self, record: dict[str, Any]) -> None:
-        tables = shred(record, frozenset(["left_root"]))
-        scalars = tables.get("", {}).get((), {})
+        tables = Shredded(record, frozenset(["left_root"])).tables
+        scalars = tables[""][()]
         self.top = max(0, _int(scalars.get("top_header_rows_num"), 1))
         self.left = max(0, _int(scalars.get("left_header_columns_num"), 1))
         self.cells: list[list[str]] = [[] for _ in record.get("texts") or ()]
-        for (i, j), f in sorted((k, v) for k, v in tables.get("texts[]", {}).items() if len(k) == 2):
-            self.cells[i].append((_text(f[""]) or "").strip())
+        for place, f in tables.get("texts[]", {}).items():  # in the order of the matrix
+            if len(place) == 2:
+                self.cells[place[0]].append((_text(f.get("")) or "").strip())
         fill_regions(self.cells, [f for _, f in sorted(tables.get("merged_regions[]", {}).items())])
         self.nodes: dict[tuple[int, ...], tuple[int, int, str]] = {}
         nodes = tables.get(NODES, {})
-        if "left_root.row_index" in scalars or "left_root.column_index" in scalars:
+        if nodes or "left_root.row_index" in scalars or "left_root.column_index" in scalars:
             self._node((), {"row_index": scalars.get("left_root.row_index"), "column_index": scalars.get("left_root.column_index")})
         for place, f in nodes.items():
             self._node(place, f)
@@ -260,10 +334,29 @@ class HierarchicalTable:
                     yield row, column, header[0], header[1], columns[column], text
 
 
-def latest(df: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
-    """One row for each non-null ``key``: the delivery with the greatest ``at`` (nulls first)."""
-    best = F.max_by(F.struct(*columns), F.coalesce(F.col(at).cast("timestamp"), F.lit("0001-01-01").cast("timestamp")))
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(best.alias("_x")).select(key, *[F.col(f"_x.{c}").alias(c) for c in columns])
+#: So many re-delivered keys are sent to the executors, so that only their records are shuffled.
+SENT_KEYS = 1_000_000
+
+
+def latest(df: DataFrame, key: str, at: str, columns: list[str], sent_keys: int = SENT_KEYS) -> DataFrame:
+    """One row for each non-null ``key``: the delivery with the greatest ``at`` (nulls first).
+
+    Keys that come more than once are found on the two narrow columns.  Only their records are shuffled,
+    unless there are more than ``sent_keys`` of them."""
+    rows = df.where(F.col(key).isNotNull())
+    again = materialize(rows.groupBy(key).count().where("count > 1").select(key), "again")
+
+    def best(some: DataFrame) -> DataFrame:
+        order: Column = F.coalesce(F.col(at).cast("timestamp"), F.lit("0001-01-01").cast("timestamp"))
+        return some.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_x")).select(key, *[F.col(f"_x.{c}").alias(c) for c in columns])
+
+    n = again.count()
+    if not n:
+        return rows.select(key, *columns)
+    if n > sent_keys:
+        return best(rows)
+    sent = F.broadcast(again)
+    return rows.join(sent, key, "left_anti").select(key, *columns).unionByName(best(rows.join(sent, key, "left_semi")))
 
 
 def _per_table(df: DataFrame, rows_of, schema: pa.Schema, ddl: str) -> DataFrame:

@@ -91,24 +91,64 @@ def test_tokenizer_equals_the_json_module():
         assert list(nested.json_triples(json.dumps(x, indent=rng.choice([None, 1])), "r")) == list(nested.value_triples(x, "r"))
 
 
-@pytest.mark.parametrize("text,n", [("", 0), ('{"a": 1, "b": [2, ', 2), ('{"a": tru', 0), ("]", 0), ('{"a": 1}}', 1)])
-def test_broken_json_gives_what_it_holds(text, n):
-    assert len(list(nested.json_triples(text, "r"))) == n
+@pytest.mark.parametrize("text,n,broken", [("", 0, 0), ('{"a": 1, "b": [2, ', 2, 1), ('{"a": tru', 1, 2), ("]", 0, 1), ('{"a": 1}}', 1, 1), ('{"a":1,"b":[{"c":2},{"c":bad},{"c":3}]}', 4, 1), ('{"a": "x', 0, 1)])
+def test_broken_json_gives_what_it_holds_and_is_reported(text, n, broken):
+    got = [v for _, _, v in nested.json_triples(text, "r")]
+    assert len([v for v in got if not isinstance(v, (nested.Broken, nested.Element))]) == n
+    errors = [v for v in got if isinstance(v, nested.Broken)]
+    assert len(errors) == broken and all(text[e.at :] == e.rest for e in errors)
 
 
 def test_deep_trees_do_not_recurse():
-    depth = 5000
+    depth = 3000
     text = '{"children": [' * depth + '{"row_index": 1}' + "]}" * depth
-    ((path, ordinals, value),) = nested.json_triples(text, "left_root")
-    assert (len(ordinals), value) == (depth, 1)
+    *elements, (path, ordinals, value) = nested.json_triples(text, "left_root")
+    assert (len(elements), len(ordinals), value) == (depth, depth, 1)
     assert nested.group_of(path)[0] == "left_root.children[]"
 
 
+def links(record, json_columns=frozenset()):
+    return {(g, r): (above, parent, f) for g, r, above, parent, f in nested.Shredded(record, json_columns).rows()}
+
+
+@pytest.mark.parametrize("as_json", [False, True])
+def test_no_row_hangs_in_the_air(as_json):
+    x = {"children": [{"children": [{"row_index": 1}]}, {}, {"a": [[], [{"b": [{}]}]]}, None, 7]}
+    got = links({"t": json.dumps(x) if as_json else x}, frozenset(["t"] if as_json else []))
+    assert all(parent is None or (above, parent) in got for above, parent, _ in got.values())
+    assert {r for g, r in got if g == "t.children[]"} == {(0,), (0, 0), (1,), (2,), (3,), (4,)}
+    assert got["t.children[].a[].b[]", (2, 1, 0, 0)][:2] == ("t.children[].a[]", (2, 1, 0))
+
+
+@pytest.mark.parametrize("as_json", [False, True])
+def test_keys_that_look_like_paths(as_json):
+    x = {"a.b": 1, "a": {"b": 2}, "x[]": [3], "x": [4], "\\": {"": 5}}
+    got = links({"t": json.dumps(x) if as_json else x}, frozenset(["t"] if as_json else []))
+    assert got["", ()][2] == {r"t.a\.b": 1, "t.a.b": 2, r"t.\\.": 5}
+    assert got[r"t.x\[\][]", (0,)][2] == {"": 3} and got["t.x[]", (0,)][2] == {"": 4}
+
+
+def test_breaks_are_rows():
+    got = links({"t": '{"a": oops, "b": [1'}, frozenset(["t"]))
+    assert [got[nested.ERRORS, (i,)][2]["rest"].strip() for i in (0, 1)] == ['oops, "b": [1', ""]
+    assert got["", ()][2] == {"t.a": "oops"} and got["t.b[]", (0,)][2] == {"": 1}
+
+
 def test_related_tables_keep_links(spark):
     rec = made(5) | {"left_root": '{"row_index": 0, "children": [{"row_index": 1, "children": [{"row_index": 2}]}]}'}
-    rows = nested.related(frame(spark, [rec]), "table_id", ["left_root"], ("left_root",))
-    flat = {tuple(r["row"]): (r["parent"], r["row_index"]) for r in nested.pivot(rows, "table_id", "left_root.children[]", {"row_index": "int"}).collect()}
+    rows = nested.related(frame(spark, [rec]).withColumn("row", nested.F.lit("clash")), ["table_id"], ["left_root"], ("left_root",))
+    flat = {tuple(r["row"]): (r["parent"], r["row_index"]) for r in nested.pivot(rows, ["table_id"], "left_root.children[]", {"row_index": "int"}).collect()}
     assert flat == {(0,): ([], 1), (0, 0): ([0], 2)}
+    kinds = {(r["path"], r["kind"]) for r in nested.triples(frame(spark, [rec]), ["table_id"], ["left_root"], ("left_root",)).collect()}
+    assert ("left_root.children[]", "element") in kinds and ("left_root.row_index", "value") in kinds
+
+
+@pytest.mark.parametrize("sent", [0, 100])
+def test_latest_delivery(spark, sent):
+    rows = [("a", 1, "x"), ("a", 3, "y"), ("a", None, "z"), ("b", 2, "w"), (None, 1, "v"), ("c", None, "u")]
+    df = spark.createDataFrame(rows, "k string, t int, v string").withColumn("t", nested.F.timestamp_seconds("t"))
+    assert {tuple(r) for r in nested.latest(df, "k", "t", ["v"], sent).collect()} == {("a", "y"), ("b", "w"), ("c", "u")}
+    assert nested.latest(df.where("false"), "k", "t", ["v"], sent).count() == 0
 
 
 def test_empty_and_null_records(spark):
