@@ -76,11 +76,10 @@ x х
 y у ү
 """
 #: Hyphens that look like the ASCII one.
-HYPHENS = "‐‑﹣­"[:3]
+HYPHENS = "‐‑﹣"
 #: Characters that show nothing, besides the categories Cf and variation selectors.
 INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ"
 MARKS = "̧̨̀́̂̃̄̆̇̈̊̋̌"
-ROUNDS = 8
 
 
 def seed_pairs() -> Iterator[tuple[str, str]]:
@@ -102,8 +101,11 @@ def seed_pairs() -> Iterator[tuple[str, str]]:
             ligature = tag == "<compat" and 0xFB00 <= code <= 0xFB06
             if tag in ("<wide", "<narrow") and len(parts) == 1 or ligature:
                 yield parts.replace("ſ", "s"), ch
-            elif not tag and code < 0x2000 and len(parts) == 2:
+            elif not tag and len(parts) <= 2:
                 yield parts, ch
+    for code in range(0xAC00, 0xD7A4):  # syllables of two and three jamo
+        tail = (code - 0xAC00) % 28
+        yield (chr(code - tail) + chr(0x11A7 + tail) if tail else unicodedata.normalize("NFD", chr(code))), chr(code)
     for code in range(0xE0100, 0xE01F0):
         yield "", chr(code)
 
@@ -227,10 +229,12 @@ class Rewriter:
         if (done := self.known.get(text)) is not None:
             return done
         done, last = self._once(text), text
-        for _ in range(ROUNDS):
+        for _ in range(len(text) + 64):  # each round but the last shortens the text or brings it nearer to representatives
             if done == last:
                 break
             done, last = self._once(done), done
+        else:
+            raise RuntimeError("rewriting found no end")
         if len(text) < 64:
             if len(self.known) > 100_000:
                 self.known.clear()
@@ -293,9 +297,10 @@ def same_looking_pairs(df: DataFrame, key: str, group: str, columns: list[str],
     """``(key_1, key_2)``, smaller first: rows of one ``group`` that look the same in all ``columns``
     although at least one column differs in its characters.
 
-    Rows meet by a 128-bit hash of their canonical forms; exact copies are never paired.  Groups in
-    which all rows are copies of each other drop out after a map-side combined minimum and maximum,
-    so only groups with real variants reach the join.  Null equals null only; a null ``group``
+    Rows meet by a 128-bit hash of their canonical forms; exact copies are never paired, nor compared:
+    the different spellings of a form meet first and their rows after them.  Groups in which all rows are
+    copies of each other drop out after a map-side combined minimum and maximum, so only groups with real
+    variants reach the join.  Null equals null only; a null ``group``
     relates to nothing.
     """
     table = learn(df, columns) if table is None else table
@@ -306,6 +311,10 @@ def same_looking_pairs(df: DataFrame, key: str, group: str, columns: list[str],
     rows = materialize(rows.select("_id", F.xxhash64(F.lit(7), "_group", *seen).alias("_k1"), F.xxhash64(F.lit(11), *seen, "_group").alias("_k2"), "_raw"), "looks")
     mixed = rows.groupBy("_k1", "_k2").agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi")).where("_lo <> _hi").select("_k1", "_k2")
     left = materialize(rows.join(mixed, ["_k1", "_k2"], "left_semi"), "variants")
-    a, b = left.alias("a"), left.alias("b")
-    on = (F.col("a._k1") == F.col("b._k1")) & (F.col("a._k2") == F.col("b._k2")) & (F.col("a._id") < F.col("b._id")) & (F.col("a._raw") != F.col("b._raw"))
-    return a.join(b, on).select(F.col("a._id").alias(f"{key}_1"), F.col("b._id").alias(f"{key}_2"))
+    # pairs of different forms first, then the rows that have them: copies never meet each other
+    forms = left.select("_k1", "_k2", "_raw").distinct()
+    pairs = forms.withColumnRenamed("_raw", "_a").join(forms.withColumnRenamed("_raw", "_b"), ["_k1", "_k2"]).where("_a < _b")
+    one = left.select("_k1", "_k2", F.col("_raw").alias("_a"), F.col("_id").alias("_i"))
+    two = left.select("_k1", "_k2", F.col("_raw").alias("_b"), F.col("_id").alias("_j"))
+    both = pairs.join(one, ["_k1", "_k2", "_a"]).join(two, ["_k1", "_k2", "_b"])
+    return both.select(F.least("_i", "_j").alias(f"{key}_1"), F.greatest("_i", "_j").alias(f"{key}_2"))

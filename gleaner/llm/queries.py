@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import leakage, lookalike, oracles, sampling, splits, subjects, tokenize
@@ -57,31 +57,67 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample(table(spark, sf_dir, "sample_hybridqa"), table(spark, sf_dir, "sample_target"))
 
 
+@_query
+def p3_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was drawn for every row of the plans: questions, different ones, and those of the category."""
+    questions, targets = table(spark, sf_dir, "sample_hybridqa"), table(spark, sf_dir, "sample_target")
+    kinds = sampling.strata(sampling.eligible(questions), sampling._names(targets))
+    named = sampling.sample(questions, targets).join(targets.select("plan_id", "strat_name", "category").distinct(), ["plan_id", "category"])
+    fits = named.join(kinds.withColumn("_fits", F.lit(1)), ["question_id", "strat_name", "category"], "left")
+    return fits.groupBy("plan_id", "category").agg(F.count("*").alias("n"), F.countDistinct("question_id").alias("n_different"), F.count("_fits").alias("n_of_category"))
+
+
 def _question_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "sample_hybridqa").where("question_id is not null")
-    return rows.select("question_id", "split", splits.page_of(F.col("table_id")).alias("page"))
+    return rows.select("question_id", "table_id", "split", splits.page_of(F.col("table_id")).alias("page"), sampling.answer_source(F.col("answer_node")).alias("label"))
+
+
+def _components(rows: DataFrame) -> DataFrame:
+    """``question_id, component``: questions name tables in whatever way they are written, and every way of
+    writing is a record that names its page."""
+    named = rows.where("page is not null").select("question_id", "table_id", "page").distinct()
+    tables = named.select(F.concat(F.lit("t:"), "table_id").alias("record"), F.inline(F.array(F.struct(F.concat(F.lit("t:"), "table_id").alias("entity")), F.struct(F.concat(F.lit("p:"), "page").alias("entity"))))).distinct()
+    edges = named.select(F.concat(F.lit("q:"), "question_id").alias("record"), F.concat(F.lit("t:"), "table_id").alias("entity")).unionByName(tables)
+    found = splits.components(edges, "record", "entity").where(F.startswith("record", F.lit("q:")))
+    return found.select(F.substring("record", 3, 1 << 30).alias("question_id"), "component")
 
 
 @_query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions related to one that the present column puts into another split."""
     rows = _question_pages(spark, sf_dir)
-    groups = splits.components(rows, "question_id", "page")
-    records = rows.select("question_id", "split").distinct().join(groups, "question_id")
+    records = rows.select("question_id", "split").distinct().join(_components(rows), "question_id")
     return splits.divided(records, "question_id", "component", "split")
 
 
 @_query
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new split of every question, whole pages together, shares of split_target."""
-    rows = table(spark, sf_dir, "sample_hybridqa").where("question_id is not null")
-    rows = rows.select("question_id", splits.page_of(F.col("table_id")).alias("page"), sampling.answer_source(F.col("answer_node")).alias("label"))
-    groups = splits.components(rows, "question_id", "page")
-    records = rows.groupBy("question_id").agg(F.max("label").alias("label")).join(groups, "question_id", "left")
-    targets = [(r["split"], r["target_share"]) for r in table(spark, sf_dir, "split_target").orderBy("split").limit(1000).collect()]
+    rows = _question_pages(spark, sf_dir)
+    records = rows.groupBy("question_id").agg(F.max("label").alias("label")).join(_components(rows), "question_id", "left")
+    most = 1000  # splits; more are an error
+    targets = [(r["split"], r["target_share"]) for r in table(spark, sf_dir, "split_target").orderBy("split").limit(most + 1).collect()]
+    if len(targets) > most:
+        raise ValueError(f"more than {most} splits")
     return splits.assign(records, "question_id", "component", "label", targets)
 
 
+@_query
+def p5_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each new split: whether its share and its shares of labels are within 0.02 of the target's and
+    the whole's, and how many of its questions have a related one elsewhere."""
+    rows, made = _question_pages(spark, sf_dir), p5_splits(spark, sf_dir).select("question_id", F.col("split").alias("made"))
+    labels = made.join(rows.groupBy("question_id").agg(F.max("label").alias("label")), "question_id")
+    n = labels.groupBy("made", "label").agg(F.count("*").alias("n")).withColumn("of_split", F.sum("n").over(Window.partitionBy("made"))).withColumn("of_label", F.sum("n").over(Window.partitionBy("label")))
+    total = labels.agg(F.count("*").alias("total"))
+    even = n.crossJoin(F.broadcast(total)).groupBy("made").agg(F.max(F.abs(F.col("n") / F.col("of_split") - F.col("of_label") / F.col("total"))).alias("off"), F.first(F.col("of_split") / F.col("total")).alias("share"))
+    apart = made.join(rows.where("page is not null").select("question_id", "page"), "question_id")
+    lost = splits.divided(apart, "question_id", "page", "made").join(made, "question_id").groupBy("made").agg(F.count("*").alias("n_divided"))
+    targets = table(spark, sf_dir, "split_target").select("split", "target_share")
+    out = targets.join(even.withColumnRenamed("made", "split"), "split", "left").join(lost.withColumnRenamed("made", "split"), "split", "left")
+    return out.select("split", (F.abs(F.col("share") - F.col("target_share")) <= 0.02).alias("share_met"), (F.col("off") <= 0.02).alias("labels_even"), F.coalesce("n_divided", F.lit(0)).cast("long").alias("n_divided"))
+
+
 @_query
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""

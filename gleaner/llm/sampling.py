@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from gleaner.session import materialize
 
 BINS = 1024
+KEY = ["plan_id", "strat_name", "category"]
 #: Words that hint at how an answer is found.
 ORDINAL = r"\b(first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|\d+(?:st|nd|rd|th))\b"
 SUPERLATIVE = r"\b(most|least|largest|smallest|highest|lowest|oldest|youngest|earliest|latest|greatest|longest|shortest)\b"
@@ -114,43 +115,55 @@ def _names(targets: DataFrame, limit: int = 1000) -> list[str]:
     return sorted(names)
 
 
+def draw(questions: DataFrame, targets: DataFrame, oversample: float = 1.05) -> tuple[DataFrame, DataFrame]:
+    """The rows drawn for every row of the plans, and the plans with what the draw found.
+
+    ``plan_id, strat_name, category, question_id, u, _bin`` are drawn independently with the acceptance
+    probability of their category; where a draw comes out short of the target although more rows exist, its
+    probability is doubled and it is drawn again.  ``drawn`` of the plans counts its rows: less than
+    ``wanted`` only where all ``available`` rows are."""
+    rows = materialize(eligible(questions), "eligible")
+    names = _names(targets)
+    counts = strata(rows, names).groupBy("strat_name", "category").agg(F.count("*").alias("available"))
+    plans = plan_table(targets).join(counts, ["strat_name", "category"], "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("long"))
+    need = F.least(F.greatest(F.ceil("wanted"), "n_target"), "available")
+    # six standard deviations above the expectation: a shortage is next to impossible, and is mended below
+    slack = need * oversample + 6 * F.sqrt(need.cast("double")) + 10
+    p = F.when(F.col("available") > 0, F.least(F.lit(1.0), slack / F.col("available"))).otherwise(0.0)
+    plans = materialize(plans.withColumn("need", need).withColumn("p", p).select(*KEY, "wanted", "n_target", "available", "need", "p"), "plans")
+    u = F.pmod(F.xxhash64("question_id", "plan_id", "category"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    while True:
+        open_ = plans.where("need > 0").select(*KEY, "p")
+        drawn = strata(rows, names).join(open_, ["strat_name", "category"]).withColumn("u", u).where("u < p")
+        drawn = materialize(drawn.withColumn("_bin", F.floor(F.col("u") / F.col("p") * BINS).cast("int")).select(*KEY, "question_id", "u", "_bin"), "drawn")
+        have = plans.join(drawn.groupBy(*KEY).agg(F.count("*").alias("drawn")), KEY, "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)).cast("long"))
+        have = materialize(have, "have")
+        if have.where("drawn < need").isEmpty():
+            return drawn, have
+        plans = materialize(have.withColumn("p", F.least(F.lit(1.0), F.col("p") * 2)).drop("drawn"), "plans")
+
+
 def report(questions: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every row of the plans with ``available`` rows, ``wanted``, ``n_target`` and ``deficit``."""
-    counts = strata(eligible(questions), _names(targets)).groupBy("strat_name", "category").agg(F.count("*").alias("available"))
-    t = plan_table(targets).join(counts, ["strat_name", "category"], "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("long"))
-    return t.select("plan_id", "strat_name", "category", "wanted", "n_target", "available", F.greatest(F.col("wanted") - F.col("available"), F.lit(0.0)).alias("deficit"))
+    """Every row of the plans with ``available`` rows, ``wanted``, ``n_target``, ``n_sampled`` and
+    ``deficit``, as the draw found them."""
+    plans = draw(questions, targets)[1]
+    return plans.select(*KEY, "wanted", "n_target", "available", F.least("n_target", "drawn").alias("n_sampled"), F.greatest(F.col("wanted") - F.col("drawn"), F.lit(0.0)).alias("deficit"))
 
 
 def unmet(questions: DataFrame, targets: DataFrame) -> DataFrame:
-    """``plan_id, category`` of the targets that the data cannot meet."""
-    return report(questions, targets).where("available < wanted").select("plan_id", "category")
+    """``plan_id, category`` of the targets that a draw of everything there is can't meet."""
+    return report(questions, targets).where("deficit > 0").select("plan_id", "category")
 
 
 def sample(questions: DataFrame, targets: DataFrame, oversample: float = 1.05) -> DataFrame:
     """``plan_id, category, question_id``: for each plan exactly ``min(n_target, available)`` rows of
     each category."""
-    rows = materialize(eligible(questions), "eligible")
-    names = _names(targets)
-    counts = strata(rows, names).groupBy("strat_name", "category").agg(F.count("*").alias("available"))
-    plans = plan_table(targets).join(counts, ["strat_name", "category"]).withColumn("n", F.least("n_target", "available"))
-    # six standard deviations above the expectation: a shortage is next to impossible, and is mended below
-    slack = F.col("n") * oversample + 6 * F.sqrt(F.col("n")) + 10
-    plans = materialize(plans.where("n > 0").withColumn("p", F.least(F.lit(1.0), slack / F.col("available"))).select("plan_id", "strat_name", "category", "n", "p"), "plans")
-    u = F.pmod(F.xxhash64("question_id", "plan_id", "category"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    while True:
-        drawn = strata(rows, names).join(plans, ["strat_name", "category"]).withColumn("u", u).where("u < p")
-        drawn = drawn.withColumn("_bin", F.floor(F.col("u") / F.col("p") * BINS).cast("int")).select("plan_id", "strat_name", "category", "question_id", "u", "_bin", "n", "p")
-        drawn = materialize(drawn, "drawn")
-        key = ["plan_id", "strat_name", "category"]
-        bins = drawn.groupBy(*key, "n", "_bin").count()
-        bins = bins.withColumn("_upto", F.sum("count").over(Window.partitionBy(*key).orderBy("_bin")))
-        have = bins.groupBy(*key).agg(F.max("_upto").alias("_have"))
-        if plans.join(have, key, "left").where("coalesce(_have, 0) < n").isEmpty():
-            break
-        plans = materialize(plans.withColumn("p", F.least(F.lit(1.0), F.col("p") * 2)), "plans")
+    drawn, plans = draw(questions, targets, oversample)
+    bins = drawn.groupBy(*KEY, "_bin").count().join(plans.select(*KEY, F.least("n_target", "drawn").alias("n")), KEY)
+    bins = bins.withColumn("_upto", F.sum("count").over(Window.partitionBy(*KEY).orderBy("_bin")))
     # the first bin that reaches n; lower bins stay whole, its own rows are ranked for what is left
-    edge = bins.where("_upto >= n").groupBy(*key).agg(F.min(F.struct("_bin", (F.col("n") - F.col("_upto") + F.col("count")).alias("_need"))).alias("_edge"))
-    drawn = drawn.join(edge, key).where("_bin <= _edge._bin")
-    sure = drawn.where("_bin < _edge._bin").select(*key, "question_id")
-    last = drawn.where("_bin = _edge._bin").withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy("u", "question_id")))
-    return sure.unionByName(last.where("_rank <= _edge._need").select(*key, "question_id")).select("plan_id", "category", "question_id")
+    edge = bins.where("_upto >= n and n > 0").groupBy(*KEY).agg(F.min(F.struct("_bin", (F.col("n") - F.col("_upto") + F.col("count")).alias("_need"))).alias("_edge"))
+    drawn = drawn.join(edge, KEY).where("_bin <= _edge._bin")
+    sure = drawn.where("_bin < _edge._bin").select(*KEY, "question_id")
+    last = drawn.where("_bin = _edge._bin").withColumn("_rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("u", "question_id")))
+    return sure.unionByName(last.where("_rank <= _edge._need").select(*KEY, "question_id")).select("plan_id", "category", "question_id")

@@ -3,8 +3,8 @@
 Speculate and verify.  A text is cut into words by the vocabulary's pattern.  For each distinct word
 the longest match from the left proposes tokens.  A sequence of tokens is what merging would give if
 and only if every adjacent pair stays two tokens when merged on its own; all pairs of a batch are
-tested together against an array of pairs already judged.  Only words with a failing pair are merged
-exactly.
+tested together against an array of pairs already judged, and new ones are judged all at once.  Only words
+with a failing pair are merged exactly, the short ones of a batch together.
 
 Null and empty texts give the empty list.  No special tokens are made; their strings in a text are
 ordinary text.
@@ -13,6 +13,7 @@ ordinary text.
 from __future__ import annotations
 
 import base64
+import heapq
 import itertools
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,6 +36,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+#: Words of more bytes are merged one by one with a heap, the others all at once.
+LONG = 64
+
+
 class Encoder:
     """Encodes texts with the ranks of a vocabulary file; keeps words and pairs it has judged."""
 
@@ -50,25 +55,57 @@ class Encoder:
         self.words: dict[str, list[int]] = {}
         self.good = np.zeros(0, np.int64)  # sorted codes of pairs that stay two tokens
         self.bad = np.zeros(0, np.int64)
+        # every way to put a token together from two, by code of the two
+        self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        ways = {self.ranks[t[:i]] * self.size + self.ranks[t[i:]]: n for t, n in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
+        self.pairs = np.array(sorted(ways), np.int64)
+        self.made = np.array([ways[c] for c in self.pairs.tolist()], np.int64)
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the adjacent pair of the lowest rank first, leftmost of equals."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            ranks = [self.ranks.get(a + b, self.size) for a, b in itertools.pairwise(parts)]
-            best = min(ranks)
-            if best == self.size:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i < len(ranks) and ranks[i] == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.ranks[p] for p in parts]
+        parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap = [(r, i, a + b) for i, (a, b) in enumerate(itertools.pairwise(parts)) if (r := self.ranks.get(a + b)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, whole = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] is None or j == len(parts) or parts[i] + parts[j] != whole:
+                continue
+            parts[i], parts[j] = whole, None
+            after[i] = after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < len(parts) and (r := self.ranks.get(parts[left] + parts[right])) is not None:
+                    heapq.heappush(heap, (r, left, parts[left] + parts[right]))
+        return [self.ranks[p] for p in parts if p is not None]
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many short words at once: the tokens in a row, and how many each word has.
+
+        In each round every word that can still merge merges its leftmost pair of the lowest rank."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        flat, owner = self.byte[np.frombuffer(b"".join(words), np.uint8)], np.repeat(np.arange(len(words)), sizes)
+        done, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(flat):
+            code = flat[:-1] * self.size + flat[1:]
+            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            rank = np.append(np.where((self.pairs[at] == code) & (owner[:-1] == owner[1:]), self.made[at], self.size), self.size)
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            best = np.minimum.reduceat(rank, first)
+            count = np.diff(np.append(first, len(flat)))
+            over = np.repeat(best == self.size, count)
+            done.append(flat[over])
+            owners.append(owner[over])
+            hit = np.flatnonzero((rank == np.repeat(best, count)) & ~over)
+            hit = hit[np.flatnonzero(np.diff(owner[hit], prepend=-1))]  # the leftmost of each word
+            flat[hit] = rank[hit]
+            keep = ~over
+            keep[hit + 1] = False
+            flat, owner = flat[keep], owner[keep]
+        tokens, owner = np.concatenate(done), np.concatenate(owners)
+        return tokens[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
     def propose(self, word: bytes) -> list[int]:
         """Longest match from the left."""
@@ -88,7 +125,9 @@ class Encoder:
         fresh = np.unique(codes)
         fresh = fresh[~(np.isin(fresh, self.good, assume_unique=True) | np.isin(fresh, self.bad, assume_unique=True))]
         if len(fresh):
-            stays = np.array([self.merge(self.bytes_of[c // self.size] + self.bytes_of[c % self.size]) == [c // self.size, c % self.size] for c in fresh.tolist()])
+            tokens, count = self.merge_all([self.bytes_of[c // self.size] + self.bytes_of[c % self.size] for c in fresh.tolist()])
+            start, stays = np.cumsum(count) - count, count == 2
+            stays[stays] = tokens[start[stays]] * self.size + tokens[start[stays] + 1] == fresh[stays]
             if len(self.good) > 2_000_000:
                 self.good, self.bad = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 return self._judge(codes)
@@ -115,7 +154,16 @@ class Encoder:
         ok = self._judge((flat[:-1] * self.size + flat[1:])[inside])
         failing = set(owner[:-1][inside][~ok].tolist())
         for k, i in enumerate(rest):
-            self.words[words[i]] = self.merge(raw[i]) if k in failing else proposed[k]
+            self.words[words[i]] = proposed[k]
+        short = [rest[k] for k in failing if len(raw[rest[k]]) <= LONG]
+        tokens, count = self.merge_all([raw[i] for i in short])
+        ends = np.cumsum(count).tolist()
+        tokens = tokens.tolist()
+        for i, start, end in zip(short, [0, *ends], ends):
+            self.words[words[i]] = tokens[start:end]
+        for k in failing:
+            if len(raw[rest[k]]) > LONG:
+                self.words[words[rest[k]]] = self.merge(raw[rest[k]])
 
     def encode(self, texts: list[str | None]) -> pa.Array:
         """An Arrow array of token lists."""

@@ -5,7 +5,7 @@ import pytest
 
 from gleaner.llm import lookalike as L
 
-SAME = [("Vopus", "Vo﻿pus"), ("forward", "fοrԝаrԁ"), ("daflfaltstad", "daﬂfаӏtѕtad"), ("Röro", "Rö‍ro"), ("ïb", "їb"), ("3 Oct", "３ Ｏｃｔ"), ("6-7", "6‑7"), ("a b", "a b"), ("x", "x️"), ("office", "oﬃce"), ("ëx", "ёx"), ("ӧ", "ö")]
+SAME = [("Vopus", "Vo﻿pus"), ("forward", "fοrԝаrԁ"), ("daflfaltstad", "daﬂfаӏtѕtad"), ("Röro", "Rö‍ro"), ("ïb", "їb"), ("3 Oct", "３ Ｏｃｔ"), ("6-7", "6‑7"), ("a b", "a b"), ("x", "x️"), ("office", "oﬃce"), ("ëx", "ёx"), ("ӧ", "ö"), ("\u304c", "\u304b\u3099"), ("\uac00", "\u1100\u1161"), ("\uac01", "\u1100\u1161\u11a8"), ("\u212b", "\u00c5"), ("\u2126", "\u03a9"), ("\u1e69", "s\u0323\u0307")]
 DIFFERENT = [("m²", "m2"), ("a", "á"), ("A", "a"), ("a_b", "a b"), ("Ж", "X"), ("é", "è"), ("1", "l"), ("a", ""), ("-", "–")]
 
 
@@ -60,3 +60,8 @@ def test_pairs_equal_brute_force(spark):
 def test_canonical_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "аb", "аb"), (1, None, None)], "id int, x string, y string")
     assert [tuple(r) for r in L.canonical(df, ["x"]).collect()] == [(1, "ab", "аb"), (1, None, None)] or L.learn(df, ["x"])["a"] == "а"
+
+
+def test_one_variant_among_many_copies(spark):
+    df = spark.range(4000).selectExpr("id", "'q' as q", "if(id = 7, 'a\u0430b', 'aab') as h").withColumn("r", L.F.lit("x")).withColumn("t", L.F.lit(None).cast("string"))
+    assert L.same_looking_pairs(df, "id", "q", ["h", "r", "t"], L.default_table()).count() == 3999

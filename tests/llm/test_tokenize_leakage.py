@@ -40,6 +40,16 @@ def test_speculation_fails_at_times_and_is_mended():
     assert all(enc.words[w] == enc.merge(w.encode()) for w in words)
 
 
+def test_merging_together_equals_merging_alone():
+    enc = tokenize.encoder(tokenize.tokenizer_path())
+    rng = random.Random(9)
+    words = ["".join(rng.choice(["a", "b", "an", "the ", "é", "1", " ", "ing"]) for _ in range(rng.randint(1, 30))).encode() for _ in range(500)] + [b"x", b"a" * 64]
+    tokens, count = enc.merge_all(words)
+    ends = count.cumsum().tolist()
+    assert [tokens[a:b].tolist() for a, b in zip([0, *ends], ends)] == [enc.merge(w) for w in words]
+    assert enc.merge_all([])[0].tolist() == [] and len(enc.merge(b"ab" * 100_000)) > 0
+
+
 def test_slices_keep_all_rows():
     batch = pa.record_batch({"k": list(range(6)), "t": ["x" * 30, None, "", "y" * 90, "z", "w" * 40]})
     parts = list(tokenize._slices(batch, 1, 50))
