@@ -51,7 +51,9 @@ ORDINALS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "
 ENTITY_COLUMNS = ["player", "person", "name", "manager", "team", "club", "entity"]
 ANSWER_COLUMNS = ["jurisdiction", "country", "city", "state", "province", "region", "company", "organization", "team", "club", "player", "person", "name"]
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-NUMBER = r"[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-+]?\d+)?|[-+]?\.\d+"
+#: How the first and the last number of a text are read.
+FIRST_NUMBER = r"[-+]?(?:\d+(?:,\d{3})*(?:\.\d+)?|\.\d+)(?:[eE][-+]?\d+)?"
+LAST_NUMBER = r"[-+]?\d[\d,]*(?:\.\d+)?"
 
 
 @lru_cache(1)
@@ -162,13 +164,13 @@ def number(text: Column) -> Column:
     """The first number of a text: thousands commas, exponents; positive ones in parentheses are
     negative; null without a number."""
     x = F.replace(F.trim(text), F.lit("$"), F.lit(""))
-    n = F.regexp_replace(F.regexp_extract(x, NUMBER, 0), ",", "").try_cast("double")
+    n = F.regexp_replace(F.regexp_extract(x, FIRST_NUMBER, 0), ",", "").try_cast("double")
     return F.when(F.contains(x, F.lit("(")) & F.contains(x, F.lit(")")) & (n > 0), -n).otherwise(n)
 
 
 def last_number(text: Column) -> Column:
     """The last number of a text, without a sign rule for parentheses."""
-    return F.regexp_replace(F.try_element_at(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), F.lit(-1)), ",", "").try_cast("double")
+    return F.regexp_replace(F.try_element_at(F.regexp_extract_all(text, F.lit(LAST_NUMBER), F.lit(0)), F.lit(-1)), ",", "").try_cast("double")
 
 
 def normalize_answer(text: Column) -> Column:
@@ -221,8 +223,8 @@ def entity_type(question: Column) -> Column:
 
 
 def direct_mentions(question: Column) -> Column:
-    """Runs of two or more capitalised words."""
-    return F.array_distinct(F.regexp_extract_all(question, F.lit(r"\b[A-Z][\w'.-]*(?:\s+[A-Z][\w'.-]*)+"), F.lit(0)))
+    """Runs of two or more capitalised words of two letters or more, in order, repeats included."""
+    return F.regexp_extract_all(question, F.lit(r"(?U)\b[A-Z][\w'-]+(?:\s+[A-Z][\w'-]+)+\b"), F.lit(0))
 
 
 def requests_column(question: Column, column: Column) -> Column:

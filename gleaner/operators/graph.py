@@ -15,10 +15,12 @@ from gleaner.functions import text as T
 from gleaner.session import materialize
 
 
-def split_self_loops(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges whose ends differ by key, and the rejected rest with a reason."""
-    loop = T.normalize_key(F.col("head")) == T.normalize_key(F.col("tail"))
-    return edges.where(~loop), edges.where(loop).withColumn("reason", F.lit("self_loop"))
+def insert(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Triples as edges with canonical relations, and those rejected because both ends are one name by key,
+    with the reason."""
+    rows = T.normalize_relations(triples, "relation", "_rel").withColumn("relation", F.col("_rel")).drop("_rel")
+    loop = F.coalesce(T.normalize_key(F.col("head")) == T.normalize_key(F.col("tail")), F.lit(False))
+    return rows.where(~loop), rows.where(loop).withColumn("reason", F.lit("self_loop"))
 
 
 def neighbors(edges: DataFrame, keys: list[str], outgoing: bool = True) -> DataFrame:

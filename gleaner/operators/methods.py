@@ -30,7 +30,7 @@ def facts(data: Dataset, top_k: int = 5) -> DataFrame:
     texts = context.join(best, [*KEY, "source_id"], "left_semi")
     found = tables.text_facts(texts, [*KEY, "source_type", "source_id", "position"], "text", "context_before")
     from_texts = found.select(*KEY, (F.lit(1 << 40) + F.col("position") * 8).cast("long").alias("edge_seq"), "head", "relation", "tail", "source_type", "source_id", F.lit(None).cast("int").alias("row_index"))
-    return graph.split_self_loops(from_cells.unionByName(from_texts))[0]
+    return graph.insert(from_cells.unionByName(from_texts))[0]
 
 
 def candidates(questions: DataFrame, edges: DataFrame) -> DataFrame:

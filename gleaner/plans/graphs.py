@@ -107,7 +107,7 @@ def kg_summary(spark: SparkSession, d: str) -> DataFrame:
 @query("kg_self_loops")
 def kg_self_loops(spark: SparkSession, d: str) -> DataFrame:
     """Rejected edges of all graphs."""
-    return graph.split_self_loops(edges(spark, d))[1].select(*Q, "edge_seq", "head", "tail", "reason")
+    return graph.insert(edges(spark, d))[1].select(*Q, "edge_seq", "head", "tail", "reason")
 
 
 @query("kg_is_empty", "SELECT DISTINCT q.question_id FROM sample_hybridqa q WHERE NOT EXISTS (SELECT 1 FROM triple t WHERE t.question_id = q.question_id)")

@@ -38,7 +38,9 @@ def test_relations(spark, name, relation):
 
 def test_numbers_and_literals(spark):
     assert [one(spark, T.number, x) for x in ("$1,200", "(200)", "x", None, "-.5", "1e3 (a)")] == [1200.0, -200.0, None, None, -0.5, -1000.0]
-    assert one(spark, T.last_number, "from 3 to 4,000.5") == 4000.5
+    assert [one(spark, T.number, x) for x in ("1234,567", ".5e3", "12,34")] == [1234567.0, 500.0, 12.0]
+    assert [one(spark, T.last_number, x) for x in ("from 3 to 4,000.5", "1e5", ".5", "-7,", "x")] == [4000.5, 5.0, 5.0, -7.0, None]
+    assert one(spark, T.direct_mentions, "Did Ann Lee or Bo-Ann O'Neil meet Ann Lee at U. S. Steel?") == ["Did Ann Lee", "Bo-Ann O'Neil", "Ann Lee"]
     assert one(spark, T.question_literals, "Was 21 % or $ 1,000 million in 2012 or 2012?") == ["21 %", "$ 1,000 million", "2012"]
     assert [one(spark, T.rank_constraint, x) for x in ("the second most", "the 12th", "none")] == ["2", "12", None]
     assert [one(spark, T.target_attribute, x) for x in ("whose hat", "who is it", "What is the middle name")] == [None, "person", "middle_name"]
@@ -71,7 +73,7 @@ def edges(spark, rows):
 
 def test_self_loops_and_parallel_edges(spark):
     e = edges(spark, [("A", "r", "a!", "table"), ("A", "r", "B", "table"), ("A", "r", "B", "text")])
-    kept, out = graph.split_self_loops(e)
+    kept, out = graph.insert(e)
     assert out.count() == 1 and graph.neighbors(kept, ["g"]).count() == 1
     assert len(graph.evidence(kept, ["g"]).first()["evidence"]) == 2
 
