@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import leakage, lookalike, oracles, sampling, splits, subjects, tokenize
-from gleaner.session import table
+from gleaner.session import materialize, table
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LOOKS = ["head", "relation", "tail"]
@@ -67,25 +67,27 @@ def p3_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.groupBy("plan_id", "category").agg(F.count("*").alias("n"), F.countDistinct("question_id").alias("n_different"), F.count("_fits").alias("n_of_category"))
 
 
-def _question_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "sample_hybridqa").where("question_id is not null")
-    return rows.select("question_id", "table_id", "split", splits.page_of(F.col("table_id")).alias("page"), sampling.answer_source(F.col("answer_node")).alias("label"))
-
-
-def _components(rows: DataFrame) -> DataFrame:
+def _components(questions: DataFrame) -> DataFrame:
     """``question_id, component``: questions name tables in whatever way they are written, and every way of
-    writing is a record that names its page."""
-    named = rows.where("page is not null").select("question_id", "table_id", "page").distinct()
-    tables = named.select(F.concat(F.lit("t:"), "table_id").alias("record"), F.inline(F.array(F.struct(F.concat(F.lit("t:"), "table_id").alias("entity")), F.struct(F.concat(F.lit("p:"), "page").alias("entity"))))).distinct()
-    edges = named.select(F.concat(F.lit("q:"), "question_id").alias("record"), F.concat(F.lit("t:"), "table_id").alias("entity")).unionByName(tables)
+    writing, read once, is a record that names its page."""
+    rows = questions.select("question_id", "table_id").distinct()
+    ways = rows.select("table_id").distinct().withColumn("page", splits.page_of(F.col("table_id"))).where("page is not null")
+    ways = materialize(ways, "ways")
+    named = rows.join(ways.select("table_id"), "table_id")
+    both = F.array(F.struct(F.concat(F.lit("t:"), "table_id").alias("entity")), F.struct(F.concat(F.lit("p:"), "page").alias("entity")))
+    edges = named.select(F.concat(F.lit("q:"), "question_id").alias("record"), F.concat(F.lit("t:"), "table_id").alias("entity")).unionByName(ways.select(F.concat(F.lit("t:"), "table_id").alias("record"), F.inline(both)))
     found = splits.components(edges, "record", "entity").where(F.startswith("record", F.lit("q:")))
     return found.select(F.substring("record", 3, 1 << 30).alias("question_id"), "component")
 
 
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "sample_hybridqa").where("question_id is not null")
+
+
 @_query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions related to one that the present column puts into another split."""
-    rows = _question_pages(spark, sf_dir)
+    rows = _questions(spark, sf_dir)
     records = rows.select("question_id", "split").distinct().join(_components(rows), "question_id")
     return splits.divided(records, "question_id", "component", "split")
 
@@ -93,8 +95,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new split of every question, whole pages together, shares of split_target."""
-    rows = _question_pages(spark, sf_dir)
-    records = rows.groupBy("question_id").agg(F.max("label").alias("label")).join(_components(rows), "question_id", "left")
+    rows = _questions(spark, sf_dir)
+    records = rows.groupBy("question_id").agg(F.max(sampling.answer_source(F.col("answer_node"))).alias("label")).join(_components(rows), "question_id", "left")
     most = 1000  # splits; more are an error
     targets = [(r["split"], r["target_share"]) for r in table(spark, sf_dir, "split_target").orderBy("split").limit(most + 1).collect()]
     if len(targets) > most:
@@ -106,7 +108,8 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each new split: whether its share and its shares of labels are within 0.02 of the target's and
     the whole's, and how many of its questions have a related one elsewhere."""
-    rows, made = _question_pages(spark, sf_dir), p5_splits(spark, sf_dir).select("question_id", F.col("split").alias("made"))
+    rows = _questions(spark, sf_dir).select("question_id", splits.page_of(F.col("table_id")).alias("page"), sampling.answer_source(F.col("answer_node")).alias("label"))
+    made = p5_splits(spark, sf_dir).select("question_id", F.col("split").alias("made"))
     labels = made.join(rows.groupBy("question_id").agg(F.max("label").alias("label")), "question_id")
     n = labels.groupBy("made", "label").agg(F.count("*").alias("n")).withColumn("of_split", F.sum("n").over(Window.partitionBy("made"))).withColumn("of_label", F.sum("n").over(Window.partitionBy("label")))
     total = labels.agg(F.count("*").alias("total"))

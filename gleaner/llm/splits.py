@@ -70,9 +70,8 @@ def components(edges: DataFrame, record: str, entity: str) -> DataFrame:
     iteration.  Labels move by minimum aggregates (combined before the shuffle, so hot entities cost
     one row a task) and jump to the label of their label, which halves the distance in every round.
     """
-    edges = edges.select(F.col(record).alias("_r"), F.col(entity).alias("_e")).where("_r is not null and _e is not null")
-    ends = edges.groupBy("_r").agg(F.min("_e").alias("_lo"), F.max("_e").alias("_hi"))
-    ends = materialize(ends, "ends")
+    edges = materialize(edges.select(F.col(record).alias("_r"), F.col(entity).alias("_e")).where("_r is not null and _e is not null"), "edges")
+    ends = materialize(edges.groupBy("_r").agg(F.min("_e").alias("_lo"), F.max("_e").alias("_hi")), "ends")
     joined = ends.where("_lo <> _hi").select("_r")
     if joined.isEmpty():
         return ends.select(F.col("_r").alias(record), F.col("_lo").alias("component"))
@@ -81,12 +80,13 @@ def components(edges: DataFrame, record: str, entity: str) -> DataFrame:
     for _ in range(ROUNDS):
         records = links.join(labels, "_e").groupBy("_r").agg(F.min("_l").alias("_l"))
         moved = links.join(records, "_r").groupBy("_e").agg(F.min("_l").alias("_m"))
-        moved = labels.join(moved, "_e").select("_e", "_l", F.least("_l", "_m").alias("_m"))
-        jump = moved.select(F.col("_e").alias("_m"), F.col("_m").alias("_j"))
-        moved = materialize(moved.join(jump, "_m", "left").select("_e", F.least(F.coalesce("_j", "_m"), "_m").alias("_m"), "_l"), "labels")
-        labels = moved.select("_e", F.col("_m").alias("_l"))
+        moved = materialize(labels.join(moved, "_e").select("_e", "_l", F.least("_l", "_m").alias("_m")), "moved")
         if moved.where("_m <> _l").isEmpty():
+            labels = moved.select("_e", "_l")
             break
+        # labels jump to the label of their label
+        jump = moved.select(F.col("_e").alias("_m"), F.col("_m").alias("_j"))
+        labels = materialize(moved.join(jump, "_m", "left").select("_e", F.least(F.coalesce("_j", "_m"), "_m").alias("_l")), "labels")
     else:
         raise RuntimeError(f"labels still moved after {ROUNDS} rounds")
     return ends.join(labels, ends["_lo"] == labels["_e"], "left").select(F.col("_r").alias(record), F.coalesce("_l", "_lo").alias("component"))
