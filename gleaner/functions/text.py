@@ -14,7 +14,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: Aliases and canonical names of relations and entities.
 RELATION_ALIASES = {
@@ -227,6 +227,25 @@ def direct_mentions(question: Column) -> Column:
     return F.regexp_extract_all(question, F.lit(r"(?U)\b[A-Z][\w'-]+(?:\s+[A-Z][\w'-]+)+\b"), F.lit(0))
 
 
+def row_entity(cells: Column) -> Column:
+    """The entity of a row of ``struct(col_index, column_name, value)`` cells: the first non-blank cell of an
+    entity column, else the first that is no rank; null if there is none."""
+    name = lambda c: F.lower(c["column_name"])
+    kept = F.filter(F.array_sort(cells), lambda c: clean(c["value"]) != "")
+    named = F.filter(kept, lambda c: name(c).rlike("|".join(ENTITY_COLUMNS)))
+    other = F.filter(kept, lambda c: ~F.contains(name(c), F.lit("rank")))
+    return clean(F.coalesce(F.get(named, F.lit(0)), F.get(other, F.lit(0)))["value"])
+
+
+def answer_column(cells: Column, question: Column) -> Column:
+    """The column of a row that should hold the answer: the first entity-like column that the question names,
+    else the first entity-like one, else the first."""
+    names = F.transform(F.array_sort(cells), lambda c: clean(c["column_name"]))
+    fit = F.filter(names, lambda n: F.lower(n).rlike("|".join(ANSWER_COLUMNS)))
+    asked = F.filter(fit, lambda n: F.contains(F.lower(question), F.lower(n)))
+    return F.coalesce(F.get(asked, F.lit(0)), F.get(fit, F.lit(0)), F.get(names, F.lit(0)))
+
+
 def requests_column(question: Column, column: Column) -> Column:
     """Whether a which, what or who question names the column as a whole word."""
     x, key = F.lower(question), F.lower(clean(column))
@@ -261,6 +280,32 @@ def operation_intent(question: Column, relations: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*[F.when(rule, op) for rule, op in rules])))
 
 
+def operation_constraints(question: Column, relations: Column) -> Column:
+    """What a program for a question must heed, as codes in rule order; ``interest_years=n`` tells the length
+    of the period in years, both ends included."""
+    t = F.array_join(F.regexp_extract_all(F.lower(question), F.lit(r"[a-z0-9]+"), F.lit(0)), " ")
+    combined = F.concat(F.lit(" "), t).rlike(" combined|together")
+    share = t.rlike("proportion|percent")
+    ends = [F.regexp_extract(t, r"\bfrom\s+(20\d{2})\s+to\s+(20\d{2})\b", i) for i in (1, 2)]
+    rules = [
+        (combined & share & F.exists(relations, lambda r: r.rlike("percent")), F.lit("add_displayed_shares")),
+        (t.rlike("average"), F.lit("average_of_displayed_values")),
+        (t.rlike("range"), F.lit("range_is_greatest_then_least")),
+        (t.rlike("outperform|greater than|higher than"), F.lit("compare_both_values")),
+        (share & ~combined, F.lit("share_needs_both_parts")),
+        (t.rlike("interest") & (ends[0] != "") & F.array_contains(relations, "annual_interest_amount"), F.concat(F.lit("interest_years="), (ends[1].try_cast("int") - ends[0].try_cast("int") + 1).cast("string"))),
+        (t.rlike(r"\bfrom\b.+\bto\b"), F.lit("change_is_last_less_first")),
+        (t.rlike("total"), F.lit("total_may_name_a_row")),
+    ]
+    return F.array_compact(F.array(*[F.when(rule, code) for rule, code in rules]))
+
+
+def format_intent(operators: Column, constraints: Column) -> Column:
+    """Operators and constraints of a question as one line, for a prompt."""
+    listed = F.when(F.size(operators) > 0, F.array_join(operators, ", ")).otherwise("any")
+    return F.when((F.size(operators) == 0) & (F.size(constraints) == 0), "no constraint").otherwise(F.concat(F.lit("operators: "), listed, F.lit("; heed: "), F.array_join(constraints, ", ")))
+
+
 def query_expansions(question: Column, headers: Column) -> Column:
     """Extra retrieval queries of a question, and up to twenty headers as one more."""
     x = F.lower(question)
@@ -292,6 +337,27 @@ def value_key(values: Column) -> Column:
     return F.to_json(F.array_sort(values))
 
 
+def _flat(value) -> set[str]:
+    if isinstance(value, (list, dict)):
+        return {t for x in (value.values() if isinstance(value, dict) else value) for t in _flat(x)}
+    key = _key(str(value))
+    return {key} if key else set()
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def value_terms(value: pd.Series) -> pd.Series:
+    """The sorted keys of all scalars in a JSON value, however deep; a text that is no JSON is one scalar."""
+    import json
+
+    def terms_of(x: str) -> list[str]:
+        try:
+            return sorted(_flat(json.loads(x)))
+        except ValueError:
+            return sorted(_flat(x))
+
+    return value.map(terms_of, na_action="ignore")
+
+
 def is_numeric(text: Column) -> Column:
     return F.regexp_replace(F.trim(F.replace(text, F.lit(","), F.lit(""))), r"%+$", "").try_cast("double").isNotNull()
 

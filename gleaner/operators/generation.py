@@ -10,8 +10,9 @@ import ast
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gleaner.functions.text import parse_json_list
 from gleaner.operators import ir
@@ -110,3 +111,56 @@ def code_problem(code: str, relations: set[str] | None = None) -> str | None:
     if not has_result:
         return "no result"
     return "constant result" if isinstance(constants.get("result"), str) else None
+
+
+def _readers(df: DataFrame, key: str, read: Callable[[str | None], list[tuple]], fields: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for row in read(text):
+                    at.append(i)
+                    rows.append(row)
+            columns = list(zip(*rows)) if rows else [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(columns, fields))], ["_key", *(n for n, _ in fields)])
+
+    return df.select(F.col(key).alias("_key"), "completion").mapInArrow(run, f"_key {kind}, {ddl}").withColumnRenamed("_key", key)
+
+
+def facts_of(completions: DataFrame, key: str) -> DataFrame:
+    """``key, head, relation, tail`` of all completions."""
+    text = pa.string()
+    return _readers(completions, key, read_facts, [("head", text), ("relation", text), ("tail", text)], "head string, relation string, tail string")
+
+
+def paths_of(completions: DataFrame, key: str) -> DataFrame:
+    """``key, path_id, goals``: the reasoning paths of all completions, goals in order."""
+    rows = lambda text: [(p["path_id"], [s["goal"] for s in p["steps"]]) for p in read_paths(text)]
+    return _readers(completions, key, rows, [("path_id", pa.string()), ("goals", pa.list_(pa.string()))], "path_id string, goals array<string>")
+
+
+def problems_of(code: Column, relations: list[str] | None = None) -> Column:
+    """``code_problem`` of a column; the code is never run."""
+    known = None if relations is None else set(relations)
+    check = lambda s: s.map(lambda c: code_problem(c, known), na_action="ignore")
+    return F.pandas_udf(check, StringType(), F.PandasUDFType.SCALAR)(code)
+
+
+def batches_of(cells: DataFrame, keys: list[str], size: int = 5) -> DataFrame:
+    """``keys, batch, rows``: the rows of every table as JSON in batches of ``size`` rows, for prompts; a table
+    without rows has one empty batch (batch 0) only where ``cells`` has a row of null ``row_index`` for it."""
+    row = F.struct("col_index", "column_name", "value")
+    rows = cells.groupBy(*keys, "row_index").agg(F.sort_array(F.collect_list(row)).alias("_cells"))
+    text = F.to_json(F.map_from_entries(F.transform("_cells", lambda c: F.struct(c["column_name"], c["value"]))))
+    rows = rows.withColumn("batch", F.coalesce(F.floor(F.col("row_index") / size), F.lit(0)).cast("int"))
+    item = F.when(F.col("row_index").isNotNull(), F.struct("row_index", text.alias("t")))
+    return rows.groupBy(*keys, "batch").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["t"]).alias("rows"))
+
+
+def logged(completions: DataFrame, path: str, content: bool = False) -> None:
+    """Append one JSON line a completion: its key, length and, if asked for, its text."""
+    columns = [c for c in completions.columns if c != "completion"]
+    rows = completions.select(*columns, F.length("completion").alias("chars"), *([F.col("completion")] if content else []))
+    rows.write.mode("append").json(path)

@@ -7,6 +7,8 @@ from gleaner.functions import text as T
 WHITE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+"
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NARROW = "".join(map(chr, range(0x21, 0x7F)))
+#: Superscripts that are plain digits to a key.
+_RAISED, _PLAIN = "⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789"
 
 
 def quoted(text: str) -> str:
@@ -15,7 +17,7 @@ def quoted(text: str) -> str:
 
 def key(x: str) -> str:
     """A name without accents, case and punctuation."""
-    plain = f"translate({x}, {quoted(_WIDE)}, {quoted(_NARROW)})"
+    plain = f"translate({x}, {quoted(_WIDE + _RAISED)}, {quoted(_NARROW + _PLAIN)})"
     return rf"trim(regexp_replace(replace(lower(strip_accents({plain})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
 
 
