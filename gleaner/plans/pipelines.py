@@ -91,12 +91,3 @@ def program_attributes(spark: SparkSession, d: str) -> DataFrame:
     rows = steps.groupBy("program_id").agg(F.max_by("op", F.struct("step_pos", "step_id")).alias("last_op"), F.count("*").alias("k"))
     bucket = F.when(F.col("k") <= 1, "1").when(F.col("k") == 2, "2").otherwise("3+")
     return rows.groupBy("last_op", bucket.alias("bucket")).agg(F.count("*").alias("n"))
-
-
-@query("step_accuracy", "SELECT program_id, round(CAST(n_same AS DOUBLE) / n, 6) AS accuracy FROM (SELECT program_id, count(*) AS n, count(*) FILTER (op = prev) AS n_same FROM (SELECT program_id, op, lag(op, 1, op) OVER (PARTITION BY program_id ORDER BY step_pos, step_id) AS prev FROM (SELECT DISTINCT program_id, step_id, step_pos, op FROM irstep)) GROUP BY 1)")
-def step_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    """Each program's operators against the same list one step later (its first one kept)."""
-    steps = table(spark, d, "irstep").select("program_id", "step_id", "step_pos", "op").distinct()
-    rows = steps.groupBy("program_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("step_pos", "step_id", "op"))), lambda s: s["op"]).alias("ops"))
-    moved = F.concat(F.slice("ops", 1, 1), F.expr("slice(ops, 1, size(ops) - 1)"))
-    return rows.select("program_id", F.round(score.step_accuracy(moved, F.col("ops")), 6).alias("accuracy"))

@@ -33,7 +33,7 @@ def relation(x: str) -> str:
 
 def answer(x: str) -> str:
     """An answer without case, punctuation, articles and repeated spaces."""
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(?:a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(?:a|an|the)\b', ' ', 'g'), '{WHITE}', ' ', 'g'), ' ')"
 
 
 def number(x: str) -> str:

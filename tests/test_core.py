@@ -208,12 +208,22 @@ def test_gates(spark):
 def test_metrics(spark):
     df = spark.createDataFrame([("The United States", "USA", "x 51.0", "51"), ("a", "a b", "87.62636", "0.8762636"), ("", "", "yes", "Yes"), (None, "x", None, "3")], "p string, g string, m string, n string")
     rows = df.select(score.exact_match(F.col("p"), F.col("g")), score.semantic_match(F.col("p"), F.col("g")), F.round(score.token_f1(F.col("p"), F.col("g")), 4), score.execution_match(F.col("m"), F.col("n")), score.ratio_match(F.col("m"), F.col("n"))).collect()
-    assert [tuple(r) for r in rows[:3]] == [(0.0, 1.0, 0.0, 1.0, 1.0), (0.0, 0.0, 0.0, 0.0, 1.0), (1.0, 1.0, 1.0, 1.0, 0.0)]
+    assert [tuple(r) for r in rows[:3]] == [(0.0, 1.0, 0.0, 1.0, 1.0), (0.0, 0.0, 0.0, 0.0, 1.0), (1.0, 1.0, 1.0, 1.0, 1.0)]
     g = spark.createDataFrame([(["a"], ["a", "b", "c"]), ([], ["a"]), (["a"], [])], "p array<string>, g array<string>")
-    assert [tuple(r) for r in g.select(*score.grounding(F.col("p"), F.col("g"))).collect()] == [(1.0, pytest.approx(1 / 3)), (None, 0.0), (None, None)]
-    d = spark.createDataFrame([([1.11111, 2.0], [2.0, 1.111111]), ([0.876264], [87.6264])], "p array<double>, g array<double>")
-    assert [tuple(r) for r in d.select(score.denotation_match(F.col("p"), F.col("g")), score.denotation_match(F.col("p"), F.col("g"), True)).collect()] == [(1.0, 1.0), (0.0, 1.0)]
-    assert spark.createDataFrame([(0.123455, 0.1234550001)], "a double, b double").select(score.rounded_equal("a", "b")).first()[0] in (0.0, 1.0)
+    assert [tuple(r) for r in g.select(*score.grounding(F.col("p"), F.col("g"))).collect()] == [(1.0, pytest.approx(1 / 3)), (0.0, 0.0), (None, None)]
+    d = spark.createDataFrame([(["1.11111"], ["1.111111"]), (["0.876264"], ["87.6264"]), (["b", "The A"], ["a", "B"]), (["1", "2"], ["1", "3"]), (["51"], ["x 51.0"]), (["yes"], ["Yes!"])], "p array<string>, g array<string>")
+    got = [tuple(r) for r in d.select(score.denotation_match(F.col("p"), F.col("g")), score.denotation_match(F.col("p"), F.col("g"), True)).collect()]
+    assert got == [(1.0, 1.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0), (1.0, 1.0), (1.0, 1.0)]
+
+
+@pytest.mark.parametrize("x", [0.0, 1.0, -2143.0, 0.5703125, 1234567.25, 123456789012.5, 1e15, 1e16, 2.5e20, 0.0001, 0.00001, -1.5e-7, 3.0e-10])
+def test_numbers_as_python_writes_them(spark, x):
+    assert spark.createDataFrame([(x,)], "x double").select(score.python_number(F.col("x"))).first()[0] == str(x)
+
+
+def test_answers(spark):
+    df = spark.createDataFrame([("Ann", None, None, "ann!"), ("Ann", None, None, "Bob"), ("x", 2.5, None, "y"), ("x", None, False, None)], "v string, n double, t boolean, a string")
+    assert [r[0] for r in df.select(score.render(*map(F.col, "vnta"))).collect()] == ["ann!", "Ann", "2.5", "no"]
 
 
 def test_balanced_shards(spark):
@@ -269,9 +279,9 @@ def test_constraints_ids_and_macros(spark):
     ents = spark.createDataFrame([("q", "Red Town"), ("q", "Blue Town")], "q string, entity string")
     items = spark.createDataFrame([(1, "rain in red town"), (2, "sun in blue town"), (3, "rain rain"), (4, "other words here"), (5, "more of those")], "d int, b string")
     assert [r["d"] for r in retrieval.constraint_top_k(q, "q", "t", ents, items, "d", "b", 5).orderBy("rank").collect()] == [1, 2]
-    df = spark.createDataFrame([("table", 4, "x", ["add", "add", "divide"]), ("text", None, "r:text:7", ["add", "divide", "add"]), ("web", None, "url", [])], "s string, r int, i string, o array<string>")
-    got = df.select(score.evidence_id(F.col("s"), F.col("r"), F.col("i")), score.as_macro(F.col("o"))).collect()
-    assert [tuple(r) for r in got] == [("table_5", ["table_average"]), ("text_7", ["add", "divide", "add"]), (None, [])]
+    df = spark.createDataFrame([("table", 4, "x"), ("text", None, "r:text:7"), ("text", None, "r:post:7"), ("web", None, "url7")], "s string, r int, i string")
+    got = df.select(score.evidence_id(F.col("s"), F.col("r"), F.col("i"))).collect()
+    assert [r[0] for r in got] == ["table_5", "text_7", None, None]
     cells = spark.createDataFrame([("q", "t", 0, j, n, v) for j, (n, v) in enumerate([("Rank", "2"), ("Year", "1999"), ("Player", "Ann Lee")])], "q string, table_name string, row_index int, col_index int, column_name string, value string")
     ranked = retrieval.ranked_entities(spark.createDataFrame([("q", "Who is the second most?")], "q string, t string"), "q", "t", cells, [])
     assert ranked.collect()[0]["entity"] == "Ann Lee"
