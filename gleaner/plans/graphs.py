@@ -45,18 +45,6 @@ def unique_headers(spark: SparkSession, d: str) -> DataFrame:
     return tables.unique_names(cells, ["table_id"])
 
 
-@query("matrix_to_rows")
-def matrix_to_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The cells of all delivered matrices under flat headers."""
-    return tables.matrix_cells(table(spark, d, "hitab"), "table_id", "texts")
-
-
-@query("text_facts")
-def text_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Facts that patterns find in all documents."""
-    return tables.text_facts(table(spark, d, "documents"), ["doc_id"], "text")
-
-
 @query("context_before", "SELECT doc_id, concat_ws(' ', lag(n_chars, 2) OVER w, lag(n_chars, 1) OVER w) AS context_before FROM documents WINDOW w AS (PARTITION BY source_id ORDER BY doc_id)")
 def context_before(spark: SparkSession, d: str) -> DataFrame:
     """The lengths of the two documents before each one of the same source."""

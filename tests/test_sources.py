@@ -32,7 +32,7 @@ def test_reports(spark, tmp_path):
     data = adapters.load_reports(spark, str(tmp_path / "f.json"))
     assert [(r["source_id"], r["text"]) for r in data.passages.orderBy("position").collect()] == [("r:text:0", "one"), ("r:text:1", "two")]
     assert data.questions.first()["answer"] == "0.05"
-    assert {(r["column_name"], r["value"]) for r in data.cells.collect()} == {("column_0", "sales"), ("2012", "5")}
+    assert {(r["column_name"], r["value"]) for r in data.cells.collect()} == {("column_0", "sales"), ("2012_period", "5")}
     assert [r["text"] for r in adapters.oracle_evidence(data).collect()] == ["two"]
     with pytest.raises(ValueError):
         adapters.load_reports(spark, str(tmp_path / "f.json"), "other")
