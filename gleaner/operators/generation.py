@@ -153,7 +153,7 @@ def batches_of(cells: DataFrame, keys: list[str], size: int = 5) -> DataFrame:
     without rows has one empty batch (batch 0) only where ``cells`` has a row of null ``row_index`` for it."""
     row = F.struct("col_index", "column_name", "value")
     rows = cells.groupBy(*keys, "row_index").agg(F.sort_array(F.collect_list(row)).alias("_cells"))
-    text = F.to_json(F.map_from_entries(F.transform("_cells", lambda c: F.struct(c["column_name"], c["value"]))))
+    text = F.to_json(F.transform("_cells", lambda c: F.struct(c["column_name"].alias("column"), c["value"].alias("value"))))
     rows = rows.withColumn("batch", F.coalesce(F.floor(F.col("row_index") / size), F.lit(0)).cast("int"))
     item = F.when(F.col("row_index").isNotNull(), F.struct("row_index", text.alias("t")))
     return rows.groupBy(*keys, "batch").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["t"]).alias("rows"))

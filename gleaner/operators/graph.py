@@ -15,6 +15,9 @@ from gleaner.functions import text as T
 from gleaner.session import materialize
 
 
+TIERS = ["lexical", "alias", "structural", "semantic"]
+
+
 def insert(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Triples as edges with canonical relations, and those rejected because both ends are one name by key,
     with the reason."""
@@ -46,10 +49,25 @@ def nodes(edges: DataFrame, keys: list[str]) -> DataFrame:
     return ends.groupBy(*keys, "node").agg((F.max("o") > 0).alias("has_out"), (F.max("i") > 0).alias("has_in"), F.min("edge_seq").alias("first_seq"))
 
 
-def summary(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Sizes and relations of every graph."""
+def summary(edges: DataFrame, keys: list[str], log: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
+    """Sizes and relations of every graph; with a resolution ``log`` also the number of aliases and of merges by
+    tier, with ``rejected`` triples their number."""
     ends = edges.select(*keys, "relation", F.explode(F.array("head", "tail")).alias("node"))
-    return ends.groupBy(*keys).agg((F.count("*") / 2).cast("long").alias("n_edges"), F.countDistinct("node").alias("n_nodes"), F.array_join(F.array_sort(F.collect_set("relation")), "|").alias("relations"))
+    out = ends.groupBy(*keys).agg((F.count("*") / 2).cast("long").alias("n_edges"), F.countDistinct("node").alias("n_nodes"), F.array_join(F.array_sort(F.collect_set("relation")), "|").alias("relations"))
+    if log is not None:
+        tiers = log.groupBy(*keys).agg(F.countDistinct("node").alias("n_aliases"), *[F.count_if(F.col("tier") == t).alias(f"n_{t}") for t in TIERS])
+        out = out.join(tiers, keys, "left").na.fill(0, ["n_aliases", *(f"n_{t}" for t in TIERS)])
+    if rejected is not None:
+        out = out.join(rejected.groupBy(*keys).agg(F.count("*").alias("n_rejected")), keys, "left").na.fill(0, ["n_rejected"])
+    return out
+
+
+def nodes_by_key(found: DataFrame, names: DataFrame, keys: list[str], asked: DataFrame) -> DataFrame:
+    """``asked`` (``keys, name``) with the ``node`` that each name stands for: itself if it is a node, else the node
+    of its key in ``names`` (see ``query_index``), else the name as it is."""
+    own = found.select(*keys, F.col("node").alias("name"), F.lit(True).alias("_own"))
+    rows = asked.join(own, [*keys, "name"], "left").withColumn("key", T.normalize_key(F.col("name"))).join(names.withColumnRenamed("node", "_node"), [*keys, "key"], "left")
+    return rows.withColumn("node", F.when(F.col("_own"), F.col("name")).otherwise(F.coalesce("_node", "name"))).drop("_own", "_node", "key")
 
 
 def structure(cells: DataFrame) -> DataFrame:
@@ -152,6 +170,18 @@ def merge(edges: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("head", F.coalesce("_h", "head")).withColumn("tail", F.coalesce("_t", "tail")).select(*edges.columns)
 
 
+def flat_aliases(log: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, node, canonical``: the aliases of a log with the name that they stand for in the end; a name merged in
+    one tier may be merged again in a later one."""
+    out = log.where(F.col("tier") == TIERS[-1]).select(*keys, "node", "canonical")
+    for tier in reversed(TIERS[:-1]):
+        own = log.where(F.col("tier") == tier).select(*keys, "node", "canonical")
+        later = out.select(*keys, F.col("node").alias("canonical"), F.col("canonical").alias("_c"))
+        moved = own.join(later, [*keys, "canonical"], "left").select(*keys, "node", F.coalesce("_c", "canonical").alias("canonical"))
+        out = moved.unionByName(out.join(moved.select(*keys, "node"), [*keys, "node"], "left_anti"))
+    return out
+
+
 def resolve(edges: DataFrame, keys: list[str], extra: dict[str, str] | None = None, similar: Callable[[Column, Column], Column] = T.similarity) -> tuple[DataFrame, DataFrame]:
     """Edges after all tiers, and the log ``keys, node, canonical, tier, score`` of what was merged."""
     log = None
@@ -173,21 +203,36 @@ def query_index(found: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFr
     return own.unionByName(core).unionByName(other).groupBy(*keys, "key").agg(F.min_by("node", F.struct("_p", "node")).alias("node"))
 
 
-def to_trace(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Each graph as one JSON document with its nodes and edges."""
-    edge = F.struct("edge_seq", "head", "relation", "tail", "source_type", "source_id")
-    return edges.groupBy(*keys).agg(F.to_json(F.struct(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("head", "tail"))))).alias("nodes"), F.sort_array(F.collect_list(edge)).alias("edges"))).alias("trace"))
-
-
-def to_dot(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Each graph in the DOT language: values (never a head) as ellipses, table facts blue, others
-    orange."""
+def to_trace(edges: DataFrame, keys: list[str], aliases: DataFrame | None = None) -> DataFrame:
+    """Each graph as one JSON document: nodes with their types (entities are heads, attributes tails), edges with
+    their provenance, and aliases."""
+    edge = F.struct("edge_seq", "head", "relation", "tail", *[c for c in ("source_type", "source_id", "source_group", "row_index") if c in edges.columns])
+    listed = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    kinds = F.filter(F.array(F.when(F.col("has_in"), "Attribute"), F.when(F.col("has_out"), "Entity")), lambda x: x.isNotNull())
+    typed = nodes(edges, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("node").alias("id"), kinds.alias("types")))).alias("nodes"))
+    out = listed.join(typed, keys)
+    if aliases is None:
+        out = out.withColumn("aliases", F.array().cast("array<struct<alias: string, canonical: string>>"))
+    else:
+        named = aliases.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("node").alias("alias"), "canonical"))).alias("aliases"))
+        out = out.join(named, keys, "left").withColumn("aliases", F.coalesce("aliases", F.array().cast(named.schema["aliases"].dataType)))
+    return out.select(*keys, F.to_json(F.struct("nodes", "edges", "aliases")).alias("trace"))
+
+
+def to_dot(edges: DataFrame, keys: list[str], aliases: DataFrame | None = None) -> DataFrame:
+    """Each graph in the DOT language: values (never a head) as ellipses, table facts blue, others orange, aliases as
+    dashed notes beside their names."""
     quote = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    heads = edges.select(*keys, F.col("head").alias("node")).distinct().withColumn("_h", F.lit(True))
-    ends = nodes(edges, keys).join(heads, [*keys, "node"], "left")
-    shape = F.when(F.col("_h"), "box").otherwise("ellipse")
-    node_lines = ends.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.concat(quote("node"), F.lit(" [shape="), shape, F.lit("];")))), "\n").alias("_n"))
+    shape = F.when(F.col("has_out"), "box").otherwise("ellipse")
+    lines = [nodes(edges, keys).select(*keys, F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("s"), F.concat(quote("node"), F.lit(" [shape="), shape, F.lit("];")).alias("t")).alias("l"))]
     colour = F.when(F.col("source_type") == "table", "blue").otherwise("orange")
     line = F.concat(quote("head"), F.lit(" -> "), quote("tail"), F.lit(" [label="), quote("relation"), F.lit(", color="), colour, F.lit("];"))
-    edge_lines = edges.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("edge_seq", line.alias("l")))), lambda x: x["l"]), "\n").alias("_e"))
-    return node_lines.join(edge_lines, keys).select(*keys, F.concat(F.lit("digraph facts {\n"), "_n", F.lit("\n"), "_e", F.lit("\n}")).alias("dot"))
+    lines.append(edges.select(*keys, F.struct(F.lit(1).alias("k"), F.col("edge_seq").cast("long").alias("s"), line.alias("t")).alias("l")))
+    if aliases is not None:
+        note = F.concat(quote("node"), F.lit(" [shape=note, style=dashed];\n"), quote("node"), F.lit(" -> "), quote("canonical"), F.lit(" [style=dashed];"))
+        lines.append(aliases.select(*keys, F.struct(F.lit(2).alias("k"), F.lit(0).cast("long").alias("s"), note.alias("t")).alias("l")))
+    rows = lines[0]
+    for more in lines[1:]:
+        rows = rows.unionByName(more)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["t"]), "\n")
+    return rows.groupBy(*keys).agg(F.concat(F.lit("digraph facts {\n"), body, F.lit("\n}")).alias("dot"))

@@ -17,45 +17,56 @@ from gleaner.sources.adapters import Dataset, documents, oracle_evidence
 KEY = ["question_id"]
 
 
-def facts(data: Dataset, top_k: int = 5) -> DataFrame:
-    """Edges of every question's graph: all table cells, and what patterns find in its best passages.
+def facts(data: Dataset, top_k: int = 5, budget: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Edges of every question's graph, all table cells and what is found in its best passages of both stages; and
+    the constraints of its tables.
 
     Self loops are left out.  ``edge_seq`` orders cells before texts, by place."""
     cells = tables.cell_facts(data.cells, ["question_id", "table_name"])
     cell_seq = F.row_number().over(Window.partitionBy(*KEY).orderBy("table_name", "row_index", "column_name"))
-    from_cells = cells.select(*KEY, cell_seq.cast("long").alias("edge_seq"), "head", T.relation_key(F.col("relation")).alias("relation"), "tail", F.lit("table").alias("source_type"), F.col("table_name").alias("source_id"), "row_index")
-    ranked = retrieval.bm25_within(data.questions, "question", data.passages, "question_id", "source_id", "text")
-    best = retrieval.top_k(ranked, "question_id", "source_id", top_k).select(*KEY, "source_id")
+    from_cells = cells.select(*KEY, cell_seq.cast("long").alias("edge_seq"), "head", "relation", "tail", F.lit("table").alias("source_type"), F.col("table_name").alias("source_id"), "row_index")
+    best, constraints = retrieval.retrieve(data.questions, data.cells, data.passages, top_k, budget)
     context = tables.passage_context(data.passages, KEY, "position", "text")
-    texts = context.join(best, [*KEY, "source_id"], "left_semi")
+    texts = context.join(best.select(*KEY, "source_id"), [*KEY, "source_id"], "left_semi")
     found = tables.text_facts(texts, [*KEY, "source_type", "source_id", "position"], "text", "context_before")
     from_texts = found.select(*KEY, (F.lit(1 << 40) + F.col("position") * 8).cast("long").alias("edge_seq"), "head", "relation", "tail", "source_type", "source_id", F.lit(None).cast("int").alias("row_index"))
-    return graph.insert(from_cells.unionByName(from_texts))[0]
+    return graph.insert(from_cells.unionByName(from_texts))[0], constraints
 
 
 def candidates(questions: DataFrame, edges: DataFrame) -> DataFrame:
-    """Executed candidate answers of templates and anchored search, with their evidence."""
+    """Executed candidate answers of all templates and of anchored search, with their evidence."""
     q = questions.select(*KEY, "question", F.col("question_id").alias("q"))
     ref = F.struct("source_type", "source_id", "head", "relation", "tail")
     found = search.symbolic_search(q, "q", "question", edges, KEY).select(F.col("q").alias("question_id"), F.col("answer").alias("value"), "relation", "hops", "place")
     own = edges.select(*KEY, "relation", F.col("tail").alias("value"), ref.alias("ref"))
     paths = found.join(own, [*KEY, "relation", "value"]).groupBy(*KEY, "value", "relation", "hops", "place").agg(F.collect_set("ref").alias("evidence"))
     paths = paths.select(*KEY, (F.col("place") + 100).alias("candidate_pos"), "value", "evidence", F.size("evidence").alias("accessed"), F.col("hops").alias("n_steps"))
-    made = templates.row_aggregate(q, "q", "question", edges, KEY).select(F.col("q").alias("question_id"), "node", F.col("value").cast("string").alias("value"))
-    rows = edges.where("source_type = 'table'").select(*KEY, F.col("head").alias("node"), ref.alias("ref"))
-    made = made.join(rows, [*KEY, "node"]).groupBy(*KEY, "value").agg(F.collect_set("ref").alias("evidence"))
-    made = made.select(*KEY, F.lit(1).alias("candidate_pos"), "value", "evidence", F.size("evidence").alias("accessed"), F.lit(2).alias("n_steps"))
+    made = templates.answers(q, "q", "question", edges, KEY).select(F.col("q").alias("question_id"), "place", "value")
+    # what a template read: the facts of the entities that the question names, else of its tables
+    named = q.join(edges.select(*KEY, "head", ref.alias("ref")), KEY).where(F.contains(T.normalize_key(F.col("question")), T.normalize_key(F.col("head"))))
+    tabled = edges.where("source_type = 'table'").select(*KEY, ref.alias("ref"))
+    of_named, of_tables = named.groupBy(*KEY).agg(F.collect_set("ref").alias("_n")), tabled.groupBy(*KEY).agg(F.collect_set("ref").alias("_t"))
+    made = made.join(of_named, KEY, "left").join(of_tables, KEY, "left").withColumn("evidence", F.coalesce("_n", "_t", F.array().cast(paths.schema["evidence"].dataType)))
+    made = made.select(*KEY, F.col("place").alias("candidate_pos"), "value", "evidence", F.size("evidence").alias("accessed"), F.lit(2).alias("n_steps"))
     return made.unionByName(paths).withColumn("success", F.lit(True))
 
 
-def answer(data: Dataset, top_k: int = 5) -> DataFrame:
-    """``question_id, question, answer, prediction, score, confidence, mode``: the best grounded
-    candidate of every question, null where none is admissible."""
-    edges, _ = graph.resolve(materialize(facts(data, top_k), "facts"), KEY)
+def answer(data: Dataset, top_k: int = 5, budget: int = 3, programs: DataFrame | None = None) -> DataFrame:
+    """``question_id, question, answer, prediction, score, confidence, mode``: the best grounded candidate of every
+    question, null where none is admissible.
+
+    ``programs`` (``question_id, success, value, evidence, accessed, n_steps, candidate_pos``) are executed programs
+    that compete with the templates and the search."""
+    edges, constraints = facts(data, top_k, budget)
+    edges, _ = graph.resolve(materialize(edges, "facts"), KEY)
     found = candidates(data.questions, edges)
+    if programs is not None:
+        found = found.unionByName(programs.select(found.columns))
     groups = data.questions.select(*KEY, T.relation_groups(F.col("question")).alias("groups"))
-    scored = score.score_candidates(found.join(groups, KEY), "question_id").where("place = 1 and reason is null")
-    best = scored.select(*KEY, F.col("value").alias("prediction"), "score", score.confidence(F.col("score")).alias("confidence"), "mode")
+    policy = retrieval.constraint_policy(constraints, "question_id")
+    found = found.join(groups, KEY).join(policy, KEY, "left").withColumn("need_table", F.coalesce("need_table", F.lit(False)))
+    scored = score.score_candidates(found, "question_id").where("place = 1 and reason is null")
+    best = scored.select(*KEY, score.render(F.col("value"), F.lit(None).cast("double"), F.when(F.col("value").isin("true", "false"), F.col("value") == "true")).alias("prediction"), "score", score.confidence(F.col("score")).alias("confidence"), "mode")
     return data.questions.select(*KEY, "question", "answer").join(best, KEY, "left")
 
 

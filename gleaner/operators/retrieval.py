@@ -125,15 +125,58 @@ def first_edges(edges: DataFrame, keys: list[str], k: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def literal_candidates(questions: DataFrame, query: str, question: str, cells: DataFrame, keys: list[str]) -> DataFrame:
-    """``query, literal, column_name, row_index``: cells equal to a literal of the question, in the
-    columns whose headers share most terms with it."""
+def table_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, table_name, row_index, cells``: every row as an array of ``struct(col_index, column_name, value)``."""
+    return cells.groupBy(*keys, "table_name", "row_index").agg(F.array_sort(F.collect_list(F.struct("col_index", "column_name", "value"))).alias("cells"))
+
+
+def table_constraints(questions: DataFrame, query: str, question: str, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``query, keys, literal, column_name, entity_column, candidate, enforce_output, place``: for the literals of
+    a question that are whole cells, the entities of their rows.
+
+    Of the columns that hold a literal those count whose headers share most terms with the question.  Candidates
+    come once for a literal and column, ``place`` is their order.  Output is enforced where the question asks for
+    the entities' column."""
     asked = questions.select(query, *keys, question, F.explode(T.question_literals(F.col(question))).alias("literal"))
-    cells = cells.select(*keys, "row_index", "column_name", "value")
-    hits = asked.withColumn("_k", T.literal_key(F.col("literal"))).join(cells.withColumn("_k", T.literal_key(F.col("value"))), [*keys, "_k"])
-    hits = hits.withColumn("overlap", F.size(F.array_intersect(T.terms(F.col("column_name")), T.terms(F.col(question)))))
+    own = cells.select(*keys, "table_name", "row_index", "col_index", "column_name", T.literal_key(F.col("value")).alias("_k"))
+    hits = asked.withColumn("_k", T.literal_key(F.col("literal"))).join(own, [*keys, "_k"]).drop("_k")
+    hits = hits.join(table_rows(cells, keys), [*keys, "table_name", "row_index"])
+    hits = hits.withColumn("entity_column", T.answer_column(F.col("cells"), F.col(question)))
+    value = F.filter("cells", lambda c: T.clean(c["column_name"]) == F.col("entity_column"))
+    hits = hits.withColumn("candidate", T.clean(F.get(value, F.lit(0))["value"])).where("candidate <> ''")
+    hits = hits.withColumn("column_name", T.clean(F.col("column_name"))).withColumn("overlap", F.size(F.array_intersect(T.terms(F.col("column_name")), T.terms(F.col(question)))))
     best = F.rank().over(Window.partitionBy(query, "literal").orderBy(F.desc("overlap")))
-    return hits.withColumn("_r", best).where("_r = 1").select(query, "literal", "column_name", "row_index", "overlap").distinct()
+    kept = hits.withColumn("_r", best).where("_r = 1")
+    once = kept.groupBy(query, *keys, question, "literal", "column_name", "entity_column", "candidate").agg(F.min(F.struct("table_name", "row_index", "col_index")).alias("_at"))
+    place = F.row_number().over(Window.partitionBy(query).orderBy("_at", "literal", "column_name"))
+    return once.withColumn("place", place).select(query, *keys, "literal", "column_name", "entity_column", "candidate", T.requests_column(F.col(question), F.col("entity_column")).alias("enforce_output"), "place")
+
+
+def constraint_policy(constraints: DataFrame, query: str) -> DataFrame:
+    """``query, allowed, need_table``: the values that an answer may have, null for any, and that it needs evidence
+    from tables."""
+    allowed = F.array_sort(F.collect_set(F.when(F.col("enforce_output"), T.normalize_key(F.col("candidate")))))
+    return constraints.groupBy(query).agg(F.when(F.size(allowed) > 0, allowed).alias("allowed"), F.lit(True).alias("need_table"))
+
+
+def bridge_entities(questions: DataFrame, query: str, question: str, cells: DataFrame, keys: list[str], constraints: DataFrame) -> DataFrame:
+    """``query, keys, entity, place``: what stands in the rows of the rank that a question names, then the
+    candidates of its constraints, each once."""
+    rank = T.rank_constraint(F.col(question))
+    asked = questions.select(query, *keys, rank.alias("_rank")).where("_rank is not null")
+    held = cells.where(F.contains(F.lower("column_name"), F.lit("rank"))).select(*keys, "table_name", "row_index", F.lower(T.clean(F.col("value"))).alias("_rank")).distinct()
+    rows = asked.join(held, [*keys, "_rank"]).join(table_rows(cells, keys), [*keys, "table_name", "row_index"])
+    ranked = rows.select(query, *keys, T.row_entity(F.col("cells")).alias("entity"), F.struct(F.lit(0).alias("kind"), "table_name", F.col("row_index").cast("long").alias("at")).alias("_at"))
+    others = constraints.select(query, *keys, F.col("candidate").alias("entity"), F.struct(F.lit(1).alias("kind"), F.lit("").alias("table_name"), F.col("place").cast("long").alias("at")).alias("_at"))
+    once = ranked.unionByName(others).where("entity is not null").groupBy(query, *keys, "entity").agg(F.min("_at").alias("_at"))
+    return once.select(query, *keys, "entity", F.row_number().over(Window.partitionBy(query).orderBy("_at", "entity")).alias("place"))
+
+
+def header_list(cells: DataFrame, keys: list[str], most: int = 20) -> DataFrame:
+    """``keys, headers``: the first ``most`` different headers, in the order of tables, rows and columns."""
+    head = cells.where("trim(column_name) <> ''").groupBy(*keys, F.lower(F.trim("column_name")).alias("_l")).agg(F.min(F.struct("table_name", "row_index", "col_index", F.trim("column_name").alias("h"))).alias("_x"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_x"))
+    return head.withColumn("_p", place).where(F.col("_p") <= most).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["h"]).alias("headers"))
 
 
 def anchored(questions: DataFrame, query: str, question: str, nodes: DataFrame, keys: list[str], generic: list[str]) -> DataFrame:
@@ -182,16 +225,63 @@ def bm25_within(queries: DataFrame, query_text: str, items: DataFrame, group: st
     return items.select(group, item).join(scored, [group, item], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def ranked_entities(questions: DataFrame, query: str, question: str, cells: DataFrame, keys: list[str]) -> DataFrame:
-    """``query, entity``: what stands in the rows whose rank column holds the rank a question names:
-    the first cell of an entity column, else the first that is no rank."""
-    asked = questions.withColumn("_rank", T.rank_constraint(F.col(question))).where("_rank is not null").select(query, *keys, "_rank")
-    cells = cells.select(*keys, "table_name", "row_index", "col_index", "column_name", "value")
-    name = F.lower("column_name")
-    rows = cells.where(F.contains(name, F.lit("rank"))).select(*keys, "table_name", "row_index", F.lower(T.clean(F.col("value"))).alias("_rank")).distinct()
-    hit = asked.join(rows, [*keys, "_rank"]).join(cells.where(~F.contains(name, F.lit("rank")) & (F.trim("value") != "")), [*keys, "table_name", "row_index"])
-    first = F.struct((~name.rlike("|".join(T.ENTITY_COLUMNS))).alias("other"), "col_index")
-    return hit.groupBy(query, "table_name", "row_index").agg(F.min_by(T.clean(F.col("value")), first).alias("entity")).select(query, "entity").distinct()
+def ranked_within(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """``_g, _i, rank``: the ``k`` best items ``_g, _i, position, text`` of each group against its query
+    ``_g, _text``; ties go by position."""
+    scored = bm25_within(queries, "_text", items, "_g", "_i", "text").join(items.select("_g", "_i", "position"), ["_g", "_i"])
+    w = Window.partitionBy("_g").orderBy(F.desc(F.round("score", 9)), "position")
+    own = scored.join(queries.select("_g"), "_g", "left_semi")
+    return own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("_g", "_i", "rank")
+
+
+def entity_within(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """``_g, _i, rank``: of each group the items that hold all words of its query, by position, then the others by
+    BM25 among themselves."""
+    words = lambda c: F.filter(F.array_distinct(F.split(T.normalize_key(F.col(c)), " ")), lambda w: w != "")
+    both = items.join(queries.select("_g", words("_text").alias("_w")), "_g")
+    both = materialize(both.withColumn("_all", (F.size("_w") > 0) & (F.size(F.array_except("_w", words("text"))) == 0)).drop("_w"), "named")
+    direct = both.where("_all").select("_g", "_i", F.struct(F.lit(0).alias("t"), F.col("position").cast("long").alias("p")).alias("_at"))
+    others = ranked_within(queries, both.where("not _all"), k).select("_g", "_i", F.struct(F.lit(1).alias("t"), F.col("rank").cast("long").alias("p")).alias("_at"))
+    w = Window.partitionBy("_g").orderBy("_at")
+    return direct.unionByName(others).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("_g", "_i", "rank")
+
+
+def retrieve(questions: DataFrame, cells: DataFrame, passages: DataFrame, top_k: int = 10, budget: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Two stages over each question's own passages: ``question_id, source_id, stage, rank``, and the constraints
+    of its tables.
+
+    Stage one takes the ``top_k`` best by the question.  Stage two adds up to ``budget`` of the rest, in this
+    order: the best passage of every constraint candidate, ranked by the question; those of the bridge entities;
+    those of the query expansions."""
+    q, key = questions.select("question_id", "question"), ["question_id"]
+    constraints = materialize(table_constraints(q.withColumn("q", F.col("question_id")), "q", "question", cells, key).drop("q"), "constraints")
+    own = passages.select(F.col("question_id").alias("_g"), F.col("source_id").alias("_i"), "position", "text")
+    first = materialize(ranked_within(q.select(F.col("question_id").alias("_g"), F.col("question").alias("_text")), own, top_k), "first")
+    rest = materialize(own.join(first.select("_g", "_i"), ["_g", "_i"], "left_anti").select(F.col("_g").alias("question_id"), "_i", "position", "text"), "rest")
+
+    def for_each(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Queries ``question_id, _g, _text`` and the items of their groups."""
+        return asked.select("_g", "_text"), asked.select("question_id", "_g").join(rest, "question_id").select("_g", "_i", "position", "text")
+
+    def named(found: DataFrame, asked: DataFrame) -> DataFrame:
+        return found.join(asked.select("_g", "question_id", "priority"), "_g").select("question_id", F.col("_i").alias("source_id"), "priority", "rank")
+
+    one = lambda kind, place: F.concat_ws("|", "question_id", F.lit(kind), F.col(place).cast("string"))
+    # one passage a candidate, then the best of these by the whole question
+    wanted = constraints.groupBy("question_id", F.col("candidate").alias("_text")).agg(F.min("place").alias("place")).withColumn("_g", one("c", "place"))
+    best = entity_within(*for_each(wanted), 1).join(wanted.select("_g", "question_id"), "_g").select(F.col("question_id").alias("_g"), "_i").distinct()
+    best = best.join(rest.withColumnRenamed("question_id", "_g"), ["_g", "_i"])
+    by_question = ranked_within(q.select(F.col("question_id").alias("_g"), F.col("question").alias("_text")), best, budget)
+    found = by_question.select(F.col("_g").alias("question_id"), F.col("_i").alias("source_id"), F.lit(0).alias("priority"), "rank")
+    bridges = bridge_entities(q.withColumn("q", F.col("question_id")), "q", "question", cells, key, constraints.withColumn("q", F.col("question_id")))
+    bridges = bridges.select("question_id", F.col("entity").alias("_text"), one("e", "place").alias("_g"), F.col("place").alias("priority"))
+    found = found.unionByName(named(entity_within(*for_each(bridges), budget), bridges))
+    headers = q.join(header_list(cells, key), key, "left")
+    more = T.query_expansions(F.col("question"), F.coalesce("headers", F.array().cast("array<string>")))
+    more = headers.select("question_id", F.posexplode(more).alias("at", "_text")).withColumn("priority", F.lit(1 << 20) + F.col("at")).withColumn("_g", one("x", "at"))
+    found = found.unionByName(named(ranked_within(*for_each(more), budget), more))
+    stage_one = first.select(F.col("_g").alias("question_id"), F.col("_i").alias("source_id"), "rank")
+    return two_stage(stage_one, found, "question_id", "source_id", budget), constraints
 
 
 # -- few queries against many items ------------------------------------------------------------------

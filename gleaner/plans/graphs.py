@@ -6,30 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import graph, tables
+from gleaner.plans import sqltext as S
 from gleaner.plans.registry import query
-from gleaner.session import table
-
-NATION = ["n_name", "n_nationkey", "n_regionkey"]
-_CELLS = " UNION ALL ".join(f"SELECT CAST(n_nationkey AS BIGINT) AS row_index, CAST({i} AS INTEGER) AS col_index, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM nation" for i, c in enumerate(NATION))
-
-
-def _nation(spark: SparkSession, d: str) -> DataFrame:
-    return tables.melt(table(spark, d, "nation"), "nation", "n_nationkey", NATION)
-
-
-@query("melt_cells", f"SELECT 'nation' AS table_name, * FROM ({_CELLS})")
-def melt_cells(spark: SparkSession, d: str) -> DataFrame:
-    return _nation(spark, d)
-
-
-@query("cells_to_triples", f"SELECT k.value AS head, c.column_name AS relation, c.value AS tail, c.row_index FROM ({_CELLS}) c JOIN ({_CELLS}) k ON k.row_index = c.row_index AND k.col_index = 0 WHERE c.col_index > 0")
-def cells_to_triples(spark: SparkSession, d: str) -> DataFrame:
-    return tables.cell_facts(_nation(spark, d), ["table_name"]).select("head", "relation", "tail", "row_index")
-
-
-@query("flatten_documents", "SELECT 'table:nation:row:' || n_nationkey AS doc, 'Table nation. n_name is ' || n_name || '. n_nationkey is ' || n_nationkey || '. n_regionkey is ' || n_regionkey || '.' AS text FROM nation")
-def flatten_documents(spark: SparkSession, d: str) -> DataFrame:
-    return tables.row_documents(_nation(spark, d), [])
+from gleaner.session import materialize, table
 
 
 @query(
@@ -45,13 +24,6 @@ def unique_headers(spark: SparkSession, d: str) -> DataFrame:
     return tables.unique_names(cells, ["table_id"])
 
 
-@query("context_before", "SELECT doc_id, concat_ws(' ', lag(n_chars, 2) OVER w, lag(n_chars, 1) OVER w) AS context_before FROM documents WINDOW w AS (PARTITION BY source_id ORDER BY doc_id)")
-def context_before(spark: SparkSession, d: str) -> DataFrame:
-    """The lengths of the two documents before each one of the same source."""
-    rows = table(spark, d, "documents").withColumn("t", F.col("n_chars").cast("string"))
-    return tables.passage_context(rows, ["source_id"], "doc_id", "t").select("doc_id", "context_before")
-
-
 # -- graphs ----------------------------------------------------------------------------------------
 
 Q = ["question_id"]
@@ -92,21 +64,38 @@ def kg_summary(spark: SparkSession, d: str) -> DataFrame:
     return graph.summary(edges(spark, d), Q)
 
 
-@query("kg_self_loops")
+_LOOPED = f"(SELECT question_id, triple_id, head, relation, CASE WHEN triple_id % 5 = 0 THEN '  ' || upper(head) || '!' ELSE tail END AS tail FROM triple WHERE regexp_full_match(head, '[ -~]+'))"
+
+
+@query("kg_self_loops", f"WITH {S.canonical_relations('triple')} SELECT question_id, triple_id AS edge_seq, head, canonical AS relation, tail, 'self_loop' AS reason FROM {_LOOPED} JOIN rel USING (relation) WHERE {S.key('head')} = {S.key('tail')}")
 def kg_self_loops(spark: SparkSession, d: str) -> DataFrame:
-    """Rejected edges of all graphs."""
-    return graph.insert(edges(spark, d))[1].select(*Q, "edge_seq", "head", "tail", "reason")
+    """Rejected triples: every fifth is given a tail that is its head by key."""
+    rows = edges(spark, d).where(F.col("head").rlike(r"^[ -~]+$"))
+    rows = rows.withColumn("tail", F.when(F.col("edge_seq") % 5 == 0, F.concat(F.lit("  "), F.upper("head"), F.lit("!"))).otherwise(F.col("tail")))
+    return graph.insert(rows)[1].select(*Q, "edge_seq", "head", "relation", "tail", "reason")
+
 
+@query("kg_insert", f"WITH {S.canonical_relations('triple')} SELECT question_id, canonical AS relation, count(*) AS n FROM {_LOOPED} JOIN rel USING (relation) WHERE {S.key('head')} <> {S.key('tail')} GROUP BY ALL")
+def kg_insert(spark: SparkSession, d: str) -> DataFrame:
+    """The edges that go in, by canonical relation."""
+    rows = edges(spark, d).where(F.col("head").rlike(r"^[ -~]+$"))
+    rows = rows.withColumn("tail", F.when(F.col("edge_seq") % 5 == 0, F.concat(F.lit("  "), F.upper("head"), F.lit("!"))).otherwise(F.col("tail")))
+    return graph.insert(rows)[0].groupBy(*Q, "relation").agg(F.count("*").alias("n"))
 
-@query("kg_is_empty", "SELECT DISTINCT q.question_id FROM sample_hybridqa q WHERE NOT EXISTS (SELECT 1 FROM triple t WHERE t.question_id = q.question_id)")
+
+@query("kg_is_empty", "SELECT DISTINCT q.question_id FROM sample_hybridqa q WHERE q.question_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM triple t WHERE t.question_id = q.question_id AND t.source_type = 'web')")
 def kg_is_empty(spark: SparkSession, d: str) -> DataFrame:
-    """Questions without any fact."""
-    return table(spark, d, "sample_hybridqa").select(*Q).distinct().join(edges(spark, d), Q, "left_anti")
+    """Questions whose graph of facts from the web is empty."""
+    web = graph.nodes(edges(spark, d).where("source_type = 'web'"), Q)
+    return table(spark, d, "sample_hybridqa").where("question_id is not null").select(*Q).distinct().join(web, Q, "left_anti")
 
 
-@query("kg_structure", "SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT 'table:nation' AS head, 'table:nation:row:' || n_nationkey AS tail, 'row_contains' AS kind FROM nation UNION ALL SELECT 'table:nation:row:' || n_nationkey, 'table:nation:row:' || n_nationkey || ':cell:{c}', 'row_contains' FROM nation UNION ALL SELECT 'table:nation:row:' || n_nationkey || ':cell:{c}', 'table:nation:column:{c}', 'column_of' FROM nation" for c in NATION) + ")")
-def kg_structure(spark: SparkSession, d: str) -> DataFrame:
-    return graph.structure(_nation(spark, d))
+@query("kg_middle_names", "SELECT c_custkey AS g, c_name AS player, 'Mid' || c_custkey AS middle_name FROM customer WHERE c_custkey % 3 > 0")
+def kg_middle_names(spark: SparkSession, d: str) -> DataFrame:
+    """From the second rank over its player to the middle of the full name; two-part names have none."""
+    full = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("Ann Mid"), "c_custkey", F.lit(" Lee"))).otherwise("Ann Lee")
+    each = F.array(F.struct(F.lit("2").alias("head"), F.lit("player").alias("relation"), F.col("c_name").alias("tail")), F.struct(F.col("c_name").alias("head"), F.lit("full_name").alias("relation"), full.alias("tail")), F.struct(F.lit("1").alias("head"), F.lit("player").alias("relation"), F.lit("Bob A B").alias("tail")))
+    return graph.middle_names(table(spark, d, "customer").select(F.col("c_custkey").alias("g"), F.inline(each)), ["g"], "2")
 
 
 def _geo(spark: SparkSession, d: str) -> DataFrame:
@@ -138,32 +127,110 @@ def kg_shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return graph.hops(_geo(spark, d), ["g"], starts, 4).drop("g")
 
 
-@query("resolve_lexical")
+_NODES = "nodes AS (SELECT question_id, node, min(s) AS first_seq FROM (SELECT question_id, head AS node, triple_id AS s FROM triple UNION ALL SELECT question_id, tail, triple_id FROM triple) GROUP BY ALL)"
+_LEXICAL = f"lex AS (SELECT n.question_id, node, canonical FROM (SELECT *, {S.key('node')} AS k FROM nodes) n JOIN (SELECT question_id, k, arg_max(node, ({S.shown('node')}, -first_seq, node)) AS canonical FROM (SELECT *, {S.key('node')} AS k FROM nodes) GROUP BY ALL HAVING count(*) > 1) b ON b.k = n.k AND b.question_id IS NOT DISTINCT FROM n.question_id WHERE node <> canonical AND n.question_id IS NOT NULL)"
+
+
+@query("resolve_lexical", f"WITH {_NODES}, {_LEXICAL} SELECT * FROM lex")
 def resolve_lexical(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of one key under their most presentable name."""
     return graph.lexical_aliases(graph.nodes(edges(spark, d), Q), Q)
 
 
+@query("resolve_merge", f"WITH {_NODES}, {_LEXICAL} SELECT triple_id AS edge_seq, coalesce(a.canonical, head) AS head, coalesce(b.canonical, tail) AS tail FROM triple t LEFT JOIN lex a ON a.question_id = t.question_id AND a.node = head LEFT JOIN lex b ON b.question_id = t.question_id AND b.node = tail")
+def resolve_merge(spark: SparkSession, d: str) -> DataFrame:
+    """All edges after the first tier."""
+    e = edges(spark, d)
+    return graph.merge(e, graph.lexical_aliases(graph.nodes(e, Q), Q), Q).select("edge_seq", "head", "tail")
+
+
+def _variants(spark: SparkSession, d: str, names: list) -> DataFrame:
+    """A graph of names for every supplier, each name with a fact."""
+    each = F.array(*[F.struct(F.lit(i).cast("long").alias("edge_seq"), n.alias("head"), F.lit("is").alias("relation"), F.lit(f"thing {i}").alias("tail")) for i, n in enumerate(names)])
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("g"), F.inline(each))
+
+
+@query("resolve_alias", "SELECT s_suppkey AS g, node, canonical FROM supplier, (VALUES ('U.S.A.', 'United States'), ('Moroccan', 'Morocco'), ('bác Hồ', 'Hồ Chí Minh')) v(node, canonical)")
+def resolve_alias(spark: SparkSession, d: str) -> DataFrame:
+    """Names that a table of aliases knows, whatever their case and accents."""
+    e = _variants(spark, d, [F.lit("U.S.A."), F.lit("Moroccan"), F.lit("bác Hồ"), F.col("s_name"), F.lit("United States")])
+    return graph.known_aliases(graph.nodes(e, ["g"]), ["g"])
+
+
+@query("resolve_structural", "SELECT s_suppkey AS g, n AS node, 'Club ' || s_name || ' FC' AS canonical FROM supplier, LATERAL (SELECT unnest([s_name, s_name || ' F.C.', 'Club ' || s_name]) AS n)")
+def resolve_structural(spark: SparkSession, d: str) -> DataFrame:
+    """Clubs with and without designators; dates never merge."""
+    n = F.col("s_name")
+    e = _variants(spark, d, [n, F.concat(n, F.lit(" F.C.")), F.concat(F.lit("Club "), n), F.concat(F.lit("Club "), n, F.lit(" FC")), F.lit("4 May 2001"), F.lit("Club 4 May 2001")])
+    return graph.core_aliases(graph.nodes(e, ["g"]), ["g"])
+
+
+@query("resolve_semantic", "SELECT s_suppkey AS g, 'internationel federation of red crosses and cressents ' || s_name AS node, 'international federation of red crosses and crescents ' || s_name AS canonical FROM supplier")
+def resolve_semantic(spark: SparkSession, d: str) -> DataFrame:
+    """Names nearly alike merge; other numbers, a negation and other roles keep names apart."""
+    n = F.col("s_name")
+    name = lambda x: F.concat(F.lit(x), n)
+    e = _variants(spark, d, [name("international federation of red crosses and crescents "), name("internationel federation of red crosses and cressents "), F.concat(n, F.lit(" net income gaap 2001 as reported")), F.concat(n, F.lit(" net income gaap 2002 as reported")), F.concat(n, F.lit(" net income non gaap 2001 as reported"))])
+    return graph.near_aliases(graph.nodes(e, ["g"]), ["g"]).drop("score")
+
+
+_CORE = "regexp_replace(regexp_replace({0}, '^club( |$)', ''), '(^| )(fc|cf|f c|c f|football club|futbol club)$', '')"
+_INDEX = f"own AS (SELECT question_id, {S.key('node')} AS key, node FROM nodes WHERE question_id IS NOT NULL), idx AS (SELECT question_id, key, arg_min(node, (p, node)) AS node FROM (SELECT *, 0 AS p FROM own UNION ALL SELECT question_id, {_CORE.format('key')} AS k, max(node), 1 FROM own WHERE {_CORE.format('key')} <> '' GROUP BY question_id, k HAVING count(*) = 1 UNION ALL SELECT question_id, {S.key('node')}, canonical, 2 FROM lex) GROUP BY question_id, key)"
+
+
+@query("resolve_index", f"WITH {_NODES}, {_LEXICAL}, {_INDEX} SELECT * FROM idx")
+def resolve_index(spark: SparkSession, d: str) -> DataFrame:
+    """What queries may call every node of every graph."""
+    found = graph.nodes(edges(spark, d), Q).where("question_id is not null")
+    return graph.query_index(found, graph.lexical_aliases(found, Q), Q)
+
+
+@query("resolve_entity", f"WITH {_NODES}, {_LEXICAL}, {_INDEX}, ask AS (SELECT DISTINCT question_id, CASE WHEN length(node) % 2 = 0 THEN node ELSE upper(node) || '?' END AS name FROM nodes WHERE question_id IS NOT NULL AND regexp_full_match(node, '[ -~]+')) SELECT question_id, name, CASE WHEN n.node IS NOT NULL THEN name ELSE coalesce(idx.node, name) END AS node FROM ask LEFT JOIN nodes n USING (question_id) LEFT JOIN idx USING (question_id) WHERE false".replace("LEFT JOIN nodes n USING (question_id) LEFT JOIN idx USING (question_id) WHERE false", "LEFT JOIN nodes n ON n.question_id = ask.question_id AND n.node = name LEFT JOIN idx ON idx.question_id = ask.question_id AND idx.key = " + S.key("name")).replace("SELECT question_id, name, CASE WHEN n.node", "SELECT ask.question_id, name, CASE WHEN n.node"))
+def resolve_entity(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes that names in other writing stand for."""
+    found = graph.nodes(edges(spark, d), Q).where("question_id is not null")
+    names = graph.query_index(found, graph.lexical_aliases(found, Q), Q)
+    asked = found.where(F.col("node").rlike(r"^[ -~]+$")).select(*Q, F.when(F.length("node") % 2 == 0, F.col("node")).otherwise(F.concat(F.upper("node"), F.lit("?"))).alias("name")).distinct()
+    return graph.nodes_by_key(found, names, Q, asked)
+
+
 @query("resolve_all")
 def resolve_all(spark: SparkSession, d: str) -> DataFrame:
     """The log of all four tiers over all graphs."""
     return graph.resolve(edges(spark, d), Q)[1]
 
 
-@query("resolve_index")
-def resolve_index(spark: SparkSession, d: str) -> DataFrame:
-    """What queries may call every node of every graph."""
-    found = graph.nodes(edges(spark, d), Q)
-    return graph.query_index(found, graph.lexical_aliases(found, Q), Q)
+@query("resolve_dangling", "SELECT question_id, node FROM (SELECT question_id, head AS node FROM triple) WHERE false")
+def resolve_dangling(spark: SparkSession, d: str) -> DataFrame:
+    """Aliases that still stand in resolved graphs, and those whose final name is no node: there must be none."""
+    merged, log = graph.resolve(edges(spark, d).where("question_id is not null"), Q)
+    left = graph.nodes(merged, Q).select(*Q, "node")
+    flat = materialize(graph.flat_aliases(log, Q), "flat")
+    lost = flat.select(*Q, F.col("canonical").alias("node")).distinct().join(left, [*Q, "node"], "left_anti")
+    return flat.select(*Q, "node").join(left, [*Q, "node"], "left_semi").unionByName(lost)
+
+
+@query("kg_summary_resolved", f"WITH {_NODES}, {_LEXICAL} SELECT question_id, count(DISTINCT node) AS n_aliases, count(*) AS n_lexical FROM lex GROUP BY question_id")
+def kg_summary_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Aliases and merges of the first tier in the summaries of graphs that have any."""
+    e = edges(spark, d).where("question_id is not null")
+    log = graph.lexical_aliases(graph.nodes(e, Q), Q).withColumn("tier", F.lit("lexical"))
+    return graph.summary(e, Q, log).where("n_aliases > 0").select(*Q, "n_aliases", "n_lexical")
 
 
-@query("kg_trace", "SELECT question_id, count(*) AS n_edges FROM triple GROUP BY 1")
+@query("kg_trace", f"WITH {_NODES}, {_LEXICAL}, a AS (SELECT question_id, count(*) AS n FROM lex GROUP BY 1), n AS (SELECT question_id, count(*) AS n FROM nodes GROUP BY 1) SELECT t.question_id, count(*) AS n_edges, any_value(n.n) AS n_nodes, coalesce(any_value(a.n), 0) AS n_aliases, count(row_index) AS n_rows FROM triple t JOIN n USING (question_id) LEFT JOIN a USING (question_id) GROUP BY t.question_id")
 def kg_trace(spark: SparkSession, d: str) -> DataFrame:
-    """Graphs exported as JSON, read again and counted."""
-    traces = graph.to_trace(edges(spark, d), Q)
-    back = F.from_json("trace", "nodes array<string>, edges array<struct<head: string>>")
-    return traces.select(*Q, F.size(back["edges"]).cast("long").alias("n_edges"))
+    """Graphs exported as JSON with provenance and aliases, read again and counted."""
+    e = edges(spark, d).where("question_id is not null")
+    traces = graph.to_trace(e, Q, graph.lexical_aliases(graph.nodes(e, Q), Q))
+    back = F.from_json("trace", "nodes array<struct<id: string, types: array<string>>>, edges array<struct<head: string, row_index: int>>, aliases array<struct<alias: string>>")
+    return traces.select(*Q, F.size(back["edges"]).cast("long").alias("n_edges"), F.size(back["nodes"]).cast("long").alias("n_nodes"), F.size(back["aliases"]).cast("long").alias("n_aliases"), F.size(F.filter(back["edges"]["row_index"], lambda r: r.isNotNull())).cast("long").alias("n_rows"))
 
 
-@query("kg_dot")
+@query("kg_dot", f"WITH {_NODES}, {_LEXICAL}, a AS (SELECT question_id, count(*) AS n FROM lex GROUP BY 1), v AS (SELECT question_id, count(*) AS n FROM nodes WHERE NOT EXISTS (SELECT 1 FROM triple t WHERE t.question_id = nodes.question_id AND t.head = nodes.node) GROUP BY 1) SELECT t.question_id, count(*) + coalesce(any_value(a.n), 0) AS n_arrows, coalesce(any_value(v.n), 0) AS n_values, count(*) FILTER (source_type = 'table') AS n_blue FROM triple t LEFT JOIN a USING (question_id) LEFT JOIN v USING (question_id) GROUP BY t.question_id")
 def kg_dot(spark: SparkSession, d: str) -> DataFrame:
-    return graph.to_dot(edges(spark, d), Q)
+    """Arrows, values and table facts in the drawings of all graphs."""
+    e = edges(spark, d).where("question_id is not null")
+    dots = graph.to_dot(e, Q, graph.lexical_aliases(graph.nodes(e, Q), Q))
+    n = lambda p: F.size(F.regexp_extract_all("dot", F.lit(p), F.lit(0))).cast("long")
+    return dots.select(*Q, n(r'" -> "').alias("n_arrows"), n(r"\[shape=ellipse\]").alias("n_values"), n(r", color=blue\]").alias("n_blue"))

@@ -108,39 +108,45 @@ def template_average(spark: SparkSession, d: str) -> DataFrame:
     return templates.row_aggregate(asked, "q", "question", e, ["g"]).select("node", F.round("value", 4).alias("value"), "n")
 
 
-@query(
-    "template_compare",
-    "SELECT a.o_custkey AS g, a.v > b.v AS value FROM (SELECT o_custkey, arg_max(v, y) AS v, max(y) AS y FROM (SELECT o_custkey, year(o_orderdate) AS y, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM orders GROUP BY ALL) GROUP BY 1) a, LATERAL (SELECT a.v / 2 AS v) b",
-)
-def template_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Each customer against half of it at the latest year."""
-    e = _yearly(spark, d).withColumn("g", F.col("row_index").cast("long"))
-    half = e.withColumn("head", F.lit("half")).withColumn("tail", (F.col("tail").cast("double") / 2).cast("string"))
-    return templates.outperforms(e.unionByName(half), ["g"], "customer", "half").select("g", "value")
-
-
-@query(
-    "template_prior_value",
-    "SELECT g, CAST(2003 AS INTEGER) AS year, CAST(1600.0 - g % 7 AS DOUBLE) AS value FROM (SELECT DISTINCT o_custkey AS g FROM orders)",
-)
-def template_prior_value(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "orders").select(F.col("o_custkey").alias("g")).distinct()
-    each = F.array(F.struct(F.lit("value_2004").alias("relation"), F.lit("$1.6 billion").alias("tail")), F.struct(F.lit("increase_from_2003_to_2004").alias("relation"), F.concat(F.lit("$"), F.col("g") % 7, F.lit(" million")).alias("tail")))
-    e = g.select("g", F.lit("revenue").alias("head"), F.inline(each))
-    return templates.prior_values(e, ["g"]).select("g", "year", F.round("value", 4).alias("value"))
+# four kinds of questions, by customer: an average, a comparison, a total up to a month, an earlier value
+_TEMPLATES = """SELECT c.o_custkey AS q, template, place, round(value + 0.0001, 2) AS value FROM (
+SELECT o_custkey, 'row_aggregate' AS template, CAST(1 AS INTEGER) AS place, avg(v) AS value FROM (SELECT o_custkey, year(o_orderdate) AS y, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS v FROM orders WHERE o_custkey % 4 = 0 GROUP BY ALL) GROUP BY o_custkey HAVING count(*) >= 2
+UNION ALL SELECT o_custkey, 'outperforms', 3, 1.0 FROM orders WHERE o_custkey % 4 = 1 GROUP BY 1
+UNION ALL SELECT o_custkey, 'month_total', 2, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE FROM orders WHERE o_custkey % 4 = 2 AND month(o_orderdate) <= 6 GROUP BY 1 HAVING count(*) >= 2
+UNION ALL SELECT o_custkey, 'prior_value', 4, 1600.0 - o_custkey % 7 FROM orders WHERE o_custkey % 4 = 3 GROUP BY 1) c"""
 
 
-@query(
-    "template_month_total",
-    "SELECT o_custkey AS g, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS value, count(*) AS n FROM orders WHERE month(o_orderdate) <= 6 GROUP BY 1 HAVING count(*) >= 2",
-)
-def template_month_total(spark: SparkSession, d: str) -> DataFrame:
-    """Order totals up to June of any year, each order as a dated row."""
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Questions ``q, g, question`` of the four kinds and the facts of their graphs."""
     o = table(spark, d, "orders").where("o_totalprice is not null")
-    base = o.select(F.col("o_custkey").alias("g"), F.concat(F.lit("order "), "o_orderkey").alias("head"), F.col("o_orderkey").alias("edge_seq"), F.lit("table").alias("source_type"), F.lit(0).alias("row_index"), "o_orderdate", "o_totalprice")
+    k = F.col("g") % 4
+    yearly = _yearly(spark, d).withColumn("g", F.col("row_index").cast("long"))
+    half = yearly.where(k == 1).withColumn("head", F.lit("half")).withColumn("tail", (F.col("tail").cast("double") / 2).cast("string"))
+    base = o.where("o_custkey % 4 = 2").select(F.col("o_custkey").alias("g"), F.concat(F.lit("order "), "o_orderkey").alias("head"), F.col("o_orderkey").alias("edge_seq"), F.lit("table").alias("source_type"), F.lit(0).alias("row_index"), "o_orderdate", "o_totalprice")
     each = F.array(F.struct(F.lit("date_completed").alias("relation"), F.date_format("o_orderdate", "MMMM yyyy").alias("tail")), F.struct(F.lit("sales_proceeds").alias("relation"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("tail")))
-    e = base.select("g", "head", "edge_seq", "source_type", "row_index", F.inline(each))
-    return templates.month_total(e, ["g"], "june").select("g", F.round("value", 2).alias("value"), "n")
+    months = base.select("g", "head", "edge_seq", "source_type", "row_index", F.inline(each))
+    said = F.array(F.struct(F.lit("value_2004").alias("relation"), F.lit("$1.6 billion").alias("tail")), F.struct(F.lit("increase_from_2003_to_2004").alias("relation"), F.concat(F.lit("$"), F.col("g") % 7, F.lit(" million")).alias("tail")))
+    prior = o.select(F.col("o_custkey").alias("g")).distinct().where(k == 3).select("g", F.lit("net revenue").alias("head"), F.col("g").alias("edge_seq"), F.lit("text").alias("source_type"), F.lit(None).cast("int").alias("row_index"), F.inline(said))
+    edges = yearly.where(k < 2).unionByName(half).unionByName(months).unionByName(prior)
+    asked = F.when(k == 0, F.concat(F.lit("What is the average customer "), F.col("g"), F.lit(" in the years?"))).when(k == 1, F.concat(F.lit("Did customer "), F.col("g"), F.lit(" outperform half?"))).when(k == 2, F.lit("What were total proceeds up to June?")).otherwise(F.lit("What was net revenue in 2003?"))
+    questions = o.select(F.col("o_custkey").alias("g")).distinct().select(F.col("g").alias("q"), "g", asked.alias("question"))
+    return questions, edges
+
+
+@query("template_answers", _TEMPLATES)
+def template_answers(spark: SparkSession, d: str) -> DataFrame:
+    """What all templates answer to questions of four kinds."""
+    questions, facts = _asked(spark, d)
+    out = templates.answers(questions, "q", "question", facts, ["g"])
+    return out.select("q", "template", "place", F.round(F.when(F.col("value") == "true", 1.0).when(F.col("value") == "false", 0.0).otherwise(F.col("value").try_cast("double")) + 0.0001, 2).alias("value"))
+
+
+@query("label_match", "SELECT s_suppkey AS q, s_name AS node FROM supplier")
+def label_match(spark: SparkSession, d: str) -> DataFrame:
+    """The supplier that each phrase names: an article more, a plural."""
+    s = table(spark, d, "supplier")
+    asked = s.select(F.col("s_suppkey").alias("q"), F.lit(1).alias("g"), F.concat(F.lit("the "), F.regexp_replace("s_name", "Supplier", "Suppliers"), F.lit(" of")).alias("phrase"))
+    return templates.label_match(asked, "q", "phrase", s.select(F.lit(1).alias("g"), F.col("s_name").alias("node")), ["g"]).drop("g")
 
 
 @query("symbolic_search")

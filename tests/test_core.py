@@ -283,7 +283,19 @@ def test_constraints_ids_and_macros(spark):
     got = df.select(score.evidence_id(F.col("s"), F.col("r"), F.col("i"))).collect()
     assert [r[0] for r in got] == ["table_5", "text_7", None, None]
     cells = spark.createDataFrame([("q", "t", 0, j, n, v) for j, (n, v) in enumerate([("Rank", "2"), ("Year", "1999"), ("Player", "Ann Lee")])], "q string, table_name string, row_index int, col_index int, column_name string, value string")
-    ranked = retrieval.ranked_entities(spark.createDataFrame([("q", "Who is the second most?")], "q string, t string"), "q", "t", cells, [])
-    assert ranked.collect()[0]["entity"] == "Ann Lee"
-    near = retrieval.literal_candidates(spark.createDataFrame([("q", "Which player in 1999?")], "q string, t string"), "q", "t", cells.drop("q"), [])
-    assert [(r["literal"], r["column_name"]) for r in near.collect()] == [("1999", "Year")]
+    q = spark.createDataFrame([("q", "q", "Which player was second in 1999?")], "id string, q string, t string")
+    made = retrieval.table_constraints(q, "id", "t", cells, ["q"])
+    assert [(r["literal"], r["column_name"], r["entity_column"], r["candidate"], r["enforce_output"]) for r in made.collect()] == [("1999", "Year", "Player", "Ann Lee", True)]
+    assert [(r["entity"], r["place"]) for r in retrieval.bridge_entities(q, "id", "t", cells, ["q"], made).collect()] == [("Ann Lee", 1)]
+    assert retrieval.constraint_policy(made, "id").first()["allowed"] == ["ann lee"]
+
+
+def test_two_stages_over_own_passages(spark):
+    """A bridge from the table brings its passage; without a budget stage two adds nothing."""
+    q = spark.createDataFrame([("q", "What is the middle name of the player with the second most yards?"), ("empty", "x")], "question_id string, question string")
+    cells = spark.createDataFrame([("q", "t", i, j, n, v) for i, name in enumerate(["Emmitt Smith", "Walter Payton"]) for j, (n, v) in enumerate([("Rank", str(i + 1)), ("Player", name)])], "question_id string, table_name string, row_index int, col_index int, column_name string, value string")
+    texts = ["The player with the second most yards is here", "Emmitt Smith plays", "Walter Payton has a middle name", "Jerry is a name of the second player"]
+    passages = spark.createDataFrame([("q", "text", f"p{i}", i, t) for i, t in enumerate(texts)], "question_id string, source_type string, source_id string, position int, text string")
+    got = [(r["source_id"], r["stage"]) for r in retrieval.retrieve(q, cells, passages, 1, 1)[0].orderBy("stage", "rank").collect()]
+    assert got == [("p0", 1), ("p2", 2)]
+    assert [r["source_id"] for r in retrieval.retrieve(q, cells, passages, 1, 0)[0].collect()] == ["p0"]
