@@ -6,12 +6,15 @@ question; what a provider makes of it is not this module's business.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.operators import graph, retrieval, score, search, tables, templates
 from gleaner.session import materialize
+from gleaner.sources import sinks
 from gleaner.sources.adapters import Dataset, documents, oracle_evidence
 
 KEY = ["question_id"]
@@ -70,6 +73,25 @@ def answer(data: Dataset, top_k: int = 5, budget: int = 3, programs: DataFrame |
     return data.questions.select(*KEY, "question", "answer").join(best, KEY, "left")
 
 
+def run(data: Dataset, path: str, method: Callable[[DataFrame], DataFrame], limit: int | None = None) -> None:
+    """Run a method (questions to ``question_id, answer``) over what the output does not hold yet, and append
+    ``question_id, question, gold, answer, metadata``; ``limit`` counts new questions."""
+
+    def process(questions: DataFrame) -> DataFrame:
+        got = method(questions).select(*KEY, F.col("answer").alias("_answer"))
+        rows = questions.join(got, KEY, "left")
+        return rows.select(*KEY, "question", F.col("answer").alias("gold"), F.col("_answer").alias("answer"), "metadata")
+
+    sinks.run_resumable(data.questions, path, "question_id", process, limit)
+
+
+def baseline_summary(records: DataFrame, method: str) -> DataFrame:
+    """``method, n, exact_match_percent, f1_percent`` of records ``gold, answer``; unanswered ones count as wrong."""
+    answer, gold = F.coalesce("answer", F.lit("")), F.coalesce("gold", F.lit(""))
+    rows = records.select(score.exact_match(answer, gold).alias("e"), score.token_f1(answer, gold).alias("f"))
+    return rows.agg(F.lit(method).alias("method"), F.count("*").alias("n"), F.round(100 * F.avg("e"), 2).alias("exact_match_percent"), F.round(100 * F.avg("f"), 2).alias("f1_percent"))
+
+
 # -- contexts of other methods ---------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ["problems", "programs", "texts", "graphs", "scores", "samples", "pipelines", "prose", "hybrid"]
+MODULES = ["problems", "programs", "texts", "graphs", "scores", "samples", "pipelines", "prose", "hybrid", "readers"]
 
 
 class Registry:

@@ -51,12 +51,6 @@ def filter_records(spark: SparkSession, d: str) -> DataFrame:
     return samples.filter_steps(rows, F.col("ops"), least=2, most=4, allowed=["const", "lookup", "add", "multiply"]).select("program_id")
 
 
-@query("resume_anti_join", "SELECT DISTINCT e.example_id FROM datasetexample e WHERE NOT EXISTS (SELECT 1 FROM numericalprogram p WHERE p.example_id = e.example_id)")
-def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    """Examples for which no program is stored yet."""
-    return table(spark, d, "datasetexample").select("example_id").distinct().join(table(spark, d, "numericalprogram").select("example_id"), "example_id", "left_anti")
-
-
 @query("semi_join", "SELECT DISTINCT e.example_id FROM datasetexample e WHERE EXISTS (SELECT 1 FROM hitab h WHERE h.table_id = e.table_id)")
 def semi_join(spark: SparkSession, d: str) -> DataFrame:
     """Examples whose table is there."""

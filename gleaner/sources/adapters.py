@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import nested, tables
+from gleaner.session import materialize
 
 WRAPPERS = ["data", "examples", "records"]
 QUESTION_DDL = "question_id string, position long, dataset string, question string, table_id string, answer string, metadata string"
@@ -41,26 +42,36 @@ def records_of(payload: Any) -> list:
     raise ValueError("no list of records")
 
 
-def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """``position, record``: every record of JSON files as JSON text, in file order.
+def read_records(spark: SparkSession, path: str | DataFrame, lines: bool = False) -> DataFrame:
+    """``position, record``: every record of JSON files as JSON text, in the order of files and records; a table of
+    these is taken as it is.
 
     Whole files are split on the executors; with ``lines`` every line is a record."""
+    if isinstance(path, DataFrame):
+        return path
     if lines:
         rows = spark.read.text(path).where("trim(value) <> ''")
         return rows.select(F.monotonically_increasing_id().alias("position"), F.col("value").alias("record"))
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    # positions of one file never meet those of another: files are numbered by name
+    names = sorted(r["path"] for r in files.select("path").collect())
+    numbered = spark.createDataFrame([(n, i << 32) for i, n in enumerate(names)], "path string, start long")
+    files = files.join(F.broadcast(numbered), "path").select("start", "content")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(1).to_pylist():
+            for start, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = records_of(json.loads(content))
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int64()), pa.array([json.dumps(r, ensure_ascii=False) for r in found], pa.string())], ["position", "record"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(start, start + len(found)), pa.int64()), pa.array([json.dumps(r, ensure_ascii=False) for r in found], pa.string())], ["position", "record"])
 
     return files.mapInArrow(split, "position long, record string")
 
 
-def read_named(spark: SparkSession, folder: str) -> DataFrame:
-    """``name, content`` of the JSON files of a folder, by file name without ending."""
+def read_named(spark: SparkSession, folder: str | DataFrame) -> DataFrame:
+    """``name, content`` of the JSON files of a folder, by file name without ending; a table of these is taken as it
+    is."""
+    if isinstance(folder, DataFrame):
+        return folder
     files = spark.read.format("binaryFile").load(folder)
     name = F.regexp_replace(F.regexp_extract(F.try_url_decode("path"), r"([^/]+)$", 1), r"\.json$", "")
     return files.select(name.alias("name"), F.decode("content", "UTF-8").alias("content"))
@@ -122,26 +133,29 @@ def linked_table(table: dict, name: str) -> tuple[list[tuple], list[tuple[str, s
     return cells, list(passages.items())
 
 
-def _explode(rows: DataFrame, parse, kind: str) -> DataFrame:
-    """Rows of one kind from ``position, record, table, extra`` by a function of a record."""
-    ddl = {"questions": QUESTION_DDL, "cells": CELL_DDL, "passages": PASSAGE_DDL}[kind]
+KINDS = {"questions": QUESTION_DDL, "cells": CELL_DDL, "passages": PASSAGE_DDL}
+
+
+def _dataset(rows: DataFrame, parse) -> Dataset:
+    """A data set from ``position, record, table, extra``: every record is parsed once, and the parsed rows are
+    written before their parts are read."""
     types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
-    schema = pa.schema([(f.split()[0], types[f.split()[1]]) for f in ddl.split(", ")])
+    structs = {k: pa.list_(pa.struct([(f.split()[0], types[f.split()[1]]) for f in ddl.split(", ")])) for k, ddl in KINDS.items()}
+    names = {k: [f.split()[0] for f in ddl.split(", ")] for k, ddl in KINDS.items()}
+    load = lambda x: None if x is None else json.loads(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out: dict[str, list] = {k: [] for k in KINDS}
             for r in batch.to_pylist():
-                load = lambda x: None if x is None else json.loads(x)
-                out += parse(r["position"], load(r["record"]), load(r["table"]), load(r["extra"]))[kind]
-            columns = list(zip(*out)) if out else [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                made = parse(r["position"], load(r["record"]), load(r["table"]), load(r["extra"]))
+                for k in KINDS:
+                    out[k].append([dict(zip(names[k], row)) for row in made[k]])
+            yield pa.RecordBatch.from_arrays([pa.array(out[k], structs[k]) for k in KINDS], list(KINDS))
 
-    return rows.mapInArrow(run, ddl)
-
-
-def _dataset(rows: DataFrame, parse) -> Dataset:
-    return Dataset(*(_explode(rows, parse, k) for k in ("questions", "cells", "passages")))
+    ddl = ", ".join(f"{k} array<struct<" + ", ".join(f.replace(" ", ": ") for f in d.split(", ")) + ">>" for k, d in KINDS.items())
+    parsed = materialize(rows.mapInArrow(run, ddl), "parsed")
+    return Dataset(*(parsed.select(F.inline(k)) for k in KINDS))
 
 
 def _json(x: Any) -> str | None:
@@ -166,7 +180,7 @@ def _linked(position: int, r: dict, table: dict | None, extra: Any) -> dict[str,
     }
 
 
-def load_linked(spark: SparkSession, path: str, tables_dir: str | None = None, passages_dir: str | None = None, question_ids: list[str] | None = None) -> Dataset:
+def load_linked(spark: SparkSession, path: str | DataFrame, tables_dir: str | DataFrame | None = None, passages_dir: str | DataFrame | None = None, question_ids: list[str] | None = None) -> Dataset:
     """Questions on tables with linked passages; tables and passages lie in the record or in folders,
     and are joined by table id only for the wanted questions."""
     rows = read_records(spark, path)
@@ -175,7 +189,7 @@ def load_linked(spark: SparkSession, path: str, tables_dir: str | None = None, p
         rows = rows.where(F.coalesce(F.get_json_object("record", "$.question_id"), F.get_json_object("record", "$.id"), F.col("position").cast("string")).isin(question_ids))
     rows = rows.withColumn("_tid", tid)
     for column, folder in (("table", tables_dir), ("extra", passages_dir)):
-        if folder:
+        if folder is not None:
             named = read_named(spark, folder).select(F.col("name").alias("_tid"), F.col("content").alias(column))
             rows = rows.join(named, "_tid", "left")
         else:
@@ -183,7 +197,7 @@ def load_linked(spark: SparkSession, path: str, tables_dir: str | None = None, p
     return _dataset(rows.select("position", "record", "table", "extra"), _linked)
 
 
-def load_reports(spark: SparkSession, path: str, table_format: str = "official") -> Dataset:
+def load_reports(spark: SparkSession, path: str | DataFrame, table_format: str = "official") -> Dataset:
     """Questions on a report's table and its paragraphs before and after."""
     if table_format not in ("official", "raw"):
         raise ValueError("table_format is official or raw")
@@ -202,7 +216,7 @@ def load_reports(spark: SparkSession, path: str, table_format: str = "official")
     return _dataset(read_records(spark, path).withColumn("table", none).withColumn("extra", none), parse)
 
 
-def load_hierarchical(spark: SparkSession, path: str, tables_dir: str) -> Dataset:
+def load_hierarchical(spark: SparkSession, path: str | DataFrame, tables_dir: str | DataFrame) -> Dataset:
     """Questions (one a line) on hierarchical tables; texts that give the answer away are left out."""
 
     def parse(position: int, r: dict, table: Any, _e: Any) -> dict[str, list[tuple]]:
