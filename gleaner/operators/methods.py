@@ -92,6 +92,36 @@ def baseline_summary(records: DataFrame, method: str) -> DataFrame:
     return rows.agg(F.lit(method).alias("method"), F.count("*").alias("n"), F.round(100 * F.avg("e"), 2).alias("exact_match_percent"), F.round(100 * F.avg("f"), 2).alias("f1_percent"))
 
 
+def audit(data: Dataset, top_k: int = 5) -> DataFrame:
+    """One row about a data set with gold evidence: examples, kinds of evidence, answers of yes or no, examples with
+    gold texts, those whose gold texts are no passages, and the share whose gold texts are all among the ``top_k``."""
+    gold = F.from_json(F.get_json_object("metadata", "$.gold_inds"), "map<string,string>")
+    q = materialize(data.questions.select(*KEY, "question", "answer", gold.alias("gold")), "gold")
+    keys = F.coalesce(F.map_keys("gold"), F.array().cast("array<string>"))
+    table_, text_ = F.exists(keys, lambda k: F.startswith(k, F.lit("table"))), F.exists(keys, lambda k: ~F.startswith(k, F.lit("table")))
+    plain = lambda x: F.lower(T.clean(x))
+    asked = q.select(*KEY, F.explode("gold").alias("k", "v")).where(~F.startswith("k", F.lit("table"))).select(*KEY, plain(F.col("v")).alias("t")).distinct()
+    first = data.passages.groupBy(*KEY, plain(F.col("text")).alias("t")).agg(F.min(F.struct("position", "source_id")).alias("_p")).select(*KEY, "t", "_p.source_id")
+    own = data.passages.select(F.col("question_id").alias("_g"), F.col("source_id").alias("_i"), "position", "text")
+    best = retrieval.ranked_within(q.select(F.col("question_id").alias("_g"), F.col("question").alias("_text")), own, top_k).select(F.col("_g").alias("question_id"), F.col("_i").alias("source_id"), F.lit(1).alias("_in"))
+    found = asked.join(first, [*KEY, "t"], "left").join(best, [*KEY, "source_id"], "left").groupBy(*KEY).agg(F.max(F.col("source_id").isNull()).alias("unmatched"), F.min(F.coalesce("_in", F.lit(0))).alias("all_in"))
+    rows = q.join(found, KEY, "left").withColumn("kind", F.when(table_ & text_, "both").when(table_, "table_only").when(text_, "text_only").otherwise("none"))
+    n = lambda c: F.count_if(c)
+    return rows.agg(
+        F.count("*").alias("n_examples"), *[n(F.col("kind") == k).alias(f"n_{k}") for k in ("both", "table_only", "text_only", "none")], n(F.lower(F.trim("answer")).isin("yes", "no")).alias("n_yes_no"),
+        n(F.col("unmatched").isNotNull()).alias("n_text"), n(F.col("unmatched")).alias("n_unmatched"), F.coalesce(F.round(n(F.col("all_in") == 1) / F.nullif(n(F.col("unmatched").isNotNull()), F.lit(0)), 6), F.lit(1.0)).alias("recall"),
+    )
+
+
+def table_audit(records: DataFrame, matrix: str) -> DataFrame:
+    """``n_lossy, n_repeated``: matrices that lose columns as rows of cells, and those that repeat a header."""
+    cells = tables.matrix_cells(records.select(F.monotonically_increasing_id().alias("_k"), matrix), "_k", matrix)
+    width = cells.groupBy("_k").agg((F.max("col_index") + 1).alias("out"))
+    m = F.col(matrix)
+    rows = records.select(F.monotonically_increasing_id().alias("_k"), F.array_max(F.transform(F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(1))), lambda r: F.size(r))).alias("given"), F.transform(F.get(m, F.lit(0)), lambda c: F.trim(F.coalesce(c, F.lit("")))).alias("h"))
+    return rows.join(width, "_k", "left").agg(F.count_if(F.col("out") < F.col("given")).alias("n_lossy"), F.count_if(F.size("h") != F.size(F.array_distinct("h"))).alias("n_repeated"))
+
+
 # -- contexts of other methods ---------------------------------------------------------------------
 
 
@@ -130,18 +160,20 @@ def edge_context(edges: DataFrame, k: int = 200) -> DataFrame:
     return first.groupBy(*KEY).agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("edge_seq", "head", "relation", "tail"))), lambda e: F.struct(e["head"].alias("head"), e["relation"].alias("relation"), e["tail"].alias("tail")))).alias("context"))
 
 
-def path_context(questions: DataFrame, edges: DataFrame, named: DataFrame | None = None, limit: int = 24000) -> DataFrame:
-    """Edges by terms shared with the question (and 6 for ends among ``question_id, entity``), skipping
-    what no longer fits."""
+def path_context(questions: DataFrame, edges: DataFrame, named: DataFrame | None = None, paths: DataFrame | None = None, limit: int = 24000) -> DataFrame:
+    """Edges as lines, skipping what no longer fits: four a term shared with the question, two a term shared with the
+    ``goals`` of its ``paths``, and six for ends among ``named`` (``question_id, entity``); ties go to the earlier."""
     e = edges.join(questions.select(*KEY, "question"), KEY)
-    shared = F.size(F.array_intersect(T.terms(F.concat_ws(" ", "head", "relation", "tail")), T.terms(F.col("question"))))
-    e = e.withColumn("_s", 4 * shared)
+    own = T.terms(F.concat_ws(" ", "head", "relation", "tail"))
+    e = e.withColumn("_s", 4 * F.size(F.array_intersect(own, T.terms(F.col("question")))))
+    if paths is not None:
+        goals = paths.groupBy(*KEY).agg(F.array_join(F.flatten(F.collect_list("goals")), " ").alias("_goals"))
+        e = e.join(goals, KEY, "left").withColumn("_s", F.col("_s") + 2 * F.size(F.array_intersect(own, T.terms(F.coalesce("_goals", F.lit(""))))))
     if named is not None:
-        keyed = named.groupBy(*KEY).agg(F.collect_set(F.lower("entity")).alias("_named"))
-        e = e.join(keyed, KEY, "left")
-        hit = F.coalesce(F.array_contains("_named", F.lower("head")) | F.array_contains("_named", F.lower("tail")), F.lit(False))
-        e = e.withColumn("_s", F.col("_s") + F.when(hit, 6).otherwise(0))
-    block = F.to_json(F.struct("head", "relation", "tail", "source_type", "source_id"))
+        at = lambda c: named.select(*KEY, F.lower("entity").alias(f"_l{c}"), F.lit(True).alias(f"_at_{c}")).distinct()
+        e = e.withColumn("_lhead", F.lower("head")).withColumn("_ltail", F.lower("tail")).join(at("head"), [*KEY, "_lhead"], "left").join(at("tail"), [*KEY, "_ltail"], "left")
+        e = e.withColumn("_s", F.col("_s") + F.when(F.coalesce("_at_head", "_at_tail", F.lit(False)), 6).otherwise(0))
+    block = F.concat(F.concat_ws(" | ", "head", "relation", "tail"), F.lit(" ["), F.concat_ws(" ", "source_type", "source_id"), F.lit("]"))
     return _fit(e, F.struct(-F.col("_s"), "edge_seq"), block, limit, True)
 
 

@@ -51,28 +51,6 @@ def top_k(scored: DataFrame, query: str, item: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def entity_top_k(queries: DataFrame, query: str, entity: str, items: DataFrame, item: str, text: str, k: int) -> DataFrame:
-    """``query, item, rank, direct``: items holding all terms of the entity first, in item order, then
-    by BM25.  Containment is an equi-join on terms with a count, not a scan of pairs."""
-    asked = queries.select(query, F.explode(F.array_distinct(F.split(T.normalize_key(F.col(entity)), " "))).alias("term")).where("term <> ''")
-    need = asked.groupBy(query).agg(F.count("*").alias("need"))
-    held = items.select(item, F.explode(F.array_distinct(F.split(T.normalize_key(F.col(text)), " "))).alias("term"))
-    full = held.join(asked, "term").groupBy(query, item).agg(F.count("*").alias("have")).join(need, query).where("have = need").select(query, item, F.lit(True).alias("direct"))
-    scored = bm25(queries, query, entity, items, item, text)
-    both = full.join(scored, [query, item], "full").select(query, item, F.coalesce("direct", F.lit(False)).alias("direct"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    w = Window.partitionBy(query).orderBy(F.desc("direct"), F.when(F.col("direct"), F.lit(0.0)).otherwise(-F.col("score")), item)
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query, item, "rank", "direct")
-
-
-def constraint_top_k(questions: DataFrame, query: str, question: str, entities: DataFrame, items: DataFrame, item: str, text: str, k: int) -> DataFrame:
-    """``query, item, rank``: the best item of each of a question's ``query, entity`` candidates, each
-    once, ranked by the whole question."""
-    named = entities.select(F.concat_ws("|", F.col(query).cast("string"), "entity").alias("_qe"), query, "entity").distinct()
-    best = entity_top_k(named, "_qe", "entity", items, item, text, 1).join(named.select("_qe", query), "_qe").select(query, item).distinct()
-    scored = best.join(bm25(questions, query, question, items, item, text), [query, item], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return top_k(scored, query, item, k).select(query, item, "rank")
-
-
 def two_stage(first: DataFrame, second: DataFrame, query: str, item: str, budget: int) -> DataFrame:
     """Stage one whole, then up to ``budget`` new items of stage two by ``priority`` and ``rank``.
 
@@ -119,6 +97,19 @@ def rank_edges(edges: DataFrame, keys: list[str], question: str, k: int, stopwor
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "edge_seq", "head", "relation", "tail", "overlap", "phrase", "rank")
 
 
+def rank_code_edges(edges: DataFrame, keys: list[str], question: str, k: int = 72, named: DataFrame | None = None, favoured: str = "annual_interest_amount") -> DataFrame:
+    """The ``k`` edges of each graph for generated code: edges at ``named`` entities (``keys, entity``) first, then by
+    shared terms with the question, three more for the ``favoured`` relation; equal edges count once."""
+    once = edges.groupBy(*keys, question, "head", "relation", "tail").agg(F.min("edge_seq").alias("edge_seq"))
+    shared = F.size(F.array_intersect(T.terms(F.col(question)), T.terms(F.concat_ws(" ", "head", "relation", "tail"))))
+    once = once.withColumn("overlap", shared + F.when(F.col("relation") == favoured, 3).otherwise(0)).withColumn("_named", F.lit(False))
+    if named is not None:
+        at = lambda c: named.select(*keys, F.col("entity").alias(c), F.lit(True).alias(f"_at_{c}")).distinct()
+        once = once.join(at("head"), [*keys, "head"], "left").join(at("tail"), [*keys, "tail"], "left").withColumn("_named", F.coalesce("_at_head", "_at_tail", F.lit(False)))
+    w = Window.partitionBy(*keys).orderBy(F.desc("_named"), F.desc("overlap"), "edge_seq")
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "edge_seq", "head", "relation", "tail", "overlap", "rank")
+
+
 def first_edges(edges: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The first ``k`` edges of each graph."""
     w = Window.partitionBy(*keys).orderBy("edge_seq")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators import methods, retrieval, score
+from gleaner.operators import methods, retrieval
+from gleaner.plans import hybrid, readers
+from gleaner.plans import sqltext as S
 from gleaner.plans.graphs import Q, edges
 from gleaner.plans.registry import query
 from gleaner.session import table
@@ -55,33 +57,87 @@ def bm25_within(spark: SparkSession, d: str) -> DataFrame:
     return best.select("page_title", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("context_flat")
+def _greedy(blocks: str, limit: int) -> str:
+    """Blocks ``(g, p, b)`` in order, skipping those that no longer fit, as one text a group."""
+    return f"""o AS (SELECT g, b, row_number() OVER (PARTITION BY g ORDER BY p) AS i FROM {blocks}),
+r AS (SELECT g, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, CAST(NULL AS VARCHAR) AS b FROM (SELECT DISTINCT g FROM o) UNION ALL SELECT o.g, o.i, CASE WHEN used + length(o.b) <= {limit} THEN used + length(o.b) ELSE used END, CASE WHEN used + length(o.b) <= {limit} THEN o.b END FROM r JOIN o ON o.g = r.g AND o.i = r.i + 1)
+SELECT g AS question_id, coalesce(string_agg(b, chr(10) || chr(10) ORDER BY i), '') AS context FROM r GROUP BY g"""
+
+
+_DOCS = "docs AS (SELECT question_id, 'table:' || table_name || ':row:' || row_index AS doc, 'Table ' || table_name || '. ' || string_agg(column_name || ' is ' || value || '.', ' ' ORDER BY col_index) AS text FROM cells WHERE trim(value, ' ') <> '' GROUP BY question_id, table_name, row_index UNION ALL SELECT question_id, 'text:' || i, text FROM passages)"
+_FLAT = f"WITH RECURSIVE {hybrid.DATA}, {_DOCS}, iq AS (SELECT question_id AS g, question AS t FROM qs), it AS (SELECT question_id AS g, doc AS i, doc AS pos, text FROM docs), {hybrid.bm25_sql('b1', 'iq', 'it')}, s1 AS (SELECT g, i, row_number() OVER (PARTITION BY g ORDER BY round(score, 9) DESC, i) AS p FROM b1 QUALIFY p <= 5), bl AS (SELECT s1.g, p, '[' || i || '] ' || text AS b FROM s1 JOIN it USING (g, i)), {_greedy('bl', 400)}"
+
+
+@query("context_flat", _FLAT)
 def context_flat(spark: SparkSession, d: str) -> DataFrame:
-    return methods.flat_context(dataset(spark, d))
+    """The best rows and passages of every question within 400 characters."""
+    return methods.flat_context(hybrid.dataset(spark, d), 5, 400)
 
 
-@query("context_direct")
+@query("context_direct", f"WITH {hybrid.DATA}, {_DOCS}, c AS (SELECT *, CASE WHEN doc LIKE 'table:%' THEN 0 ELSE 1 END AS k, sum(length(text)) OVER (PARTITION BY question_id ORDER BY CASE WHEN doc LIKE 'table:%' THEN 0 ELSE 1 END, doc ROWS UNBOUNDED PRECEDING) AS used FROM docs) SELECT question_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY k, doc) FILTER (used <= 300), '') AS context FROM c GROUP BY question_id")
 def context_direct(spark: SparkSession, d: str) -> DataFrame:
-    return methods.direct_context(dataset(spark, d))
+    """Rows, then passages of every question up to the first that does not fit 300 characters."""
+    return methods.direct_context(hybrid.dataset(spark, d), 300)
 
 
-@query("context_edges")
+@query("context_oracle", "SELECT 'q' || c_nationkey AS question_id, CAST(2 AS INTEGER) AS n_blocks FROM customer GROUP BY 1 HAVING count(*) > 1")
+def context_oracle(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of gold evidence of every question."""
+    out = methods.oracle_context(readers._linked(spark, d))
+    return out.select(*Q, F.size(F.split("context", "\n\n")).alias("n_blocks"))
+
+
+@query("context_edges", "SELECT question_id, CAST(least(count(*), 20) AS INTEGER) AS n, arg_min(head, triple_id) AS first FROM triple WHERE question_id IS NOT NULL GROUP BY question_id")
 def context_edges(spark: SparkSession, d: str) -> DataFrame:
-    return methods.edge_context(edges(spark, d))
+    """The first twenty edges of every graph as JSON, read again."""
+    out = methods.edge_context(edges(spark, d).where("question_id is not null"), 20)
+    listed = F.from_json("context", "array<struct<head: string>>")
+    return out.select(*Q, F.size(listed).alias("n"), listed[0]["head"].alias("first"))
+
 
+_PATHS = f"""WITH RECURSIVE qs AS (SELECT question_id, arg_max(question, ingested_at) AS question FROM sample_hybridqa GROUP BY 1),
+nm AS (SELECT question_id AS g, lower(x) AS n FROM (SELECT question_id, unnest([head, tail]) AS x FROM triple) WHERE x LIKE '% Bay' GROUP BY ALL),
+bl AS (SELECT question_id AS g, (-(4 * len(list_intersect({S.terms("concat_ws(' ', head, relation, tail)")}, {S.terms("question")})) + 2 * len(list_intersect({S.terms("concat_ws(' ', head, relation, tail)")}, ['birth', 'date'])) + CASE WHEN (question_id, lower(head)) IN (SELECT (g, n) FROM nm) OR (question_id, lower(tail)) IN (SELECT (g, n) FROM nm) THEN 6 ELSE 0 END), triple_id) AS p, concat_ws(' | ', head, relation, tail) || ' [' || concat_ws(' ', source_type, source_id) || ']' AS b FROM triple JOIN qs USING (question_id)), {_greedy('bl', 300)}"""
 
-@query("context_paths")
+
+@query("context_paths", _PATHS)
 def context_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Edges by the terms of questions and paths and by candidates, within 300 characters."""
     questions = table(spark, d, "sample_hybridqa").groupBy(*Q).agg(F.max_by("question", "ingested_at").alias("question"))
-    return methods.path_context(questions, edges(spark, d))
+    named = edges(spark, d).select(*Q, F.explode(F.array("head", "tail")).alias("entity")).where("entity like '% Bay'").distinct()
+    paths = questions.select(*Q, F.array(F.lit("find the birth"), F.lit("date")).alias("goals"))
+    return methods.path_context(questions, edges(spark, d), named, paths, 300)
+
+
+@query("preferred_aliases", "SELECT s_suppkey AS question_id, 'Club ' || s_name || ' FC' AS canonical, s_name AS shown FROM supplier")
+def preferred_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """The shortest of the names of each entity."""
+    s = table(spark, d, "supplier")
+    aliases = s.select(F.col("s_suppkey").alias("question_id"), F.concat(F.lit("Club "), "s_name", F.lit(" FC")).alias("canonical"), F.explode(F.array(F.col("s_name"), F.concat("s_name", F.lit(" FC")))).alias("node"))
+    return methods.preferred_alias(aliases)
+
 
+@query("matched_candidates", "SELECT s_suppkey AS question_id, CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN s_name ELSE 'none of ' || s_name || ' and Other' END AS prediction FROM supplier")
+def matched_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Answers replaced by the candidate they equal or the only one they hold."""
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey") % 3
+    answers = s.select(F.col("s_suppkey").alias("question_id"), F.when(k == 0, F.concat(F.lit(" "), F.upper("s_name"))).when(k == 1, F.concat(F.lit("It is "), "s_name", F.lit("."))).otherwise(F.concat(F.lit("none of "), "s_name", F.lit(" and Other"))).alias("prediction"))
+    named = s.select(F.col("s_suppkey").alias("question_id"), F.explode(F.array(F.col("s_name"), F.lit("Other"))).alias("entity"))
+    return methods.match_candidate(answers, named).select(*Q, "prediction")
 
-@query("audit", "SELECT dataset, count(*) AS n, count(*) FILTER (lower(trim(answer, ' ')) IN ('yes', 'no')) AS yes_no, count(*) FILTER (answer IS NULL) AS no_answer, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS share FROM datasetexample GROUP BY dataset")
+
+@query("audit", "SELECT count(*) AS n_examples, count(*) AS n_both, CAST(0 AS BIGINT) AS n_table_only, CAST(0 AS BIGINT) AS n_text_only, CAST(0 AS BIGINT) AS n_none, CAST(0 AS BIGINT) AS n_yes_no, count(*) AS n_text, count(*) FILTER (c_mktsegment <> 'MACHINERY') AS n_unmatched, round(count(*) FILTER (c_mktsegment = 'MACHINERY') * 1.0 / count(*), 6) AS recall FROM customer")
 def audit(spark: SparkSession, d: str) -> DataFrame:
-    """Counts and shares of the data sets' examples."""
-    rows = table(spark, d, "datasetexample").groupBy("dataset").agg(F.count("*").alias("n"), F.count_if(F.lower(F.trim("answer")).isin("yes", "no")).alias("yes_no"), F.count_if(F.col("answer").isNull()).alias("no_answer"))
-    total = rows.agg(F.sum("n").alias("t"))
-    return rows.crossJoin(F.broadcast(total)).select("dataset", "n", "yes_no", "no_answer", F.round(100.0 * F.col("n") / F.col("t"), 2).alias("share"))
+    """An audit of reports whose gold text is a passage of some of them only."""
+    data = readers._reports(spark, d)
+    data.questions = data.questions.withColumn("metadata", F.lit('{"gold_inds": {"text_2": " Machinery ", "table_1": "row"}}'))
+    return methods.audit(data, 3)
+
+
+@query("audit_tables", "SELECT CAST(0 AS BIGINT) AS n_lossy, count(*) FILTER (len(h) <> len(list_distinct(h))) AS n_repeated FROM (SELECT [trim(coalesce(c, ''), ' ') FOR c IN texts[1]] AS h FROM hitab)")
+def audit_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Matrices that lose columns or repeat headers."""
+    return methods.table_audit(table(spark, d, "hitab"), "texts")
 
 
 @query("program_attributes", "SELECT last_op, bucket, count(*) AS n FROM (SELECT program_id, arg_max(op, (step_pos, step_id)) AS last_op, CASE WHEN count(*) <= 1 THEN '1' WHEN count(*) = 2 THEN '2' ELSE '3+' END AS bucket FROM (SELECT DISTINCT program_id, step_id, step_pos, op FROM irstep) GROUP BY 1) GROUP BY ALL")

@@ -86,15 +86,23 @@ def _one_step(spark: SparkSession, d: str, op: str, arguments: Column) -> DataFr
     return out.where("success").select(F.col("program_id").alias("p_brand"), "value", "value_num")
 
 
-_SORTED = F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("k"), F.concat(F.lit("$"), F.format_number("p_retailprice", 2)).alias("t"), F.col("p_name").alias("label"), F.col("p_retailprice").alias("value"))))
-_NUMBERS = F.to_json(F.transform(_SORTED, lambda x: x["t"]))
-_NAMED = F.transform(_SORTED, lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value")))
+def _parts() -> Column:
+    """The parts of a brand in order: price as text, name, price."""
+    return F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("k"), F.concat(F.lit("$"), F.format_number("p_retailprice", 2)).alias("t"), F.col("p_name").alias("label"), F.col("p_retailprice").alias("value"))))
+
+
+def _numbers() -> Column:
+    return F.to_json(F.transform(_parts(), lambda x: x["t"]))
+
+
+def _labelled() -> Column:
+    return F.transform(_parts(), lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value")))
 
 
 def _of_numbers(op: str, sql: str) -> None:
     @query(f"ir_{op}", f"SELECT p_brand, {sql} AS value FROM part GROUP BY p_brand")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _one_step(spark, d, op, _NUMBERS).select("p_brand", F.round("value_num", 2).alias("value"))
+        return _one_step(spark, d, op, _numbers()).select("p_brand", F.round("value_num", 2).alias("value"))
 
 
 _of_numbers("table_sum", "round(sum(p_retailprice), 2)")
@@ -107,13 +115,13 @@ _of_numbers("count", "CAST(count(*) AS DOUBLE)")
 @query("ir_range", "SELECT p_brand, max(p_retailprice) AS greatest, min(p_retailprice) AS least FROM part GROUP BY p_brand")
 def ir_range(spark: SparkSession, d: str) -> DataFrame:
     ends = F.from_json("value", "array<double>")
-    return _one_step(spark, d, "range", _NUMBERS).select("p_brand", ends[0].alias("greatest"), ends[1].alias("least"))
+    return _one_step(spark, d, "range", _numbers()).select("p_brand", ends[0].alias("greatest"), ends[1].alias("least"))
 
 
 def _extreme(op: str, sql: str) -> None:
     @query(f"ir_{op}", f"SELECT p_brand, {sql}(p_name, (p_retailprice, p_name)) AS value FROM part GROUP BY p_brand")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _one_step(spark, d, op, F.to_json(_NAMED)).select("p_brand", F.get_json_object(F.concat(F.lit('{"x":'), "value", F.lit("}")), "$.x").alias("value"))
+        return _one_step(spark, d, op, F.to_json(_labelled())).select("p_brand", F.get_json_object(F.concat(F.lit('{"x":'), "value", F.lit("}")), "$.x").alias("value"))
 
 
 _extreme("argmax", "arg_max")
@@ -125,12 +133,12 @@ def _ranked(op: str, way: str) -> None:
 
     @query(f"ir_topk_{op}", f"SELECT p_brand, string_agg(p_name, '|' ORDER BY place) AS value FROM (SELECT p_brand, p_name, {place} AS place FROM part) WHERE place <= 3 GROUP BY p_brand")
     def top(spark: SparkSession, d: str) -> DataFrame:
-        made = _one_step(spark, d, f"topk_{op}", F.to_json(F.struct(_NAMED.alias("items"), F.lit("3").alias("k"))))
+        made = _one_step(spark, d, f"topk_{op}", F.to_json(F.struct(_labelled().alias("items"), F.lit("3").alias("k"))))
         return made.select("p_brand", F.array_join(F.from_json("value", "array<string>"), "|").alias("value"))
 
     @query(f"ir_kth_{op}", f"SELECT p_brand, p_name AS value FROM (SELECT p_brand, p_name, {place} AS place FROM part) WHERE place = 3")
     def kth(spark: SparkSession, d: str) -> DataFrame:
-        made = _one_step(spark, d, f"kth_{op}", F.to_json(F.struct(_NAMED.alias("items"), F.lit(3).alias("k"))))
+        made = _one_step(spark, d, f"kth_{op}", F.to_json(F.struct(_labelled().alias("items"), F.lit(3).alias("k"))))
         return made.select("p_brand", F.get_json_object(F.concat(F.lit('{"x":'), "value", F.lit("}")), "$.x").alias("value"))
 
 
@@ -141,7 +149,7 @@ _ranked("argmin", "ASC")
 def _filtered(op: str, sign: str, at: float) -> None:
     @query(f"ir_{op}", f"SELECT p_brand, coalesce(string_agg(p_name, '|' ORDER BY p_partkey) FILTER (p_retailprice {sign} {at}), '') AS value FROM part GROUP BY p_brand")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        made = _one_step(spark, d, op, F.to_json(F.struct(_NAMED.alias("items"), F.lit(at).alias("threshold"))))
+        made = _one_step(spark, d, op, F.to_json(F.struct(_labelled().alias("items"), F.lit(at).alias("threshold"))))
         return made.select("p_brand", F.array_join(F.from_json("value", "array<string>"), "|").alias("value"))
 
 

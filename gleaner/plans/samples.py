@@ -33,10 +33,30 @@ def balanced_sample(spark: SparkSession, d: str) -> DataFrame:
 @query("balanced_distinct_sample")
 def balanced_distinct_sample(spark: SparkSession, d: str) -> DataFrame:
     """A hundred questions of as many tables, balanced by present split."""
-    rows = table(spark, d, "sample_hybridqa").select("question_id", "table_id", "split").where("table_id is not null").dropDuplicates(["question_id"])
+    rows = table(spark, d, "sample_hybridqa").where("table_id is not null and question_id is not null")
+    rows = rows.groupBy("question_id").agg(F.max_by(F.struct("table_id", "split"), F.struct("ingested_at", "table_id", "split")).alias("x")).select("question_id", "x.*")
     return samples.balanced_shards(rows, "question_id", ["split"], 100, seed=7, distinct="table_id")
 
 
+@query("balanced_shape", "SELECT 'programs ' || i AS sample, CAST(100 AS BIGINT) AS n, CAST(100 AS BIGINT) AS n_different, true AS near FROM range(0, 2) r(i) UNION ALL SELECT 'questions 0', 100, 100, true")
+def balanced_shape(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of balanced samples: programs by different ids, questions by different tables, and whether the shares of
+    repairs and splits lie within 0.05 of all rows'."""
+
+    def near(sample: DataFrame, all_: DataFrame, column: str) -> DataFrame:
+        n, total = sample.count(), all_.count()
+        own, whole = sample.groupBy("shard_index", column).count(), all_.groupBy(column).agg(F.count("*").alias("_w"))
+        shards = max(1, sample.select("shard_index").distinct().count())
+        off = own.join(whole, column).groupBy("shard_index").agg(F.max(F.abs(F.col("count") / (n / shards) - F.col("_w") / total)).alias("off"))
+        return off.select("shard_index", (F.col("off") <= 0.05).alias("near"))
+
+    p, q = balanced_sample(spark, d), balanced_distinct_sample(spark, d)
+    shape = lambda s, name, of: s.groupBy("shard_index").agg(F.count("*").alias("n"), F.countDistinct(of).alias("n_different")).withColumn("_name", F.lit(name))
+    one = shape(p, "programs", "program_id").join(near(p, table(spark, d, "numericalprogram"), "repair_count"), "shard_index")
+    two = shape(q, "questions", "table_id").join(near(q, table(spark, d, "sample_hybridqa").where("table_id is not null"), "split"), "shard_index")
+    return one.unionByName(two).select(F.concat_ws(" ", "_name", "shard_index").alias("sample"), "n", "n_different", "near")
+
+
 @query("distribution", "SELECT 'dataset' AS dimension, dataset AS value, count(*) AS n FROM datasetexample GROUP BY ALL UNION ALL SELECT 'has_answer', CAST(answer IS NOT NULL AS VARCHAR), count(*) FROM datasetexample GROUP BY ALL")
 def distribution(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "datasetexample").select("dataset", F.col("answer").isNotNull().alias("has_answer"))

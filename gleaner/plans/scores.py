@@ -37,25 +37,12 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _best(spark, d, 3).select("item_id", "doc_id", F.round("score", 4).alias("score"))
 
 
-@query("two_stage_bm25")
-def two_stage_bm25(spark: SparkSession, d: str) -> DataFrame:
-    """Two documents by the item's text, two more by its direct mentions."""
-    docs, items = table(spark, d, "documents").where("text is not null"), table(spark, d, "eval_item")
-    first = _best(spark, d, 2)
-    named = items.select("item_id", F.array_join(T.direct_mentions(F.col("text")), " ").alias("names"))
-    second = R.bm25_top_k(named, "item_id", "names", docs, "doc_id", "text", 4).withColumn("priority", F.lit(1))
-    return R.two_stage(first, second, "item_id", "doc_id", 2)
-
-
-@query("entity_topk")
-def entity_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The documents of every page title, those holding all of its words first."""
-    docs = table(spark, d, "documents").where("text is not null")
-    titles = docs.select("page_title").where("page_title is not null").distinct().withColumn("name", F.replace(F.col("page_title"), F.lit("_"), F.lit(" ")))
-    return R.entity_top_k(titles, "page_title", "name", docs, "doc_id", "text", 3)
+_BOUNDED = """WITH RECURSIVE o AS (SELECT source_id, doc_id, coalesce(n_chars, 0) AS n, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) AS i FROM documents WHERE source_id IS NOT NULL),
+r AS (SELECT source_id, 0 AS i, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS doc_id FROM (SELECT DISTINCT source_id FROM o) UNION ALL SELECT o.source_id, CAST(o.i AS INTEGER), CASE WHEN used + n <= 2000 THEN used + n ELSE used END, CASE WHEN used + n <= 2000 THEN o.doc_id END FROM r JOIN o ON o.source_id = r.source_id AND o.i = r.i + 1)
+SELECT source_id, doc_id FROM r WHERE doc_id IS NOT NULL"""
 
 
-@query("bounded_context")
+@query("bounded_context", _BOUNDED)
 def bounded_context(spark: SparkSession, d: str) -> DataFrame:
     """Which documents of each source fit a budget of characters when the others are skipped."""
     rows = table(spark, d, "documents").where("source_id is not null").groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n_chars"))).alias("x"))
@@ -81,10 +68,34 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 STOP = "a an and are as at by did for from how in is it of on or that the to was were what when which who with".split()
 
 
-@query("rank_edges")
+_STOPPED = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
+_RANKED = f"""WITH qs AS (SELECT question_id, arg_max(question, ingested_at) AS question FROM sample_hybridqa GROUP BY 1),
+e AS (SELECT question_id, question, head, relation, tail, source_type, min(triple_id) AS edge_seq FROM triple JOIN qs USING (question_id) GROUP BY ALL),
+w AS (SELECT *, list_filter({Z.terms("question")}, lambda t: length(t) > 1 AND t NOT IN {_STOPPED}) AS asked, lower(concat_ws(' ', head, relation, tail)) AS text FROM e),
+s AS (SELECT *, len(list_intersect(asked, list_filter({Z.terms("text")}, lambda t: length(t) > 1 AND t NOT IN {_STOPPED}))) AS overlap, coalesce(list_sum([length(t) FOR t IN asked IF length(t) >= 4 AND contains(text, t)]), 0) AS phrase FROM w)
+SELECT question_id, edge_seq, CAST(overlap AS INTEGER) AS overlap, CAST(phrase AS INTEGER) AS phrase, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, phrase DESC, edge_seq) AS rank FROM s) WHERE rank <= 10"""
+
+
+@query("rank_edges", _RANKED)
 def rank_edges(spark: SparkSession, d: str) -> DataFrame:
     """The ten edges of every graph nearest to its question."""
-    return R.rank_edges(edges(spark, d).join(_questions(spark, d), Q), Q, "question", 10, STOP)
+    return R.rank_edges(edges(spark, d).join(_questions(spark, d), Q), Q, "question", 10, STOP).drop("head", "relation", "tail")
+
+
+_CODE = f"""WITH {Z.canonical_relations("triple")}, qs AS (SELECT question_id, arg_max(question, ingested_at) AS question FROM sample_hybridqa GROUP BY 1),
+e AS (SELECT question_id, question, head, canonical AS relation, tail, min(triple_id) AS edge_seq FROM triple JOIN rel USING (relation) JOIN qs USING (question_id) GROUP BY ALL),
+x AS (SELECT *, len(list_intersect({Z.terms("question")}, {Z.terms("concat_ws(' ', head, relation, tail)")})) + CASE WHEN relation = 'birth_date' THEN 3 ELSE 0 END AS s, head LIKE '% Bay' OR tail LIKE '% Bay' AS named FROM e)
+SELECT question_id, edge_seq, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY named DESC, s DESC, edge_seq) AS rank FROM x) WHERE rank <= 8"""
+
+
+@query("rank_code_edges", _CODE)
+def rank_code_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The eight edges of every graph for the context of generated code: those of candidates first, one relation
+    favoured."""
+    e = edges(spark, d).where("question_id is not null and relation is not null")
+    e = T.normalize_relations(e, "relation", "_r").withColumn("relation", F.col("_r")).drop("_r").join(_questions(spark, d), Q)
+    named = edges(spark, d).select(*Q, F.explode(F.array("head", "tail")).alias("entity")).where("entity like '% Bay'").distinct()
+    return R.rank_code_edges(e, Q, "question", 8, named, "birth_date").select(*Q, "edge_seq", "rank")
 
 
 # -- scoring ---------------------------------------------------------------------------------------

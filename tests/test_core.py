@@ -274,11 +274,7 @@ def test_generation_boundary(spark):
     assert generation.code_problem("result = open('x')") == "unknown call open"
 
 
-def test_constraints_ids_and_macros(spark):
-    q = spark.createDataFrame([("q", "where does it rain most")], "q string, t string")
-    ents = spark.createDataFrame([("q", "Red Town"), ("q", "Blue Town")], "q string, entity string")
-    items = spark.createDataFrame([(1, "rain in red town"), (2, "sun in blue town"), (3, "rain rain"), (4, "other words here"), (5, "more of those")], "d int, b string")
-    assert [r["d"] for r in retrieval.constraint_top_k(q, "q", "t", ents, items, "d", "b", 5).orderBy("rank").collect()] == [1, 2]
+def test_constraints_and_ids(spark):
     df = spark.createDataFrame([("table", 4, "x"), ("text", None, "r:text:7"), ("text", None, "r:post:7"), ("web", None, "url7")], "s string, r int, i string")
     got = df.select(score.evidence_id(F.col("s"), F.col("r"), F.col("i"))).collect()
     assert [r[0] for r in got] == ["table_5", "text_7", None, None]
