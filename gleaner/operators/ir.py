@@ -326,6 +326,7 @@ def _json(text: str | None) -> Any:
         return text
 
 
+_REFS = "array<struct<source_type: string, source_id: string, head: string, relation: string, tail: string>>"
 REF = ["source_type", "source_id", "head", "relation", "tail"]
 OUT = "program_id string, success boolean, is_empty boolean, value string, value_num double, value_bool boolean, error string, n_steps int, evidence array<struct<source_type: string, source_id: string, head: string, relation: string, tail: string>>, step_values map<string,string>, operators array<string>"
 
@@ -335,10 +336,13 @@ def answer_lookups(asks: DataFrame, edges: DataFrame, keys: list[str], names: Da
     direction`` in their own graphs.
 
     ``found`` are the neighbours (or sources) in the order of their first edges, each once; ``evidence`` are
-    all parallel edges to them, sorted.  Relations meet by their canonical names.  An entity that is no node
+    all parallel edges to them, sorted.  The edges have canonical relations (see ``graph.insert``), those of the
+    lookups are made so.  An entity that is no node
     goes by ``names`` (``keys, key, node``), or else stays as it is."""
-    both = asks.select("relation").unionByName(edges.select("relation")).distinct()
-    relation = materialize(T.normalize_relations(both, "relation", "_r"), "relations")
+    asks = materialize(asks, "asks")
+    if asks.isEmpty():
+        return asks.select("program_id", "step_id", F.array().cast("array<string>").alias("found"), F.array().cast(_REFS).alias("evidence"))
+    relation = T.normalize_relations(asks.select("relation").distinct(), "relation", "_r")
     asks = asks.join(relation, "relation").withColumnRenamed("entity", "_e")
     if names is not None:
         nodes = edges.select(*keys, F.explode(F.array("head", "tail")).alias("_e")).distinct().withColumn("_own", F.lit(True))
@@ -347,7 +351,8 @@ def answer_lookups(asks: DataFrame, edges: DataFrame, keys: list[str], names: Da
         asks = asks.withColumn("_e", F.when(F.col("_own"), F.col("_e")).otherwise(F.coalesce("_node", "_e")))
     asks = asks.select("program_id", "step_id", *keys, "_e", "_r", F.coalesce("direction", F.lit("neighbors")).alias("_d"))
     end = lambda a, b, d: F.struct(F.col(a).alias("_e"), F.col(b).alias("_v"), F.lit(d).alias("_d"))
-    ways = edges.join(relation, "relation").select(*keys, "_r", "edge_seq", F.struct(*REF).alias("_ref"), F.inline(F.array(end("head", "tail", "neighbors"), end("tail", "head", "sources"))))
+    # only the edges of asked graphs and relations travel
+    ways = edges.withColumn("_r", F.col("relation")).join(asks.select(*keys, "_r").distinct(), [*keys, "_r"], "left_semi").select(*keys, "_r", "edge_seq", F.struct(*REF).alias("_ref"), F.inline(F.array(end("head", "tail", "neighbors"), end("tail", "head", "sources"))))
     hits = asks.join(ways, [*keys, "_e", "_r", "_d"])
     first = hits.groupBy("program_id", "step_id", "_v").agg(F.min("edge_seq").alias("_s"), F.collect_set("_ref").alias("_refs"))
     packed = first.groupBy("program_id", "step_id").agg(F.sort_array(F.collect_list(F.struct("_s", "_v"))).alias("_f"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_refs")))).alias("evidence"))

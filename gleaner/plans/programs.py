@@ -13,7 +13,7 @@ from gleaner.operators import graph, ir
 from gleaner.plans import sqltext as S
 from gleaner.plans.graphs import Q, edges
 from gleaner.plans.registry import query
-from gleaner.session import table
+from gleaner.session import materialize, table
 
 OPS = ir.COLUMN_OPS
 
@@ -170,7 +170,7 @@ _GRAPH = f"""{S.canonical_relations("triple")}, g AS (SELECT question_id, triple
 
 def _graph(spark: SparkSession, d: str) -> DataFrame:
     whole = edges(spark, d).where("question_id is not null and head is not null and tail is not null and relation is not null")
-    return graph.insert(whole)[0]
+    return materialize(graph.insert(whole)[0], "graph")
 
 
 def _lookups(spark: SparkSession, d: str, entity: str, extra: dict) -> DataFrame:
