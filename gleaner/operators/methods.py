@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import graph, retrieval, score, search, tables, templates
+from gleaner.operators import generation, graph, retrieval, score, search, tables, templates
 from gleaner.session import materialize
 from gleaner.sources import sinks
 from gleaner.sources.adapters import Dataset, documents, oracle_evidence
@@ -20,9 +20,10 @@ from gleaner.sources.adapters import Dataset, documents, oracle_evidence
 KEY = ["question_id"]
 
 
-def facts(data: Dataset, top_k: int = 5, budget: int = 3) -> tuple[DataFrame, DataFrame]:
+def facts(data: Dataset, top_k: int = 5, budget: int = 3, provider: generation.Provider | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges of every question's graph, all table cells and what is found in its best passages of both stages; and
-    the constraints of its tables.
+    the constraints of its tables.  A ``provider`` adds the facts it reads in these passages; a batch it fails on
+    adds none.
 
     Self loops are left out.  ``edge_seq`` orders cells before texts, by place."""
     cells = tables.cell_facts(data.cells, ["question_id", "table_name"])
@@ -33,7 +34,14 @@ def facts(data: Dataset, top_k: int = 5, budget: int = 3) -> tuple[DataFrame, Da
     texts = context.join(best.select(*KEY, "source_id"), [*KEY, "source_id"], "left_semi")
     found = tables.text_facts(texts, [*KEY, "source_type", "source_id", "position"], "text", "context_before")
     from_texts = found.select(*KEY, (F.lit(1 << 40) + F.col("position") * 8).cast("long").alias("edge_seq"), "head", "relation", "tail", "source_type", "source_id", F.lit(None).cast("int").alias("row_index"))
-    return graph.insert(from_cells.unionByName(from_texts))[0], constraints
+    both = from_cells.unionByName(from_texts)
+    if provider is not None:
+        named = texts.withColumn("_key", F.to_json(F.struct(*KEY, "source_type", "source_id", "position"))).withColumn("_prompt", F.concat(F.lit("Read the facts in this text as a JSON list of head, relation and tail.\n"), F.col("context_before"), F.lit("\n"), F.col("text")))
+        told = generation.facts_of(generation.complete(named, "_key", "_prompt", provider), "_key")
+        key = F.from_json("_key", "question_id string, source_type string, source_id string, position long")
+        told = told.select(key["question_id"].alias("question_id"), (F.lit(1 << 41) + key["position"] * 8).cast("long").alias("edge_seq"), "head", "relation", "tail", key["source_type"].alias("source_type"), key["source_id"].alias("source_id"), F.lit(None).cast("int").alias("row_index"))
+        both = both.unionByName(told)
+    return graph.insert(both)[0], constraints
 
 
 def candidates(questions: DataFrame, edges: DataFrame) -> DataFrame:
@@ -54,13 +62,13 @@ def candidates(questions: DataFrame, edges: DataFrame) -> DataFrame:
     return made.unionByName(paths).withColumn("success", F.lit(True))
 
 
-def answer(data: Dataset, top_k: int = 5, budget: int = 3, programs: DataFrame | None = None) -> DataFrame:
+def answer(data: Dataset, top_k: int = 5, budget: int = 3, programs: DataFrame | None = None, provider: generation.Provider | None = None) -> DataFrame:
     """``question_id, question, answer, prediction, score, confidence, mode``: the best grounded candidate of every
     question, null where none is admissible.
 
     ``programs`` (``question_id, success, value, evidence, accessed, n_steps, candidate_pos``) are executed programs
     that compete with the templates and the search."""
-    edges, constraints = facts(data, top_k, budget)
+    edges, constraints = facts(data, top_k, budget, provider)
     edges, _ = graph.resolve(materialize(edges, "facts"), KEY)
     found = candidates(data.questions, edges)
     if programs is not None:

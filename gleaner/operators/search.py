@@ -19,7 +19,7 @@ def symbolic_search(questions: DataFrame, query: str, question: str, edges: Data
 
     Anchors spread out over undirected edges in at most ``max_hops - 1`` rounds; an answer is the tail
     of a described relation whose head was reached.  Ranked by relation score, shortness and the number
-    of kinds of sources; ties go by answer."""
+    of kinds of sources; ties go by answer and relation."""
     found = graph.nodes(edges, keys).select(*keys, "node")
     anchors = materialize(retrieval.anchored(questions, query, question, found, keys, STOP), "anchors")
     targets = materialize(retrieval.target_relations(questions, query, question, edges, keys, STOP), "targets")
@@ -29,5 +29,5 @@ def symbolic_search(questions: DataFrame, query: str, question: str, edges: Data
     ends = edges.where(~(literal_ends & T.looks_literal(F.col("tail"))))
     hits = targets.join(ends, [*keys, "relation"]).join(reach.withColumnRenamed("node", "head"), [query, *keys, "head"])
     out = hits.groupBy(query, F.col("tail").alias("answer"), "relation").agg(F.max("score").alias("score"), (F.min("_h") + 1).alias("hops"), F.countDistinct("source_type").alias("n_kinds"))
-    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "hops", F.desc("n_kinds"), "answer"))
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "hops", F.desc("n_kinds"), "answer", "relation"))
     return out.withColumn("place", place).where(F.col("place") <= k)

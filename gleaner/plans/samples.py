@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators import generation, samples, search, templates
+from gleaner.functions import text as T
+from gleaner.operators import generation, graph, retrieval, samples, search, templates
+from gleaner.plans import sqltext as S
 from gleaner.plans.graphs import Q, edges
 from gleaner.plans.registry import query
 from gleaner.session import table
@@ -163,16 +165,59 @@ def label_match(spark: SparkSession, d: str) -> DataFrame:
     return templates.label_match(asked, "q", "phrase", s.select(F.lit(1).alias("g"), F.col("s_name").alias("node")), ["g"]).drop("g")
 
 
-@query("symbolic_search")
-def symbolic_search(spark: SparkSession, d: str) -> DataFrame:
-    """Anchored search over all graphs, asking for each question's first relation by name."""
-    e = edges(spark, d)
+_STOPPED = "(" + ", ".join(f"'{w}'" for w in search.STOP) + ")"
+
+
+def _kept(x: str) -> str:
+    return f"list_filter({S.terms(x)}, lambda t: length(t) > 1 AND t NOT IN {_STOPPED})"
+
+
+_SEARCH = f"""asked AS (SELECT question_id, 'What is the ' || arg_min(relation, triple_id) || ' of ' || arg_min(head, triple_id) || '?' AS question FROM triple WHERE question_id IS NOT NULL GROUP BY 1),
+node AS (SELECT DISTINCT question_id, node FROM (SELECT question_id, head AS node FROM triple UNION ALL SELECT question_id, tail FROM triple)),
+an AS (SELECT question_id, node FROM (SELECT n.question_id, node, {S.key('node')} AS k, {S.key('question')} AS qk, {_kept(S.key('node'))} AS nt, {_kept(S.key('question'))} AS qt FROM node n JOIN asked USING (question_id)) WHERE len(list_intersect(nt, qt)) > 0 AND ((length(k) >= 3 AND contains(qk, k)) OR (len(list_intersect(nt, qt)) >= 2 AND len(nt) <= 8))),
+rl AS (SELECT question_id, relation, n / greatest(size, 1) + CASE WHEN phrase <> '' AND contains(qk, phrase) THEN 1 ELSE 0 END AS score, n FROM (SELECT t.question_id, relation, {S.key('question')} AS qk, len(list_intersect({_kept(S.key('relation'))}, {_kept(S.key('question'))})) AS n, len({_kept(S.key('relation'))}) AS size, array_to_string(regexp_extract_all(lower(relation), '[a-z0-9]+'), ' ') AS phrase FROM (SELECT DISTINCT question_id, relation FROM triple) t JOIN asked USING (question_id)) WHERE n > 0),
+tr AS (SELECT question_id, relation, score FROM rl WHERE score >= 1 OR n >= 2 QUALIFY rank() OVER (PARTITION BY question_id ORDER BY score DESC) = 1)"""
+
+
+@query("anchored_nodes", f"WITH {_SEARCH} SELECT question_id, node FROM an")
+def anchored_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes that every question names."""
+    asked, e = _search_questions(spark, d)
+    found = graph.nodes(e, Q).select(*Q, "node")
+    return retrieval.anchored(asked, "q", "question", found, Q, search.STOP).select(*Q, "node")
+
+
+@query("target_relations", f"WITH {_SEARCH} SELECT question_id, relation, round(score, 6) AS score FROM tr")
+def target_relations(spark: SparkSession, d: str) -> DataFrame:
+    """The relations that every question describes best."""
+    asked, e = _search_questions(spark, d)
+    return retrieval.target_relations(asked, "q", "question", e, Q, search.STOP).select(*Q, "relation", F.round("score", 6).alias("score"))
+
+
+_LITERAL = r"regexp_full_match(trim(tail, ' '), '[\d\s:./,%$-]+') OR regexp_matches(lower(tail), '\b(?:" + "|".join(T.MONTHS) + r")\b')"
+_SYMBOLIC = f"""WITH RECURSIVE {_SEARCH}, way AS (SELECT DISTINCT question_id, a, b FROM (SELECT question_id, head AS a, tail AS b FROM triple UNION ALL SELECT question_id, tail, head FROM triple) WHERE a <> b),
+walk AS (SELECT question_id, node, 0 AS h FROM an WHERE question_id IN (SELECT question_id FROM tr) UNION SELECT w.question_id, b, h + 1 FROM walk w JOIN way ON way.question_id = w.question_id AND a = node WHERE h < 3),
+reach AS (SELECT question_id, node, min(h) AS h FROM walk GROUP BY ALL),
+ends AS (SELECT t.question_id, tail AS answer, t.relation, max(score) AS score, min(h) + 1 AS hops, count(DISTINCT source_type) AS n_kinds FROM triple t JOIN tr ON tr.question_id = t.question_id AND tr.relation = t.relation JOIN reach r ON r.question_id = t.question_id AND r.node = head WHERE NOT (len(list_intersect({S.terms(S.key('t.relation'))}, ['city', 'country', 'person', 'player', 'club'])) > 0 AND ({_LITERAL})) GROUP BY ALL)
+SELECT question_id, answer, relation, round(score, 6) AS score, CAST(hops AS INTEGER) AS hops, n_kinds, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, hops, n_kinds DESC, answer, relation) AS place FROM ends) WHERE place <= 5"""
+
+
+def _search_questions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A question for each graph's first relation by name."""
+    e = edges(spark, d).where("question_id is not null")
     first = e.groupBy(*Q).agg(F.min_by(F.struct("head", "relation"), "edge_seq").alias("x"))
-    asked = first.select(*Q, F.col("question_id").alias("q"), F.concat(F.lit("What is the "), F.col("x.relation"), F.lit(" of "), F.col("x.head"), F.lit("?")).alias("question"))
-    return search.symbolic_search(asked, "q", "question", e, Q)
+    return first.select(*Q, F.col("question_id").alias("q"), F.concat(F.lit("What is the "), F.col("x.relation"), F.lit(" of "), F.col("x.head"), F.lit("?")).alias("question")), e
+
+
+@query("symbolic_search", _SYMBOLIC)
+def symbolic_search(spark: SparkSession, d: str) -> DataFrame:
+    """Anchored search over all graphs."""
+    asked, e = _search_questions(spark, d)
+    out = search.symbolic_search(asked, "q", "question", e, Q)
+    return out.select(F.col("q").alias("question_id"), "answer", "relation", F.round("score", 6).alias("score"), "hops", "n_kinds", "place")
 
 
-@query("generation_boundary")
+@query("generation_boundary", "SELECT DISTINCT example_id, 'echo ' || length(question) AS completion FROM datasetexample")
 def generation_boundary(spark: SparkSession, d: str) -> DataFrame:
     """Prompts through a stub provider; without one there are no completions."""
     rows = table(spark, d, "datasetexample").select("example_id", "question").distinct()
