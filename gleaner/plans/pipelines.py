@@ -37,6 +37,40 @@ def pipeline_answers(spark: SparkSession, d: str) -> DataFrame:
     return out.select("question_id", F.round(F.col("prediction").cast("double"), 2).alias("prediction"))
 
 
+def _four_kinds(spark: SparkSession, d: str) -> Dataset:
+    """A question for every customer with orders, of four kinds: the average over a row, a comparison of two rows, a
+    total up to a month, and an earlier value that only a passage tells."""
+    o = table(spark, d, "orders").where("o_totalprice is not null").withColumn("k", F.col("o_custkey") % 4).withColumn("question_id", F.concat(F.lit("c"), "o_custkey"))
+    own = F.concat(F.lit("customer "), F.col("o_custkey"))
+    cell = lambda row, at, name, value: F.struct(F.lit("orders").alias("table_name"), row.cast("int").alias("row_index"), at.cast("int").alias("col_index"), name.alias("column_name"), value.cast("string").alias("value"))
+    yearly = o.where("k < 2").groupBy(*Q, "k", "o_custkey", F.year("o_orderdate").alias("y")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
+    two = F.col("k") == 1
+    year, zero, one = F.concat(F.lit("year_"), "y"), F.lit(0), F.lit(1)
+    rows = yearly.select(*Q, F.inline(F.array_compact(F.array(cell(zero, zero, F.lit("name"), own), cell(zero, F.col("y") - 1900, year, F.col("v")), F.when(two, cell(one, zero, F.lit("name"), F.lit("half"))), F.when(two, cell(one, F.col("y") - 1900, year, F.col("v") / 2))))))
+    months = o.where("k = 2").select(*Q, F.inline(F.array(cell(F.col("o_orderkey"), zero, F.lit("name"), F.concat(F.lit("order "), "o_orderkey")), cell(F.col("o_orderkey"), one, F.lit("date_completed"), F.date_format("o_orderdate", "MMMM yyyy")), cell(F.col("o_orderkey"), F.lit(2), F.lit("sales_proceeds"), F.col("o_totalprice").cast("decimal(18,2)")))))
+    each = o.groupBy(*Q, "k", "o_custkey").agg(F.count("*").alias("n"))
+    asked = F.when(F.col("k") == 0, F.concat(F.lit("What is the average "), own, F.lit(" in the years?"))).when(two, F.concat(F.lit("Did "), own, F.lit(" outperform half?"))).when(F.col("k") == 2, "What were total proceeds up to June?").otherwise("What was net revenue in 2003?")
+    questions = each.select(*Q, asked.alias("question"), F.lit("").alias("answer"), F.lit("{}").alias("metadata"))
+    said = F.concat(F.lit("Net revenue increased $"), F.col("o_custkey") % 7, F.lit(" million, mainly abroad, from 2003 to $1.6 billion in 2004."))
+    passages = each.select(*Q, F.lit("text").alias("source_type"), F.concat("question_id", F.lit("#0")).alias("source_id"), F.lit(0).alias("position"), F.when(F.col("k") == 3, said).otherwise("Nothing of note.").alias("text"))
+    return Dataset(questions, rows.distinct().unionByName(months), passages)
+
+
+_KINDS = """SELECT 'c' || o_custkey AS question_id, kind, round(value + 0.0001, 2) AS value FROM (
+SELECT o_custkey, 'derived_numeric' AS kind, avg(v) AS value FROM (SELECT o_custkey, year(o_orderdate) AS y, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS v FROM orders WHERE o_custkey % 4 = 0 GROUP BY ALL) GROUP BY o_custkey HAVING count(*) >= 2
+UNION ALL SELECT o_custkey, 'derived_boolean', 1.0 FROM orders WHERE o_custkey % 4 = 1 GROUP BY 1
+UNION ALL SELECT o_custkey, 'derived_numeric', sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE FROM orders WHERE o_custkey % 4 = 2 AND month(o_orderdate) <= 6 GROUP BY 1 HAVING count(*) >= 2
+UNION ALL SELECT o_custkey, 'derived_numeric', 1600.0 - o_custkey % 7 FROM orders WHERE o_custkey % 4 = 3 GROUP BY 1)"""
+
+
+@query("pipeline_questions", _KINDS)
+def pipeline_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of four kinds through retrieval, facts, resolution, all templates, search and scores."""
+    out = methods.answer(_four_kinds(spark, d)).where("prediction is not null")
+    value = F.when(F.col("prediction") == "yes", 1.0).when(F.col("prediction") == "no", 0.0).otherwise(F.col("prediction").try_cast("double"))
+    return out.select("question_id", F.col("mode").alias("kind"), F.round(value + 0.0001, 2).alias("value"))
+
+
 _WS = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+"
 _WITHIN = f"""WITH tf AS (SELECT page_title, doc_id, term, count(*) AS tf FROM (SELECT page_title, doc_id, unnest(regexp_split_to_array(lower(text), '{_WS}')) AS term FROM documents WHERE text IS NOT NULL AND page_title IS NOT NULL) WHERE term <> '' GROUP BY ALL),
 dl AS (SELECT d.page_title, d.doc_id, coalesce(sum(tf), 0) AS dl FROM documents d LEFT JOIN tf USING (doc_id) WHERE d.text IS NOT NULL AND d.page_title IS NOT NULL GROUP BY ALL),
