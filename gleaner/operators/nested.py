@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any, NamedTuple
 
 import pyarrow as pa
@@ -87,7 +88,10 @@ def json_triples(text: str, root: str) -> Iterator[Triple]:
             want_key = False
         else:
             try:
-                value = json.loads(string) if string and _escape.search(string) else string[1:-1] if string else json.loads(word)
+                if word:
+                    value = int(word) if word.isdecimal() and word[0] != "0" and word.isascii() else json.loads(word)
+                else:
+                    value = json.loads(string) if _escape.search(string) else string[1:-1]
             except ValueError:
                 value = string or word
                 yield root, (), Broken(m.start(), text[m.start() :])
@@ -127,6 +131,11 @@ def value_triples(value: Any, root: str) -> Iterator[Triple]:
 def group_of(path: str) -> tuple[str, str]:
     """The group of a path (its nearest repeated ancestor, nested repetitions of one step as one) and
     the field inside the group."""
+    return _group_of(path) if len(path) < 400 else _group_of.__wrapped__(path)
+
+
+@lru_cache(20_000)
+def _group_of(path: str) -> tuple[str, str]:
     head, found, field = path.rpartition("[]")
     group = _repeat.sub(r"\1", head + found) if found else ""
     return group, (field[1:] if field.startswith(".") else field) if found else path
