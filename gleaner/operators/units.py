@@ -76,7 +76,7 @@ FILLERS = frozenset("a an and as at in of the number about around approximately
 #: Known affine conversions between sources that share no zero: scale and offset.
 AFFINE = ((1.8, 32.0), (1 / 1.8, -32.0 / 1.8), (1.0, 273.15), (1.0, -273.15))
 BIN = 0.0015
-MIN_LINKS, MIN_SHARE = 3, 0.3
+MIN_LINKS, MIN_SHARE, MIN_LINE = 3, 0.3, 20
 
 _number = r"\d{1,3}(?:[ ,]\d{3})+(?![\d])(?:\.\d+)?|\d+(?:\.\d+)?(?:e[+-]?\d+)?|\.\d+"
 _find_number = re.compile(_number)
@@ -275,11 +275,27 @@ def pairwise(links: DataFrame) -> DataFrame:
     keep = [c for c in best.columns if c not in ("_cell", "_v")]
     best = best.groupBy(*keep).agg(F.min_by("_v", F.abs(F.col("_v") - F.col("log_scale"))).alias("_v"))
     best = best.withColumn("snapped", F.when(F.abs(F.col("_v") - F.col("log_scale")) < 2 * BIN, F.exp("_v"))).drop("_v")
-    affine, known_scale = F.lit(None).cast("double"), F.lit(None).cast("double")
+    offset, scale = _affine(F.col("line_scale"), F.col("line_offset"), (F.col("n_equal") < MIN_SHARE * F.col("n_links")) & (F.col("n_links") >= MIN_LINE))
+    return best.withColumn("known_offset", offset).withColumn("known_scale", scale)
+
+
+def _affine(scale: Column, offset: Column, held: Column) -> tuple[Column, Column]:
+    """The offset and scale of the known affine conversion that a line is near, 0 and null for none."""
+    known_offset, known_scale = F.lit(0.0), F.lit(None).cast("double")
     for s, o in AFFINE:
-        fits = (F.abs(F.col("line_scale") - s) < 0.02 * s) & (F.abs(F.col("line_offset") - o) < 0.02 * abs(o)) & (F.col("n_equal") < MIN_SHARE * F.col("n_links")) & (F.col("n_links") >= 20)
-        affine, known_scale = F.when(fits, o).otherwise(affine), F.when(fits, s).otherwise(known_scale)
-    return best.withColumn("known_offset", F.coalesce(affine, F.lit(0.0))).withColumn("known_scale", known_scale)
+        fits = held & (F.abs(scale - s) < 0.02 * s) & (F.abs(offset - o) < 0.02 * abs(o))
+        known_offset, known_scale = F.when(fits, o).otherwise(known_offset), F.when(fits, s).otherwise(known_scale)
+    return known_offset, known_scale
+
+
+def lines(links: DataFrame) -> DataFrame:
+    """``(a, b, known_scale, known_offset)`` of the pairs of notations whose quartiles lie on a line of a known affine
+    conversion; one aggregate over all links."""
+    use = links.where("a <> b and x <> 0 and y <> 0 and sign(x) = sign(y)")
+    quart = use.groupBy("a", "b").agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75]).alias(f"_{c}") for c in ("x", "y")]).where(F.col("n") >= MIN_LINE)
+    slope = (F.col("_y")[2] - F.col("_y")[0]) / F.nullif(F.col("_x")[2] - F.col("_x")[0], F.lit(0.0))
+    offset, scale = _affine(slope, F.col("_y")[1] - slope * F.col("_x")[1], F.lit(True))
+    return quart.select("a", "b", scale.alias("known_scale"), offset.alias("known_offset")).where("known_offset <> 0")
 
 
 def snapped_votes(links: DataFrame) -> DataFrame:
@@ -322,21 +338,22 @@ def supported(found: DataFrame) -> DataFrame:
     return found.where((F.col("n") >= MIN_LINKS) & (F.col("n") >= 2 * F.col("second")))
 
 
-def propagate(anchors: DataFrame, votes: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+def propagate(anchors: DataFrame, votes: DataFrame, affine: DataFrame | None = None) -> DataFrame:
     """``(notation, kind, factor, offset, hops)``: anchors, and all notations reached over links, so that
     an amount times ``factor`` plus ``offset`` is in the unit of the anchors.
 
-    ``lines`` are pairs ``a, b, known_scale, known_offset`` of notations that share no zero.  In each
+    ``affine`` are pairs ``a, b, known_scale, known_offset`` of notations that share no zero.  In each
     round all notations still open take the best supported proposal of their links to reached ones, until
     none is reached any more.  An amount with no words at all has no unit and gets none."""
     reached = materialize(anchors.where("notation <> '||'").select("notation", "kind", F.col("factor").cast("double"), F.lit(0.0).alias("offset"), F.lit(0).alias("hops")), "reached")
-    if lines is not None:
-        lines = lines.select(F.inline(F.array(F.struct("a", "b", F.col("known_scale").alias("s"), F.col("known_offset").alias("o")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), (1 / F.col("known_scale")).alias("s"), (-F.col("known_offset") / F.col("known_scale")).alias("o")))))
-        lines = materialize(lines, "lines")
+    if affine is not None:
+        affine = affine.select(F.inline(F.array(F.struct("a", "b", F.col("known_scale").alias("s"), F.col("known_offset").alias("o")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), (1 / F.col("known_scale")).alias("s"), (-F.col("known_offset") / F.col("known_scale")).alias("o")))))
+        affine = materialize(affine, "lines")
+        affine = None if affine.isEmpty() else affine
     for hop in itertools.count(1):
         new = supported(proposals(votes.where("a <> '||'").join(reached, votes["a"] == reached["notation"], "left_anti"), reached.where("offset = 0"))).select("notation", "kind", "factor", F.lit(0.0).alias("offset"))
-        if lines is not None:
-            over = lines.join(reached, lines["b"] == reached["notation"]).select(F.col("a").alias("notation"), "kind", (F.col("factor") * F.col("s")).alias("factor"), (F.col("factor") * F.col("o") + F.col("offset")).alias("offset"))
+        if affine is not None:
+            over = affine.join(reached, affine["b"] == reached["notation"]).select(F.col("a").alias("notation"), "kind", (F.col("factor") * F.col("s")).alias("factor"), (F.col("factor") * F.col("o") + F.col("offset")).alias("offset"))
             over = over.join(reached, "notation", "left_anti").groupBy("notation").agg(F.min(F.struct("kind", "factor", "offset")).alias("_x")).select("notation", "_x.*")
             new = new.unionByName(over.join(new, "notation", "left_anti"))
         new = materialize(new.withColumn("hops", F.lit(hop)), "new")
@@ -356,8 +373,7 @@ def common_units(recorded: DataFrame, links: DataFrame) -> DataFrame:
     Notations that name the common unit of a kind itself are the anchors (0 hops).  All others are reached
     over links; those with too few links keep what their words say (null hops)."""
     words = materialize(by_words(recorded), "words")
-    lines = pairwise(links).where("known_offset <> 0").select("a", "b", "known_scale", "known_offset")
-    reached = propagate(words.where("factor = 1"), materialize(snapped_votes(links), "votes"), lines)
+    reached = propagate(words.where("factor = 1"), materialize(snapped_votes(links), "votes"), lines(links))
     rest = words.join(reached, "notation", "left_anti").select("notation", "kind", "factor", F.lit(0.0).alias("offset"), F.lit(None).cast("int").alias("hops"))
     return reached.unionByName(rest)
 

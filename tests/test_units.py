@@ -59,7 +59,7 @@ def test_offsets_travel_along_lines(spark):
     links = [("# celsius||", float(i), "# fahrenheit||", i * 1.8 + 32) for i in range(1, 60)] + [("# celsius||", float(i), "# kelvin||", i + 273.15) for i in range(1, 60)]
     df = spark.createDataFrame(links, "a string, x double, b string, y double")
     anchors = spark.createDataFrame([("# kelvin||", "temperature", 1.0)], "notation string, kind string, factor double")
-    got = {r["notation"]: (r["factor"], r["offset"], r["hops"]) for r in U.propagate(anchors, U.snapped_votes(df), U.pairwise(df).where("known_offset <> 0")).collect()}
+    got = {r["notation"]: (r["factor"], r["offset"], r["hops"]) for r in U.propagate(anchors, U.snapped_votes(df), U.lines(df)).collect()}
     assert got["# celsius||"] == (1.0, 273.15, 1)
     factor, offset, hops = got["# fahrenheit||"]
     assert factor * 212 + offset == pytest.approx(373.15) and hops == 2
