@@ -277,8 +277,9 @@ def retrieve(questions: DataFrame, cells: DataFrame, passages: DataFrame, top_k:
 
 # -- few queries against many items ------------------------------------------------------------------
 
-#: Queries up to so many characters in all, and so many of them, are sent to the executors.
-SENT_CHARS, SENT_QUERIES = 8_000_000, 5_000
+#: Queries up to so many characters in all, so many of them, and so many terms times queries are sent to the
+#: executors.
+SENT_CHARS, SENT_QUERIES, SENT_CELLS = 8_000_000, 5_000, 4_000_000
 
 
 def bm25_top_k(queries: DataFrame, query: str, query_text: str, items: DataFrame, item: str, text: str, k: int) -> DataFrame:
@@ -294,6 +295,8 @@ def bm25_top_k(queries: DataFrame, query: str, query_text: str, items: DataFrame
     asked = _term_rows(queries, [query], query_text).groupBy(query, "term").agg(F.count("*").alias("qtf"))
     rows = asked.orderBy(query, "term").collect()
     ids, terms = sorted({r[query] for r in rows}), sorted({r["term"] for r in rows})
+    if len(ids) * len(terms) > SENT_CELLS:
+        return top_k(bm25(queries, query, query_text, items, item, text), query, item, k)
     row_of, column_of = {t: i for i, t in enumerate(terms)}, {q: i for i, q in enumerate(ids)}
     items = spread(items.select(item, text))
     tokens = items.select(item, T.tokens(F.col(text)).alias("_t"))

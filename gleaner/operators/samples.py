@@ -115,7 +115,7 @@ def stratified_shards(df: DataFrame, key: str, columns: list[str], shards: int,
     # strata start where the ones before them ended: the deal goes on across strata
     order = Window.orderBy("_n", *columns).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_s", F.coalesce(F.sum("_n").over(order), F.lit(0)))
-    r = _join_on(ranked(df, columns, key, seed, "_rank"), F.broadcast(starts.drop("_n")), columns)
+    r = _join_on(ranked(df, columns, key, seed, "_rank"), starts.drop("_n"), columns)
     return r.select(*df.columns, F.pmod(F.col("_rank") + F.col("_s"), F.lit(shards)).cast("int").alias("shard_index"))
 
 

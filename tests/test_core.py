@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import generation, graph, retrieval, samples, score, search, tables, templates
+from gleaner.operators import generation, graph, methods, retrieval, samples, score, search, tables, templates
 
 
 def one(spark, column, text):
@@ -295,3 +295,33 @@ def test_two_stages_over_own_passages(spark):
     got = [(r["source_id"], r["stage"]) for r in retrieval.retrieve(q, cells, passages, 1, 1)[0].orderBy("stage", "rank").collect()]
     assert got == [("p0", 1), ("p2", 2)]
     assert [r["source_id"] for r in retrieval.retrieve(q, cells, passages, 1, 0)[0].collect()] == ["p0"]
+
+
+def test_empty_tables_give_empty_results(spark):
+    cells = spark.createDataFrame([], "question_id string, table_name string, row_index int, col_index int, column_name string, value string")
+    passages = spark.createDataFrame([], "question_id string, source_type string, source_id string, position int, text string")
+    questions = spark.createDataFrame([("q", None, None, None), ("r", "", "", "{}")], "question_id string, question string, answer string, metadata string")
+    data = methods.Dataset(questions, cells, passages)
+    assert retrieval.retrieve(questions, cells, passages)[0].count() == 0
+    e = spark.createDataFrame([], EDGE)
+    asked = questions.select("question_id", "question", F.lit(1).alias("g"))
+    assert templates.answers(asked, "question_id", "question", e, ["g"]).count() == 0
+    assert graph.resolve(e, ["g"])[1].count() == 0 and graph.to_trace(e, ["g"]).count() == 0
+    row = methods.audit(data).first()
+    assert (row["n_examples"], row["n_none"], row["n_text"], row["recall"]) == (2, 2, 0, 1.0)
+    assert methods.baseline_summary(spark.createDataFrame([], "gold string, answer string"), "m").first()["n"] == 0
+    out = methods.answer(data).collect()
+    assert len(out) == 2 and all(r["prediction"] is None for r in out)
+
+
+def test_nulls_in_any_column(spark):
+    e = spark.createDataFrame([(1, 1, None, "r", "x", None, None, None), (1, 2, "a", None, "x", "table", "s", 1), (1, 3, "a", "r", None, "text", None, None), (None, 4, "a", "r", "b", "web", "u", None), (1, 4, "a", "r", "b", "web", "u", None)], EDGE)
+    kept, out = graph.insert(e)
+    assert kept.count() + out.count() == 5 and graph.nodes(e, ["g"]).count() >= 3
+    assert graph.neighbors(e, ["g"]).count() > 0 and graph.evidence(e, ["g"]).count() > 0 and graph.to_dot(e, ["g"]).count() > 0
+    facts = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 100_000), (4, "increased interest $ ( increased"), (5, "A (b)")], "k int, t string")
+    assert tables.text_facts(facts.withColumn("head", F.lit("clash")), ["k"], "t").count() == 0
+    cells = spark.createDataFrame([("q", "t", 0, 0, "name", None), ("q", "t", 0, 1, "rank", "2"), ("q", "t", 0, 2, None, "1999"), ("q", "t", 0, 3, "year", "1999")], "q string, table_name string, row_index int, col_index int, column_name string, value string")
+    asked = spark.createDataFrame([("i", "q", "Who was second in 1999?"), ("j", "q", None)], "id string, q string, t string")
+    assert retrieval.table_constraints(asked, "id", "t", cells, ["q"]).count() == 0
+    assert [r["entity"] for r in retrieval.bridge_entities(asked, "id", "t", cells, ["q"], retrieval.table_constraints(asked, "id", "t", cells, ["q"])).collect()] in ([], ["1999"])
