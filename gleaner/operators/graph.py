@@ -182,15 +182,31 @@ def flat_aliases(log: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
+def settled(aliases: DataFrame, keys: list[str], rounds: int = 40) -> DataFrame:
+    """Aliases of one tier whose canonical name is no alias itself: names follow each other to the last."""
+    for _ in range(rounds):
+        onward = aliases.select(*keys, F.col("node").alias("canonical"), F.col("canonical").alias("_c"))
+        if aliases.join(onward, [*keys, "canonical"], "left_semi").isEmpty():
+            return aliases
+        moved = aliases.join(onward, [*keys, "canonical"], "left")
+        aliases = materialize(moved.withColumn("canonical", F.coalesce("_c", "canonical")).drop("_c").where("node <> canonical"), "settled")
+    raise RuntimeError(f"aliases still moved after {rounds} rounds")
+
+
 def resolve(edges: DataFrame, keys: list[str], extra: dict[str, str] | None = None, similar: Callable[[Column, Column], Column] = T.similarity) -> tuple[DataFrame, DataFrame]:
-    """Edges after all tiers, and the log ``keys, node, canonical, tier, score`` of what was merged."""
+    """Edges after all tiers, and the log ``keys, node, canonical, tier, score`` of what was merged.
+
+    The tiers run over the nodes, which merge with their ends and first edges; the edges are rewritten once."""
     log = None
-    for tier, find in (("lexical", lexical_aliases), ("alias", lambda n, k: known_aliases(n, k, extra)), ("structural", core_aliases), ("semantic", lambda n, k: near_aliases(n, k, similar=similar))):
-        found = materialize(find(nodes(edges, keys), keys), tier)
+    left = materialize(nodes(edges, keys), "nodes")
+    for tier, find in zip(TIERS, (lexical_aliases, lambda n, k: known_aliases(n, k, extra), core_aliases, lambda n, k: near_aliases(n, k, similar=similar))):
+        found = settled(materialize(find(left, keys), tier), keys)
         entry = found.select(*keys, "node", "canonical", F.lit(tier).alias("tier"), F.round(F.col("score") if "score" in found.columns else F.lit(1.0), 4).alias("score"))
         log = entry if log is None else log.unionByName(entry)
-        edges = materialize(merge(edges, found, keys), "merged")
-    return edges, log
+        if tier != TIERS[-1]:
+            merged = left.join(found.select(*keys, "node", F.col("canonical").alias("_c")), [*keys, "node"], "left").withColumn("node", F.coalesce("_c", "node"))
+            left = materialize(merged.groupBy(*keys, "node").agg(F.max("has_out").alias("has_out"), F.max("has_in").alias("has_in"), F.min("first_seq").alias("first_seq")), "nodes")
+    return merge(edges, materialize(flat_aliases(log, keys), "aliases"), keys), log
 
 
 def query_index(found: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
