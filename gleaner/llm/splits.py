@@ -53,9 +53,11 @@ def page_of(table_id: Column) -> Column:
     """
     x = table_id
     for _ in range(2):
-        x = F.coalesce(F.try_url_decode(F.regexp_replace(x, r"\+", "%2B")), x)
+        # only texts with an escape are decoded: a failing decoder is dear
+        x = F.when(F.contains(x, F.lit("%")), F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)).otherwise(x)
     source, target = _plain_letters()
-    x = F.translate(F.lower(F.regexp_replace(x, r"\p{Mn}+", "")), source, target)
+    foreign = x.rlike(r"[^\x00-\x7f]")
+    x = F.when(foreign, F.translate(F.lower(F.regexp_replace(x, r"\p{Mn}+", "")), source, target)).otherwise(F.lower(x))
     x = F.regexp_replace(x, r"[\s\p{Z}_]+", "_")
     x = F.regexp_replace(x, r"^_+|_+$", "")
     x = F.regexp_replace(F.regexp_replace(x, r"^\.?/*(tables/+)+_*", ""), r"_*\.json$", "")
