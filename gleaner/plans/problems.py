@@ -42,7 +42,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.hierarchical_cells(table(spark, sf_dir, "hitab")).drop("value")
 
 
-@query("p1_nodes", f"WITH {_FILLED} SELECT table_id, to_json(node) AS node, to_json(parent) AS parent, row_index, column_index, label FROM label")
+@query("p1_nodes", f"WITH {_FILLED} SELECT table_id, CAST(to_json(node) AS VARCHAR) AS node, CAST(to_json(parent) AS VARCHAR) AS parent, row_index, column_index, label FROM label")
 def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row nodes of all tables, linked to their parents."""
     return nested.row_nodes(table(spark, sf_dir, "hitab")).withColumn("node", F.to_json("node")).withColumn("parent", F.to_json("parent"))
@@ -58,8 +58,8 @@ KEYS = ["table_id", "ingested_at"]
 _RELATED = """WITH RECURSIVE n AS (SELECT table_id, ingested_at, [] :: INTEGER[] AS node, CAST(left_root AS JSON) AS j FROM hitab WHERE left_root IS NOT NULL UNION ALL SELECT table_id, ingested_at, list_append(node, CAST(k AS INTEGER)), json_extract(j, '$.children[' || k || ']') FROM n, LATERAL (SELECT unnest(range(0, CAST(coalesce(json_array_length(j, '$.children'), 0) AS BIGINT))) AS k)),
 r AS (SELECT table_id, ingested_at, CAST(i - 1 AS INTEGER) AS i, texts[i] AS x FROM (SELECT *, unnest(range(1, len(texts) + 1)) AS i FROM hitab)),
 c AS (SELECT table_id, ingested_at, i, CAST(k - 1 AS INTEGER) AS k, x[k] AS v FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM r))
-SELECT table_id, ingested_at, '' AS group_path, '[]' AS row_id, NULL AS parent_group, NULL AS parent_id, NULL AS label FROM hitab
-UNION ALL SELECT table_id, ingested_at, 'left_root.children[]', to_json(node), CASE WHEN len(node) = 1 THEN '' ELSE 'left_root.children[]' END, to_json(node[:-2]), json_extract_string(j, '$.row_index') FROM n WHERE len(node) > 0
+SELECT table_id, ingested_at, '' AS group_path, '[]' AS row_id, CAST(NULL AS VARCHAR) AS parent_group, CAST(NULL AS VARCHAR) AS parent_id, CAST(NULL AS VARCHAR) AS label FROM hitab
+UNION ALL SELECT table_id, ingested_at, 'left_root.children[]', CAST(to_json(node) AS VARCHAR), CASE WHEN len(node) = 1 THEN '' ELSE 'left_root.children[]' END, CAST(to_json(node[:-2]) AS VARCHAR), json_extract_string(j, '$.row_index') FROM n WHERE len(node) > 0
 UNION ALL SELECT table_id, ingested_at, 'merged_regions[]', '[' || (i - 1) || ']', '', '[]', CAST(merged_regions[i].first_row AS VARCHAR) FROM (SELECT *, unnest(range(1, len(merged_regions) + 1)) AS i FROM hitab)
 UNION ALL SELECT table_id, ingested_at, 'texts[]', '[' || i || ']', '', '[]', NULL FROM r
 UNION ALL SELECT table_id, ingested_at, 'texts[]', '[' || i || ',' || k || ']', 'texts[]', '[' || i || ']', v FROM c"""

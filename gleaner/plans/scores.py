@@ -284,9 +284,9 @@ def evidence_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "triple").select("triple_id", S.evidence_id(F.coalesce("source_type", F.lit("")), F.col("row_index"), source).alias("name"))
 
 
-_PROGRAMS = """SELECT o_orderkey, k, CASE WHEN k IN (4, 5) THEN NULL WHEN k = 0 THEN 1.0 WHEN k = 1 THEN 0.5 WHEN k = 2 THEN 1.0 WHEN k = 3 THEN 0.0 ELSE 0.5 END AS operator_accuracy,
-CASE WHEN k IN (4, 5) THEN NULL WHEN k = 0 THEN 1.0 WHEN k = 1 THEN 0.5 WHEN k = 2 THEN 1.0 WHEN k = 3 THEN 0.0 ELSE 0.0 END AS step_accuracy,
-CASE WHEN k IN (3, 4, 5) THEN NULL WHEN k = 0 THEN 1.0 WHEN k = 2 THEN 0.0 ELSE 0.5 END AS strict_operator_accuracy, CAST(CASE k WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 0 WHEN 6 THEN 1 END AS INTEGER) AS aligned_steps FROM (SELECT o_orderkey, o_orderkey % 7 AS k FROM orders)"""
+_PROGRAMS = """SELECT o_orderkey, k, CAST(CASE WHEN k IN (4, 5) THEN NULL WHEN k = 0 THEN 1.0 WHEN k = 1 THEN 0.5 WHEN k = 2 THEN 1.0 WHEN k = 3 THEN 0.0 ELSE 0.5 END AS DOUBLE) AS operator_accuracy,
+CAST(CASE WHEN k IN (4, 5) THEN NULL WHEN k = 0 THEN 1.0 WHEN k = 1 THEN 0.5 WHEN k = 2 THEN 1.0 WHEN k = 3 THEN 0.0 ELSE 0.0 END AS DOUBLE) AS step_accuracy,
+CAST(CASE WHEN k IN (3, 4, 5) THEN NULL WHEN k = 0 THEN 1.0 WHEN k = 2 THEN 0.0 ELSE 0.5 END AS DOUBLE) AS strict_operator_accuracy, CAST(CASE k WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 0 WHEN 6 THEN 1 END AS INTEGER) AS aligned_steps FROM (SELECT o_orderkey, o_orderkey % 7 AS k FROM orders)"""
 
 
 def _compared(spark: SparkSession, d: str) -> DataFrame:

@@ -217,7 +217,7 @@ def relation_groups(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sample_hybridqa").select("question_id", "ingested_at", groups.alias("groups"))
 
 
-@query("value_keys", "SELECT p_brand, to_json(list_sort(list(p_name))) AS k FROM part GROUP BY p_brand")
+@query("value_keys", "SELECT p_brand, CAST(to_json(list_sort(list(p_name))) AS VARCHAR) AS k FROM part GROUP BY p_brand")
 def value_keys(spark: SparkSession, d: str) -> DataFrame:
     """One key for the names of each brand, whatever their order."""
     return table(spark, d, "part").groupBy("p_brand").agg(T.value_key(F.collect_list("p_name")).alias("k"))
