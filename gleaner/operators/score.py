@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,15 +15,50 @@ from gleaner.functions import text as T
 REASONS = ["execution error", "empty result", "violates_table_candidate_constraint", "missing_required_table_evidence", "missing_target_relation_evidence", "ungrounded output"]
 
 
+#: Beyond so many pieces of evidence and terms, evidence is looked up in sorted terms, not compared with each.
+FEW = 16
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _from(values: Column, steps: Column, x: Column) -> Column:
+    """The first of the sorted ``values`` that is not less than ``x``, by halving; ``steps`` are the powers of two up to
+    their number, the largest first."""
+    less = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(values, n + step - 1) < x, n + step).otherwise(n))
+    return F.get(values, less)
+
+
+def _grounded(keyed: Column, terms: Column) -> Column:
+    """Those of ``keyed`` with a key that holds a term as a word or lies within one.
+
+    A key lies within a term exactly if it begins the first of the terms' sorted ends that is not less; ends are cut
+    at the longest key."""
+    longest = F.array_max(F.transform(F.flatten(F.transform(keyed, lambda x: x["keys"])), F.length))
+    tails = lambda n: F.flatten(F.transform(terms, lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substr(t, i, n))))
+    ends = _once(longest, lambda n: F.array_sort(F.array_distinct(tails(n))))
+    steps = lambda xs: F.filter(F.array(*[F.lit(1 << i) for i in range(30, -1, -1)]), lambda step: step <= F.size(xs))
+    sorted_ = F.struct(F.array_sort(F.array_distinct(terms)).alias("terms"), ends.alias("ends"))
+
+    def found(b: Column) -> Column:
+        within = lambda k: F.startswith(_from(b["ends"], b["end_steps"], k), k)
+        word = lambda k: F.exists(F.split(k, " "), lambda w: _from(b["terms"], b["term_steps"], w) == w)
+        return F.filter(keyed, lambda x: F.exists(x["keys"], lambda k: within(k) | word(k)))
+
+    return _once(sorted_, lambda x: _once(F.struct(x["terms"].alias("terms"), x["ends"].alias("ends"), steps(x["terms"]).alias("term_steps"), steps(x["ends"]).alias("end_steps")), found))
+
+
 def direct_evidence(evidence: Column, terms: Column) -> Column:
     """The evidence with an end that equals one of the value's terms (keys), holds it as a word, or lies within
     it (ends without letters or digits never do)."""
-
-    def grounds(end: Column) -> Column:
-        k = T.normalize_key(end)
-        return (k != "") & F.exists(terms, lambda t: (k == t) | F.array_contains(F.split(k, " "), t) | F.contains(t, k))
-
-    return F.filter(evidence, lambda e: grounds(e["head"]) | grounds(e["tail"]))
+    ends = lambda e: F.filter(F.array(T.normalize_key(e["head"]), T.normalize_key(e["tail"])), lambda k: k != "")
+    grounds = lambda k: F.exists(terms, lambda t: F.array_contains(F.split(k, " "), t) | F.contains(t, k))
+    few = lambda keyed: F.filter(keyed, lambda x: F.exists(x["keys"], grounds))
+    many = lambda keyed: _once(F.filter(terms, lambda t: t != ""), lambda ts: _grounded(keyed, ts))
+    pick = lambda keyed: F.when(F.least(F.size(evidence), F.size(terms)) <= FEW, few(keyed)).otherwise(many(keyed))
+    return F.transform(_once(F.transform(evidence, lambda e: F.struct(e.alias("e"), ends(e).alias("keys"))), pick), lambda x: x["e"])
 
 
 def score_candidates(candidates: DataFrame, query: str) -> DataFrame:

@@ -162,7 +162,8 @@ def score_lists(spark: SparkSession, d: str) -> DataFrame:
     small = F.when(F.col("p_size") <= 10, F.concat(F.lit("Part No. "), F.col("p_partkey"), F.lit("X!")))
     rows = table(spark, d, "part").groupBy("p_brand").agg(F.collect_list(ref).alias("e"), F.to_json(F.struct(F.collect_list(small).alias("parts"))).alias("v"))
     rows = rows.withColumn("terms", T.value_terms(F.col("v")))
-    return rows.select("p_brand", F.size(S.direct_evidence(F.col("e"), F.col("terms"))).alias("n_direct")).where("n_direct > 0")
+    # an aggregate of one row: a filter on a plain column would find the evidence a second time
+    return rows.groupBy("p_brand").agg(F.max(F.size(S.direct_evidence(F.col("e"), F.col("terms")))).alias("n_direct")).where("n_direct > 0")
 
 
 @query("path_vote", "SELECT question_id, value, votes, CAST(row_number() OVER (PARTITION BY question_id ORDER BY votes DESC, p) AS INTEGER) AS place FROM (SELECT question_id, relation AS value, count(*) AS votes, min(triple_id) AS p FROM triple WHERE relation <> '' GROUP BY question_id, relation)")

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 from difflib import SequenceMatcher
@@ -205,6 +206,27 @@ def test_gates(spark):
     assert reason(c.withColumn("groups", F.array(F.array(F.lit("birth"))))) == "missing_target_relation_evidence"
 
 
+@pytest.mark.parametrize("n", [3, 40, 400])
+def test_direct_evidence_equals_brute_force(spark, n):
+    rng = random.Random(n)
+    some = lambda: " ".join("".join(rng.choice("abж中𐍈") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 3)))
+    evidence = [(rng.choice([None, "!", some(), "part no " + some()]), some() + "?") for _ in range(n)]
+    terms = [rng.choice([some(), some(), "part", "", None]) for _ in range(n)]
+    key = lambda x: " ".join(re.findall(r"\w+", x or ""))
+    direct = lambda e: any(k and t and (k == t or t in k.split() or k in t) for k in map(key, e) for t in terms)
+    rows = spark.createDataFrame([(evidence, terms), (evidence, None), (evidence, []), ([], terms), (None, terms)], "e array<struct<head string, tail string>>, t array<string>")
+    got = [r[0] for r in rows.select(score.direct_evidence(F.col("e"), F.col("t"))).collect()]
+    assert [None if r is None else [tuple(x) for x in r] for r in got] == [[e for e in evidence if direct(e)], [], [], [], None]
+
+
+def test_direct_evidence_of_a_long_list_is_not_quadratic(spark):
+    n = 4000
+    rows = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(F.lit("brand of").alias("head"), F.concat(F.lit("part "), i, F.lit("x")).alias("tail"))).alias("e"), F.transform(F.sequence(F.lit(2), F.lit(n), F.lit(2)), lambda i: F.concat(F.lit("part "), i, F.lit("x"))).alias("t"))
+    start = time.monotonic()
+    assert rows.select(F.size(score.direct_evidence(F.col("e"), F.col("t")))).first()[0] == n // 2
+    assert time.monotonic() - start < 60  # minutes where each is compared with each
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("The United States", "USA", "x 51.0", "51"), ("a", "a b", "87.62636", "0.8762636"), ("", "", "yes", "Yes"), (None, "x", None, "3")], "p string, g string, m string, n string")
     rows = df.select(score.exact_match(F.col("p"), F.col("g")), score.semantic_match(F.col("p"), F.col("g")), F.round(score.token_f1(F.col("p"), F.col("g")), 4), score.execution_match(F.col("m"), F.col("n")), score.ratio_match(F.col("m"), F.col("n"))).collect()
